@@ -115,7 +115,7 @@ def fences(measured: DataFrame, reach: float) -> DataFrame:
     return quart.filter(F.col("all") >= LEAST).select("lang", "metric", (F.col("q1") - reach * gap).alias("low"), (F.col("q3") + reach * gap).alias("high"))
 
 
-def fertility(docs: DataFrame, bpe: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model", reach: float = 4.0) -> DataFrame:
+def fertility(docs: DataFrame, bpe: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model", reach: float = 2.5) -> DataFrame:
     """One row per document: base counts, base_failed, kept and the three measures. The texts are read once."""
     measured = materialise(map_text(docs.select("doc_id", "lang", "text"), None, SCHEMA, _measure(tokenizer_path(bpe), tokenizer_path(pieces))))
     band = F.struct(F.col("metric"), F.col("low"), F.col("high"))

@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments of token log-odds, calibrated by extreme values.
 
 Tokens are lower-cased words; an unknown word falls back to its first ``PREFIX`` letters. Weights are log-odds of toxic against other labelled
-documents with an informative Dirichlet prior, kept where their z-score is high; any other word costs ``DRIFT``. A linear-time scan finds
+documents with an informative Dirichlet prior, kept where their z-score is high, at the lower end of their interval (BOUND standard errors); any other word costs ``DRIFT``. A linear-time scan finds
 every maximal segment. Scores of the best segment follow an extreme-value law on clean text
 (lambda and K after Karlin and Altschul); a logistic curve over the normalised score and the number of significant segments
 gives the probability. Weights are learnt on remainders 1-3 of crc32(doc_id) mod 5, the curve on remainder 4; remainder 0 is held out.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_text, pa_schema, remainder5, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIX, DRIFT, Z, PRIOR, VOCABULARY, FOLD = 4, -0.25, 2.5, 0.1, 20_000, 3
+PREFIX, DRIFT, Z, BOUND, PRIOR, VOCABULARY, FOLD = 4, -0.25, 2.5, 1.64, 0.1, 20_000, 3
 SCHEMA = "doc_id long, score double, predicted int, segments array<struct<start:int,end:int,score:double>>"
 
 
@@ -61,8 +61,9 @@ def log_odds(train: DataFrame) -> dict[str, float]:
     share = docs[1] / (docs[0] + docs[1])
     a, b = F.col("t") + prior * share + 0.01, F.col("o") + prior * (1 - share) + 0.01
     delta = F.log(a / (docs[1] * (1 + PRIOR) - a + 0.5)) - F.log(b / (docs[0] * (1 + PRIOR) - b + 0.5))
-    scored = n.filter("t >= 3").select("token", delta.alias("d"), (delta / F.sqrt(1 / a + 1 / b)).alias("z"))
-    rows = scored.filter((F.col("z") >= Z) & (F.col("d") > 1)).orderBy(F.desc("z"), "token").limit(VOCABULARY).collect()
+    error = F.sqrt(1 / a + 1 / b)
+    scored = n.filter("t >= 3").select("token", (delta - BOUND * error).alias("d"), (delta / error).alias("z"))
+    rows = scored.filter((F.col("z") >= Z) & (F.col("d") > 0.5)).orderBy(F.desc("z"), "token").limit(VOCABULARY).collect()
     return {r[0]: float(r[1]) for r in rows}
 
 

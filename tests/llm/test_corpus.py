@@ -128,7 +128,7 @@ def test_fertility(docs, rows, empty):
         v = sorted(round(r[m] * 1000) for r in ok)
         at = lambda q: next(x for i, x in enumerate(v, 1) if i >= q * len(v))  # noqa: B023, E731
         gap = max(at(0.75) - at(0.25), 10)
-        bands[m] = (at(0.25) - 4 * gap, at(0.75) + 4 * gap)
+        bands[m] = (at(0.25) - 2.5 * gap, at(0.75) + 2.5 * gap)
     assert all(r.kept == (not r.base_failed and all(a <= round(r[m] * 1000) <= b for m, (a, b) in bands.items())) for r in measured)
     assert fertility.fertility(empty).count() == 0
 
