@@ -28,7 +28,7 @@ from .components import components
 K, PERCENT = 5, 80
 HEAVY = 1 << 17  # frequent shingles whose counts order them last: a bound on what is sent to tasks
 LOCAL = 3  # a slice reports a shingle that it holds so often
-BLOOM_LOG = 24
+BLOOM_LOG, PARITY_LOG = 24, 11
 ROUNDS, ROOM = 4, 2  # at most so many rounds with pivots; pairs per bucket entry that the last round may verify at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.zeros(0, np.int64)
@@ -108,26 +108,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = docs.select("doc_id", "text")
     order = _Order(_frequent(texts))
 
-    def nodes(with_prefix: bool):
-        def setup():
-            hashes = _WordHash()
-
-            def f(b: pa.RecordBatch) -> dict:
-                sets = [shingles(t, hashes) for t in texts_of(b)]
-                heads = [order.prefix(s, percent) for s in sets]
-                out = {"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) for s in sets], "head": [_node(h) for h in heads]}
-                if not with_prefix:
-                    return out
-                keep = [i for i, s in enumerate(sets) if len(s)]
-                return {"n": [out["n"][i] for i in keep], "node": [out["node"][i] for i in keep], "head": [out["head"][i] for i in keep], "prefix": [heads[i] for i in keep]}
+    def nodes():
+        hashes = _WordHash()
 
-            return f
+        def f(b: pa.RecordBatch) -> dict:
+            sets = [shingles(t, hashes) for t in texts_of(b)]
+            heads = [order.prefix(s, percent) for s in sets]
+            return {"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) for s in sets], "head": [_node(h) for h in heads], "prefix": heads, "parity": [_parity(s) for s in sets]}
 
-        return setup
+        return f
 
-    members = materialise(map_text(texts, None, "doc_id long, n int, node long, head long", nodes(False)))
+    members = materialise(map_text(texts, None, "doc_id long, n int, node long, head long, prefix array<long>, parity array<long>", nodes))
     # Groups: same size, same prefix. The leader stands for its group in the buckets.
-    groups = map_text(texts, None, "n int, node long, head long, prefix array<long>", nodes(True)).groupBy("n", "head").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"))
+    groups = members.filter("n > 0").groupBy("n", "head").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"))
     entries = groups.select("g", "n", F.explode("prefix").alias("t"))
     bucket = materialise(entries.withColumn("m", F.count("*").over(Window.partitionBy("t"))).filter("m > 1").select("t", "g", "n"))
     in_group = members.filter("n > 0").select("node", "n", "head").distinct()
@@ -143,7 +136,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = _last_pairs(bucket, expand, label, percent) if last else _star_pairs(bucket, expand, label, r, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        verified = materialise(_verify(texts, materialise(pairs), percent))
+        verified = materialise(_verify(texts, materialise(_alike(pairs, members, percent)), percent))
         new = verified.filter("linked").select("u", "v")
         links = new if links is None else links.unionByName(new)
         tested = verified.select("u", "v") if tested is None else tested.unionByName(verified.select("u", "v"))
@@ -213,6 +206,22 @@ def _last_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame, percent:
     return pairs.unionByName(inside).select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of shingles falls on place i. Two such words of bits differ in no more places than the sets do in shingles."""
+    odd = np.bincount(s.view(np.uint64) >> np.uint64(64 - PARITY_LOG), minlength=1 << PARITY_LOG) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may still reach the similarity, by sizes and parity words; an exact bound, so none that does is lost."""
+    own = members.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("b"))
+    side = lambda k: own.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("b").alias("b" + k))
+    apart = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    # J >= t means that the sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+    d = pairs.join(side("u"), "u").join(side("v"), "v").filter(_fits(F.col("nu"), F.col("nv"), percent))
+    return d.filter(apart * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)).select("u", "v")
+
+
 def _bit(x: np.ndarray) -> np.ndarray:
     """Place of a node in the bitmap; nodes are hashes, so a shift is enough."""
     return (np.asarray(x, np.int64).view(np.uint64) >> np.uint64(64 - BLOOM_LOG)).astype(np.int64)
