@@ -4,9 +4,9 @@ A document's set holds its distinct word shingles (64-bit hashes of five words).
 by count last - two sets of Jaccard similarity ``t`` or more share a shingle in their prefixes of n - ceil(t n) + 1. Documents with the same size and
 prefix form one group; groups that share a prefix shingle and fit in size are candidates; those are expanded and verified on whole sets.
 
-Equal sets are one node from the start. A large group of near copies is not paired out: in a round, each bucket (shingle, size band) compares its members with one pivot
-only, and links found make components; buckets inside one component need nothing more. After the rounds every pair of
-different components that is left in a bucket is verified, so no link between components is lost.
+Equal sets are one node from the start. A large group of near copies is not paired out: first each bucket (shingle, size band) compares its members with one pivot
+only, and links found make components; buckets inside one component need nothing more. Then every pair of
+different components that is left in a bucket is compared, so no link between components is lost.
 
 Defined cases: null or wordless text has the empty set (n_shingles 0, its own component); fewer than five words make one shingle; repeated
 rows and equal texts are linked; a null ``doc_id`` never names a component unless all its members are null; extra columns are ignored.
@@ -27,9 +27,10 @@ from .components import components
 
 K, PERCENT = 5, 80
 HEAVY = 1 << 17  # frequent shingles whose counts order them last: a bound on what is sent to tasks
-LOCAL = 3  # a slice reports a shingle that it holds so often
+LOCAL, COUNT_BYTES = 2, 16 << 20  # a slice of so many bytes reports a shingle that so many different sets of it hold
 BLOOM_LOG, PARITY_LOG = 24, 11
-ROUNDS, ROOM = 4, 2  # at most so many rounds with pivots; pairs per bucket entry that the last round may verify at once
+ROUNDS = 1  # rounds with pivots before the last one, which takes every pair that is left
+BLOCK = 2048  # rows of a bucket that one task compares with each other or with another block
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.zeros(0, np.int64)
 
@@ -72,9 +73,9 @@ def _frequent(docs: DataFrame) -> list[tuple[int, int]]:
     def run(batches):
         hashes = _WordHash()
         for batch in batches:
-            for b in slices(batch):
-                parts = [shingles(t, hashes) for t in texts_of(b)]
-                values, n = np.unique(np.concatenate([EMPTY, *parts]), return_counts=True)
+            for b in slices(batch, limit=COUNT_BYTES):
+                parts = {_node(s): s for s in (shingles(t, hashes) for t in texts_of(b))}  # equal sets count once
+                values, n = np.unique(np.concatenate([EMPTY, *parts.values()]), return_counts=True)
                 many = n >= LOCAL
                 yield pa.RecordBatch.from_pydict({"t": values[many], "n": n[many]}, schema=out)
 
@@ -121,19 +122,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = materialise(map_text(texts, None, "doc_id long, n int, node long, head long, prefix array<long>, parity array<long>", nodes))
     # Groups: same size, same prefix. The leader stands for its group in the buckets.
     groups = members.filter("n > 0").groupBy("n", "head").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"))
-    entries = groups.select("g", "n", F.explode("prefix").alias("t"))
-    bucket = materialise(entries.withColumn("m", F.count("*").over(Window.partitionBy("t"))).filter("m > 1").select("t", "g", "n"))
+    entries = groups.select("g", "n", F.posexplode("prefix").alias("pos", "t"))
+    bucket = materialise(entries.withColumn("m", F.count("*").over(Window.partitionBy("t"))).filter("m > 1").select("t", "g", "n", "pos"))
     in_group = members.filter("n > 0").select("node", "n", "head").distinct()
     leader = in_group.groupBy("n", "head").agg(F.min("node").alias("g"), F.count("*").alias("size")).filter("size > 1")
     # Only groups of several nodes need a table of members; any other group is its leader.
+    label: DataFrame | None = None
     expand = materialise(in_group.join(leader, ["n", "head"]).select("g", "node", "n"))
-    room = ROOM * max(1, bucket.count())
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    label: DataFrame | None = None
-    last = False
     for r in range(ROUNDS + 1):
-        pairs = _last_pairs(bucket, expand, label, percent) if last else _star_pairs(bucket, expand, label, r, percent)
+        pairs = _star_pairs(bucket, expand, label, r, percent) if r < ROUNDS else _last_pairs(bucket, expand, label, members, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         verified = materialise(_verify(texts, materialise(_alike(pairs, members, percent)), percent))
@@ -141,18 +140,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         tested = verified.select("u", "v") if tested is None else tested.unionByName(verified.select("u", "v"))
         label = materialise(components(links))
-        if last:
-            break
-        last = r == ROUNDS - 1 or _left(bucket, expand, label) <= room
     return _answer(members, label)
 
 
+def _band(percent: int):
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+
+
 def _star_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame | None, r: int, percent: int) -> DataFrame:
     """Each bucket's members against one pivot of it (another one each round), and each group's members against its leader."""
-    b = bucket.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    b = bucket.withColumn("band", _band(percent))
     if label is not None:
         b = _open_buckets(b, label)
-    pivot = F.min(F.struct(F.xxhash64(F.col("g"), F.lit(r)).alias("h"), F.col("g").alias("p"), F.col("n").alias("pn")))
+    pivot = F.min(F.struct(F.xxhash64(F.col("g"), F.col("t"), F.lit(r)).alias("h"), F.col("g").alias("p"), F.col("n").alias("pn")))
     same = b.withColumn("pivot", pivot.over(Window.partitionBy("t", "band")))
     # The next lower band has a pivot too: similar sets may lie on both sides of the border.
     lower = b.groupBy("t", (F.col("band") + 1).alias("band")).agg(pivot.alias("pivot"))
@@ -174,36 +174,75 @@ def _open_buckets(b: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _nodes_of(bucket: DataFrame, expand: DataFrame) -> DataFrame:
-    """Bucket entries per node: groups of one node stand for themselves."""
-    return bucket.join(expand.select("g", "node"), "g", "left").select("t", "n", "g", F.coalesce("node", "g").alias("node"))
-
-
-def _spread(bucket: DataFrame, expand: DataFrame, label: DataFrame) -> DataFrame:
-    """Open buckets with the components of their nodes, one row per (bucket, group, component)."""
-    d = _labelled(_nodes_of(bucket, expand), "node", label).groupBy("t", "n", "g", "label").agg(F.count("*").alias("size"))
-    part = Window.partitionBy("t")
-    return d.withColumn("lo", F.min("label").over(part)).withColumn("hi", F.max("label").over(part)).filter("lo <> hi").drop("lo", "hi")
-
-
-def _left(bucket: DataFrame, expand: DataFrame, label: DataFrame) -> int:
-    """Node pairs of different components that share a bucket, counted without making them."""
-    by_label = _spread(bucket, expand, label).groupBy("t", "label").agg(F.sum("size").alias("m"))
-    by_bucket = by_label.groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    return by_bucket.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0
-
-
-def _last_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """All node pairs of different components within a bucket or a group: group pairs first, then their members."""
-    s = materialise(_spread(bucket, expand, label))
-    a, b = (s.select("t", *(F.col(c).alias(c + k) for c in ("n", "g", "label"))) for k in "12")
-    group_pairs = a.join(b, "t").filter((F.col("label1") < F.col("label2")) & _fits(F.col("n1"), F.col("n2"), percent)).select("g1", "label1", "g2", "label2").distinct()
-    nodes = _labelled(_nodes_of(s.select("t", "n", "g").distinct(), expand).select("g", "node").distinct(), "node", label)
-    side = lambda k: nodes.select(*(F.col(c).alias(c + k) for c in ("g", "node", "label")))
-    pairs = group_pairs.join(side("1"), ["g1", "label1"]).join(side("2"), ["g2", "label2"]).select("node1", "node2")
-    own = _labelled(expand, "node", label)
-    x, y = (own.select("g", F.col("node").alias("node" + k), F.col("label").alias("label" + k)) for k in "12")
-    inside = x.join(y, "g").filter("label1 < label2").select("node1", "node2")
-    return pairs.unionByName(inside).select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
+    """Bucket entries per node: groups of one node stand for themselves; a group of several is a bucket of its own as well."""
+    d = bucket.join(expand.select("g", "node"), "g", "left").select("t", "n", "pos", F.coalesce("node", "g").alias("node"))
+    return d.unionByName(expand.select(F.xxhash64("g", F.lit("group")).alias("t"), "n", F.lit(0).alias("pos"), "node"))
+
+
+PAIR_SCHEMA = "u long, v long"
+
+
+def _last_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All node pairs of different components within a bucket that sizes, positions and parity words allow.
+
+    Rows of a bucket lie side by side in one task and are compared there by arrays, so pairs that cannot be similar are never rows.
+    A bucket of more than BLOCK rows is dealt out as pairs of blocks.
+    """
+    d = _labelled(_nodes_of(bucket, expand), "node", label).withColumn("band", _band(percent))
+    near = Window.partitionBy("t").orderBy("band").rangeBetween(-1, 1)
+    d = d.withColumn("lo", F.min("label").over(near)).withColumn("hi", F.max("label").over(near)).filter("lo <> hi")
+    d = d.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("t")) / BLOCK).cast("int")).select("t", "n", "pos", "node", "label", "blocks")
+    own = members.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
+    d = d.withColumn("a", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(own, "node")
+    d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
+    d = d.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "node").select("t", "x", "y", "a", "n", "pos", "node", "label", "parity")
+    out = pa_schema(PAIR_SCHEMA)
+    return d.mapInArrow(lambda batches: _within(batches, percent, out), PAIR_SCHEMA).distinct()
+
+
+def _within(batches, percent: int, out: pa.Schema):
+    """Pairs inside each run of equal (t, x, y); the last run of a batch waits for the next one."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        key = np.stack([table.column(c).to_numpy() for c in ("t", "x", "y")], 1)
+        begin = int(np.flatnonzero((key != key[-1]).any(1))[-1] + 1) if (key != key[-1]).any() else 0
+        rest = table.slice(begin)
+        yield _compare(table.slice(0, begin), key[:begin], percent, out)
+    if rest is not None:
+        yield _compare(rest, np.stack([rest.column(c).to_numpy() for c in ("t", "x", "y")], 1), percent, out)
+
+
+def _compare(table: pa.Table, key: np.ndarray, percent: int, out: pa.Schema) -> pa.RecordBatch:
+    rows = len(key)
+    if rows < 2:
+        return pa.RecordBatch.from_pydict({"u": [], "v": []}, schema=out)
+    a, n, pos, node, label = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "n", "pos", "node", "label"))
+    parity = _flat(table.column("parity")).view(np.uint64).reshape(rows, -1)  # bitwise_count takes absolute values of signed numbers
+    starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+    end = np.repeat(np.concatenate([starts[1:], [rows]]), np.diff(np.concatenate([starts, [rows]])))
+    u, v = [], []
+    for apart in range(1, int(np.diff(np.concatenate([starts, [rows]])).max())):
+        i = np.flatnonzero(np.arange(rows) + apart < end)
+        j = i + apart
+        both = n[i] + n[j]
+        least = percent * both  # (100 + percent) times the overlap that is needed
+        ok = (label[i] != label[j]) & ((key[i, 1] == key[i, 2]) | (a[i] != a[j]))
+        ok &= ((n[i] - pos[i]) * (100 + percent) >= least) & ((n[j] - pos[j]) * (100 + percent) >= least)
+        ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+        i, j = i[ok], j[ok]
+        if len(i):
+            differ = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
+            ok = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            u.append(np.minimum(node[i], node[j])[ok])
+            v.append(np.maximum(node[i], node[j])[ok])
+    pairs = np.unique(np.stack([np.concatenate([EMPTY, *u]), np.concatenate([EMPTY, *v])], 1), axis=0)
+    return pa.RecordBatch.from_pydict({"u": pairs[:, 0], "v": pairs[:, 1]}, schema=out)
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.asarray(c.flatten()) for c in column.chunks])
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
