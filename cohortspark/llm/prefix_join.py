@@ -28,7 +28,7 @@ from .components import components
 K, PERCENT = 5, 80
 HEAVY = 1 << 17  # frequent shingles whose counts order them last: a bound on what is sent to tasks
 LOCAL, COUNT_BYTES = 2, 16 << 20  # a slice of so many bytes reports a shingle that so many different sets of it hold
-BLOOM_LOG, PARITY_LOG = 24, 11
+BLOOM_LOG, PARITY_LOG, FOLDED = 24, 11, 8
 ROUNDS = 1  # rounds with pivots before the last one, which takes every pair that is left
 BLOCK = 2048  # rows of a bucket that one task compares with each other or with another block
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -192,7 +192,9 @@ def _last_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame, members:
     near = Window.partitionBy("t").orderBy("band").rangeBetween(-1, 1)
     d = d.withColumn("lo", F.min("label").over(near)).withColumn("hi", F.max("label").over(near)).filter("lo <> hi")
     d = d.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("t")) / BLOCK).cast("int")).select("t", "n", "pos", "node", "label", "blocks")
-    own = members.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
+    # Words of the parity bits laid over each other: fewer bits give a weaker bound, but still an exact one.
+    fold = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.sequence(i, F.lit((1 << PARITY_LOG) // 64 - 1), F.lit(FOLDED)), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(F.col("parity"), j))))
+    own = members.filter("n > 0").groupBy("node").agg(F.first(fold).alias("parity"))
     d = d.withColumn("a", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(own, "node")
     d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
     d = d.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "node").select("t", "x", "y", "a", "n", "pos", "node", "label", "parity")
