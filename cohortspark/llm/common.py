@@ -19,9 +19,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
     Only where that setting is absent (tests, a laptop) a temporary folder is made. Spark removes the
-    files once nothing refers to them.
+    files once nothing refers to them; the driver's garbage is collected before each step, for else the
+    shuffle files of all finished steps stay on the executors' disks.
     """
     scratch_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
