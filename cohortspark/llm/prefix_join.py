@@ -27,6 +27,7 @@ from .components import components
 
 K, PERCENT = 5, 80
 HEAVY = 1 << 17  # frequent shingles whose counts order them last: a bound on what is sent to tasks
+STEPS = 8  # of the histogram of counts, for each power of two
 LOCAL, COUNT_BYTES = 2, 16 << 20  # a slice of so many bytes reports a shingle that so many different sets of it hold
 BLOOM_LOG, PARITY_LOG, FOLDED = 24, 11, 8
 ROUNDS = 1  # rounds with pivots before the last one, which takes every pair that is left
@@ -66,7 +67,10 @@ def _node(s: np.ndarray) -> int:
 
 
 def _frequent(docs: DataFrame) -> list[tuple[int, int]]:
-    """The at most HEAVY shingles with the highest counts among those that slices report."""
+    """The at most HEAVY shingles with the highest counts among those that slices report.
+
+    A histogram of the counts (a bounded number of steps) gives the least count to fetch, so that tasks send HEAVY rows in all, not each.
+    """
 
     out = pa_schema("t long, n long")
 
@@ -79,8 +83,15 @@ def _frequent(docs: DataFrame) -> list[tuple[int, int]]:
                 many = n >= LOCAL
                 yield pa.RecordBatch.from_pydict({"t": values[many], "n": n[many]}, schema=out)
 
-    counts = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "t").limit(HEAVY).collect()]
+    counts = materialise(docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")))
+    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
+    least, fetched = None, 0
+    for at, rows in sorted(counts.groupBy(step.alias("at")).count().collect(), reverse=True):
+        fetched += rows
+        if fetched > HEAVY:
+            break
+        least = at
+    return [] if least is None else [(r[0], r[1]) for r in counts.filter(step >= least).collect()]
 
 
 class _Order:
