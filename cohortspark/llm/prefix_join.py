@@ -146,7 +146,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = _star_pairs(bucket, expand, label, r, percent) if r < ROUNDS else _last_pairs(bucket, expand, label, members, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        verified = materialise(_verify(texts, materialise(_alike(pairs, members, percent)), percent))
+        alike = _alike(pairs, members, percent)
+        alike = materialise(_hooks(alike) if r < ROUNDS else alike.select("u", "v"))
+        verified = materialise(_verify(texts, alike, percent))
         new = verified.filter("linked").select("u", "v")
         links = new if links is None else links.unionByName(new)
         tested = verified.select("u", "v") if tested is None else tested.unionByName(verified.select("u", "v"))
@@ -163,15 +165,23 @@ def _star_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame | None, r
     b = bucket.withColumn("band", _band(percent))
     if label is not None:
         b = _open_buckets(b, label)
-    pivot = F.min(F.struct(F.xxhash64(F.col("g"), F.col("t"), F.lit(r)).alias("h"), F.col("g").alias("p"), F.col("n").alias("pn")))
-    same = b.withColumn("pivot", pivot.over(Window.partitionBy("t", "band")))
     # The next lower band has a pivot too: similar sets may lie on both sides of the border.
-    lower = b.groupBy("t", (F.col("band") + 1).alias("band")).agg(pivot.alias("pivot"))
-    over = b.join(lower, ["t", "band"])
-    pairs = same.select("g", "n", "pivot").unionByName(over.select("g", "n", "pivot")).filter(_fits(F.col("n"), F.col("pivot.pn"), percent))
-    pairs = pairs.select(F.least("g", "pivot.p").alias("u"), F.greatest("g", "pivot.p").alias("v"))
-    inside = expand.select(F.least("g", "node").alias("u"), F.greatest("g", "node").alias("v"))
-    return pairs.unionByName(inside).filter("u <> v").distinct()
+    near = Window.partitionBy("t").orderBy("band")
+    key = F.struct(F.xxhash64(F.col("g"), F.col("t"), F.lit(r)).alias("h"), F.col("g").alias("p"), F.col("n").alias("pn"))
+    pivots = F.array(F.min(key).over(near.rangeBetween(0, 0)), F.min(key).over(near.rangeBetween(-1, -1)))
+    b = b.select("g", "n", pivots.alias("pivots")).select("g", "n", F.explode("pivots").alias("pivot")).filter(F.col("pivot").isNotNull() & _fits(F.col("n"), F.col("pivot.pn"), percent))
+    inside = expand.select(F.col("node").alias("u"), F.col("g").alias("v"))
+    return b.select(F.col("g").alias("u"), F.col("pivot.p").alias("v")).unionByName(inside).filter("u <> v").distinct()
+
+
+def _hooks(alike: DataFrame) -> DataFrame:
+    """Of each member's pivots the closest and the one with the smallest hash: whole sets are compared for these only.
+
+    Members of one component mostly agree on the second one. What stays apart meets again in the last round, which takes every pair.
+    """
+    kept = alike.groupBy("u").agg(F.min(F.struct("apart", "v"))["v"].alias("a"), F.min(F.struct(F.xxhash64("v"), "v"))["v"].alias("b"))
+    d = kept.select("u", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    return d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _labelled(df: DataFrame, column: str, label: DataFrame) -> DataFrame:
@@ -184,10 +194,13 @@ def _open_buckets(b: DataFrame, label: DataFrame) -> DataFrame:
     return _labelled(b, "g", label).withColumn("lo", F.min("label").over(part)).withColumn("hi", F.max("label").over(part)).filter("lo <> hi").drop("lo", "hi", "label")
 
 
-def _nodes_of(bucket: DataFrame, expand: DataFrame) -> DataFrame:
-    """Bucket entries per node: groups of one node stand for themselves; a group of several is a bucket of its own as well."""
-    d = bucket.join(expand.select("g", "node"), "g", "left").select("t", "n", "pos", F.coalesce("node", "g").alias("node"))
-    return d.unionByName(expand.select(F.xxhash64("g", F.lit("group")).alias("t"), "n", F.lit(0).alias("pos"), "node"))
+def _nodes_of(bucket: DataFrame, expand: DataFrame, label: DataFrame) -> DataFrame:
+    """Bucket entries per node, with labels: groups of one node stand for themselves; a group of several is a bucket of its own as well."""
+    several = materialise(_labelled(expand, "node", label).select("g", "n", "node", "label"))
+    one = label.join(several, "node", "left_anti").select(F.col("node").alias("g"), "node", "label")
+    known = several.select("g", "node", "label").unionByName(one)
+    d = bucket.join(known, "g", "left").select("t", "n", "pos", F.coalesce("node", "g").alias("node"), F.coalesce("label", "g").alias("label"))
+    return d.unionByName(several.select(F.xxhash64("g", F.lit("group")).alias("t"), "n", F.lit(0).alias("pos"), "node", "label"))
 
 
 PAIR_SCHEMA = "u long, v long"
@@ -199,7 +212,7 @@ def _last_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame, members:
     Rows of a bucket lie side by side in one task and are compared there by arrays, so pairs that cannot be similar are never rows.
     A bucket of more than BLOCK rows is dealt out as pairs of blocks.
     """
-    d = _labelled(_nodes_of(bucket, expand), "node", label).withColumn("band", _band(percent))
+    d = _nodes_of(bucket, expand, label).withColumn("band", _band(percent))
     near = Window.partitionBy("t").orderBy("band").rangeBetween(-1, 1)
     d = d.withColumn("lo", F.min("label").over(near)).withColumn("hi", F.max("label").over(near)).filter("lo <> hi")
     d = d.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("t")) / BLOCK).cast("int")).select("t", "n", "pos", "node", "label", "blocks")
@@ -265,13 +278,13 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs that may still reach the similarity, by sizes and parity words; an exact bound, so none that does is lost."""
+    """u, v, apart: the pairs that may still reach the similarity, by sizes and parity words; an exact bound, so none that does is lost."""
     own = members.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("b"))
     side = lambda k: own.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("b").alias("b" + k))
     apart = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     # J >= t means that the sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
-    d = pairs.join(side("u"), "u").join(side("v"), "v").filter(_fits(F.col("nu"), F.col("nv"), percent))
-    return d.filter(apart * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)).select("u", "v")
+    d = pairs.join(side("u"), "u").join(side("v"), "v").filter(_fits(F.col("nu"), F.col("nv"), percent)).withColumn("apart", apart)
+    return d.filter(F.col("apart") * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)).select("u", "v", "apart")
 
 
 def _bit(x: np.ndarray) -> np.ndarray:
