@@ -217,8 +217,7 @@ def _last_pairs(bucket: DataFrame, expand: DataFrame, label: DataFrame, members:
     d = d.withColumn("lo", F.min("label").over(near)).withColumn("hi", F.max("label").over(near)).filter("lo <> hi")
     d = d.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("t")) / BLOCK).cast("int")).select("t", "n", "pos", "node", "label", "blocks")
     # Words of the parity bits laid over each other: fewer bits give a weaker bound, but still an exact one.
-    fold = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.sequence(i, F.lit((1 << PARITY_LOG) // 64 - 1), F.lit(FOLDED)), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(F.col("parity"), j))))
-    own = members.filter("n > 0").groupBy("node").agg(F.first(fold).alias("parity"))
+    own = members.filter("n > 0").groupBy("node").agg(F.first(_folded(F.col("parity"), F.lit(FOLDED))).alias("parity"))
     d = d.withColumn("a", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(own, "node")
     d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
     d = d.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "node").select("t", "x", "y", "a", "n", "pos", "node", "label", "parity")
@@ -272,16 +271,28 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """Bit i tells whether an odd number of shingles falls on place i. Two such words of bits differ in no more places than the sets do in shingles."""
-    odd = np.bincount(s.view(np.uint64) >> np.uint64(64 - PARITY_LOG), minlength=1 << PARITY_LOG) & 1
+    """Bit i tells whether an odd number of shingles falls on place i. Two such words of bits differ in no more places than the sets do in shingles.
+
+    Long sets have more bits, two to four for each shingle, for in fewer all places are as often odd as even. Places are the low bits of the
+    hash, so laying halves over each other gives what a shorter set has.
+    """
+    places = 1 << max(PARITY_LOG, (len(s) - 1).bit_length() + 1 if len(s) else 0)
+    odd = np.bincount(s.view(np.uint64) & np.uint64(places - 1), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _folded(words, n):
+    """Parity words laid over each other until ``n`` are left."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.sequence(i, F.size(words) - 1, n), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(words, j))))
+
+
 def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """u, v, apart: the pairs that may still reach the similarity, by sizes and parity words; an exact bound, so none that does is lost."""
     own = members.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("b"))
     side = lambda k: own.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("b").alias("b" + k))
-    apart = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    n = F.least(F.size("bu"), F.size("bv"))
+    bu, bv = (F.when(F.size(b) == n, F.col(b)).otherwise(_folded(F.col(b), n)) for b in ("bu", "bv"))
+    apart = F.aggregate(F.zip_with(bu, bv, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     # J >= t means that the sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
     d = pairs.join(side("u"), "u").join(side("v"), "v").filter(_fits(F.col("nu"), F.col("nv"), percent)).withColumn("apart", apart)
     return d.filter(F.col("apart") * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)).select("u", "v", "apart")

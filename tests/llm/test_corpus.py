@@ -205,6 +205,17 @@ def test_near_duplicates_hot_group(spark):
     assert bag(got.collect()) == bag(brute_components(rows))
 
 
+def test_near_duplicates_long_sets(spark):
+    """Sets on both sides of a change of parity size, just above and just below the similarity."""
+    rows = []
+    for g, n in enumerate((900, 1000, 1150, 2040, 5000)):
+        base = [f"g{g}w{i}" for i in range(n)]
+        rows += [(10 * g + 7, " ".join(base)), (10 * g + 3, " ".join(base[: int(n * 0.81)])), (10 * g + 5, " ".join([*base, *(f"z{i}" for i in range(int(n * 0.24)))]))]
+        rows += [(10 * g + 1, " ".join(base[: int(n * 0.79)])), (10 * g + 2, " ".join(base[::-1])), (10 * g + 9, " ".join(base[: n // 2] + [f"q{g}{i}" for i in range(n // 2)]))]
+    got = prefix_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(got.collect()) == bag(brute_components(rows))
+
+
 def test_line_dedup(docs, rows, empty):
     units = sorted({(-(1 << 63) if d is None else d, t) for d, t in rows if t is not None}, key=lambda x: (x[0], line_runs.xxhash.xxh3_64_intdigest(x[1].encode())))
     lines = [(u, i, line) for u, (_, t) in enumerate(units) for i, line in enumerate(t.split("\n"))]
