@@ -117,7 +117,12 @@ def _fits(a, b, percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
-    texts = docs.select("doc_id", "text")
+    return _answer(*_groups(docs.select("doc_id", "text"), percent))
+
+
+def _groups(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (a row for every row of ``texts``; its column ``row``, if there is one, is kept) and the labels of linked nodes."""
+    own = ["row"] if "row" in texts.columns else []
     order = _Order(_frequent(texts))
 
     def nodes():
@@ -126,11 +131,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         def f(b: pa.RecordBatch) -> dict:
             sets = [shingles(t, hashes) for t in texts_of(b)]
             heads = [order.prefix(s, percent) for s in sets]
-            return {"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) for s in sets], "head": [_node(h) for h in heads], "prefix": heads, "parity": [_parity(s) for s in sets]}
+            return {"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) for s in sets], "head": [_node(h) for h in heads], "prefix": heads, "parity": [_parity(s) for s in sets]} | {c: b.column(c) for c in own}
 
         return f
 
-    members = materialise(map_text(texts, None, "doc_id long, n int, node long, head long, prefix array<long>, parity array<long>", nodes))
+    members = materialise(map_text(texts, None, "doc_id long, n int, node long, head long, prefix array<long>, parity array<long>" + "".join(f", {c} long" for c in own), nodes))
     # Groups: same size, same prefix. The leader stands for its group in the buckets.
     groups = members.filter("n > 0").groupBy("n", "head").agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"))
     entries = groups.select("g", "n", F.posexplode("prefix").alias("pos", "t"))
@@ -153,7 +158,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         tested = verified.select("u", "v") if tested is None else tested.unionByName(verified.select("u", "v"))
         label = materialise(components(links))
-    return _answer(members, label)
+    return members, label
 
 
 def _band(percent: int):
@@ -349,7 +354,20 @@ def _answer(members: DataFrame, label: DataFrame) -> DataFrame:
     return d.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _row_hash(docs: DataFrame):
+    """Hash of a whole row. Nulls are skipped by the hash, so their places are hashed as well; maps cannot be hashed."""
+    names = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*(docs[c] for c in names), *(docs[c].isNull() for c in names))
+
+
 def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of every component, all columns kept; of repeated rows of that id, one stays."""
-    keep = near_duplicates(docs, percent).filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """One row of every component, all columns kept: the one with the smallest id (null last), then with the smallest hash of the row.
+
+    A row is known by that hash, so repeated ids and null ids are told apart and equal rows are one. A wordless row is a component of its own.
+    """
+    members, label = _groups(docs.select("doc_id", "text", _row_hash(docs).alias("row")), percent)
+    named = _labelled(members.filter("n > 0").select("doc_id", "node", "row"), "node", label)
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("_row"))
+    keep = first.select("_row").unionByName(members.filter("n = 0").select(F.col("row").alias("_row"))).distinct()
+    # Equal rows become one before the join: a row that is repeated often is not one large key there.
+    return docs.withColumn("_row", _row_hash(docs)).dropDuplicates(["_row"]).join(keep, "_row", "left_semi").drop("_row")

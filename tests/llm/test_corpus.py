@@ -197,6 +197,35 @@ def test_near_duplicates(docs, rows, empty):
     assert prefix_join.one_per_group(docs).columns == docs.columns
 
 
+def test_one_per_group_rows(spark):
+    """The pipeline's stage against brute force over rows: repeated rows, one id for two texts, groups of null ids only."""
+    import corpus_pipeline
+
+    a, b, c, e = (" ".join(f"{g}{i}" for i in range(60)) for g in "abce")
+    rows = [(5, a), (5, a), (7, a + " more"), (None, a)]  # repeated smallest id
+    rows += [(5, b), (6, b), (8, b + " tail")]  # the id 5 once more, for another text
+    rows += [(None, c)] * 5 + [(None, c + f" end{i}") for i in range(4)]  # null ids only
+    rows += [(3, e), (4, e), (4, "alone " + b[:50]), (20, ""), (20, ""), (21, None), (None, " "), (None, None)]
+    shingled = [set(zip(*(w[i:] for i in range(5)))) for _, t in rows for w in [(t or "").split()]]
+    group = list(range(len(rows)))
+    for i, s in enumerate(shingled):
+        for j, other in enumerate(shingled[:i]):
+            if s and other and 100 * len(s & other) >= 80 * len(s | other):
+                group = [group[j] if x == group[i] else x for x in group]
+    words = {g: [r for r, x in zip(rows, group) if x == g] for g in set(group)}
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string").repartition(3)
+    out = corpus_pipeline.ngram_jaccard(spark, docs, "")
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns
+    worded = [r for r in got if (r[1] or "").strip()]
+    assert len(worded) == sum(bool((own[0][1] or "").strip()) for own in words.values())
+    for own in words.values():
+        if (own[0][1] or "").strip():
+            stays = [r for r in worded if r in own]
+            assert len(stays) == 1 and stays[0][0] == min((d for d, _ in own if d is not None), default=None)
+    assert bag(r for r in got if not (r[1] or "").strip()) == bag([(20, ""), (21, None), (None, " "), (None, None)])
+
+
 def test_near_duplicates_hot_group(spark):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:j] + [f"x{i}"] + base[j + 1 :])) for i in range(60) for j in [5 + i % 50]]
