@@ -1,10 +1,10 @@
 """Line dedup: repeated runs of lines found by distributed prefix doubling over line numbers.
 
 Every line is a number (64-bit hash). Doubling names the block of 2^k lines that begins at each line by the pair of names of its halves, so equal names
-mean equal blocks; suffixes whose block occurs once drop out, as in the construction of a suffix array with discarding. The interval of suffixes that
-share a name is one with a longest common prefix of at least 2^k lines; its smallest position is the first copy. Blocks whose first copy lies
-earlier are chained along one source (same distance to that copy, or to the copy before in the same document) to maximal runs, and runs of at least ``min_words`` words are deleted;
-the first copy stays. Blocks of the largest 2^k within a run overlap and cover it, so lengths that are no power of two are covered.
+mean equal blocks; suffixes whose block occurs once drop out, as in the construction of a suffix array with discarding. Going down from the largest blocks, every
+position is then extended to its longest match with any earlier position: a group holds positions with an equal prefix, and each step adds the next smaller
+block. Positions that share that block with an earlier one of the group move on to a longer prefix. The first position of each such class stays: it stands for its class, whose
+matches with the others of the group are as long as its own. Matches of at least ``min_words`` words are deleted; the first copy stays.
 
 Positions are ordered by (doc_id, text hash, line). Defined cases: null text has no lines and is unchanged; repeated rows with equal id and text are
 one document and stay alike; a document of which nothing is left gets the text ''; extra columns are kept.
@@ -41,32 +41,66 @@ def _lines(batch: pa.RecordBatch) -> dict:
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """k (doc_id, null as the smallest long), u, runs: array<struct<s,e>> of the lines to delete (e exclusive)."""
+    levels = _levels(docs)
+    found = _longest_matches(levels).filter(F.col("c1") - F.col("c0") >= min_words).select(*DOC, F.col("pos").alias("s"), (F.col("pos") + F.col("n")).alias("e"))
+    chain = Window.partitionBy(*DOC).orderBy("s", "e")
+    before = F.max("e").over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("before", before).withColumn("run", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(chain))
+    runs = runs.groupBy(*DOC, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy(*DOC).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+
+
+def _levels(docs: DataFrame) -> list[DataFrame]:
+    """For each r the blocks of 2^r lines that occur more than once: k, u, pos, name, c0, c1 (words before it and up to its end), first copy, copies."""
     keyed = docs.select(_key().alias("k"), "text").filter("text IS NOT NULL")
-    here = F.struct(*DOC, "pos")
     level = map_text(keyed, _lines, "k long, u long, pos int, name long, c0 long, c1 long")
-    found: list[DataFrame] = []
+    levels: list[DataFrame] = []
     for r in range(MOST_ROUNDS):
-        first = level.groupBy("name").agg(F.min(here).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-        level = materialise(level.join(first, "name"))
-        block = (*DOC, F.col("pos").alias("s"), (F.col("pos") + (1 << r)).alias("e"), "c0", "c1")
-        found.append(level.filter(F.col("first") < here).select(*block, "first"))
-        # Within a document the copy before gives periodic runs one distance.
-        own = level.withColumn("prev", F.lag("pos").over(Window.partitionBy(*DOC, "name").orderBy("pos"))).filter("prev < pos")
-        found.append(own.select(*block, F.struct(*DOC, F.col("prev").alias("pos")).alias("first")))
+        first = level.groupBy("name").agg(F.min(_here()).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+        level = level.join(first, "name")
+        level = materialise(level if r else level.distinct())  # lines of repeated rows once
+        levels.append(level)
         if level.isEmpty():
             break
         at = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(1 << r, 1 << r)
         level = level.withColumn("next", F.max(F.struct("name", "c1")).over(at)).filter("next IS NOT NULL")
         level = level.select(*DOC, "pos", F.xxhash64("name", "next.name", F.lit(r)).alias("name"), "c0", F.col("next.c1").alias("c1"))
-    blocks = found[0]
-    for f in found[1:]:
-        blocks = blocks.unionByName(f)
-    blocks = blocks.select(*DOC, "s", "e", "c0", "c1", F.col("first.k").alias("sk"), F.col("first.u").alias("su"), (F.col("s") - F.col("first.pos")).alias("shift"))
-    chain = Window.partitionBy(*DOC, "sk", "su", "shift").orderBy("s", "e")
-    before = F.max("e").over(chain.rowsBetween(Window.unboundedPreceding, -1))
-    runs = blocks.withColumn("before", before).withColumn("run", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(chain))
-    runs = runs.groupBy(*DOC, "sk", "su", "shift", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), (F.max("c1") - F.min("c0")).alias("words")).filter(F.col("words") >= min_words)
-    return runs.groupBy(*DOC).agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("runs"))
+    return levels
+
+
+def _here():
+    return F.struct(*DOC, "pos")
+
+
+def _longest_matches(levels: list[DataFrame]) -> DataFrame:
+    """k, u, pos, n, c0, c1: the n lines from each position that some earlier position repeats, as many as possible.
+
+    Rows of a group g have n equal lines. ``searching`` rows look for a longer match; each group's first position is there for the others only.
+    ``most`` bounds the size of such a group, to drop it when nobody else is left.
+    """
+    state: DataFrame | None = None
+    cols = (*DOC, "pos", "g", "n", "c0", "c1", "searching", "most")
+    for r in range(len(levels) - 1, -1, -1):
+        own = levels[r]
+        fresh = own if r + 1 == len(levels) else own.join(levels[r + 1].filter(F.col("first") < _here()).select(*DOC, "pos"), [*DOC, "pos"], "left_anti")
+        fresh = fresh.select(*DOC, "pos", F.xxhash64(F.lit(r), "name").alias("g"), F.lit(1 << r).alias("n"), "c0", "c1", (F.col("first") < _here()).alias("searching"), F.col("copies").alias("most"))
+        state = materialise(fresh if state is None else fresh.unionByName(_extended(state, own, r).select(*cols)))
+    return state.filter("searching")
+
+
+def _extended(state: DataFrame, level: DataFrame, r: int) -> DataFrame:
+    block = level.select(*DOC, F.col("pos").alias("at"), "name", F.col("c1").alias("end"))
+    d = state.withColumn("at", F.col("pos") + F.col("n")).join(block, [*DOC, "at"], "left").withColumn("class", F.when(F.col("name").isNotNull(), F.xxhash64("g", "name", F.lit(r))))
+    first = d.filter("class IS NOT NULL").groupBy("class").agg(F.min(_here()).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    d = d.join(first, "class", "left")
+    leads = F.coalesce(F.col("first") == _here(), F.lit(False))
+    moves = F.col("first").isNotNull() & ~leads
+    size = F.coalesce("size", F.lit(1).cast("long"))
+    # As it stays, if it does, and as it is with the block added, if its class has others.
+    stay = F.struct("g", "n", "c1", "searching", (F.col("most") - size + 1).alias("most"))
+    longer = F.struct(F.col("class").alias("g"), (F.col("n") + (1 << r)).alias("n"), F.col("end").alias("c1"), moves.alias("searching"), size.alias("most"))
+    d = d.select(*DOC, "pos", "c0", F.explode(F.array(F.when(~moves, stay), F.when(F.col("first").isNotNull(), longer))).alias("x")).filter("x IS NOT NULL")
+    return d.select(*DOC, "pos", "c0", "x.*").filter("searching OR most > 1")
 
 
 def _key():

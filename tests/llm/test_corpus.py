@@ -270,6 +270,40 @@ def test_line_dedup(docs, rows, empty):
     assert line_runs.dedup_lines(empty).count() == 0
 
 
+def kept_lines(rows):
+    """Brute force: what is left of every row after the longest earlier copy at each line, if it has enough words, is deleted."""
+    place = lambda x: (-(1 << 63) if x[0] is None else x[0], line_runs.xxhash.xxh3_64_intdigest(x[1].encode()))
+    units = sorted({x for x in rows if x[1] is not None}, key=place)
+    texts = [t.split("\n") for _, t in units]
+    at, gone = defaultdict(list), set()
+    for u, lines in enumerate(texts):
+        for i, line in enumerate(lines):
+            for v, j in at[line]:
+                n = 0
+                while i + n < len(lines) and j + n < len(texts[v]) and lines[i + n] == texts[v][j + n]:
+                    n += 1
+                if len(" ".join(lines[i : i + n]).split()) >= line_runs.MIN_WORDS:
+                    gone |= {(u, i + k) for k in range(n)}
+            at[line].append((u, i))
+    number = {x: u for u, x in enumerate(units)}
+    return bag((d, None if t is None else "\n".join(line for i, line in enumerate(t.split("\n")) if (number[d, t], i) not in gone)) for d, t in rows)
+
+
+def test_line_dedup_runs_whose_parts_have_other_copies(spark):
+    import random
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(7)) for x in "abc")
+    rows = [(1, f"{a}\n{b}"), (2, f"two\n{a}\n{b}\n{c}\nend two"), (3, f"three\n{a}\n{b}\n{c}\nend three")]
+    p, q, r = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 40), ("q", 5), ("r", 14)))
+    rows += [(4, f"{p}\n{q}"), (5, f"five\n{p}\n{q}\n{r}\nend"), (6, f"six\n{p}\n{q}\n{r}\nsix end")]
+    draw = random.Random(1)
+    rows += [(100 + i, "\n".join(draw.choice(("x y z", "u v", "w w w w", "", "one two three four five")) for _ in range(draw.randrange(1, 60)))) for i in range(40)]
+    got = line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    left = {d: t for d, t, _ in got.collect()}
+    assert (left[3], left[6]) == ("three\nend three", "six\nsix end")
+    assert bag(got.select("doc_id", "text").collect()) == kept_lines(rows)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
