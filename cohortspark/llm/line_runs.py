@@ -26,34 +26,35 @@ DOC = ("k", "u")
 
 
 def _lines(batch: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {c: [] for c in ("k", "u", "pos", "name", "c0", "c1")}
-    for k, text in zip(batch.column("k").to_pylist(), texts_of(batch)):
+    out: dict[str, list] = {c: [] for c in ("k", "u", "v", "pos", "name", "c0", "c1")}
+    for k, v, text in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), texts_of(batch)):
         raw = text.encode()
         u = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
         c = 0
         for pos, line in enumerate(raw.split(b"\n")):
             n = len(line.split())
-            for name, x in (("k", k), ("u", u), ("pos", pos), ("name", xxhash.xxh3_64_intdigest(line) - (1 << 63)), ("c0", c), ("c1", c + n)):
+            for name, x in (("k", k), ("u", u), ("v", v), ("pos", pos), ("name", xxhash.xxh3_64_intdigest(line) - (1 << 63)), ("c0", c), ("c1", c + n)):
                 out[name].append(x)
             c += n
     return out
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """k (doc_id, null as the smallest long), u, runs: array<struct<s,e>> of the lines to delete (e exclusive)."""
+    """k (doc_id, null as the smallest long), v (hash of the text, as ``_text_hash``), runs: array<struct<s,e>> of the lines to delete (e exclusive)."""
     levels = _levels(docs)
     found = _longest_matches(levels).filter(F.col("c1") - F.col("c0") >= min_words).select(*DOC, F.col("pos").alias("s"), (F.col("pos") + F.col("n")).alias("e"))
     chain = Window.partitionBy(*DOC).orderBy("s", "e")
     before = F.max("e").over(chain.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("before", before).withColumn("run", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(chain))
     runs = runs.groupBy(*DOC, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return runs.groupBy(*DOC).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    runs = runs.groupBy(*DOC).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    return runs.join(levels[0].groupBy(*DOC).agg(F.min("v").alias("v")), list(DOC)).select("k", "v", "runs")
 
 
 def _levels(docs: DataFrame) -> list[DataFrame]:
     """For each r the blocks of 2^r lines that occur more than once: k, u, pos, name, c0, c1 (words before it and up to its end), first copy, copies."""
-    keyed = docs.select(_key().alias("k"), "text").filter("text IS NOT NULL")
-    level = map_text(keyed, _lines, "k long, u long, pos int, name long, c0 long, c1 long")
+    keyed = docs.select(_key().alias("k"), _text_hash().alias("v"), "text").filter("text IS NOT NULL")
+    level = map_text(keyed, _lines, "k long, u long, v long, pos int, name long, c0 long, c1 long")
     levels: list[DataFrame] = []
     for r in range(MOST_ROUNDS):
         first = level.groupBy("name").agg(F.min(_here()).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
@@ -107,6 +108,10 @@ def _key():
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
+def _text_hash():
+    return F.xxhash64("text")
+
+
 def _rewrite(batches):
     for b in batches:
         names = [n for n in b.schema.names if n != "_runs"]
@@ -128,31 +133,12 @@ def _rewrite(batches):
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with later copies deleted from ``text`` (``n_chars`` follows, if it is there), and n_removed lines."""
-    runs = materialise(repeated_runs(docs, min_words))
-    d = docs.withColumn("_k", _key()).join(_by_id(runs), "_k", "left")
-    return d.mapInArrow(_pick, _with_removed(docs))
-
-
-def _by_id(runs: DataFrame) -> DataFrame:
-    """One row per id: its texts are few (several only when ids repeat)."""
-    return runs.groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("u", "runs")).alias("_by"))
+    runs = materialise(repeated_runs(docs, min_words)).select(F.col("k").alias("_k"), F.col("v").alias("_v"), F.col("runs").alias("_runs"))
+    d = docs.withColumn("_k", _key()).withColumn("_v", _text_hash()).join(runs, ["_k", "_v"], "left").drop("_k", "_v")
+    return d.mapInArrow(_rewrite, _with_removed(docs))
 
 
 def _with_removed(docs: DataFrame):
     from pyspark.sql.types import LongType, StructField, StructType
 
     return StructType([*docs.schema.fields, StructField("n_removed", LongType())])
-
-
-def _pick(batches):
-    """Choose the runs of the row's own text, then delete them."""
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    for b in batches:
-        own = []
-        for t, by in zip(b.column("text").to_pylist(), b.column("_by").to_pylist()):
-            u = xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) if t is not None and by else None
-            own.append(next((x["runs"] for x in by or () if x["u"] == u), None))
-        cols = {n: b.column(n) for n in b.schema.names if n not in ("_k", "_by")}
-        fields = [f for f in b.schema if f.name in cols]
-        cols["_runs"] = pa.array(own, kind)
-        yield from _rewrite([pa.RecordBatch.from_pydict(cols, schema=pa.schema([*fields, pa.field("_runs", kind)]))])

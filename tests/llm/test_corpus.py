@@ -304,6 +304,17 @@ def test_line_dedup_runs_whose_parts_have_other_copies(spark):
     assert bag(got.select("doc_id", "text").collect()) == kept_lines(rows)
 
 
+def test_line_dedup_runs_go_to_their_own_rows(spark):
+    """Null and repeated ids: a row receives the runs of its own text only."""
+    run = " ".join(f"w{i}" for i in range(25))
+    rows = [(None, f"{i}\n{run}\n{i}{i}") for i in range(40)] + [(7, f"s{i}\n{run}") for i in range(40)] + [(None, f"0\n{run}\n00"), (7, None), (7, "")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    runs = line_runs.repeated_runs(docs)
+    assert runs.count() == 79 and runs.filter("size(runs) <> 1").count() == 0
+    assert runs.select("k", "v").distinct().count() == 79 and "collect_list" not in line_runs.dedup_lines(docs)._jdf.queryExecution().toString()
+    assert bag(line_runs.dedup_lines(docs).select("doc_id", "text").collect()) == kept_lines(rows)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
