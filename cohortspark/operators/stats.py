@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import days_between, null_safe
+from ..scratch import materialise
 from .shape import poisson_weights, running_totals, to_long
 
 
@@ -256,15 +257,29 @@ def decision_curve(df: DataFrame, y: str, p: str, thresholds: Sequence[float]) -
     return g.select("threshold", "flagged", "tp", "fp", (F.col("tp") / F.col("n") - F.col("fp") / F.col("n") * odds).alias("net_benefit"), (F.col("prevalence") - (1 - F.col("prevalence")) * odds).alias("treat_all"))
 
 
-def c_index(df: DataFrame, time: str, event: str, risk: str, key: str, sample: int = 2000, seed: int = 0) -> DataFrame:
-    """Harrell's C over all pairs of a hash sample of at most ``sample`` rows (a parameter of the measure); ties of risk count one half."""
-    from .shape import capped_sample
-
-    d = capped_sample(df.select(key, time, event, risk), key, sample, seed)
-    a, b = (d.select(*(F.col(c).alias(f"{c}_{k}") for c in (time, event, risk))) for k in "ab")
-    j = a.join(b, (F.col(f"{event}_a") == 1) & (F.col(f"{time}_a") < F.col(f"{time}_b")))
-    won = F.when(F.col(f"{risk}_a") > F.col(f"{risk}_b"), 1.0).when(F.col(f"{risk}_a") == F.col(f"{risk}_b"), 0.5).otherwise(0.0)
-    return j.agg(F.avg(won).alias("c_index"))
+def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
+    """Harrell's C over all pairs of an event and a later time; ties of risk count one half, pairs with a NULL risk count as lost.
+
+    Dyadic blocks of risk ranks: two ranks are the two halves of one block at exactly one level. There, events of the upper half are
+    counted before the rows of the lower half by running totals over time, so no pair is ever a row.
+    """
+    cells = df.filter(F.col(time).isNotNull()).groupBy(F.col(time).alias("t"), F.col(risk).alias("v")).agg(F.count("*").alias("n"), F.count_if(F.col(event) == 1).alias("e"))
+    ranks = running_totals(cells.filter("v IS NOT NULL").select("v").distinct().withColumn("one", F.lit(1)), ["v"], ["one"]).select("v", F.col("one_before").alias("r"), F.col("one_total").alias("ranks"))
+    ranked = materialise(cells.join(ranks, "v", "left").select("t", "n", "e", "r", "ranks"))
+    bits = int(ranked.agg(F.max("ranks")).first()[0] or 1).bit_length()
+    level = F.col("level")
+    upper = F.expr("shiftright(r, level) & 1") == 1
+    zero = F.lit(0).cast("long")
+    # Level -2: all pairs, -1: ties; from 0 the halves of blocks of 2^(level + 1) ranks.
+    d = ranked.withColumn("level", F.explode(F.when(F.col("r").isNull(), F.array(F.lit(-2))).otherwise(F.sequence(F.lit(-2), F.lit(bits - 1)))))
+    block = F.when(level == -2, zero).when(level == -1, F.col("r")).otherwise(F.expr("shiftright(r, level + 1)"))
+    d = d.select(level, block.alias("block"), "t", F.when((level < 0) | upper, F.col("e")).otherwise(zero).alias("early"), F.when((level < 0) | ~upper, F.col("n")).otherwise(zero).alias("late"))
+    d = running_totals(d.groupBy("level", "block", "t").agg(F.sum("early").alias("early"), F.sum("late").alias("late")), ["level", "block", "t"], ["early"])
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    # What lies before the block is the same for all its rows.
+    per = d.groupBy("level", "block").agg((F.sum(whole("late") * whole("early_before")) - F.sum("late").cast("decimal(19,0)") * F.min("early_before").cast("decimal(19,0)")).alias("pairs"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("pairs"))), F.lit(0)).cast("double")
+    return per.agg(F.try_divide(of(level >= 0) + of(level == -1) / 2, of(level == -2)).alias("c_index"))
 
 
 def bootstrap_auroc(df: DataFrame, y: str, p: str, key: Sequence[str], rounds: int = 50, seed: int = 0) -> DataFrame:

@@ -197,6 +197,8 @@ add("m_subgroups", lambda s, d: r6(S.subgroup_metrics(od(s, d), "y", "score", ["
     f"WITH {OD}, r AS (SELECT pri, y, score, rank() OVER (PARTITION BY pri ORDER BY score) + (count(*) OVER (PARTITION BY pri, score) - 1) / 2.0 k FROM od) SELECT 'pri' AS subgroup, pri AS level, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, round(CASE WHEN sum(y) >= 10 THEN avg((score - y) * (score - y)) END, 6) AS brier, round(CASE WHEN sum(y) >= 10 THEN (sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) END, 6) AS auroc FROM r GROUP BY pri")
 add("m_select_model", lambda s, d: P.select_model(r6(od(s, d).groupBy("yr", F.col("pri").alias("model")).agg((F.avg("price") / 250000).alias("slope"), (F.avg("y") + 0.3).alias("auroc"))), ["yr"]).select("yr", "model", "abstains"),
     f"WITH {OD}, c AS (SELECT yr, pri AS model, round(avg(price) / 250000, 6) slope, round(avg(y) + 0.3, 6) auroc FROM od GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY abs(slope - 1), auroc DESC, model) k FROM c WHERE slope >= 0.2 AND auroc >= 0.6) SELECT y.yr, model, model IS NULL AS abstains FROM (SELECT DISTINCT yr FROM c) y LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (yr)")
+add("m_c_index", lambda s, d: r6(S.c_index(od(s, d), "score", "y", "price")),
+    f"WITH {OD} SELECT round(avg(CASE WHEN a.price > b.price THEN 1.0::DOUBLE WHEN a.price = b.price THEN 0.5 ELSE 0.0 END), 6) AS c_index FROM od a JOIN od b ON a.score < b.score WHERE a.y = 1")
 
 # ---- pipelines --------------------------------------------------------------------------------------------------------------------
 add("q_cohort", lambda s, d: r6(P.build_cohort(outcomes(s, d), "user_id", "disease", 5.0, [10, 20]).select("user_id", "time_days", F.col("cause").cast("long").alias("cause"), F.col("label_10").cast("long").alias("label_10"), F.col("label_20").cast("long").alias("label_20"))),
@@ -226,7 +228,6 @@ add("x_group_split", lambda s, d: H.group_split(od(s, d), "cust", [("train", 0.7
 add("x_stratified_folds", lambda s, d: H.stratified_folds(od(s, d).select("id", "y"), "y", "id", 5))
 add("x_permutation", lambda s, d: H.permute_column(od(s, d).select("id", "y"), "y", "id"))
 add("m_bootstrap", lambda s, d: S.bootstrap_auroc(od(s, d), "y", "score", ["id"], 30))
-add("m_c_index", lambda s, d: S.c_index(od(s, d), "score", "y", "price", "id", 1500))
 add("l_logistic", lambda s, d: M.logistic(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "y", RISK).select("id", "y", "score"))
 add("l_boosted", lambda s, d: M.boosted(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "y", ["yr", "t"], rounds=5).select("id", "y", "score"))
 add("l_calibrate", lambda s, d: M.calibrate(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "score", "y").select("id", "y", "calibrated"))

@@ -41,3 +41,22 @@ def test_runs_and_repeats(spark, sf_dir, name):
     assert a.count() > 0
     if name.startswith(("x_", "s_")):
         assert plain(a.toPandas()) == plain(f(spark, sf_dir).toPandas())
+
+
+def test_c_index_takes_all_rows(spark):
+    """Ties of time and risk, NULLs, and more rows than the sample that was once drawn."""
+    import numpy as np
+
+    from cohortspark.operators.stats import c_index
+
+    g = np.random.default_rng(3)
+    n = 4000
+    time, event, risk = g.integers(0, 300, n), g.integers(0, 2, n), g.integers(0, 150, n).astype(float)
+    risk[::17] = np.nan
+    ok = (event[:, None] == 1) & (time[:, None] < time[None, :])
+    won = (risk[:, None] > risk[None, :]) + 0.5 * (risk[:, None] == risk[None, :])
+    rows = [(i, int(t), int(e), None if np.isnan(r) else float(r)) for i, (t, e, r) in enumerate(zip(time, event, risk))] + [(n, None, 1, 500.0), (n + 1, 0, None, 3.0)]
+    df = spark.createDataFrame(rows, "id int, t int, e int, r double").repartition(3)
+    got = c_index(df, "t", "e", "r").first().c_index
+    assert abs(got - won[ok].sum() / ok.sum()) < 1e-12
+    assert c_index(df.filter("false"), "t", "e", "r").first().c_index is None
