@@ -235,7 +235,7 @@ def margin_confidence(df: DataFrame, vec: str, centres: Sequence[Sequence[float]
 
 
 def cluster_indices(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Davies-Bouldin and Calinski-Harabasz from per-cluster sums."""
+    """Calinski-Harabasz from per-cluster sums."""
     long = df.select(label, F.posexplode(F.col(vec).cast("array<double>")).alias("i", "v"))
     cm = long.groupBy(label, "i").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
     within = long.join(cm.select(label, "i", "m"), [label, "i"]).agg(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))).alias("w"))
