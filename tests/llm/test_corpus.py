@@ -246,34 +246,17 @@ def test_near_duplicates_long_sets(spark):
 
 
 def test_line_dedup(docs, rows, empty):
-    units = sorted({(-(1 << 63) if d is None else d, t) for d, t in rows if t is not None}, key=lambda x: (x[0], line_runs.xxhash.xxh3_64_intdigest(x[1].encode())))
-    lines = [(u, i, line) for u, (_, t) in enumerate(units) for i, line in enumerate(t.split("\n"))]
-    texts = [t.split("\n") for _, t in units]
-    at = defaultdict(list)
-    gone = set()
-    for u, i, line in lines:
-        for v, j in at[line]:
-            n = 0
-            while i + n < len(texts[u]) and j + n < len(texts[v]) and texts[u][i + n] == texts[v][j + n]:
-                n += 1
-            if len(" ".join(texts[u][i : i + n]).split()) >= line_runs.MIN_WORDS:
-                gone |= {(u, i + k) for k in range(n)}
-        at[line].append((u, i))
-    number = {x: u for u, x in enumerate(units)}
-    want = Counter()
-    for d, t in rows:
-        u = number.get((-(1 << 63) if d is None else d, t))
-        want[d, None if t is None else "\n".join(line for i, line in enumerate(t.split("\n")) if (u, i) not in gone)] += 1
     got = line_runs.dedup_lines(docs)
-    assert bag(got.select("doc_id", "text").collect()) == want
+    assert bag(got.select("doc_id", "text").collect()) == kept_lines(docs)
     assert got.columns == [*docs.columns, "n_removed"] and got.agg({"n_removed": "sum"}).first()[0] > 0
     assert line_runs.dedup_lines(empty).count() == 0
 
 
-def kept_lines(rows):
+def kept_lines(docs):
     """Brute force: what is left of every row after the longest earlier copy at each line, if it has enough words, is deleted."""
-    place = lambda x: (-(1 << 63) if x[0] is None else x[0], line_runs.xxhash.xxh3_64_intdigest(x[1].encode()))
-    units = sorted({x for x in rows if x[1] is not None}, key=place)
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    rows = [(r.doc_id, r.text) for r in keyed]
+    units = [(d, t) for _, _, d, t in sorted({(-(1 << 63) if r.doc_id is None else r.doc_id, r.h, r.doc_id, r.text) for r in keyed if r.text is not None}, key=lambda x: x[:2])]
     texts = [t.split("\n") for _, t in units]
     at, gone = defaultdict(list), set()
     for u, lines in enumerate(texts):
@@ -298,10 +281,29 @@ def test_line_dedup_runs_whose_parts_have_other_copies(spark):
     rows += [(4, f"{p}\n{q}"), (5, f"five\n{p}\n{q}\n{r}\nend"), (6, f"six\n{p}\n{q}\n{r}\nsix end")]
     draw = random.Random(1)
     rows += [(100 + i, "\n".join(draw.choice(("x y z", "u v", "w w w w", "", "one two three four five")) for _ in range(draw.randrange(1, 60)))) for i in range(40)]
-    got = line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    x, y, z = (" ".join(f"{w}{i}" for i in range(8)) for w in "xyz")
+    rows += [(201, f"{x}\n{y}\nend"), (202, f"{x}\n{y}\n{z}"), (203, f"start\n{x}\n{y}\n{z}\nfin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_runs.dedup_lines(docs)
     left = {d: t for d, t, _ in got.collect()}
-    assert (left[3], left[6]) == ("three\nend three", "six\nsix end")
-    assert bag(got.select("doc_id", "text").collect()) == kept_lines(rows)
+    assert (left[3], left[6], left[203]) == ("three\nend three", "six\nsix end", "start\nfin")
+    assert bag(got.select("doc_id", "text").collect()) == kept_lines(docs)
+
+
+def test_line_dedup_hot_lines_and_clashing_columns(spark, monkeypatch):
+    """Very common lines and rows are dealt over tasks; helper columns of the same names are the table's own."""
+    import random
+
+    monkeypatch.setattr(line_runs, "LEAST", 5)
+    monkeypatch.setattr(line_runs, "HOT", 50)
+    draw = random.Random(7)
+    rows = [(i, "\n".join(draw.choice(("", "", "a b c d e f g", "h i j k l m n", f"own {i}")) for _ in range(30))) for i in range(60)]
+    rows += [rows[0]] * 40 + [(None, rows[1][1])] * 30
+    docs = spark.createDataFrame([(d, t, 1, 2, 3, "x", len(t)) for d, t in rows], "doc_id long, text string, n_removed int, id int, k int, runs string, n_chars int").repartition(3)
+    got = line_runs.dedup_lines(docs)
+    assert bag(got.select("doc_id", "text").collect()) == kept_lines(docs)
+    assert bag(got.select("id", "k", "runs").collect()) == Counter({(2, 3, "x"): len(rows)})
+    assert got.filter("n_chars <> length(text)").count() == 0 and got.agg({"n_removed": "sum"}).first()[0] > 0
 
 
 def test_line_dedup_runs_go_to_their_own_rows(spark):
@@ -312,7 +314,7 @@ def test_line_dedup_runs_go_to_their_own_rows(spark):
     runs = line_runs.repeated_runs(docs)
     assert runs.count() == 79 and runs.filter("size(runs) <> 1").count() == 0
     assert runs.select("k", "v").distinct().count() == 79 and "collect_list" not in line_runs.dedup_lines(docs)._jdf.queryExecution().toString()
-    assert bag(line_runs.dedup_lines(docs).select("doc_id", "text").collect()) == kept_lines(rows)
+    assert bag(line_runs.dedup_lines(docs).select("doc_id", "text").collect()) == kept_lines(docs)
 
 
 def test_toxicity(spark):
