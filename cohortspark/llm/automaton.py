@@ -16,7 +16,8 @@ ALL = (1 << 256) - 1
 
 
 class _Nfa:
-    def __init__(self):
+    def __init__(self, backward: bool = False):
+        self.backward = backward  # the regex read from its end
         self.moves: list[list[tuple[int, int]]] = []  # (set of bytes as a bit mask, target)
         self.free: list[list[int]] = []
 
@@ -26,7 +27,7 @@ class _Nfa:
         return len(self.moves) - 1
 
     def build(self, tree, at: int) -> int:
-        for op, arg in tree:
+        for op, arg in reversed(tree) if self.backward else tree:
             at = self._one(op, arg, at)
         return at
 
@@ -95,11 +96,12 @@ class Automaton:
     """``table[state * n_classes + class]`` -> state; ``accept[state]`` -> bit mask of rules. State 0 starts.
 
     ``search=True`` restarts at every byte, so that a mask tells which rules have matched somewhere so far;
-    ``search=False`` is anchored at the first byte, and ``dead`` is the state that cannot match any more.
+    ``search=False`` is anchored at the first byte, and ``dead`` is the state that cannot match any more. ``backward=True`` reads from the end: fed with the bytes
+    in reverse, a mask tells which rules have a match that begins here.
     """
 
-    def __init__(self, patterns: Sequence[bytes], search: bool):
-        nfa = _Nfa()
+    def __init__(self, patterns: Sequence[bytes], search: bool, backward: bool = False):
+        nfa = _Nfa(backward)
         root, ends = nfa.state(), {}
         for i, p in enumerate(patterns):
             begin = nfa.state()
@@ -128,6 +130,11 @@ class Automaton:
         self.table, self.accept, self.dead = _minimise(table, accept, dead)
         self.n_classes = table.shape[1]
         self.flat = np.ascontiguousarray(self.table).ravel().astype(np.int32)
+        self.hits = self.accept.tolist()
+        ahead = self.accept.copy()  # rules that can still match from a state
+        while not np.array_equal(new := ahead | np.bitwise_or.reduce(ahead[self.table], axis=1), ahead):
+            ahead = new
+        self.ahead = ahead.tolist()
         resets = (self.table == 0).all(axis=0)
         self.sync = resets[self.classes]  # bytes after which every state is the start again
         self._rows = None
@@ -138,17 +145,24 @@ class Automaton:
             self._rows = self.table[:, self.classes].tolist()
         return self._rows
 
-    def longest(self, data: bytes, at: int) -> tuple[int, int]:
-        """End of the longest match that begins at ``at``, and its mask; (-1, 0) if there is none."""
-        rows, state, end, mask = self.rows(), 0, -1, 0
-        accept, dead = self.accept, self.dead
+    def begins(self, data: bytes) -> list[int]:
+        """Of a backward search: for each place of ``data`` the mask of the rules that have a match from there on."""
+        rows, hits, state, out = self.rows(), self.hits, 0, [0] * len(data)
+        for i in range(len(data) - 1, -1, -1):
+            state = rows[state][data[i]]
+            out[i] = hits[state]
+        return out
+
+    def longest(self, data: bytes, at: int, rule: int) -> int:
+        """End of the rule's longest match that begins at ``at`` (-1: none)."""
+        rows, hits, state, end = self.rows(), self.hits, 0, -1
         for i in range(at, len(data)):
             state = rows[state][data[i]]
-            if state == dead:
+            if hits[state] & rule:
+                end = i + 1
+            elif not self.ahead[state] & rule:
                 break
-            if accept[state]:
-                end, mask = i + 1, int(accept[state])
-        return end, mask
+        return end
 
 
 def _minimise(table: np.ndarray, accept: np.ndarray, dead: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -192,7 +206,7 @@ def scan(auto: Automaton, buffer: np.ndarray, few: int = 48) -> tuple[np.ndarray
         state[:k] = now
         mask[:k] |= accept[now]
         step += 1
-    rows, hits = auto.rows() if step < len(alive) else None, accept.tolist()
+    rows, hits = auto.rows() if step < len(alive) else None, auto.hits
     for lane in range(int(alive[step]) if step < len(alive) else 0):
         s, m = int(state[lane]), int(mask[lane])
         for b in buffer[starts[lane] + step : starts[lane] + lengths[lane]].tobytes():

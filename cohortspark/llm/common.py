@@ -1,8 +1,9 @@
-"""Helpers shared by the corpus operators: batching, shared scratch, text columns."""
+"""Helpers shared by the corpus operators: batching, tables in the shared folder, text columns."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,19 +17,18 @@ SLICE_BYTES = 4 << 20  # text handled at once inside a task
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+    """Cut the lineage: ``df`` written as a table in the shared folder, and read again.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made. Spark removes the
-    files once nothing refers to them; the driver's garbage is collected before each step, for else the
-    shuffle files of all finished steps stay on the executors' disks.
+    A written table survives lost executors, as a checkpoint does, but is compressed by columns, and its size is known to the planner (the size
+    that a checkpoint hands on is the product of all join inputs before it).
     """
-    scratch_dir(df.sparkSession)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written stages."""
+    """The shared folder for written tables: ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary folder is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))

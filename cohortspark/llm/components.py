@@ -8,23 +8,21 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (u, v): label is one node of its component, the same for all.
 
-    Each round sends every node to its smallest neighbour and contracts; at least half of the nodes of a component vanish.
+    Each round sends every node to that neighbour, or itself, whose hash of this round is the smallest, and contracts. The node with the largest hash of a
+    component always vanishes, so the rounds end; hashes anew each round make a constant share vanish on average, whatever the shape (a path as well).
     """
     edges = materialise(links.select("u", "v").filter("u <> v").distinct())
     chain: list[DataFrame] = []
-    for _ in range(most):
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = materialise(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")))
-        if parent.isEmpty():
-            break
+        both = both.unionByName(edges.select("u", F.col("u").alias("v"))).unionByName(edges.select(F.col("v").alias("u"), "v"))
+        parent = materialise(both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(len(chain))).alias("h"), "v"))["v"].alias("p")))
         chain.append(parent)
-        up = lambda e, c: e.join(parent.withColumnRenamed("u", c), c).drop(c).withColumnRenamed("p", c)
+        up = lambda e, c: e.join(parent.withColumnRenamed("u", c), c).drop(c).withColumnRenamed("p", c)  # noqa: E731, B023
         edges = materialise(up(up(edges, "u"), "v").filter("u <> v").distinct())
-    else:
-        raise RuntimeError("components did not converge")
     if not chain:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     label = chain[0].select(F.col("u").alias("node"), F.col("p").alias("label"))

@@ -1,11 +1,12 @@
-"""Secret scan: every rule in one deterministic automaton, one byte pass over each whole text.
+"""Secret scan: all rules in joint deterministic automata, made by subset construction and minimisation into transition arrays.
 
-The rules' regexes become one minimal automaton (``automaton.py``). Its pass marks the stretches in which
-some rule matches; inside those, the rule's own anchored automaton gives the leftmost, longest,
-non-overlapping spans, and a length test drops the short ones.
+One byte pass over each whole text with the joint search automaton marks the stretches in which some rule matches. It holds the part that
+every span must begin with or hold, so that it stays small. Inside the few marked stretches the whole rules run, again all in one automaton each: one pass from the
+end finds the places where spans of each rule begin, and from those alone the anchored automaton walks to the longest end. So no
+start fails and every byte is read a bounded number of times, however long a text is. Spans of a kind are leftmost, longest and do not overlap; a length test drops the short ones.
 
-Defined cases: null or empty text gives no spans; ties (same start) sort by the order of ``RULES``;
-repeated rows are scanned each on its own; extra columns are ignored; an empty table gives an empty one.
+Defined cases: null or empty text gives no spans; very long texts take linear time; ties (same start) sort by the order of ``RULES``;
+repeated rows are scanned each on its own; extra columns are ignored, whatever their names are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -47,28 +48,29 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 @lru_cache(1)
-def automata() -> tuple[Automaton, list[Automaton]]:
+def automata() -> tuple[Automaton, Automaton, Automaton]:
+    """The joint search over the needed parts, and the whole rules from the end and from the start."""
     combined = Automaton([r[1].encode() for r in RULES], search=True)
     assert combined.sync[10], "a line feed must reset the automaton: texts are joined by it"
-    return combined, [Automaton([r[2].encode()], search=False) for r in RULES]
-
-
-def _spans_in(rule: int, part: bytes) -> list[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping byte spans of one rule in one stretch."""
-    own, out, at, least = automata()[1][rule], [], 0, RULES[rule][3]
-    first = own.rows()[0]
-    while at < len(part):
-        if first[part[at]] == own.dead:
-            at += 1
-            continue
-        end, _ = own.longest(part, at)
-        if end < 0:
-            at += 1
-            continue
-        size = len(_VALUE.fullmatch(part, at, end)[2]) if rule == 0 else end - at
-        if size >= least:
-            out.append((at, end))
-        at = end
+    whole = [r[2].encode() for r in RULES]
+    return combined, Automaton(whole, search=True, backward=True), Automaton(whole, search=False)
+
+
+def _spans_in(part: bytes, mask: int) -> list[tuple[int, int, int]]:
+    """(start, rule, end) of the leftmost, longest, non-overlapping spans in one stretch."""
+    _, back, forth = automata()
+    free, out = [0] * len(RULES), []
+    for at, here in enumerate(back.begins(part)):
+        here &= mask
+        while here:
+            bit = here & -here
+            here ^= bit
+            rule = bit.bit_length() - 1
+            if at >= free[rule]:
+                free[rule] = end = forth.longest(part, at, bit)
+                size = len(_VALUE.fullmatch(part, at, end)[2]) if rule == 0 else end - at
+                if size >= RULES[rule][3]:
+                    out.append((at, rule, end))
     return out
 
 
@@ -82,10 +84,7 @@ def find_secrets(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     starts, lengths, masks = scan(automata()[0], np.frombuffer(b"\n".join(raw) + b"\n", np.uint8))
     for d, s, n, mask in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), lengths.tolist(), masks.tolist()):
         at = s - int(begin[d])
-        part = raw[d][at : at + n]
-        for rule in range(len(RULES)):
-            if mask >> rule & 1:
-                out[d] += [(at + a, rule, at + b) for a, b in _spans_in(rule, part)]
+        out[d] += [(at + a, rule, at + b) for a, rule, b in _spans_in(raw[d][at : at + n], mask)]
     for d, found in enumerate(out):
         if found:
             found.sort()
