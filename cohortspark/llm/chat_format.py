@@ -7,6 +7,9 @@ character of every control string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/IN
 are there already), so no control string is left and taking one backslash away restores the text exactly.
 The loss mask is an array of (start, chars) over the formatted string: one entry per assistant text.
 
+Offsets come from sums of chunks, computed once per block, and text under the mask is read from chunks of the string, so
+the work grows in proportion to the conversation, also with very many turns of one role or very long texts.
+
 Defined cases: null text and null role count as empty; equal turn numbers sort by role, then text; repeated rows
 stay repeated turns; a null ``conv_id`` is one conversation; extra columns are ignored.
 """
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 _CONTROL = r"([|]|/?s>|/?INST\]|/?SYS>>)"
-CHUNK = 256
+CHUNK = 256  # turns
+READ = 4096  # characters
 
 
 def escape(text: Column) -> Column:
@@ -69,19 +73,20 @@ def format_chats(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             ),
         ),
     )
-    d = d.withColumn("pieces", F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["bodies"], SEP), F.lit(END))))
-    d = d.withColumn("run", _running(F.transform("pieces", lambda p: F.length(p))))
+    piece = lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["bodies"], SEP), F.lit(END))
     sized = lambda b: _running(F.transform(b["bodies"], lambda t: F.length(t) + len(SEP)))
+    d = d.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["role"].alias("role"), b["loss"].alias("loss"), b["bodies"].alias("bodies"), piece(b).alias("piece"), sized(b).alias("run"))))
+    d = d.withColumn("run", _running(F.transform("blocks", lambda b: F.length(b["piece"]))))
+    # Where the first body of each block begins.
+    d = d.withColumn("begin", F.transform("blocks", lambda b, k: _before(F.col("run"), k) + len(START) + F.length(b["role"]) + 1))
     spans = F.transform(
         "blocks",
         lambda b, k: F.when(
             b["loss"],
-            F.transform(
-                b["bodies"],
-                lambda t, j: F.struct((_before(F.col("run"), k) + len(START) + F.length(b["role"]) + 1 + _before(sized(b), j)).alias("start"), F.length(t).cast("long").alias("chars")),
-            ),
+            F.transform(b["bodies"], lambda t, j: F.struct((F.get(F.col("begin"), k) + _before(b["run"], j)).alias("start"), F.length(t).cast("long").alias("chars"))),
         ).otherwise(F.array().cast("array<struct<start:bigint,chars:bigint>>")),
     )
+    d = d.withColumn("pieces", F.transform("blocks", lambda b: b["piece"]))
     return d.select("conv_id", F.array_join("pieces", "").alias("formatted"), F.flatten(spans).alias("loss_mask"))
 
 
@@ -95,14 +100,21 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 1 << 30), turns))
 
 
-def under_mask(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(mask, lambda m: unescape(formatted.substr((m["start"] + 1).cast("int"), m["chars"].cast("int")))), "")
+def under_mask(chunks: Column, mask: Column) -> Column:
+    """All text under the loss mask, unescaped, nothing between. ``chunks``: the formatted string in pieces of READ characters."""
+
+    def text(m: Column) -> Column:
+        first = F.floor(m["start"] / READ).cast("int")
+        n = F.floor((m["start"] % READ + m["chars"]) / READ).cast("int") + 1
+        return unescape(F.array_join(F.slice(chunks, first + 1, n), "").substr((m["start"] % READ + 1).cast("int"), m["chars"].cast("int")))
+
+    return F.array_join(F.transform(mask, text), "")
 
 
 def chat_digest(chats: DataFrame) -> DataFrame:
     """What the output says when it is read back: turns and loss text as counts and digests."""
-    d = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    d = chats.select("conv_id", "formatted", "loss_mask", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{READ}}}"), F.lit(0)).alias("chunks"))
+    d = d.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("chunks"), F.col("loss_mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return d.select(
         "conv_id",

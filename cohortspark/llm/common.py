@@ -58,11 +58,12 @@ def map_text(df: DataFrame, per_slice: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
-def pa_schema(ddl: str) -> pa.Schema:
+def pa_schema(schema) -> pa.Schema:
+    """Arrow's schema of a DDL string or a StructType."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

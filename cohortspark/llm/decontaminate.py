@@ -4,8 +4,11 @@ A shard is a slice of a partition. Words that no phrase holds cannot be part of
 words known to the benchmark that are long enough. Backward search runs all phrases through the wavelet ranks, the sampled positions
 locate the occurrences, and overlapping ones merge into removal spans. No shuffle of texts.
 
-Phrases travel with the task in parts of at most ``part_words`` benchmark words; a larger benchmark takes more passes.
-Defined cases: null or wordless text and items have no words; a repeated item id counts once; an item with fewer words than a window is
+Phrases travel with the tasks in parts of about ``part_words`` benchmark words (long items are cut into overlapping chunks). A benchmark of one part takes
+one pass over the texts. A larger one takes a pass for each part, one after the other: the driver and the tasks hold one part at a time, each pass writes the
+hits of its part, and the hits of a row meet in the end.
+
+Defined cases: very long texts are searched whole; null or wordless text and items have no words; a repeated item id counts once; an item with fewer words than a window is
 one window; an empty benchmark hits nothing; a null item id counts as the id ''; extra columns are ignored.
 """
 
@@ -19,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, texts_of
+from .common import map_text, materialise, pa_schema, slices, texts_of
 from .fm_index import FmIndex
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # every byte of a character beyond ASCII is at least 0x80
 WINDOW = 10
+CHUNK = 5000  # windows of an item that stay together
+PART_WORDS = 250_000
+ROW, ITEMS, SPANS = "_row_of_pass", "_items_found", "_spans_found"
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
@@ -92,64 +98,99 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(benchmark: DataFrame, part_words: int) -> list[Phrases]:
-    """The benchmark in parts of bounded size, read one part at a time."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // (6 * part_words)))
-    of = lambda k: items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-    return [Phrases([tuple(r) for r in of(k)]) for k in range(n)]
+def _chunks(benchmark: DataFrame) -> DataFrame:
+    """item, part of its words (joined by spaces) and their number: every window of the item is whole in one chunk."""
+    schema = "item string, text string, n long"
+    out = pa_schema(schema)
+
+    def cut(batches):
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), texts_of(b)):
+                w = words_of(text)
+                own = [w[i : i + CHUNK + WINDOW - 1] for i in range(0, max(1, len(w) - WINDOW + 1), CHUNK)] if w else []
+                yield pa.RecordBatch.from_pydict({"item": [item] * len(own), "text": [b" ".join(x).decode() for x in own], "n": list(map(len, own))}, schema=out)
+
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(cut, schema).distinct()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, part_words: int) -> DataFrame:
+    """``docs`` (any columns and ``text``) with items and spans (in words) of every row."""
+    chunks = materialise(_chunks(benchmark))
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-total // part_words))
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    if n == 1:
+        return _pass(docs, Phrases([(r.item, r.text) for r in chunks.collect()]))  # part_words at most
+    keyed = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    hits: DataFrame | None = None
+    for k in range(n):
+        phrases = Phrases([(r.item, r.text) for r in chunks.filter(part == k).collect()])  # about part_words
+        own = materialise(_pass(keyed.select(ROW, "text"), phrases).filter(F.size(SPANS) > 0).select(ROW, ITEMS, SPANS))
+        hits = own if hits is None else hits.unionByName(own)
+    # Of one row: at most a list of each part.
+    met = hits.groupBy(ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ITEMS)))).alias(ITEMS), F.flatten(F.collect_list(SPANS)).alias(SPANS))
+    d = keyed.join(met, ROW, "left").drop(ROW)
+    return d.withColumn(ITEMS, F.coalesce(ITEMS, F.array().cast("array<string>"))).withColumn(SPANS, F.coalesce(SPANS, F.array().cast("array<struct<start:int,end:int>>")))
+
+
+def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """One pass over the texts: all columns of ``docs``, with the items and spans of these phrases."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{ITEMS} array<string>, {SPANS} array<struct<start:int,end:int>>").fields])
+    out = pa_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch):
+                found = search([words_of(t) for t in texts_of(b)], phrases)
+                cols = {f: b.column(f) for f in b.schema.names}
+                cols[ITEMS] = [sorted(i) for i, _ in found]
+                cols[SPANS] = [[{"start": x, "end": y} for x, y in s] for _, s in found]
+                yield pa.RecordBatch.from_pydict(cols, schema=out)
 
+    return docs.mapInArrow(run, schema)
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, part_words: int = 500_000) -> DataFrame:
+
+def _spans(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+    return [merge([(x["start"], x["end"]) for x in s]) for s in batch.column(SPANS).to_pylist()]
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans (merged, in words) of every row of ``docs``."""
-    parts = _parts(benchmark, part_words)
 
-    def f(batch: pa.RecordBatch) -> dict:
-        docs = [words_of(t) for t in texts_of(batch)]
-        items, spans = [set() for _ in docs], [[] for _ in docs]
-        for p in parts:
-            for d, (i, s) in enumerate(search(docs, p)):
-                items[d] |= i
-                spans[d] += s
-        spans = [merge(s) for s in spans]
-        return {"doc_id": batch.column("doc_id"), "n_words": list(map(len, docs)), "n_hit": [sum(b - a for a, b in s) for s in spans], "items": [sorted(i) for i in items], "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]}
+    def measure(b: pa.RecordBatch) -> dict:
+        spans = _spans(b)
+        return {"doc_id": b.column("doc_id"), "n_words": [len(words_of(t)) for t in texts_of(b)], "n_hit": [sum(y - x for x, y in s) for s in spans], "items": b.column(ITEMS), "spans": [[{"start": x, "end": y} for x, y in s] for s in spans]}
 
-    return map_text(docs.select("doc_id", "text"), f, SCHEMA)
+    return map_text(_found(docs.select("doc_id", "text"), benchmark, part_words), measure, SCHEMA)
 
 
-def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    d = occurrences(docs, benchmark)
+def decontamination_report(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+    d = occurrences(docs, benchmark, part_words)
     return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
 _ANY_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same words before lower-casing
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, part_words: int = 500_000) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """The documents with every hit stretch of words cut out of the text; those of which nothing is left go. All columns are kept."""
-    parts = _parts(benchmark, part_words)
+    out = pa_schema(docs.schema)
 
     def run(batches):
-        from .common import slices
-
         for batch in batches:
             for b in slices(batch):
-                texts = texts_of(b)
-                docs = [words_of(t) for t in texts]
-                spans = [[] for _ in docs]
-                for p in parts:
-                    for d, (_, s) in enumerate(search(docs, p)):
-                        spans[d] += s
-                new = [_cut(t, merge(s)) if s else t for t, s in zip(texts, spans)]
-                cols = {n: b.column(n) for n in b.schema.names}
-                cols["text"] = [old if old is None else t for old, t in zip(b.column("text").to_pylist(), new)]
+                texts, spans = b.column("text").to_pylist(), _spans(b)
+                new = [_cut(t, s) if s else t for t, s in zip(texts, spans)]
+                cols = {n: b.column(n) for n in out.names}
+                cols["text"] = new
                 if "n_chars" in cols:
                     cols["n_chars"] = [n if not s else len(t) for n, s, t in zip(b.column("n_chars").to_pylist(), spans, new)]
                 keep = pa.array([not s or bool(_ANY_WORD.search(t)) for s, t in zip(spans, new)], pa.bool_())
-                yield pa.RecordBatch.from_pydict(cols, schema=b.schema).filter(keep)
+                yield pa.RecordBatch.from_pydict(cols, schema=out).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _found(docs, benchmark, part_words).mapInArrow(run, docs.schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

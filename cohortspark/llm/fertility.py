@@ -5,7 +5,8 @@ and the entropy of its tokens (over the logarithm of their number). Per language
 their distance) come from a histogram over all documents; a document outside a fence, or failing the base rules, is not kept.
 
 Defined cases: null or empty text has no words and fails the base rule; a null language is a language of its own; one with fewer
-than ``LEAST`` documents that pass the base rules, or a distance of 0, gets no fence; repeated rows count each; extra columns are ignored.
+than ``LEAST`` documents that pass the base rules gets the fences of all documents together; a distance under 10 bins counts as 10; repeated rows count each; very long texts
+are measured whole; extra columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -104,23 +105,27 @@ def _known_chars(path: str) -> _Known:
 
 
 def fences(measured: DataFrame, reach: float) -> DataFrame:
-    """lang, metric, low, high in bins, from exact quartiles of the histogram of documents that pass the base rules."""
+    """lang, metric, low, high in bins, from exact quartiles of the histogram of documents that pass the base rules; and the fences of all languages together."""
     long = measured.filter("NOT base_failed").select("lang", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("bin")) for m in METRICS))).alias("x")).select("lang", "x.*")
-    hist = long.groupBy("lang", "metric", "bin").agg(F.count("*").alias("n"))
-    part = Window.partitionBy("lang", "metric")
+    hist = long.groupBy("lang", "metric", "bin").agg(F.count("*").alias("n")).withColumn("pooled", F.explode(F.array(F.lit(False), F.lit(True))))
+    hist = hist.groupBy("pooled", F.when(~F.col("pooled"), F.col("lang")).alias("lang"), "metric", "bin").agg(F.sum("n").alias("n"))
+    part = Window.partitionBy("pooled", "lang", "metric")
     cum = hist.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("all", F.sum("n").over(part))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin")))
-    quart = cum.groupBy("lang", "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("all"))
+    quart = cum.groupBy("pooled", "lang", "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("all"))
     gap = F.greatest(F.col("q3") - F.col("q1"), F.lit(10))
-    return quart.filter(F.col("all") >= LEAST).select("lang", "metric", (F.col("q1") - reach * gap).alias("low"), (F.col("q3") + reach * gap).alias("high"))
+    return quart.filter(F.col("pooled") | (F.col("all") >= LEAST)).select("pooled", "lang", "metric", (F.col("q1") - reach * gap).alias("low"), (F.col("q3") + reach * gap).alias("high"))
 
 
 def fertility(docs: DataFrame, bpe: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model", reach: float = 2.5) -> DataFrame:
     """One row per document: base counts, base_failed, kept and the three measures. The texts are read once."""
     measured = materialise(map_text(docs.select("doc_id", "lang", "text"), None, SCHEMA, _measure(tokenizer_path(bpe), tokenizer_path(pieces))))
     band = F.struct(F.col("metric"), F.col("low"), F.col("high"))
-    bands = fences(measured, reach).groupBy("lang").agg(F.collect_list(band).alias("bands"))
-    d = measured.join(bands.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    bands = fences(measured, reach).groupBy("pooled", "lang").agg(F.collect_list(band).alias("bands"))
+    own = bands.filter("NOT pooled").select(F.col("lang").alias("_lang"), F.col("bands").alias("own"))
+    # One row of pooled fences, at most.
+    d = measured.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(bands.filter("pooled").select(F.col("bands").alias("all_bands"))), how="left")
+    d = d.withColumn("bands", F.coalesce("own", "all_bands"))
     value = F.create_map(*(x for m in METRICS for x in (F.lit(m), F.col(m))))
     inside = F.coalesce(F.forall("bands", lambda b: (F.element_at(value, b["metric"]) >= b["low"]) & (F.element_at(value, b["metric"]) <= b["high"])), F.lit(True))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -52,13 +52,14 @@ def _units(docs: DataFrame) -> DataFrame:
     return materialise(running_totals(d, ["k", "v"], ["n"]).select("k", "v", "rows", F.col("n_before").alias("b"), "n_total", "high", "low", "words"))
 
 
-def _joined(rows: DataFrame, names: DataFrame, keys: list[str], copies: str, limit: int, how: str) -> DataFrame:
+def _joined(rows: DataFrame, names: DataFrame, keys: list[str], copies: str, limit: int, how: str, hint: str | None = None) -> DataFrame:
     """``rows`` with the columns of ``names``. A key that more than ``limit`` rows have, or none, is dealt over SALTS tasks by ``id``."""
     hot = names.filter(F.col(copies) > limit).select(*keys, F.lit(True).alias("hot"))  # all copies together are rows, so at most HOT keys
     ways = F.when(F.col(copies) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     dealt = F.coalesce("hot", F.lit(False)) | F.col(keys[-1]).isNull()
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(dealt, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-    return salted.join(names.withColumn("salt", F.explode(ways)), [*keys, "salt"], how).drop("salt")
+    ways = names.withColumn("salt", F.explode(ways))
+    return salted.join(ways.hint(hint) if hint else ways, [*keys, "salt"], how).drop("salt")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -166,7 +167,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = materialise(repeated_runs(docs, min_words))
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _key().alias("k"), _text_hash().alias("v"), F.monotonically_increasing_id().alias("id"))
     rows = runs.agg(F.sum("rows")).first()[0] or 0
-    d = _joined(keyed, runs, ["k", "v"], "rows", max(LEAST, rows // HOT), "left").select("row", "runs")
+    d = _joined(keyed, runs, ["k", "v"], "rows", max(LEAST, rows // HOT), "left", "merge").select("row", "runs")
     schema = StructType([*(f for f in docs.schema.fields if f.name != "n_removed"), StructField("n_removed", LongType())])
     out = to_arrow_schema(schema)
     return d.mapInArrow(lambda batches: _rewrite(batches, out), schema)

@@ -5,7 +5,7 @@ over the counts of vote patterns estimates how reliable each labeler is; its pos
 of a logistic span classifier, fitted on the counts of feature patterns. Both kinds of pattern are small
 finite sets, so counts over *all* documents reach the driver in bounded size.
 
-Defined cases: null or empty text has no spans; overlapping extra candidates yield to base spans, then to the
+Defined cases: null or empty text has no spans; very long texts take time in proportion; extra columns are ignored, whatever their names are; overlapping extra candidates yield to base spans, then to the
 earlier one; repeated rows are scanned each on its own; an empty table gives an empty one.
 """
 
@@ -40,10 +40,12 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-
 TLDS = frozenset("com org net edu gov io de fr es it uk us eu ch at nl be pl info biz".split())
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91")
 IBAN_LANDS = frozenset("AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+_CALLS = ("phone", "phones", "telephone", "telefon", "tel", "call", "calls", "mobile", "cell", "fax", "teléfono", "téléphone")
 CONTEXT = {
-    "email": ("mail", "contact", "correo", "courriel"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "pay", "credit", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"), "local_phone": ("phone", "tel", "call", "mobile", "fax"), "national_id": ("ssn", "social", "security", "id"), "iban": ("iban", "bank", "konto", "account", "compte", "cuenta"),
+    "email": ("mail", "mails", "email", "e-mail", "contact", "correo", "courriel"), "ip": ("ip", "ips", "host", "server", "address", "login"), "card": ("card", "cards", "visa", "pay", "payment", "credit", "karte", "kreditkarte", "tarjeta", "carte"),
+    "phone": _CALLS, "local_phone": _CALLS, "national_id": ("ssn", "social", "security", "id"), "iban": ("iban", "bank", "konto", "account", "compte", "cuenta"),
 }
+_CONTEXT = {kind: re.compile(r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)") for kind, words in CONTEXT.items()}
 NEAR = 40  # characters of context on each side
 BETTER = (1, 3, 8)  # prior counts of the votes on a true span: labelers are better than chance
 LABELERS = ("regex", "gazetteer", "context", "surroundings")
@@ -96,13 +98,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
+    """Base spans, and the extra ones that overlap neither those nor an earlier extra one."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[list[int]] = []  # base spans laid together, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    k = end = 0
     extra = [(k, m.start(), m.end()) for k, r in ((4, _LOCAL_PHONE), (5, _NATIONAL), (6, _IBAN)) for m in r.finditer(text)]
     for x in sorted(extra, key=lambda x: (x[1], x[0])):
-        if not any(a < x[2] and x[1] < b for a, b in taken):
+        while k < len(taken) and taken[k][1] <= x[1]:
+            k += 1
+        if x[1] >= end and not (k < len(taken) and taken[k][0] < x[2]):
             base.append(x)
-            taken.append(x[1:])
+            end = x[2]
     return base
 
 
@@ -127,13 +138,22 @@ def votes(text: str, kind: int, a: int, b: int) -> list[int]:
         known = 2 if span[:2] in IBAN_LANDS else 0
     else:
         known = 0 if len(set(digits)) < 3 else 1
-    around = (text[max(0, a - NEAR) : a] + " " + text[b : b + NEAR]).lower()
-    context = 2 if any(w in around for w in CONTEXT[name]) else 1
+    around = (_whole_words(text, max(0, a - NEAR), a) + " " + _whole_words(text, b, min(len(text), b + NEAR))).lower()
+    context = 2 if _CONTEXT[name].search(around) else 1
     before, after = text[a - 1 : a], text[b : b + 1]
     alone = 2 if not before.isalnum() and not after.isalnum() else 0
     return [strict, known, context, alone]
 
 
+def _whole_words(text: str, a: int, b: int) -> str:
+    """The stretch without a word that is cut at its left or right end."""
+    while 0 < a < b and text[a].isalnum() and text[a - 1].isalnum():
+        a += 1
+    while a < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b -= 1
+    return text[a:b]
+
+
 def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 

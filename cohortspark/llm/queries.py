@@ -47,7 +47,7 @@ def op8_ring_shards(spark, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    return decontaminate.decontamination_report(doc_table(spark, sf_dir), doc_table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontamination_report(doc_table(spark, sf_dir), doc_table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:

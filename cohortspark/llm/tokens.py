@@ -33,11 +33,12 @@ def _encoder(path: str):
 
 
 class TokenCache(dict):
-    """``encode(text)`` gives its ids as little-endian unsigned 32-bit bytes."""
+    """``encode(text)`` gives its ids as little-endian unsigned 32-bit bytes. A ``special`` string in a text is its own id, as the library of the contract has it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: dict[str, int] | None = None):
         super().__init__()
         self.encoder = _encoder(path)
+        self.special = special or {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.whole(" " + word)
@@ -51,6 +52,9 @@ class TokenCache(dict):
         return np.array(self.encoder.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        for name, number in self.special.items():
+            if name in text:
+                return np.array([number], "<u4").tobytes().join(map(self.encode, text.split(name)))
         if text.startswith(" ") or text.endswith(" ") or _ODD.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")

@@ -8,7 +8,9 @@ gives the probability. Weights are learnt on remainders 1-3 of crc32(doc_id) mod
 
 Labels: at most ``train_rows`` labelled rows, chosen by a hash, are used to fit. Defined cases: null or empty text scores like a text without
 toxic words; rows without a label are scored too; null labels are ignored, the larger of repeated labels counts; without any
-toxic label every score is 0; repeated rows are scored each on its own.
+toxic label every score is 0; repeated rows are scored each on its own; very long texts
+are scored whole; extra columns are ignored, whatever their names are. The model is bounded by its parameters: VOCABULARY tokens of the highest z; of a text's
+segments the highest score and the number of significant ones, up to FEW, make the probability.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import map_text, pa_schema, remainder5, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIX, DRIFT, Z, BOUND, PRIOR, VOCABULARY, FOLD = 4, -0.25, 2.5, 1.64, 0.1, 20_000, 3
+PREFIX, DRIFT, Z, BOUND, PRIOR, VOCABULARY, FOLD, FEW = 4, -0.25, 2.5, 1.64, 0.1, 20_000, 3, 4
 SCHEMA = "doc_id long, score double, predicted int, segments array<struct<start:int,end:int,score:double>>"
 
 
@@ -131,7 +133,7 @@ class Calibration:
     def features(self, n: int, scores: list[float]) -> tuple[float, float]:
         bits = [self.lam * s - self.log_k - np.log(max(n, 1)) for s in scores]
         significant = sum(b > 4.6 for b in bits)  # about one clean text in a hundred
-        return float(np.clip(max(bits, default=-10.0), -10, 40)) / 10, float(min(significant, 4))
+        return float(np.clip(max(bits, default=-10.0), -10, 40)) / 10, float(min(significant, FEW))
 
     def probability(self, n: int, scores: list[float]) -> float:
         if self.curve is None:
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 40_000) -> tuple[d
         for b in batches:
             rows = [(*measure(t, weights), y) for t, y in zip(texts_of(b), b.column("toxic").to_pylist())]
             hist = [np.unique(np.round(w, 2), return_counts=True) for _, _, w, _ in rows]
-            yield pa.RecordBatch.from_pydict({"n": [r[0] for r in rows], "scores": [sorted((s for _, _, s in r[1]), reverse=True)[:8] for r in rows], "toxic": [r[3] for r in rows], "value": [h[0].tolist() for h in hist], "times": [h[1].tolist() for h in hist]}, schema=out)
+            yield pa.RecordBatch.from_pydict({"n": [r[0] for r in rows], "scores": [sorted((s for _, _, s in r[1]), reverse=True)[:FEW] for r in rows], "toxic": [r[3] for r in rows], "value": [h[0].tolist() for h in hist], "times": [h[1].tolist() for h in hist]}, schema=out)
 
     seen = train.filter(F.col("r") > FOLD).select("text", "toxic").mapInArrow(look, kinds).collect()  # a part of the bounded sample
     background: Counter = Counter()

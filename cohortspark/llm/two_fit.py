@@ -4,8 +4,8 @@ Documents are cut into pieces of at most ``capacity`` tokens in one pass over th
 about ``GROUP`` by a hash; inside a group each bin is filled greedily, largest piece first, and then its smallest
 piece gives way to the two unpacked ones that fill the widened gap best. A group wastes about one bin.
 
-Defined cases: null text is empty (one token, the final id 0); repeated rows are packed each on its own; ties take the piece that was
-dealt first; extra columns are ignored; an empty table gives an empty one.
+Defined cases: null text is empty (one token, the final id 0); repeated rows are packed each on its own; ties go by crc, piece and id, so equal rows
+are interchangeable; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .common import crc32, map_text, materialise, pa_schema, texts_of
 from .tokens import TokenCache, tokenizer_path
 
 GROUP = 32_768
+SPECIAL = {"<|endoftext|>": 50256}  # as the vocabulary's own file says (fixed value)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -33,7 +34,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
     def setup():
-        cache, dealt = TokenCache(path), 0
+        cache, dealt = TokenCache(path, SPECIAL), 0
 
         def f(batch: pa.RecordBatch) -> dict:
             nonlocal dealt
@@ -112,11 +113,11 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: i
     pieces = materialise(map_text(docs.select("doc_id", "text"), None, PIECES + extra, _pieces(tokenizer_path(vocabulary), capacity, keep_ids)))
     groups = max(1, round(pieces.filter(F.col("length") < capacity).count() / group))
     full = pieces.filter(F.col("length") == capacity)
-    rest = pieces.filter(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)).cast("int"))
+    rest = pieces.filter(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids_crc32", "salt"), F.lit(groups)).cast("int"))
     names = [f.split()[0] for f in PACKED.split(", ")]
 
     def bins(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("ids_crc32", "salt", "length")])))
+        t = t.take(pa.array(np.lexsort([*(t.column(c).fill_null(-1).to_numpy() for c in ("doc_id", "piece", "ids_crc32", "length"))])))
         length = t.column("length").to_numpy()
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         for k, own in enumerate(best_two_fit(length, capacity)):
