@@ -84,6 +84,85 @@ def test_pii(docs, rows, empty):
     assert pii.pii_spans(empty).count() == 0
 
 
+def test_pii_context_is_whole_words():
+    """A context word inside another word is no vote; a word that is cut by the window is not read."""
+    vote = lambda t, kind, a, b: pii.votes(t, pii.KINDS.index(kind), a, b)[2]
+    for t, want in (("he said 123-45-6789", 1), ("his id 123-45-6789", 2), ("SSN: 123-45-6789", 2), ("solid 123-45-6789", 1)):
+        assert vote(t, "national_id", len(t) - 11, len(t)) == want
+    for t, want in (("the ship 1.2.3.4", 1), ("ip 1.2.3.4", 2), ("server: 1.2.3.4", 2)):
+        assert vote(t, "ip", t.index("1."), len(t)) == want
+    for t, want in (("hotel 555-123-4567", 1), ("called 555-123-4567", 1), ("call 555-123-4567", 2), ("tel. 555-123-4567", 2)):
+        assert vote(t, "local_phone", len(t) - 12, len(t)) == want
+    far = "x" * 300 + " tel " + "y" * 34 + " 555-123-4567"
+    assert vote(far, "local_phone", len(far) - 12, len(far)) == 2
+    far = "mobilephone" + " " + "y" * 34 + " 555-123-4567"  # the window begins inside of the first word
+    assert vote(far, "local_phone", len(far) - 12, len(far)) == 1
+
+
+def test_pii_estimates_against_plain_loops():
+    """EM and the classifier by loops over single votes."""
+    import math
+    import random
+
+    import numpy as np
+
+    draw = random.Random(5)
+    patterns = np.array(sorted({(sum(draw.randrange(3) * 3**i for i in range(4)) * 48 + draw.randrange(48)) * 7 + draw.randrange(7) for _ in range(40)}))
+    counts = np.array([draw.randrange(1, 9) for _ in patterns], float)
+    votes = [[int(p) // 7 // 48 // 3 ** (3 - j) % 3 for j in range(4)] for p in patterns]
+    post = [min(max(0.5 + 0.2 * sum(v - 1 for v in row), 0.05), 0.95) for row in votes]
+    for _ in range(50):
+        prior = (sum(p * n for p, n in zip(post, counts)) + 1) / (sum(counts) + 2)
+        theta = [[[0.0] * 3 for _ in range(2)] for _ in range(4)]
+        for j in range(4):
+            for c in range(2):
+                raw = [sum(n * (p if c else 1 - p) for p, n, row in zip(post, counts, votes) if row[j] == v) + pii.BETTER[v if c else 2 - v] for v in range(3)]
+                theta[j][c] = [x / sum(raw) for x in raw]
+        score = [[math.log(prior if c else 1 - prior) + sum(math.log(theta[j][c][row[j]]) for j in range(4)) for c in range(2)] for row in votes]
+        post = [1 / (1 + math.exp(a - b)) for a, b in score]
+    got, reliability = pii.estimate(patterns, counts)
+    assert np.allclose(got, post, atol=1e-9) and np.allclose(reliability, theta, atol=1e-9)
+    w = pii.fit_classifier(patterns, counts, got)
+    x = pii._design(patterns)
+    slope = x.T @ (counts * (got - 1 / (1 + np.exp(-x @ w)))) - w  # at the optimum of the penalised likelihood it is zero
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_pii_extra_spans_against_brute_force(spark):
+    """Extra spans: every candidate that overlaps no base span and no earlier extra one, and all others not, whatever the classifier keeps."""
+    import random
+
+    draw = random.Random(9)
+    parts = ["555-123-4567", "(555) 123-4567", "123-45-6789", "DE89370400440532013000", "GB82WEST12345698765432", "+49 30 1234567", "4111 1111 1111 1111", " ", ", ", "x", "7", "call ", "iban ", "a@b.co"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 12))) for _ in range(400)]
+    for t in texts:
+        base = pii.base_spans(t)
+        want, taken = list(base), [(a, b) for _, a, b in base]
+        extra = [(k, m.start(), m.end()) for k, r in ((4, pii._LOCAL_PHONE), (5, pii._NATIONAL), (6, pii._IBAN)) for m in r.finditer(t)]
+        for x in sorted(extra, key=lambda x: (x[1], x[0])):
+            if not any(a < x[2] and x[1] < b for a, b in taken):
+                want.append(x)
+                taken.append(x[1:])
+        assert pii.candidates(t) == want
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    found = [[(pii._pattern(t, *c), c) for c in pii.candidates(t)] for t in texts]
+    n = Counter(p for f in found for p, _ in f)
+    patterns = pii.np.array(sorted(n))
+    w = pii.fit_classifier(patterns, pii.np.array([n[p] for p in patterns], float), pii.estimate(patterns, pii.np.array([n[p] for p in patterns], float))[0])
+    keep = {int(p): float(x @ w) >= 0 for p, x in zip(patterns, pii._design(patterns))}
+    for i, f in enumerate(found):
+        assert got[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(c for p, c in f if c[0] < 4 or keep[p]))
+
+
+def test_pii_in_very_long_texts():
+    import time
+
+    began = time.time()
+    assert len(pii.candidates("123-45-6789 " * 100_000)) == 100_000
+    assert time.time() - began < 20
+
+
 def test_chat_round_trip(spark, sf_dir):
     texts = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nx", "<\\|a <\\\\| <<SYS>> <</SYS>> [\\INST]", "", None, "é😀" * 50, "<|im_sep|>|>", "\\"]
     roles = ["user", "assistant", "assistant", "sys\\n\ntem", "user", "assistant", None, "assistant"]
@@ -355,13 +434,68 @@ def test_toxicity(spark):
     out = queries.op7_toxic_segments(spark, sf)
     both = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out.collect())
-    right = sum((r.score >= 0.5) == bool(r.toxic) for r in both)
-    assert right / len(both) > 0.9 and out.count() == d.count()
+    assert out.count() == d.count() and all(r.predicted == (r.score >= 0.5) for r in both)
+    caught = sum(r.predicted for r in both if r.toxic)
+    assert caught >= 0.6 * sum(r.toxic for r in both) and sum(r.predicted for r in both if not r.toxic) <= 0.02 * len(both)
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "idiot idiot"), (2, "")], "doc_id long, text string")
     scored = toxic_segments.toxicity(odd, spark.read.parquet(f"{sf}/labels.parquet").filter("false")).collect()
     assert len(scored) == 4 and all(0 <= r.score <= 1 for r in scored)
 
 
+def test_toxicity_against_brute_force(spark):
+    """Weights, segments and scores by plain loops over the same labelled rows."""
+    import math
+    import random
+
+    import numpy as np
+
+    draw = random.Random(3)
+    rows, labels = [], []
+    for i in range(900):
+        bad = draw.random() < 0.3
+        words = [draw.choice("alpha beta gamma delta omega sigma kappa".split()) for _ in range(draw.randrange(5, 40))]
+        if bad:
+            at = draw.randrange(len(words))
+            words[at:at] = [draw.choice("vile rotten nasty scummy scummier".split()) for _ in range(draw.randrange(2, 6))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    got = {r.doc_id: r for r in toxic_segments.toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    part = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    toxic, text = dict(labels), dict(rows)
+    fitted = [i for i in text if 1 <= part[i] <= 3]
+    n = {1: sum(toxic[i] for i in fitted), 0: sum(1 - toxic[i] for i in fitted)}
+    count = {0: Counter(), 1: Counter()}
+    for i in fitted:
+        words = set(text[i].split())
+        count[toxic[i]].update(words | {w[:4] + "*" for w in words if len(w) > 4})
+    odds = {}
+    for token, t in count[1].items():
+        o = count[0][token]
+        prior, share = 0.1 * (t + o), n[1] / (n[0] + n[1])
+        x, y = t + prior * share + 0.01, o + prior * (1 - share) + 0.01
+        delta = math.log(x / (n[1] * 1.1 - x + 0.5)) - math.log(y / (n[0] * 1.1 - y + 0.5))
+        error = math.sqrt(1 / x + 1 / y)
+        if t >= 3 and delta / error >= 2.5 and delta - 1.64 * error > 0.5:
+            odds[token] = delta - 1.64 * error
+    weigh = lambda t: [odds.get(w, odds.get(w[:4] + "*", -0.25) if len(w) > 4 else -0.25) for w in t.split()]
+
+    def maximal(w, a, b):
+        """All maximal segments of w[a:b]: the one with the largest sum (shortest on ties), and those on both sides of it."""
+        best = max(((sum(w[i:j]), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        return maximal(w, a, best[2]) + [best[0]] + maximal(w, best[3], b) if best[0] > 1e-12 else []
+
+    scored = {i: (len(text[i].split()), maximal(weigh(text[i]), 0, len(text[i].split()))) for i in text if part[i] in (0, 4)}
+    hist = Counter(round(v, 2) for i in text if part[i] == 4 and not toxic[i] for v in weigh(text[i]))
+    values = np.array(sorted({*hist, *(round(v, 2) for v in odds.values())}))
+    c = toxic_segments.Calibration(toxic_segments.karlin_lambda(values, np.array([hist[v] for v in values], float)))
+    c.fit([(scored[i][0], sorted(scored[i][1])[::-1], toxic[i]) for i in text if part[i] == 4])
+    p = np.array([hist[v] + 1 for v in values], float)
+    assert abs((p / p.sum() * np.exp(c.lam * values)).sum() - 1) < 1e-6
+    assert odds and all(abs(got[i].score - c.probability(k, s)) < 1e-9 for i, (k, s) in scored.items() if part[i] == 0)
+    held = [i for i in text if part[i] == 0]
+    assert sum(got[i].predicted == toxic[i] for i in held) / len(held) > 0.95
+
+
 def test_segments_are_maximal():
     import numpy as np
 
@@ -377,10 +511,29 @@ def test_ring_shards(docs, rows, empty):
         slots[r.shard].append(r.slot)
         load[r.shard] += r.size
     assert set(slots) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(load.values()) <= max(sum(load.values()) / 40 * 1.05, max(r.size for r in got)) + 2000
+    cap = sum(load.values()) / 40 * (1 + ring_shards.SLACK) + 1
+    assert max(load.values()) <= max(cap, max(r.size for r in got)) + max(r.size for r in got if r.size * 64 * 40 <= sum(load.values()))
     assert ring_shards.ring_shards(empty).count() == 0
 
 
+def test_ring_overflow_goes_clockwise():
+    """Ring points 0..5 of shards 0, 1, 2, 0, 1, 2: what a full shard cannot take goes to the next one clockwise, large ones whole, small ones by flow."""
+    owner = [0, 1, 2, 0, 1, 2]
+    places, cuts = ring_shards.plan(owner, [(0, 60), (0, 50), (0, 45)], {}, 3, 100)
+    assert places == [0, 1, 1]
+    places, cuts = ring_shards.plan(owner, [], {0: 150, 3: 30, 1: 20}, 3, 100)
+    assert cuts[0] == [(100, 0), (150, 1)] and cuts[1] == [(20, 1)] and cuts[3] == [(30, 1)]
+
+
+def test_ring_moves_little(spark):
+    """Three more documents move less than a fifth of the others; rows without an id spread over the ring."""
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 200)) for i in range(3000)]
+    a, b = ({r.doc_id: r.shard for r in ring_shards.ring_shards(spark.createDataFrame(x, "doc_id long, text string"), shards=8).collect()} for x in (rows, rows + [(5000 + i, "more " * 9) for i in range(3)]))
+    assert sum(a[i] != b[i] for i in a) < 600
+    none = ring_shards.ring_shards(spark.createDataFrame([(None, f"text {i}") for i in range(800)], "doc_id long, text string"), shards=8)
+    assert min(r["count"] for r in none.groupBy("shard").count().collect()) > 80
+
+
 def test_decontamination(spark, docs, rows, empty, sf_dir, monkeypatch):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()] + [(900, "three"), (901, None), (902, "..."), (900, "other words"), (None, "x x x x")]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -417,10 +570,28 @@ def test_decontamination(spark, docs, rows, empty, sf_dir, monkeypatch):
     assert decontaminate.decontamination_report(docs, b.filter("false")).filter("contaminated").count() == 0
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.select("doc_id").distinct().count() <= docs.count()
+    # Every stage, on its own input, against the rule that it follows.
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, sf_dir)
+        assert after.columns == docs.columns and after.select("doc_id").subtract(before.select("doc_id")).count() == 0
+        if name == "toxicity":
+            bad = queries.op7_toxic_segments(spark, sf_dir).filter("predicted = 1").select("doc_id")
+            assert bag(after.select("doc_id", "text").collect()) == bag(before.join(bad, "doc_id", "left_anti").select("doc_id", "text").collect())
+        if name == "line_dedup":
+            assert bag(after.select("doc_id", "text").collect()) == Counter({x: n for x, n in kept_lines(before).items() if x[1] == dict(before.select("doc_id", "text").collect())[x[0]] or x[1].strip()})
+        if name == "ngram_jaccard":
+            named = brute_components([(r.doc_id, r.text) for r in before.collect()])
+            assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, _, c in named})
+        if name == "decontamination":
+            assert decontaminate.decontamination_report(after, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 20").count() == 0
+        after.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        before = spark.read.parquet(f"{tmp_path}/{name}")
+    assert bag(out.select("doc_id", "piece", "ids_crc32").collect()) == bag(two_fit.pack(before).select("doc_id", "piece", "ids_crc32").collect())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "decontamination", "packing"]
