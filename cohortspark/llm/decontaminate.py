@@ -113,57 +113,65 @@ def _chunks(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(cut, schema).distinct()
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, part_words: int) -> DataFrame:
-    """``docs`` (any columns and ``text``) with items and spans (in words) of every row."""
+def _searched(docs: DataFrame, benchmark: DataFrame, part_words: int, finish, schema) -> DataFrame:
+    """``finish`` (slice, items and merged spans of its rows, their words if known -> columns of ``schema``, which rows stay) for all rows of ``docs``."""
     chunks = materialise(_chunks(benchmark))
     total = chunks.agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-total // part_words))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    part, out = F.pmod(F.xxhash64("item", "text"), F.lit(n)), pa_schema(schema)
     if n == 1:
-        return _pass(docs, Phrases([(r.item, r.text) for r in chunks.collect()]))  # part_words at most
+        phrases = Phrases([(r.item, r.text) for r in chunks.collect()])  # part_words at most
+
+        def once(batches):
+            for batch in batches:
+                for b in slices(batch):
+                    words = [words_of(t) for t in texts_of(b)]
+                    yield _columns(finish(b, search(words, phrases), list(map(len, words))), out)
+
+        return docs.mapInArrow(once, schema)
     keyed = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
     hits: DataFrame | None = None
     for k in range(n):
         phrases = Phrases([(r.item, r.text) for r in chunks.filter(part == k).collect()])  # about part_words
-        own = materialise(_pass(keyed.select(ROW, "text"), phrases).filter(F.size(SPANS) > 0).select(ROW, ITEMS, SPANS))
+        own = materialise(_pass(keyed.select(ROW, "text"), phrases))
         hits = own if hits is None else hits.unionByName(own)
     # Of one row: at most a list of each part.
     met = hits.groupBy(ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ITEMS)))).alias(ITEMS), F.flatten(F.collect_list(SPANS)).alias(SPANS))
-    d = keyed.join(met, ROW, "left").drop(ROW)
-    return d.withColumn(ITEMS, F.coalesce(ITEMS, F.array().cast("array<string>"))).withColumn(SPANS, F.coalesce(SPANS, F.array().cast("array<struct<start:int,end:int>>")))
 
+    def last(batches):
+        for batch in batches:
+            for b in slices(batch):
+                spans = [merge([(x["start"], x["end"]) for x in s or ()]) for s in b.column(SPANS).to_pylist()]
+                yield _columns(finish(b, [(i or [], s) for i, s in zip(b.column(ITEMS).to_pylist(), spans)], None), out)
 
-def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """One pass over the texts: all columns of ``docs``, with the items and spans of these phrases."""
-    from pyspark.sql.types import StructType
+    return keyed.join(met, ROW, "left").drop(ROW).mapInArrow(last, schema)
 
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{ITEMS} array<string>, {SPANS} array<struct<start:int,end:int>>").fields])
-    out = pa_schema(schema)
 
-    def run(batches):
-        for batch in batches:
-            for b in slices(batch):
-                found = search([words_of(t) for t in texts_of(b)], phrases)
-                cols = {f: b.column(f) for f in b.schema.names}
-                cols[ITEMS] = [sorted(i) for i, _ in found]
-                cols[SPANS] = [[{"start": x, "end": y} for x, y in s] for _, s in found]
-                yield pa.RecordBatch.from_pydict(cols, schema=out)
+def _columns(made: tuple[dict, list[bool] | None], out: pa.Schema) -> pa.RecordBatch:
+    cols, keep = made
+    b = pa.RecordBatch.from_pydict({n: cols[n] for n in out.names}, schema=out)
+    return b if keep is None else b.filter(pa.array(keep, pa.bool_()))
+
 
-    return docs.mapInArrow(run, schema)
+def _pass(keyed: DataFrame, phrases: Phrases) -> DataFrame:
+    """One pass over the texts: row, items and spans of the rows with a hit of these phrases."""
+    schema = f"{ROW} long, {ITEMS} array<string>, {SPANS} array<struct<start:int,end:int>>"
 
+    def f(b: pa.RecordBatch) -> dict:
+        hit = [(r, *x) for r, x in zip(b.column(ROW).to_pylist(), search([words_of(t) for t in texts_of(b)], phrases)) if x[1]]
+        return {ROW: [r for r, _, _ in hit], ITEMS: [sorted(i) for _, i, _ in hit], SPANS: [[{"start": x, "end": y} for x, y in s] for _, _, s in hit]}
 
-def _spans(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
-    return [merge([(x["start"], x["end"]) for x in s]) for s in batch.column(SPANS).to_pylist()]
+    return map_text(keyed, f, schema)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans (merged, in words) of every row of ``docs``."""
 
-    def measure(b: pa.RecordBatch) -> dict:
-        spans = _spans(b)
-        return {"doc_id": b.column("doc_id"), "n_words": [len(words_of(t)) for t in texts_of(b)], "n_hit": [sum(y - x for x, y in s) for s in spans], "items": b.column(ITEMS), "spans": [[{"start": x, "end": y} for x, y in s] for s in spans]}
+    def measure(b: pa.RecordBatch, found: list, n_words: list[int] | None):
+        n = [len(words_of(t)) for t in texts_of(b)] if n_words is None else n_words
+        return {"doc_id": b.column("doc_id"), "n_words": n, "n_hit": [sum(y - x for x, y in s) for _, s in found], "items": [sorted(i) for i, _ in found], "spans": [[{"start": x, "end": y} for x, y in s] for _, s in found]}, None
 
-    return map_text(_found(docs.select("doc_id", "text"), benchmark, part_words), measure, SCHEMA)
+    return _searched(docs.select("doc_id", "text"), benchmark, part_words, measure, SCHEMA)
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
@@ -176,21 +184,16 @@ _ANY_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """The documents with every hit stretch of words cut out of the text; those of which nothing is left go. All columns are kept."""
-    out = pa_schema(docs.schema)
+    names = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            for b in slices(batch):
-                texts, spans = b.column("text").to_pylist(), _spans(b)
-                new = [_cut(t, s) if s else t for t, s in zip(texts, spans)]
-                cols = {n: b.column(n) for n in out.names}
-                cols["text"] = new
-                if "n_chars" in cols:
-                    cols["n_chars"] = [n if not s else len(t) for n, s, t in zip(b.column("n_chars").to_pylist(), spans, new)]
-                keep = pa.array([not s or bool(_ANY_WORD.search(t)) for s, t in zip(spans, new)], pa.bool_())
-                yield pa.RecordBatch.from_pydict(cols, schema=out).filter(keep)
-
-    return _found(docs, benchmark, part_words).mapInArrow(run, docs.schema)
+    def clean(b: pa.RecordBatch, found: list, n_words: list[int] | None):
+        new = [_cut(t, s) if s else t for t, (_, s) in zip(b.column("text").to_pylist(), found)]
+        cols = {n: b.column(n) for n in names} | {"text": new}
+        if "n_chars" in cols:
+            cols["n_chars"] = [n if not s else len(t) for n, (_, s), t in zip(b.column("n_chars").to_pylist(), found, new)]
+        return cols, [not s or bool(_ANY_WORD.search(t)) for (_, s), t in zip(found, new)]
+
+    return _searched(docs, benchmark, part_words, clean, docs.schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.shape import running_totals
-from .common import map_text, materialise, texts_of
+from .common import map_text, materialise, slices, texts_of
 
 MIN_WORDS = 20
 MOST_ROUNDS = 40
@@ -142,8 +142,15 @@ def _text_hash():
     return F.xxhash64("text")
 
 
+def _slices(batch: pa.RecordBatch):
+    """Parts of the batch of about SLICE_BYTES of text."""
+    text = pa.RecordBatch.from_arrays([batch.column("row").field("text"), pa.array(range(batch.num_rows))], ["text", "at"])
+    for part in slices(text):
+        yield batch.slice(part.column("at")[0].as_py(), part.num_rows)
+
+
 def _rewrite(batches, out: pa.Schema):
-    for b in batches:
+    for b in (part for batch in batches for part in _slices(batch)):
         cols = dict(zip((f.name for f in b.schema.field("row").type), b.column("row").flatten()))
         texts, runs = cols["text"].to_pylist(), b.column("runs").to_pylist()
         new, dropped = [], []

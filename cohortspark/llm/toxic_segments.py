@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, pa_schema, remainder5, texts_of
+from .common import map_text, pa_schema, remainder5, slices, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX, DRIFT, Z, BOUND, PRIOR, VOCABULARY, FOLD, FEW = 4, -0.25, 2.5, 1.64, 0.1, 20_000, 3, 4
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 40_000) -> tuple[d
 
     def look(batches):
         weights = Weights(odds)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             rows = [(*measure(t, weights), y) for t, y in zip(texts_of(b), b.column("toxic").to_pylist())]
             hist = [np.unique(np.round(w, 2), return_counts=True) for _, _, w, _ in rows]
             yield pa.RecordBatch.from_pydict({"n": [r[0] for r in rows], "scores": [sorted((s for _, _, s in r[1]), reverse=True)[:FEW] for r in rows], "toxic": [r[3] for r in rows], "value": [h[0].tolist() for h in hist], "times": [h[1].tolist() for h in hist]}, schema=out)
@@ -215,7 +215,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = 40_000) -
 
     def run(batches):
         weights = Weights(odds)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             keep = [c.probability(n, [s for _, _, s in segs]) < 0.5 for n, segs, _ in (measure(t, weights) for t in texts_of(b))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
