@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sentinel codes of survey answers (fixed values).
-SENTINELS = (7.0, 9.0, 77.0, 99.0, 777.0, 999.0, 7777.0, 9999.0, 77777.0, 99999.0)
+SENTINELS = (7.0, 9.0, 77.0, 99.0, 777.0, 999.0, 6666.0, 7777.0, 9999.0, 99999.0)
 
 
 def clean(c: Column) -> Column:
@@ -80,6 +80,31 @@ def reciprocal(c: Column, k: float = 100.0) -> Column:
     return F.when(c > 0, k / c)
 
 
+def square(c: Column) -> Column:
+    return c * c
+
+
+def change(prior: Column, now: Column) -> Column:
+    return now - prior
+
+
+def interaction(a: Column, b: Column) -> Column:
+    return a * b
+
+
+def year_of(c: Column) -> Column:
+    return F.year(c)
+
+
+def missing_burden(cols: Sequence[str]) -> Column:
+    return missing_count(cols) / float(len(cols))
+
+
+def current_status(ever: Column, now: Column) -> Column:
+    """1 current, 0 known not to be."""
+    return F.when(ever == 2, 0.0).when(now.isin(1, 2), 1.0).when(now == 3, 0.0)
+
+
 def band(c: Column, edges: Sequence[float], labels: Sequence[str] | None = None, right: bool = True) -> Column:
     """Bins (e0, e1], ..., (e_last, inf) if ``right``, else [e0, e1), ...; outside of all: NULL."""
     labels = labels or [str(i) for i in range(len(edges))]
@@ -111,8 +136,8 @@ def map_ordinal(c: Column, mapping: Mapping[str, float]) -> Column:
 
 
 def horizon_event(event: Column, time: Column, horizon: float) -> Column:
-    """1 event within the horizon, 0 known to be free of it until then, NULL censored before."""
-    return F.when((event == 1) & (time <= horizon), 1.0).when(time >= horizon, 0.0)
+    """1 event within the horizon, 0 known to be free of it until then, NULL censored before or event unknown."""
+    return F.when((event == 1) & (time <= horizon), 1.0).when(event.isNotNull() & (time >= horizon), 0.0)
 
 
 def parse_utc(c: Column) -> Column:

@@ -13,14 +13,16 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shape import uniform
+from .shape import to_long, uniform
+from .stats import exact_quantiles
 
 
 # ---- preprocessing -------------------------------------------------------------------------------------------------------------
 def fit_impute(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, bool]]:
     """Median and whether the column had NULLs in the fit."""
-    r = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in cols), *(F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols)).first()
-    return {c: (r[f"m_{c}"], r[f"n_{c}"] > 0) for c in cols}
+    r = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols)).first()
+    medians = {x.feature: x.q[0] for x in exact_quantiles(to_long(df, [], cols), "value", (0.5,), ["feature"]).collect()}  # one row a column
+    return {c: (medians.get(c, 0.0), r[f"n_{c}"] > 0) for c in cols}
 
 
 def apply_impute(df: DataFrame, fitted: dict[str, tuple[float, bool]]) -> DataFrame:
@@ -31,8 +33,8 @@ def apply_impute(df: DataFrame, fitted: dict[str, tuple[float, bool]]) -> DataFr
 def fit_onehot(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[str, list[str]]]:
     out = {}
     for c in cols:
-        rows = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1000).collect()  # categories, at most 1000
-        out[c] = (rows[0][0], sorted(r[0] for r in rows))
+        rows = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).collect()  # the categories, each a column of the result
+        out[c] = (rows[0][0] if rows else None, sorted(r[0] for r in rows))
     return out
 
 
@@ -41,8 +43,8 @@ def apply_onehot(df: DataFrame, fitted: dict[str, tuple[str, list[str]]]) -> Dat
 
 
 def fit_robust_scale(df: DataFrame, cols: Sequence[str], low: float = 0.1, high: float = 0.9) -> dict[str, tuple[float, float]]:
-    r = df.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(c) for c in cols)).first()
-    return {c: (r[c][1], (r[c][2] - r[c][0]) or 1.0) for c in cols}
+    r = {x.feature: x.q for x in exact_quantiles(to_long(df, [], cols), "value", (low, 0.5, high), ["feature"]).collect()}  # one row a column
+    return {c: (r[c][1], (r[c][2] - r[c][0]) or 1.0) if c in r else (0.0, 1.0) for c in cols}
 
 
 def fit_standard_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -55,7 +57,10 @@ def apply_scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFr
 
 
 def _features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
+    """Vectors; a NULL feature counts as 0 (impute first where that is not meant)."""
+    known = df.withColumns({f"_f_{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(cols)})
+    names = [f"_f_{i}" for i in range(len(cols))]
+    return VectorAssembler(inputCols=names, outputCol="_x").transform(known).drop(*names)
 
 
 def balanced(df: DataFrame, y: str) -> DataFrame:
@@ -167,12 +172,12 @@ def isolation_forest(df: DataFrame, key: str, vec: str, trees: int = 100, sample
     """Trees are built in tasks from hash samples of at most ``sample`` rows each; scoring is one pass over all rows."""
     n = df.count()
     share = min(1.0, 2.0 * sample / max(1, n))
-    drawn = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", uniform(seed, "tree", key)).filter(F.col("_u") < share).select("tree", F.col(vec).cast("array<double>").alias("v"))
+    drawn = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", uniform(seed, "tree", key)).filter(F.col("_u") < share).select("tree", "_u", F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
 
     def build(key_, pdf):
         import pandas as pd
 
-        x = np.stack(pdf["v"].to_numpy())[:sample]
+        x = np.stack(pdf.sort_values(["_u", "k"])["v"].to_numpy())[:sample]  # the smallest hashes, in whatever order rows arrive
         rng, nodes = np.random.default_rng(seed * 1_000_003 + int(key_[0])), []
 
         def grow(rows: np.ndarray, depth: int) -> int:

@@ -62,12 +62,32 @@ def parity(a: DataFrame, b: DataFrame, key: Sequence[str], value: str, tolerance
     return j.agg(F.count("*").alias("compared"), missing.alias("missing"), worst.alias("max_abs_difference"), ((missing == 0) & (F.coalesce(worst, F.lit(0.0)) <= tolerance)).alias("passed"))
 
 
-def knn(queries: DataFrame, base: DataFrame, query_id: str, base_id: str, vec: str, k: int = 3) -> DataFrame:
-    """Exact k nearest neighbours by squared distance: queries are dealt against all of ``base`` and kept by rank."""
-    d2 = F.aggregate(F.zip_with("_q", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    pairs = queries.select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("_q")).join(base.select(F.col(base_id).alias("base_id"), F.col(vec).cast("array<double>").alias("_b")), F.col("query_id") != F.col("base_id"))
-    ranked = pairs.select("query_id", "base_id", d2.alias("d2")).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "base_id"))), 1, k).alias("near"))
-    return ranked.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.base_id", "x.d2")
+def knn(queries: DataFrame, base: DataFrame, query_id: str, base_id: str, vec: str, k: int = 3, block: int = 4096) -> DataFrame:
+    """Exact k nearest neighbours by squared distance. Queries and base rows are dealt into blocks of about ``block`` rows by hash; each pair of blocks is
+    compared in one task, which keeps k per query; those few are ranked in the end."""
+    dealt = lambda d, key, n: d.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    nq, nb = (max(1, -(-d.count() // block)) for d in (queries, base))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = dealt(queries, query_id, nq).withColumn("b", every(nb)).withColumnRenamed("own", "q")
+    b = dealt(base, base_id, nb).withColumn("q", every(nq)).withColumnRenamed("own", "b")
+
+    def nearest(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        if len(left) and len(right):
+            y, ids = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
+            for i, x in zip(left["id"], left["v"]):
+                d2 = ((y - np.asarray(x)) ** 2).sum(1)
+                d2[ids == i] = np.inf
+                best = np.lexsort((ids, d2))[:k]
+                out += [(int(i), int(ids[j]), float(d2[j])) for j in best if np.isfinite(d2[j])]
+        return pd.DataFrame(out, columns=["query_id", "base_id", "d2"])
+
+    near = q.groupBy("q", "b").cogroup(b.groupBy("q", "b")).applyInPandas(nearest, "query_id long, base_id long, d2 double")
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "base_id"))
+    return near.withColumn("rank", r).filter(F.col("rank") <= k).select("query_id", "rank", "base_id", "d2")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
@@ -186,10 +206,10 @@ def one_hot(df: DataFrame, c: str, values: Sequence[str], prefix: str | None = N
     return df.withColumns({f"{prefix or c}_{v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for v in values})
 
 
-def visit_matrix(events: DataFrame, entity: str, ts: str, code: str, value: str, features: Sequence[str]) -> DataFrame:
-    """One row per (entity, time): a value and a mask per feature, the gap and the density; one pivot with fixed values, so no extra job."""
-    m = events.groupBy(entity, ts).pivot(code, list(features)).agg(F.last(value, ignorenulls=True))
-    m = m.select(entity, ts, *(F.col(f).alias(f"feature_{f}") for f in features)).withColumns({f"mask_{f}": F.col(f"feature_{f}").isNotNull().cast("int") for f in features})
+def visit_matrix(events: DataFrame, entity: str, ts: str, code: str, value: str, features: Sequence[str], order: str) -> DataFrame:
+    """One row per (entity, time): the first value by ``order``, NULL included, and a mask per feature, the gap and the density; one pivot with fixed values, so no extra job."""
+    m = events.groupBy(entity, ts).pivot(code, list(features)).agg(F.min_by(F.struct(F.col(value).alias("v")), F.col(order)))
+    m = m.select(entity, ts, *(F.col(f)["v"].alias(f"feature_{f}") for f in features)).withColumns({f"mask_{f}": F.col(f"feature_{f}").isNotNull().cast("int") for f in features})
     w = Window.partitionBy(entity)
     m = visit_index(gap_since_previous(m, entity, ts), entity, ts)
     span = days_between(F.max(ts).over(w), F.min(ts).over(w))

@@ -26,26 +26,40 @@ def first_by(df: DataFrame, entity: str, value: str, order: str) -> DataFrame:
 def coverage(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Share of non-NULL values overall and by each cut, in one pass (grouping sets)."""
     long = to_long(df, list(by), cols)
-    sets = ", ".join(["(feature)", *(f"(feature, {b})" for b in by)])
-    long.createOrReplaceTempView("_coverage_long")
-    return df.sparkSession.sql(f"SELECT feature, {', '.join(by)}, avg(CASE WHEN value IS NOT NULL THEN 1.0D ELSE 0.0D END) AS coverage, count(*) AS n FROM _coverage_long GROUP BY GROUPING SETS ({sets})")
+    share = F.avg(F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0))
+    g = long.groupingSets([["feature"], *(["feature", b] for b in by)], "feature", *by)
+    return g.agg(share.alias("coverage"), F.count("*").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, q (array, linear interpolation) from running counts of distinct values: no group's values meet in one task. NULL values and groups are left out."""
+    known = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [value, *by]))
+    r = running_totals(known.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("n")), ["_x"], ["n"], by=by)
+    place = lambda p: F.lit(float(p)) * (F.col("n_total") - 1)
+    at = lambda h: F.max(F.when((F.col("n_before") <= h) & (h < F.col("n_before") + F.col("n")), F.col("_x")))
+    ends = [c for i, p in enumerate(probs) for c in (at(F.floor(place(p))).alias(f"_l{i}"), at(F.ceil(place(p))).alias(f"_h{i}"))]
+    g = r.groupBy(*by).agg(F.max("n_total").alias("n_total"), *ends)
+    return g.select(*by, F.array(*(F.col(f"_l{i}") + (place(p) - F.floor(place(p))) * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i, p in enumerate(probs))).alias("q"))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    q = to_long(df, list(by), cols).groupBy(*by, "feature").agg(F.percentile("value", list(map(F.lit, probs)) and F.array(*map(F.lit, probs))).alias("q"))
+    q = exact_quantiles(to_long(df, list(by), cols), "value", probs, [*by, "feature"])
     return q.select(*by, "feature", *(F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(probs)))
 
 
 def distribution(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
-    at = lambda p: F.percentile(c, F.lit(p))
-    return df.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    q = exact_quantiles(df, c, (0.5, 0.9, 0.95, 0.99), by)
+    m = df.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"))
+    d = m.join(q, list(by), "left") if by else m.crossJoin(q)  # single rows
+    return d.select(*by, "mean", "sd", *(F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))))
 
 
 def cycle_drift(df: DataFrame, cols: Sequence[str], cycle: str, limit: float = 0.5, least: float = 0.01) -> DataFrame:
     """Largest shift of a cycle's median in units of the pooled interquartile range; cycles measured in over ``least`` of rows count."""
     long = to_long(df, [cycle], cols)
-    pooled = long.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("m"), (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr")).filter("iqr > 0")
-    per = long.groupBy("feature", cycle).agg(F.percentile("value", F.lit(0.5)).alias("cm"), F.avg(F.col("value").isNotNull().cast("double")).alias("share"))
+    pooled = exact_quantiles(long, "value", (0.25, 0.5, 0.75), ["feature"]).select("feature", F.col("q")[1].alias("m"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")).filter("iqr > 0")
+    share = long.groupBy("feature", cycle).agg(F.avg(F.col("value").isNotNull().cast("double")).alias("share"))
+    per = share.join(exact_quantiles(long, "value", (0.5,), ["feature", cycle]).select("feature", cycle, F.col("q")[0].alias("cm")), ["feature", cycle])
     used = per.filter(F.col("share") > least).join(pooled, "feature")
     return used.groupBy("feature").agg(F.max(F.abs(F.col("cm") - F.col("m")) / F.col("iqr")).alias("max_shift"), F.count("*").alias("cycles")).withColumn("drift", F.col("max_shift") > limit)
 
@@ -97,8 +111,9 @@ def trajectory_features(visits: DataFrame, entity: str, ts: str, cols: Sequence[
     for c in cols:
         v, t = F.col(c), F.when(F.col(c).isNotNull(), F.col("_t"))
         last, first = F.max_by(v, t), F.min_by(v, t)
-        slope = F.when(F.count(v) >= 2, F.try_divide(F.covar_pop(v, t), F.nullif(F.var_pop(t), F.lit(0.0))))
-        aggs += [F.count(v).alias(f"{c}_observed_count"), last.alias(f"{c}_last"), F.avg(v).alias(f"{c}_mean"), F.when(F.count(v) >= 2, last - first).alias(f"{c}_delta"), slope.alias(f"{c}_slope_per_year")]
+        # Of one value, or values of one time, change and slope are 0; without any they are unknown.
+        slope = F.when(F.count(v) > 0, F.coalesce(F.try_divide(F.covar_pop(v, t), F.nullif(F.var_pop(t), F.lit(0.0))), F.lit(0.0)))
+        aggs += [F.count(v).alias(f"{c}_observed_count"), last.alias(f"{c}_last"), F.avg(v).alias(f"{c}_mean"), F.when(F.count(v) >= 2, last - first).when(F.count(v) > 0, 0.0).alias(f"{c}_delta"), slope.alias(f"{c}_slope_per_year")]
     seen = sum((F.count(c) for c in cols), F.lit(0))
     burden = 1 - seen / (F.count("*") * len(cols))
     return d.groupBy(entity).agg(F.count("*").alias("visit_count"), (F.max("_t") * 365.25).alias("history_days"), burden.alias("missingness_burden"), *aggs)
@@ -131,18 +146,26 @@ def correlation_ratio(df: DataFrame, label: str, value: str, least: int = 10) ->
     return t.select(F.when(F.col("n") >= least, F.sqrt((F.col("b") - mean2) / F.nullif(F.col("s2") - mean2, F.lit(0.0)))).alias("eta"))
 
 
-def robust_location_scale(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
-    """Median and 1.4826 times the median absolute deviation (1e-8 at least)."""
-    m = df.groupBy(*by).agg(F.percentile(c, F.lit(0.5)).alias("median"))
-    d = df.join(F.broadcast(m), list(by)) if by else df.crossJoin(F.broadcast(m))  # m has one row a group
-    return d.groupBy(*by, "median").agg(F.greatest(1.4826 * F.percentile(F.abs(F.col(c) - F.col("median")), F.lit(0.5)), F.lit(1e-8)).alias("scale"))
+def _median(df: DataFrame, c: str, by: Sequence[str], name: str) -> DataFrame:
+    return exact_quantiles(df, c, (0.5,), by).select(*by, F.col("q")[0].alias(name))
+
+
+def robust_location_scale(df: DataFrame, c: str, by: Sequence[str] = (), floor: float = 1e-8) -> DataFrame:
+    """Median and 1.4826 times the median absolute deviation (``floor`` at least)."""
+    m = _median(df, c, by, "median")
+    d = df.join(m, list(by)) if by else df.crossJoin(F.broadcast(m))  # without groups m has one row
+    mad = _median(d.withColumn("_off", F.abs(F.col(c) - F.col("median"))), "_off", by, "mad")
+    out = m.join(mad, list(by)) if by else m.crossJoin(mad)  # single rows
+    return out.select(*by, "median", F.greatest(1.4826 * F.col("mad"), F.lit(floor)).alias("scale"))
 
 
-def robust_smd(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(median of the group - median of the others) / scale of the others, for a 0/1 group column."""
-    ref = robust_location_scale(df.filter(F.col(group) == 0), value)
-    g = df.filter(F.col(group) == 1).agg(F.percentile(value, F.lit(0.5)).alias("gm"))
-    return g.crossJoin(ref).select(((F.col("gm") - F.col("median")) / F.col("scale")).alias("robust_smd"))  # two single rows
+def robust_smd(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
+    """(median of the group - median of the others) / scale of the others, for a 0/1 group column; NULL with fewer than ``least`` values on a side or no scale."""
+    ref = robust_location_scale(df.filter(F.col(group) == 0), value, floor=0.0)
+    g = _median(df.filter(F.col(group) == 1), value, (), "gm")
+    n = df.agg(F.count(F.when(F.col(group) == 1, F.col(value))).alias("a"), F.count(F.when(F.col(group) == 0, F.col(value))).alias("b"))
+    smd = F.try_divide(F.col("gm") - F.col("median"), F.nullif("scale", F.lit(0.0)))
+    return n.join(g, how="left").join(ref, how="left").select(F.when((F.col("a") >= least) & (F.col("b") >= least), smd).alias("robust_smd"))  # single rows
 
 
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
@@ -157,7 +180,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def top_flag_jaccard(df: DataFrame, a: str, b: str, q: float = 0.95) -> DataFrame:
-    cut = df.agg(F.percentile(a, F.lit(q)).alias("_qa"), F.percentile(b, F.lit(q)).alias("_qb"))
+    cut = exact_quantiles(df, a, (q,)).select(F.col("q")[0].alias("_qa")).crossJoin(exact_quantiles(df, b, (q,)).select(F.col("q")[0].alias("_qb")))  # single rows
     d = df.crossJoin(F.broadcast(cut))  # one row
     x, y = F.col(a) >= F.col("_qa"), F.col(b) >= F.col("_qb")
     return d.agg((F.count_if(x & y) / F.count_if(x | y)).alias("jaccard"))

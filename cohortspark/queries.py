@@ -94,7 +94,7 @@ add("w_last_k", lambda s, d: H.reverse_index(H.last_k(ev(s, d), "user_id", "ts",
 add("w_keep_last", lambda s, d: H.keep_last(ev(s, d), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value"),
     f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) k FROM ev) SELECT user_id, event_type, event_id, value FROM r WHERE k = 1")
 add("w_order_violations", lambda s, d: H.order_violations(od(s, d), "cust", "d", "id"),
-    f"WITH {OD}, l AS (SELECT cust, d < lag(d) OVER (PARTITION BY cust ORDER BY id) b FROM od) SELECT cust, CAST(count_if(b) AS BIGINT) AS violations FROM l GROUP BY 1")
+    f"WITH {OD}, l AS (SELECT cust, d < lag(d) OVER (PARTITION BY cust ORDER BY id) b FROM od) SELECT cust, CAST(coalesce(count_if(b), 0) AS BIGINT) AS violations FROM l GROUP BY 1")
 add("w_pct_rank", lambda s, d: r6(H.average_pct_rank(od(s, d).select("id", "score"), "score").select("id", "score_pct")),
     f"WITH {OD} SELECT id, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) / count(*) OVER (), 6) AS score_pct FROM od")
 add("w_reference_percentile", lambda s, d: r6(H.reference_percentile(od(s, d).filter("yr >= 2000").select("id", "score"), "score", od(s, d).filter("yr < 2000"), "score").select("id", "percentile")),
@@ -109,8 +109,8 @@ add("u_overlap", lambda s, d: H.overlap(od(s, d), "cust", "st"),
     f"WITH {OD} SELECT cust, count(DISTINCT st) AS splits FROM od GROUP BY 1 HAVING count(DISTINCT st) > 1")
 add("u_union_loose", lambda s, d: H.union_loose([od(s, d).filter("y = 1").select("id", "price"), od(s, d).filter("t = 1").select("id", "score")]),
     f"WITH {OD} SELECT id, price, NULL::DOUBLE AS score FROM od WHERE y = 1 UNION ALL SELECT id, NULL, score FROM od WHERE t = 1")
-add("n_visit_matrix", lambda s, d: r6(H.visit_matrix(ev(s, d).withColumn("day", F.date_trunc("day", "ts")).groupBy("user_id", "day", "event_type").agg(F.avg("value").alias("value")), "user_id", "day", "event_type", "value", TYPES).withColumn("visit_index", F.col("visit_index").cast("long")).withColumn("observed_feature_count", F.col("observed_feature_count").cast("long")).drop(*(f"mask_{t}" for t in TYPES))),
-    f"WITH {EV}, a AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, event_type, avg(value) v FROM ev GROUP BY ALL), m AS (SELECT user_id, day, " + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN v END) AS feature_{t}" for t in TYPES) + " FROM a GROUP BY 1, 2) SELECT user_id, day, " + ", ".join(f"round(feature_{t}, 6) AS feature_{t}" for t in TYPES) + ", round(coalesce((epoch_us(day) - epoch_us(lag(day) OVER w)) / 86400000000.0, 0.0), 6) AS gap_days, CAST(dense_rank() OVER w - 1 AS BIGINT) AS visit_index, round(count(*) OVER p / (greatest((epoch_us(max(day) OVER p) - epoch_us(min(day) OVER p)) / 86400000000.0, 1.0) / 365.25), 4) AS visit_density_per_year, CAST(" + " + ".join(f"(feature_{t} IS NOT NULL)::INT" for t in TYPES) + " AS BIGINT) AS observed_feature_count FROM m WINDOW w AS (PARTITION BY user_id ORDER BY day), p AS (PARTITION BY user_id)")
+add("n_visit_matrix", lambda s, d: r6(H.visit_matrix(ev(s, d).withColumn("day", F.date_trunc("day", "ts")), "user_id", "day", "event_type", "value", TYPES, "event_id").withColumn("visit_index", F.col("visit_index").cast("long")).withColumn("observed_feature_count", F.col("observed_feature_count").cast("long")).drop(*(f"mask_{t}" for t in TYPES))),
+    f"WITH {EV}, a AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, event_type, arg_min({{'v': value}}, event_id).v AS v FROM ev GROUP BY 1, 2, 3), m AS (SELECT user_id, day, " + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN v END) AS feature_{t}" for t in TYPES) + " FROM a GROUP BY 1, 2) SELECT user_id, day, " + ", ".join(f"round(feature_{t}, 6) AS feature_{t}" for t in TYPES) + ", round(coalesce((epoch_us(day) - epoch_us(lag(day) OVER w)) / 86400000000.0, 0.0), 6) AS gap_days, CAST(dense_rank() OVER w - 1 AS BIGINT) AS visit_index, round(count(*) OVER p / (greatest((epoch_us(max(day) OVER p) - epoch_us(min(day) OVER p)) / 86400000000.0, 1.0) / 365.25), 4) AS visit_density_per_year, CAST(" + " + ".join(f"(feature_{t} IS NOT NULL)::INT" for t in TYPES) + " AS BIGINT) AS observed_feature_count FROM m WINDOW w AS (PARTITION BY user_id ORDER BY day), p AS (PARTITION BY user_id)")
 add("n_intervals", lambda s, d: H.person_intervals(od(s, d).withColumn("time", F.col("score") * 2000).withColumn("event", F.col("y") + 2 * F.col("t")), "time", "event", 1825.0, 182.625).select("id", F.col("interval").cast("long").alias("interval"), F.col("event_here").cast("long").alias("event_here"), F.col("competing_here").cast("long").alias("competing_here")),
     f"WITH {OD}, a AS (SELECT id, score * 2000 AS time, y + 2 * t AS event FROM od), b AS (SELECT *, CAST(ceil(least(greatest(time, 1.0), 1825.0) / 182.625) AS INT) n FROM a), c AS (SELECT *, unnest(range(n)) AS interval FROM b) SELECT id, CAST(interval AS BIGINT) AS interval, CAST(interval = n - 1 AND time <= 1825 AND event = 1 AS BIGINT) AS event_here, CAST(interval = n - 1 AND time <= 1825 AND event = 2 AS BIGINT) AS competing_here FROM c")
 add("n_sequences", lambda s, d: H.sequences(ev(s, d), "user_id", "ts", ["value"], 4).select("user_id", F.col("length").cast("long").alias("length"), F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[0]), 6).alias("total"), F.size("sequence").cast("long").alias("padded")),
@@ -151,7 +151,7 @@ add("a_horizon_gate", lambda s, d: S.horizon_gate(od(s, d).withColumn("time", F.
 add("a_class_balance", lambda s, d: r6(S.class_balance(od(s, d).withColumn("time", F.col("score") * 2000).withColumn("cause", F.col("y") + 2 * F.col("t")), [365, 1095], "time", "cause").withColumn("horizon", F.col("horizon").cast("long"))),
     f"WITH {OD}, h AS (SELECT unnest([365, 1095]) AS horizon), a AS (SELECT horizon, score * 2000 AS time, y + 2 * t AS cause FROM od, h), g AS (SELECT horizon, count_if(cause = 1 AND time <= horizon) c, count_if(cause = 2 AND time <= horizon) k, count_if(cause = 0 AND time < horizon) z, count_if(NOT (cause = 0 AND time < horizon) AND NOT (cause = 2 AND time <= horizon)) e FROM a GROUP BY 1) SELECT CAST(horizon AS BIGINT) AS horizon, CAST(c AS BIGINT) AS cases, CAST(k AS BIGINT) AS competing, CAST(z AS BIGINT) AS censored, CAST(e AS BIGINT) AS eligible, round(c / e, 6) AS prevalence FROM g")
 add("a_trajectory", lambda s, d: r6(S.trajectory_features(ev(s, d), "user_id", "ts", ["value"])),
-    f"WITH {EV}, a AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 86400000000.0 / 365.25 AS yt FROM ev) SELECT user_id, count(*) AS visit_count, round(max(yt) * 365.25, 6) AS history_days, round(1 - count(value) / count(*), 6) AS missingness_burden, count(value) AS value_observed_count, round(arg_max(value, CASE WHEN value IS NOT NULL THEN yt END), 6) AS value_last, round(avg(value), 6) AS value_mean, round(CASE WHEN count(value) >= 2 THEN arg_max(value, CASE WHEN value IS NOT NULL THEN yt END) - arg_min(value, CASE WHEN value IS NOT NULL THEN yt END) END, 6) AS value_delta, round(CASE WHEN count(value) >= 2 THEN covar_pop(value, yt) FILTER (value IS NOT NULL) / var_pop(yt) FILTER (value IS NOT NULL) END, 6) AS value_slope_per_year FROM a GROUP BY 1")
+    f"WITH {EV}, a AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 86400000000.0 / 365.25 AS yt FROM ev) SELECT user_id, count(*) AS visit_count, round(max(yt) * 365.25, 6) AS history_days, round(1 - count(value) / count(*), 6) AS missingness_burden, count(value) AS value_observed_count, round(arg_max(value, CASE WHEN value IS NOT NULL THEN yt END), 6) AS value_last, round(avg(value), 6) AS value_mean, round(CASE WHEN count(value) >= 2 THEN arg_max(value, CASE WHEN value IS NOT NULL THEN yt END) - arg_min(value, CASE WHEN value IS NOT NULL THEN yt END) WHEN count(value) = 1 THEN 0.0 END, 6) AS value_delta, round(CASE WHEN count(value) >= 2 THEN coalesce(covar_pop(value, yt) FILTER (value IS NOT NULL) / nullif(var_pop(yt) FILTER (value IS NOT NULL), 0), 0.0) WHEN count(value) = 1 THEN 0.0 END, 6) AS value_slope_per_year FROM a GROUP BY 1")
 add("a_cramers_v", lambda s, d: r6(S.cramers_v(od(s, d), "pri", "st")),
     f"WITH {OD}, c AS (SELECT pri, st, count(*)::DOUBLE n FROM od GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY pri) a, sum(n) OVER (PARTITION BY st) b FROM c), s AS (SELECT sum(n) n, sum(n * n / (a * b)) q, count(DISTINCT pri) r, count(DISTINCT st) k FROM m) SELECT round(n * (q - 1), 6) AS chi2, round(sqrt(greatest(0, (q - 1) - (k - 1) * (r - 1) / (n - 1)) / least(r - (r - 1) * (r - 1) / (n - 1) - 1, k - (k - 1) * (k - 1) / (n - 1) - 1)), 6) AS cramers_v FROM s")
 add("a_correlation_ratio", lambda s, d: r6(S.correlation_ratio(od(s, d), "pri", "price")),

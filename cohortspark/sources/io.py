@@ -60,6 +60,8 @@ def read_batches(spark: SparkSession, manifests: str) -> DataFrame:
     """Batches listed by JSON sidecars (path, batch, seed, status); only complete ones are read, stamped by batch and seed."""
     rows = spark.read.json(manifests).filter("status = 'complete'").select("path", "batch", "seed").collect()  # one row a batch
     frames = [spark.read.parquet(r.path).withColumn("source_batch", F.lit(r.batch)).withColumn("source_seed", F.lit(r.seed)) for r in rows]
+    if not frames:
+        raise FileNotFoundError("no complete batch")
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
