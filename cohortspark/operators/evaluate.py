@@ -102,8 +102,8 @@ def permutation_importance(test: DataFrame, y: str, cols: Sequence[str], key: st
 def time_reversal_control(visits: DataFrame, entity: str, ts: str, value: str, labels: DataFrame, y: str, least_drop: float = 0.02) -> DataFrame:
     """AUROC of the slope with visits in order and in reversed order; an order-sensitive score must lose ``least_drop``."""
     slope = f"{value}_slope_per_year"
-    w = Window.partitionBy(entity)
-    back = visits.withColumn(ts, F.timestamp_micros(F.unix_micros(F.min(ts).over(w)) + F.unix_micros(F.max(ts).over(w)) - F.unix_micros(ts)))
+    w, at = Window.partitionBy(entity), F.unix_micros(F.col(ts).cast("timestamp"))
+    back = visits.withColumn(ts, F.timestamp_micros(F.min(at).over(w) + F.max(at).over(w) - at))
     one = lambda v: stats.auroc(stats.trajectory_features(v, entity, ts, [value]).join(labels, entity), y, slope)
     d = one(visits).withColumnRenamed("auroc", "forward").crossJoin(one(back).withColumnRenamed("auroc", "reversed"))  # two single rows
     return d.withColumn("admissible", F.col("forward") - F.col("reversed") >= least_drop)

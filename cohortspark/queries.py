@@ -236,3 +236,5 @@ add("l_isolation_forest", lambda s, d: M.isolation_forest(EMB(s, d), "vec_id", "
 add("l_kmeans", lambda s, d: (lambda fit: M.margin_confidence(fit[0], "embedding", fit[1]).select("vec_id", "cluster", "margin"))(M.kmeans(EMB(s, d), "embedding", 4)))
 add("l_mixture", lambda s, d: M.mixture(EMB(s, d), "embedding", 3).select("vec_id", "cluster", "confidence"))
 add("s_fingerprint", lambda s, d: IO.frame_fingerprint(od(s, d)))
+
+from . import queries_more  # noqa: E402, F401  registers the rest

@@ -6,7 +6,7 @@ import pytest
 
 from cohortspark.queries import QUERIES, SQL
 
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings documents".split()
 
 
 def plain(df: pd.DataFrame) -> list:
@@ -60,3 +60,61 @@ def test_c_index_takes_all_rows(spark):
     got = c_index(df, "t", "e", "r").first().c_index
     assert abs(got - won[ok].sum() / ok.sum()) < 1e-12
     assert c_index(df.filter("false"), "t", "e", "r").first().c_index is None
+
+
+def test_names_and_reports_on_the_schema(spark):
+    """What is decided on names, without data."""
+    import pytest as pt
+
+    from cohortspark.operators import screen
+    from cohortspark.plans import quality
+
+    df = spark.createDataFrame([(1, 2.0, None, "a")], "id int, price double, void double, note string")
+    got = quality.leakage_report(df, ["price", "y", "secret", "gone"], ["secret"], ["y"]).collect()
+    assert [tuple(r) for r in got] == [("price", None, False), ("y", "label", True), ("secret", "denied", True), ("gone", "absent", False)]
+    assert screen.source_of(["age_x", "age_band_1", "other"], ["age", "age_band"]) == {"age_x": "age", "age_band_1": "age_band", "other": None}
+    assert screen.field_sets(df, ["void"], ["note"], ["gone", "price"]) == (["price"], ["note"])
+    assert screen.schema_report(df, ["price", "note", "x"]).first()[:] == (4, 3, 2, "x", "note")
+    names = spark.createDataFrame([("Patient_Name",), ("age",)], "n string")
+    assert [tuple(r) for r in screen.name_reasons(names, "n", [("identifier", "name"), ("other", "p")]).collect()] == [("Patient_Name", "identifier")]
+    with pt.raises(ValueError):
+        screen.allowed_features(df, ["price", "secret_1"], [], ["secret_"])
+    with pt.raises(ValueError):
+        quality.raise_if_blocking(spark.createDataFrame([("rows", "blocking")], "section string, level string"))
+
+
+def test_effect_falls_back(spark):
+    """Without what the adjusted effect needs the plain difference is given, and said so."""
+    from cohortspark.operators.evaluate import effect_with_fallback
+
+    df = spark.createDataFrame([(1, 5.0), (0, 3.0), (1, 7.0)], "t int, y double")
+    r = effect_with_fallback(df, "t", "y", ["absent"]).first()
+    assert (r.effect, r.execution_mode) == (3.0, "difference_in_means")
+
+
+def test_robust_smd_without_scale_or_values(spark):
+    from cohortspark.operators.stats import robust_smd
+
+    few = spark.createDataFrame([(1, 1.0)] * 4 + [(0, float(i)) for i in range(9)], "g int, v double")
+    flat = spark.createDataFrame([(1, float(i)) for i in range(9)] + [(0, 2.0)] * 9, "g int, v double")
+    assert robust_smd(few, "g", "v").first().robust_smd is None and robust_smd(flat, "g", "v").first().robust_smd is None
+
+
+def test_calibration_line(spark):
+    """Scores that are right have slope 1 and intercept 0; overconfident ones a slope under 1. Checked against plain Newton steps."""
+    import numpy as np
+
+    from cohortspark.operators.evaluate import calibration_line
+
+    g = np.random.default_rng(1)
+    p = g.uniform(0.05, 0.95, 4000)
+    y = (g.uniform(size=4000) < p).astype(int)
+    sharp = 1 / (1 + np.exp(-2 * np.log(p / (1 - p))))
+    for score, low, high in ((p, 0.85, 1.15), (sharp, 0.4, 0.6)):
+        r = calibration_line(spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, score)], "y int, p double"), "y", "p").first()
+        x = np.stack([np.ones(4000), np.log(score / (1 - score))], 1)
+        w = np.zeros(2)
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-x @ w))
+            w = w + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([0.0, 1.0]), x.T @ (y - q) - np.array([0.0, w[1]]))
+        assert abs(r.slope - w[1]) < 1e-6 and low < r.slope < high and abs(r.intercept - (y.mean() - score.mean())) < 1e-9
