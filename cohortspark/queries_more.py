@@ -89,8 +89,8 @@ add("n_normaliser", lambda s, d: r6(s.createDataFrame([(c, float(m), float(v)) f
 add("l_impute", lambda s, d: r6(M.apply_impute(od(s, d), M.fit_impute(od(s, d).filter("yr < 1997"), ["price", "score"])).select("id", "price", "score", "price_missing")), f"WITH {OD}, m AS (SELECT quantile_cont(price, 0.5) q FROM od WHERE yr < 1997) SELECT id, round(coalesce(price, q), 6) AS price, score, (price IS NULL)::DOUBLE AS price_missing FROM od, m")
 add("l_onehot", lambda s, d: M.apply_onehot(od(s, d).withColumn("st", F.when(F.col("id") % 5 != 0, F.col("st"))), M.fit_onehot(od(s, d).filter("st <> 'P'"), ["st"])).select("id", F.col("st=F").alias("st_f"), F.col("st=O").alias("st_o")),
     f"WITH {OD}, m AS (SELECT st FROM od WHERE st <> 'P' GROUP BY 1 ORDER BY count(*) DESC, st LIMIT 1), x AS (SELECT id, coalesce(CASE WHEN id % 5 <> 0 THEN od.st END, m.st) z FROM od, m) SELECT id, (z = 'F')::DOUBLE AS st_f, (z = 'O')::DOUBLE AS st_o FROM x")
-add("l_robust_scale", lambda s, d: r6(M.apply_scale(od(s, d), M.fit_robust_scale(od(s, d), ["price"])).select("id", "price")), f"WITH {OD}, q AS (SELECT quantile_cont(price, 0.5) m, quantile_cont(price, 0.9) - quantile_cont(price, 0.1) r FROM od) SELECT id, round((price - m) / r, 6) AS price FROM od, q")
-add("l_standard_scale", lambda s, d: r6(M.apply_scale(od(s, d), M.fit_standard_scale(od(s, d), ["price"])).select("id", "price")), f"WITH {OD}, q AS (SELECT avg(price) m, stddev_pop(price) r FROM od) SELECT id, round((price - m) / r, 6) AS price FROM od, q")
+add("l_robust_scale", lambda s, d: r6(M.apply_scale(od(s, d), M.fit_robust_scale(od(s, d), ["price"])).select("id", "price")), f"WITH {OD}, q AS (SELECT quantile_cont(price, 0.5) m, quantile_cont(price, 0.9) - quantile_cont(price, 0.1) r FROM od) SELECT id, CASE WHEN round((price - m) / r, 6) = 0 THEN 0.0 ELSE round((price - m) / r, 6) END AS price FROM od, q")
+add("l_standard_scale", lambda s, d: r6(M.apply_scale(od(s, d), M.fit_standard_scale(od(s, d), ["price"])).select("id", "price")), f"WITH {OD}, q AS (SELECT avg(price) m, stddev_pop(price) r FROM od) SELECT id, CASE WHEN round((price - m) / r, 6) = 0 THEN 0.0 ELSE round((price - m) / r, 6) END AS price FROM od, q")
 add("l_batch_scores", lambda s, d: r6(E.batch_scores(od(s, d).filter("yr >= 1997").select("id", "score"), "id", F.col("score") * 1.0, od(s, d).filter("yr < 1997"), "score")), f"WITH {OD}, r AS (SELECT score FROM od WHERE yr < 1997), q AS (SELECT DISTINCT score FROM od WHERE yr >= 1997), c AS (SELECT q.score, count(r.score) * 100.0 / (SELECT count(*) FROM r) p FROM q LEFT JOIN r ON r.score <= q.score GROUP BY 1) SELECT id, score, round(p, 6) AS percentile, CASE WHEN p >= 99 THEN '99+' WHEN p >= 95 THEN '95-99' WHEN p >= 90 THEN '90-95' ELSE '0-90' END AS band FROM od JOIN c USING (score) WHERE yr >= 1997")
 add("l_effect", lambda s, d: r6(E.effect_with_fallback(od(s, d).filter("price IS NOT NULL"), "y", "price", ["score"]).select("effect", "execution_mode")),
     f"WITH {OD}, m AS (SELECT avg(y) ay, avg(score) az, avg(price) ap FROM od WHERE price IS NOT NULL), k AS (SELECT sum((y - ay) * (y - ay)) tt, sum((score - az) * (score - az)) zz, sum((y - ay) * (score - az)) tz, sum((y - ay) * (price - ap)) tp, sum((score - az) * (price - ap)) zp FROM od, m WHERE price IS NOT NULL) SELECT round((zz * tp - tz * zp) / (tt * zz - tz * tz), 6) AS effect, 'adjusted' AS execution_mode FROM k")
