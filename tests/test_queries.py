@@ -6,7 +6,7 @@ import pytest
 
 from cohortspark.queries import QUERIES, SQL
 
-TABLES = "region nation customer supplier part orders lineitem events embeddings documents".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings documents benchmark".split()
 
 
 def plain(df: pd.DataFrame) -> list:
