@@ -149,3 +149,32 @@ def effect_with_fallback(df: DataFrame, t: str, y: str, confounders: Sequence[st
     except Exception as e:  # noqa: BLE001  the reason is recorded
         return stats.difference_in_means(df, t, y).withColumn("execution_mode", F.lit("difference_in_means")).withColumn("warning", F.lit(type(e).__name__))
     return df.sparkSession.createDataFrame([(effect, mode, None)], "effect double, execution_mode string, warning string")
+
+
+def silhouette(queries: DataFrame, base: DataFrame, key: str, vec: str, label: str, block: int = 4096) -> DataFrame:
+    """Exact Euclidean silhouette of the stated query rows against all base rows, and a NULL for rows alone in their cluster or where there is one cluster only. Blocks of queries meet blocks of base rows
+    in one task each, which keeps a sum and a count per query and cluster."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = lambda d: max(1, -(-d.count() // block))
+    nq, nb = blocks(queries), blocks(base)
+    dealt = lambda d, n: d.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("c"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = dealt(queries, nq).withColumn("b", every(nb)).withColumnRenamed("own", "q")
+    b = dealt(base, nb).withColumn("q", every(nq)).withColumnRenamed("own", "b")
+
+    def sums(left, right):
+        out = []
+        if len(left) and len(right):
+            y, ids, (names, at) = np.stack(right["v"].to_numpy()), right["id"].to_numpy(), np.unique(right["c"].to_numpy(), return_inverse=True)
+            for i, c, x in zip(left["id"], left["c"], left["v"]):
+                d = np.sqrt(((y - np.asarray(x)) ** 2).sum(1))
+                w = (ids != i).astype(float)
+                out += zip([i] * len(names), [c] * len(names), names, np.bincount(at, d * w), np.bincount(at, w))
+        return pd.DataFrame(out, columns=["id", "c", "other", "s", "n"])
+
+    g = q.groupBy("q", "b").cogroup(b.groupBy("q", "b")).applyInPandas(sums, "id long, c long, other long, s double, n double")
+    m = g.groupBy("id", "c", "other").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    ab = m.groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("other"), F.col("m"))).alias("b"))
+    return ab.select(F.col("id").alias(key), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -155,6 +156,11 @@ def pca_deviation(df: DataFrame, key: str, vec: str, k: int = 16) -> DataFrame:
     return z.select(key, (F.greatest(F.lit(0.0), norm("_c") - norm("z")) / F.size("_c")).alias("reconstruction_error"))  # components are orthonormal
 
 
+def principal_axes(df: DataFrame, vec: str, k: int) -> np.ndarray:
+    """The k first principal axes as columns; p x k values."""
+    return PCA(k=k, inputCol="_x", outputCol="_z").fit(_vector(df, vec)).pc.toArray()
+
+
 def deviation_score(rec_z, lat_z):
     zero = F.lit(0.0)
     return 0.7 * F.greatest(zero, rec_z) + 0.3 * F.greatest(zero, lat_z)
@@ -257,17 +263,36 @@ def best_or_abstain(candidates: DataFrame, gates: dict[str, str], rank_by: str)
     return d.withColumn("selected", (F.size("failed") == 0) & (r == 1))
 
 
-def rank_correlation_factor(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Cholesky factor of the rank-correlation matrix with eigenvalues clipped; p x p values reach the driver."""
+def normal_scores(df: DataFrame, cols: Sequence[str], low: float = 0.001) -> DataFrame:
+    """``<c>_normal``: the standard normal quantile of the average percent rank, kept within ``low`` and 1 - ``low``; 0 for NULL."""
+    from pyspark.sql.functions import pandas_udf
+
     from .shape import average_pct_rank
 
-    d = df.select(*cols).dropna()
+    @pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        from statistics import NormalDist
+
+        return p.map(NormalDist().inv_cdf)
+
     for c in cols:
-        d = average_pct_rank(d, c)
-    r = d.agg(*(F.corr(f"{a}_pct", f"{b}_pct").alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j)).first()
+        df = average_pct_rank(df, c)
+    u = lambda c: F.when(F.col(f"{c}_pct").isNull(), 0.5).otherwise(F.least(F.greatest(F.col(f"{c}_pct"), F.lit(low)), F.lit(1 - low)))
+    return df.withColumns({f"{c}_normal": quantile(u(c)) for c in cols}).drop(*(f"{c}_pct" for c in cols))
+
+
+def rank_correlation_factor(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Cholesky factor of the correlation of normal scores, eigenvalues at least 1e-4, unit diagonal; p x p values reach the driver."""
+    d = normal_scores(df.select(*cols), cols)
+    r = d.agg(F.count("*").alias("n"), *(F.corr(f"{a}_normal", f"{b}_normal").alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j)).first()
     m = np.eye(len(cols))
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):
-            m[i, j] = m[j, i] = r[f"{i}_{j}"] or 0.0
+            x = r[f"{i}_{j}"]
+            m[i, j] = m[j, i] = 0.0 if x is None or np.isnan(x) else x
     w, v = np.linalg.eigh(m)
-    return np.linalg.cholesky((v * np.maximum(w, 1e-6)) @ v.T)
+    m = (v * np.maximum(w, 1e-4)) @ v.T
+    d_ = np.sqrt(np.diag(m))
+    m = m / d_[:, None] / d_
+    np.fill_diagonal(m, 1.0 + 1e-8)
+    return np.linalg.cholesky(m)

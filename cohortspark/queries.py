@@ -237,4 +237,4 @@ add("l_kmeans", lambda s, d: (lambda fit: M.margin_confidence(fit[0], "embedding
 add("l_mixture", lambda s, d: M.mixture(EMB(s, d), "embedding", 3).select("vec_id", "cluster", "confidence"))
 add("s_fingerprint", lambda s, d: IO.frame_fingerprint(od(s, d)))
 
-from . import queries_more  # noqa: E402, F401  registers the rest
+from . import queries_jobs, queries_more  # noqa: E402, F401  register the rest

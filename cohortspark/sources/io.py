@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,3 +120,13 @@ def flat_results(df: DataFrame, arr: str, n: int, tags: dict[str, str]) -> DataF
 
 def fixture_extract(df: DataFrame, entity: str, n: int) -> DataFrame:
     return df.join(df.select(entity).distinct().orderBy(entity).limit(n), entity, "left_semi")
+
+
+def export_tables(spark: SparkSession, path: str, tables: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """The tables of a generator's export (``<path>/<name>.csv``), the wanted columns only, as text."""
+    return {name: spark.read.option("header", True).csv(f"{path}/{name}.csv").select(*cols) for name, cols in tables.items()}
+
+
+def code_filter(df: DataFrame, code: str, wanted: Sequence[str]) -> DataFrame:
+    """Rows whose code is on the list, exactly."""
+    return df.filter(F.col(code).isin(*wanted))
