@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import logit, null_safe
+from ..scratch import materialise
 from . import models, shape, stats
 
 
@@ -19,7 +20,7 @@ def auprc_lift(df: DataFrame, y: str, p: str) -> DataFrame:
 def calibration_line(df: DataFrame, y: str, p: str, steps: int = 12) -> DataFrame:
     """Intercept (mean outcome minus mean score) and slope of a logistic curve on the logit, by Newton steps over sums; slope penalty 1/2 b^2."""
     d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(p).alias("p"), logit(F.col(p)).alias("z"))
-    g = d.groupBy("p", "z").agg(F.sum("y").alias("s"), F.count("*").alias("n"))  # equal scores move together
+    g = materialise(d.groupBy("p", "z").agg(F.sum("y").alias("s"), F.count("*").alias("n")))  # equal scores move together; every step reads these sums only
     a = b = 0.0
     for _ in range(steps):
         q = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("z"))))

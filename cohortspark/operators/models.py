@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shape import to_long, uniform
-from .stats import exact_quantiles
+from .stats import correlation, exact_quantiles
 
 
 # ---- preprocessing -------------------------------------------------------------------------------------------------------------
@@ -284,7 +284,7 @@ def normal_scores(df: DataFrame, cols: Sequence[str], low: float = 0.001) -> Dat
 def rank_correlation_factor(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Cholesky factor of the correlation of normal scores, eigenvalues at least 1e-4, unit diagonal; p x p values reach the driver."""
     d = normal_scores(df.select(*cols), cols)
-    r = d.agg(F.count("*").alias("n"), *(F.corr(f"{a}_normal", f"{b}_normal").alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j)).first()
+    r = d.agg(F.count("*").alias("n"), *(correlation(F.col(f"{a}_normal"), F.col(f"{b}_normal")).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j)).first()
     m = np.eye(len(cols))
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):

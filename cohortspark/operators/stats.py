@@ -168,6 +168,11 @@ def robust_smd(df: DataFrame, group: str, value: str, least: int = 5) -> DataFra
     return n.join(g, how="left").join(ref, how="left").select(F.when((F.col("a") >= least) & (F.col("b") >= least), smd).alias("robust_smd"))  # single rows
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation; NULL where a column is constant (``corr`` raises there)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
     r = running_totals(df.groupBy(c).agg(F.count("*").alias("n")), [c], ["n"])
     return r.select(c, (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
@@ -176,7 +181,7 @@ def average_ranks(df: DataFrame, c: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     d = df.select(a, b).dropna()
     d = d.join(average_ranks(d, a), a).join(average_ranks(d, b), b)
-    return d.agg(F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
+    return d.agg(correlation(F.col(f"{a}_rank"), F.col(f"{b}_rank")).alias("spearman"))
 
 
 def top_flag_jaccard(df: DataFrame, a: str, b: str, q: float = 0.95) -> DataFrame:

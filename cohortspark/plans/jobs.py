@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import composite_key, null_safe, percentile_band
 from ..operators import evaluate, models, screen, shape, stats
+from ..scratch import materialise
 from . import cohort as plans
 from . import quality
 
@@ -202,9 +203,9 @@ def predictive_baseline(df: DataFrame, key: str, targets: Sequence[str], cols: S
         if n < least:
             out.append((t, "skipped", "too few rows", n, None, None, None, None))
             continue
-        d = shape.stratified_split(d, t, key, 0.2)
+        d = materialise(shape.stratified_split(d, t, key, 0.2))
         train, test = d.filter("NOT test"), d.filter("test")
-        s = models.logistic(train, test, t, feats, weighted=False).select(t, "score")
+        s = materialise(models.logistic(train, test, t, feats, weighted=False).select(t, "score"))
         rate = train.agg(F.avg(t)).first()[0]
         hit = s.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col(t)).cast("double")), F.avg((F.lit(int(rate >= 0.5)) == F.col(t)).cast("double"))).first()
         out.append((t, "fitted", None, n, stats.auroc(s, t, "score").first()[0], stats.average_precision(s, t, "score").first()[0], hit[0], hit[1]))
@@ -217,8 +218,8 @@ def risk_pipeline(df: DataFrame, key: str, y: str, split: str, fits: Mapping[str
     train, valid, rest = df.filter(F.col(split) == "train"), df.filter(F.col(split) == "validation"), df.filter(F.col(split) != "train")
     metrics = None
     for name, fit in fits.items():
-        raw = fit(train, rest).select(key, y, split, "score")
-        p = models.calibrate(raw.filter(F.col(split) == "validation"), raw, "score", y).select(key, y, split, "calibrated")
+        raw = materialise(fit(train, rest).select(key, y, split, "score"))
+        p = materialise(models.calibrate(raw.filter(F.col(split) == "validation"), raw, "score", y).select(key, y, split, "calibrated"))  # many metrics read it
         for part in [r[0] for r in rest.select(split).distinct().orderBy(split).collect()]:  # the splits
             d = p.filter(F.col(split) == part)
             m = d.agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("events"))
@@ -233,7 +234,7 @@ def risk_pipeline(df: DataFrame, key: str, y: str, split: str, fits: Mapping[str
 def baseline_report(df: DataFrame, key: str, vec: str, train: Column, k: int = 16, trees: int = 200) -> DataFrame:
     """Two unsupervised deviation scores over the rows that are not ``train``: distributions, rank agreement and overlap of the top twentieth. The reconstruction error is taken as a robust z of the training rows, cut at 0."""
     p, f = models.pca_deviation(df, key, vec, k), models.isolation_forest(df, key, vec, trees)
-    d = df.select(key, train.alias("_train")).join(p, key).join(f, key)
+    d = materialise(df.select(key, train.alias("_train")).join(p, key).join(f, key))
     ref = stats.robust_location_scale(d.filter("_train"), "reconstruction_error")
     d = d.crossJoin(F.broadcast(ref)).filter("NOT _train").withColumn("pca", F.greatest(F.lit(0.0), (F.col("reconstruction_error") - F.col("median")) / F.col("scale")))  # one row
     one = lambda c, n: stats.distribution(d, c).select(F.lit(n).alias("item"), *(F.struct(F.lit(k_).alias("name"), F.col(k_).alias("value")).alias(k_) for k_ in ("mean", "p50", "p95")))
@@ -261,12 +262,12 @@ def cluster_grid(df: DataFrame, key: str, vec: str, methods: Sequence[str], ks:
     fits = {"kmeans": lambda d, k, s: models.kmeans(d, vec, k, (s,))[0].select(key, vec, "cluster"), "mixture": lambda d, k, s: models.mixture(d, vec, k, s).select(key, vec, "cluster")}
     out, labels = [], {}
     schema = "candidate string, k int, status string, error string, clusters long, least_share double, calinski_harabasz double, davies_bouldin double, seed_ari double, part_ari double, null_calinski_harabasz double"
-    null = shuffled_coordinates(df, key, vec, seed)
+    null = materialise(shuffled_coordinates(df, key, vec, seed))
     for m in methods:
         for k in ks:
             try:
                 fit = fits[m]
-                d = fit(df, k, seed)
+                d = materialise(fit(df, k, seed))
                 ari = lambda o: stats.adjusted_rand(d.select(key, "cluster").join(o.select(key, F.col("cluster").alias("other")), key), "cluster", "other").first()[0]  # noqa: B023, E731
                 size = d.groupBy("cluster").count().agg(F.count("*"), F.min("count") / F.sum("count")).first()
                 parts = [ari(fit(df.filter(shape.uniform(seed + 7 + r, key) < fraction), k, seed)) for r in range(rounds)]

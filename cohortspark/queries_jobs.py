@@ -71,10 +71,10 @@ add("q_pool_cycles", lambda s, d: H.group_zscore(J.pool_cycles([(n, [od(s, d).fi
 add("s_code_filter", lambda s, d: IO.code_filter(table(s, d, "events"), "event_type", ["click", "view"]).select("event_id"), "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
 
 # ---- scoring ---------------------------------------------------------------------------------------------------------------------------
-add("q_score_dataset", lambda s, d: r6(J.score_dataset(od(s, d).filter("yr >= 1998"), "id", F.col("score") + F.col("price") / 1e6, ["price", "score"], od(s, d).filter("yr < 1998"), "score")),
-    f"WITH {OD}, r AS (SELECT score v, 1 n FROM od WHERE yr < 1998), q AS (SELECT id, CASE WHEN price IS NOT NULL THEN score + price / 1000000 END v, price IS NULL m FROM od WHERE yr >= 1998), u AS (SELECT v, 1 n, NULL id FROM r UNION ALL SELECT v, 0, id FROM q WHERE NOT m), c AS (SELECT id, 100.0 * sum(n) OVER (ORDER BY v) / sum(n) OVER () p FROM u), z AS (SELECT q.*, p FROM q LEFT JOIN (SELECT * FROM c WHERE id IS NOT NULL) c USING (id)) SELECT id, CASE WHEN m THEN 'rejected' ELSE 'scored' END AS status, CASE WHEN m THEN 'price' ELSE '' END AS missing, round(v, 6) AS score, round(p, 6) AS percentile, CASE WHEN p >= 99 THEN '99+' WHEN p >= 95 THEN '95-99' WHEN p >= 90 THEN '90-95' WHEN p IS NOT NULL THEN '0-90' END AS band FROM z")
-add("q_assess", lambda s, d: r6(J.assess(od(s, d).withColumn("extra", F.when(F.col("id") % 5 > 0, F.col("yr"))), "id", ["price"], ["extra", "score"], F.col("price") / 6e5, [(0.0, "low"), (0.3, "medium"), (0.6, "high")])),
-    f"WITH {OD}, p AS (SELECT id, price / 600000 p FROM od) SELECT id, CASE WHEN p IS NULL THEN 'incomplete' ELSE 'assessed' END AS status, CASE WHEN p IS NULL THEN 'price' ELSE '' END AS missing, round(p, 6) AS probability, CASE WHEN p >= 0.6 THEN 'high' WHEN p >= 0.3 THEN 'medium' WHEN p >= 0 THEN 'low' END AS band, CASE WHEN id % 5 = 0 THEN 'extra' ELSE '' END AS follow_ups FROM p")
+add("q_score_dataset", lambda s, d: r6(J.score_dataset(od(s, d).filter("yr >= 1998"), "id", F.col("score") + F.col("price") / 1234567.0, ["price", "score"], od(s, d).filter("yr < 1998"), "score")),
+    f"WITH {OD}, r AS (SELECT score v, 1 n FROM od WHERE yr < 1998), q AS (SELECT id, CASE WHEN price IS NOT NULL THEN score + price / 1234567.0::DOUBLE END v, price IS NULL m FROM od WHERE yr >= 1998), u AS (SELECT v, 1 n, NULL id FROM r UNION ALL SELECT v, 0, id FROM q WHERE NOT m), c AS (SELECT id, 100.0 * sum(n) OVER (ORDER BY v) / sum(n) OVER () p FROM u), z AS (SELECT q.*, p FROM q LEFT JOIN (SELECT * FROM c WHERE id IS NOT NULL) c USING (id)) SELECT id, CASE WHEN m THEN 'rejected' ELSE 'scored' END AS status, CASE WHEN m THEN 'price' ELSE '' END AS missing, round(v, 6) AS score, round(p, 6) AS percentile, CASE WHEN p >= 99 THEN '99+' WHEN p >= 95 THEN '95-99' WHEN p >= 90 THEN '90-95' WHEN p IS NOT NULL THEN '0-90' END AS band FROM z")
+add("q_assess", lambda s, d: r6(J.assess(od(s, d).withColumn("extra", F.when(F.col("id") % 5 > 0, F.col("yr"))), "id", ["price"], ["extra", "score"], F.col("price") / 612347.0, [(0.0, "low"), (0.3, "medium"), (0.6, "high")])),
+    f"WITH {OD}, p AS (SELECT id, price / 612347.0::DOUBLE p FROM od) SELECT id, CASE WHEN p IS NULL THEN 'incomplete' ELSE 'assessed' END AS status, CASE WHEN p IS NULL THEN 'price' ELSE '' END AS missing, round(p, 6) AS probability, CASE WHEN p >= 0.6 THEN 'high' WHEN p >= 0.3 THEN 'medium' WHEN p >= 0 THEN 'low' END AS band, CASE WHEN id % 5 = 0 THEN 'extra' ELSE '' END AS follow_ups FROM p")
 add("q_pathways", lambda s, d: J.pathways(cu(s, d).select(F.col("nat").alias("feature"), F.col("bal")).groupBy("feature").agg(F.max("bal").alias("strength")), table(s, d, "nation").select(F.col("n_regionkey").alias("pathway"), F.col("n_nationkey").alias("feature")), "strength").select(L("pathway"), L("feature"), "strength", L("rank")),
     f"WITH {CU}, g AS (SELECT nat, max(bal) b FROM cu GROUP BY 1), r AS (SELECT CAST(n_regionkey AS BIGINT) AS pathway, CAST(nat AS BIGINT) AS feature, b AS strength, row_number() OVER (PARTITION BY n_regionkey ORDER BY b DESC, nat) AS rank FROM g JOIN nation ON n_nationkey = nat) SELECT * FROM r WHERE rank <= 3")
 TREES = [(0, 0, 0, 2e5, 1, 2, True, 0.0), (0, 1, -1, 0.0, -1, -1, False, -0.4), (0, 2, 1, 1998.0, 3, 4, False, 0.0), (0, 3, -1, 0.0, -1, -1, False, 0.1), (0, 4, -1, 0.0, -1, -1, False, 0.7), (1, 0, 2, 0.5, 1, 2, False, 0.0), (1, 1, -1, 0.0, -1, -1, False, 0.25), (1, 2, -1, 0.0, -1, -1, False, -0.25)]

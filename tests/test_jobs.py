@@ -167,3 +167,10 @@ def test_export_tables_read_the_wanted_columns(spark, tmp_path):
     t = io.export_tables(spark, str(tmp_path), {"patients": ["Id", "DEATHDATE"], "conditions": ["PATIENT", "CODE"]})
     assert t["patients"].columns == ["Id", "DEATHDATE"] and [tuple(r) for r in t["patients"].orderBy("Id").collect()] == [("a", None), ("b", "2001-02-03")]
     assert [r.PATIENT for r in io.code_filter(t["conditions"], "CODE", ["12"]).collect()] == ["a"]
+
+
+def test_rank_agreement_of_a_constant_is_unknown(spark):
+    from cohortspark.operators.stats import spearman
+
+    d = spark.createDataFrame([(float(i), 1.0, float(-i)) for i in range(9)], "a double, k double, b double")
+    assert spearman(d, "a", "k").first().spearman is None and abs(spearman(d, "a", "b").first().spearman + 1) < 1e-12
