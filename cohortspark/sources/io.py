@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +43,19 @@ def read_xport(spark: SparkSession, path: str, key: str, columns: Sequence[str])
 
 
 def first_readable(spark: SparkSession, candidates: Sequence[str], required: bool = False) -> tuple[DataFrame | None, DataFrame]:
-    """The first candidate that can be read, and one status row per candidate tried."""
+    """The first candidate that can be read (``.csv`` with a header, else Parquet), and one status row per candidate tried; the rows of the one found are counted."""
     status, found = [], None
     for path in candidates:
         try:
-            found = spark.read.parquet(path)
-            status.append((path, "loaded", len(found.columns), None))
+            found = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+            status.append((path, "loaded", found.count(), len(found.columns), None))
             break
         except Exception as e:  # noqa: BLE001  the reader's reason is the status
-            status.append((path, "missing", 0, type(e).__name__))
+            found = None
+            status.append((path, "missing", 0, 0, type(e).__name__))
     if found is None and required:
         raise FileNotFoundError(f"none of {list(candidates)}")
-    return found, spark.createDataFrame(status, "path string, status string, columns int, error string")
+    return found, spark.createDataFrame(status, "path string, status string, rows long, columns int, error string")
 
 
 def read_batches(spark: SparkSession, manifests: str) -> DataFrame:
@@ -102,6 +104,20 @@ def is_stale(current: DataFrame, stored: DataFrame) -> bool:
     return current.exceptAll(stored).limit(1).count() > 0
 
 
+def rebuilt(source: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], settings: str = "") -> DataFrame:
+    """What ``build`` makes of the source, kept under ``path`` with the source's fingerprint and the settings; made anew only if one of these has changed."""
+    spark = source.sparkSession
+    now = frame_fingerprint(source).withColumn("settings", F.lit(settings))
+    try:
+        stale = is_stale(now, spark.read.parquet(f"{path}/fingerprint"))
+    except AnalysisException:  # nothing kept yet
+        stale = True
+    if stale:
+        write_table(build(source), f"{path}/data")
+        write_table(now, f"{path}/fingerprint")  # last: a lost build stays stale
+    return spark.read.parquet(f"{path}/data")
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by: Sequence[str] = ()) -> None:
     w = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
     w.option("header", True).csv(path) if kind == "csv" else w.format(kind).save(path)
@@ -110,7 +126,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: Sequence[st
 def write_report(findings: DataFrame, path: str, fail: bool = True) -> None:
     """Write the findings first, then fail if one is blocking."""
     findings.write.mode("overwrite").json(path)
-    if fail and findings.filter("level = 'error'").limit(1).count():
+    if fail and findings.filter("level IN ('blocking', 'error')").limit(1).count():
         raise ValueError("blocking findings; see the report")
 
 

@@ -174,3 +174,23 @@ def test_rank_agreement_of_a_constant_is_unknown(spark):
 
     d = spark.createDataFrame([(float(i), 1.0, float(-i)) for i in range(9)], "a double, k double, b double")
     assert spearman(d, "a", "k").first().spearman is None and abs(spearman(d, "a", "b").first().spearman + 1) < 1e-12
+
+
+def test_sources_rebuild_only_when_stale(spark, tmp_path):
+    calls = []
+
+    def build(d):
+        calls.append(1)
+        return d.groupBy().agg(F.sum("id").alias("n"))
+
+    run = lambda n, settings="a": io.rebuilt(spark.range(n), str(tmp_path / "kept"), build, settings).first().n
+    assert [run(5), run(5), run(6), run(6, "b"), run(6, "b")] == [10, 10, 15, 15, 15] and len(calls) == 3
+
+
+def test_csv_candidate_and_blocking_report(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n3,4\n")
+    found, status = io.first_readable(spark, [str(tmp_path / "none.csv"), str(tmp_path / "t.csv")])
+    assert found.count() == 2 and [(r.status, r.rows, r.columns) for r in status.collect()] == [("missing", 0, 0), ("loaded", 2, 2)]
+    with pytest.raises(ValueError):
+        io.write_report(spark.createDataFrame([("rows", "blocking")], "section string, level string"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
