@@ -14,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .shape import to_long, uniform
 from .stats import correlation, exact_quantiles
 
@@ -161,6 +162,15 @@ def principal_axes(df: DataFrame, vec: str, k: int) -> np.ndarray:
     return PCA(k=k, inputCol="_x", outputCol="_z").fit(_vector(df, vec)).pc.toArray()
 
 
+def projection_2d(df: DataFrame, key: str, vec: str, label: str, sample: int = 2000, seed: int = 0) -> DataFrame:
+    """x, y and label of a hash sample of at most ``sample`` rows on its first two principal axes: points of a chart, without ids. ``sample`` is the feature; signs of the axes are any."""
+    from .shape import capped_sample
+
+    d = _vector(centred(materialise(capped_sample(df, key, sample, seed)), vec), "_c")
+    z = vector_to_array("_z")
+    return PCA(k=2, inputCol="_x", outputCol="_z").fit(d).transform(d).select(z[0].alias("x"), z[1].alias("y"), label)
+
+
 def deviation_score(rec_z, lat_z):
     zero = F.lit(0.0)
     return 0.7 * F.greatest(zero, rec_z) + 0.3 * F.greatest(zero, lat_z)

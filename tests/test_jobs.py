@@ -194,3 +194,27 @@ def test_csv_candidate_and_blocking_report(spark, tmp_path):
     with pytest.raises(ValueError):
         io.write_report(spark.createDataFrame([("rows", "blocking")], "section string, level string"), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
+
+
+def test_components_by_plain_eigenvectors(spark):
+    """Reconstruction errors and the chart's points are those of the covariance's eigenvectors; signs are any."""
+    g = np.random.default_rng(6)
+    x = g.normal(size=(120, 4)) @ g.normal(size=(4, 4))
+    d = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "id long, v array<double>, c int")
+    v = x - x.mean(0)
+    w, e = np.linalg.eigh(v.T @ v)
+    axes = e[:, np.argsort(-w)[:2]]
+    want = ((v - v @ axes @ axes.T) ** 2).mean(1)
+    assert all(abs(r.reconstruction_error - want[r.id]) < 1e-9 for r in models.pca_deviation(d, "id", "v", 2).collect())
+    p = models.projection_2d(d, "id", "v", "c").toPandas()
+    assert len(p) == 120 and list(p.columns) == ["x", "y", "c"]
+    assert all(np.allclose(np.sort(p[n].abs()), np.sort(np.abs(v @ axes[:, j]))) for j, n in enumerate("xy"))
+    assert models.projection_2d(d, "id", "v", "c", 10).count() == 10
+
+
+def test_mixture_and_isolation_find_what_is_planted(spark):
+    d = blobs(spark)
+    m = models.mixture(d, "v", 3, seed=3)
+    assert m.groupBy("c").agg(F.count_distinct("cluster").alias("n")).agg(F.max("n")).first()[0] == 1 and m.agg(F.min("confidence")).first()[0] > 0.99
+    odd = d.unionByName(spark.createDataFrame([(999, [40.0, 40.0], 5)], "id long, v array<double>, c int"))
+    assert models.isolation_forest(odd, "id", "v", 50).orderBy(F.desc("isolation_score")).first().id == 999
