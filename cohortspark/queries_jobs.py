@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .operators import evaluate as E
@@ -13,6 +11,7 @@ from .plans import jobs as J
 from .plans import quality as Q
 from .queries import OD, SQL, add, od, r6, table
 from .queries_more import CU, L, cu, issues
+from .scratch import shared_dir
 from .sources import io as IO
 
 # ---- reports -----------------------------------------------------------------------------------------------------------------------
@@ -83,7 +82,7 @@ add("l_replay_trees", lambda s, d: r6(J.replay_trees(od(s, d), "id", ["price", "
 COORDS = [f"x{i}" for i in range(8)]
 wide = lambda s, d, n=8: table(s, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)))
 add("l_score_records", lambda s, d: r6(J.score_records(wide(s, d).filter("vec_id % 2 = 0"), wide(s, d).filter("vec_id % 2 = 1"), "vec_id", COORDS, 3)))
-add("q_reload", lambda s, d: J.reload_parity(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "id", "y", ["score", "yr"], f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='spark-model-')}/reload-{s.sparkContext.applicationId}"),
+add("q_reload", lambda s, d: J.reload_parity(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "id", "y", ["score", "yr"], f"{shared_dir(s)}/reload-{s.sparkContext.applicationId}"),
     f"WITH {OD} SELECT count(*) AS compared, CAST(0 AS BIGINT) AS missing, 0.0::DOUBLE AS max_abs_difference, true AS passed FROM od WHERE yr >= 2000")
 
 # ---- models ----------------------------------------------------------------------------------------------------------------------------

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset: a temporary folder in local mode, a folder of the warehouse (which executors share) elsewhere."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        one_machine = sc.master == "local" or sc.master.startswith("local[")
+        own = tempfile.mkdtemp(prefix="spark-checkpoint-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import decontaminate, line_runs, prefix_join, toxic_segments, two_fit
-from cohortspark.llm.common import doc_table, scratch_dir
+from cohortspark.llm.common import doc_table
+from cohortspark.scratch import shared_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written as Parquet in the shared folder and read again."""
-    docs, at = doc_table(spark, sf_dir), f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, at = doc_table(spark, sf_dir), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
