@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
+
 SLICE_BYTES = 4 << 20  # text handled at once inside a task
 
 
@@ -22,19 +23,11 @@ def materialise(df: DataFrame) -> DataFrame:
     A written table survives lost executors, as a checkpoint does, but is compressed by columns, and its size is known to the planner (the size
     that a checkpoint hands on is the product of all join inputs before it).
     """
-    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary folder is made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of ``column`` (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
