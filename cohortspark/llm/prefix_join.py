@@ -66,8 +66,8 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) if len(s) else 0
 
 
-def _frequent(docs: DataFrame) -> list[tuple[int, int]]:
-    """The at most HEAVY shingles with the highest counts among those that slices report.
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Values, sorted, and counts of the at most HEAVY shingles with the highest counts among those that slices report.
 
     A histogram of the counts (a bounded number of steps) gives the least count to fetch, so that tasks send HEAVY rows in all, not each.
     """
@@ -91,16 +91,17 @@ def _frequent(docs: DataFrame) -> list[tuple[int, int]]:
         if fetched > HEAVY:
             break
         least = at
-    return [] if least is None else [(r[0], r[1]) for r in counts.filter(step >= least).collect()]
+    if least is None:
+        return EMPTY, EMPTY
+    most = counts.filter(step >= least).toArrow().sort_by("t")
+    return most.column("t").to_numpy(), most.column("n").to_numpy()
 
 
 class _Order:
     """Prefixes under the global order."""
 
-    def __init__(self, frequent: list[tuple[int, int]]):
-        by_value = sorted(frequent)
-        self.values = np.array([v for v, _ in by_value], np.int64)
-        self.counts = np.array([n for _, n in by_value], np.int64)
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        self.values, self.counts = values, counts
 
     def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
         p = prefix_size(len(s), percent)
@@ -122,8 +123,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _groups(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members (a row for every row of ``texts``; its column ``row``, if there is one, is kept) and the labels of linked nodes."""
-    own = ["row"] if "row" in texts.columns else []
-    order = _Order(_frequent(texts))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    own = [c for c in ("row", "text_hash") if c in texts.columns]
+    order = _Order(*_frequent(texts))
 
     def nodes():
         hashes = _WordHash()
@@ -153,7 +155,7 @@ def _groups(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         alike = _alike(pairs, members, percent)
         alike = materialise(_hooks(alike) if r < ROUNDS else alike.select("u", "v"))
-        verified = materialise(_verify(texts, alike, percent))
+        verified = materialise(_verify(texts, alike, members, percent))
         new = verified.filter("linked").select("u", "v")
         links = new if links is None else links.unionByName(new)
         tested = verified.select("u", "v") if tested is None else tested.unionByName(verified.select("u", "v"))
@@ -303,14 +305,11 @@ def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return d.filter(F.col("apart") * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)).select("u", "v", "apart")
 
 
-def _bit(x: np.ndarray) -> np.ndarray:
-    """Place of a node in the bitmap; nodes are hashes, so a shift is enough."""
-    return (np.asarray(x, np.int64).view(np.uint64) >> np.uint64(64 - BLOOM_LOG)).astype(np.int64)
-
-
-def _bloom(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the nodes of ``pairs``; 2^BLOOM_LOG / 8 bytes at most reach the driver."""
-    place = pairs.select(F.explode(F.array("u", "v")).alias("x")).select(F.shiftrightunsigned("x", 64 - BLOOM_LOG).alias("p"))
+def _bloom(pairs: DataFrame, members: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over one text (by hash) of each node of ``pairs``; 2^BLOOM_LOG / 8 bytes at most reach the driver."""
+    one = members.groupBy("node").agg(F.min("text_hash").alias("x"))
+    needed = one.join(pairs.select(F.explode(F.array("u", "v")).alias("node")), "node", "left_semi")
+    place = needed.select(F.shiftrightunsigned("x", 64 - BLOOM_LOG).alias("p"))
     rows = place.select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b")).collect()
     out = np.zeros(1 << (BLOOM_LOG - 6), np.int64)
     if rows:
@@ -318,23 +317,22 @@ def _bloom(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """u, v, linked: whole sets of the pairs' nodes, made again from the texts, are compared."""
-    bloom = _bloom(pairs)
+def _in_bloom(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.view(np.uint64) >> np.uint64(64 - BLOOM_LOG)
+    return (bloom.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """u, v, linked: whole sets of the pairs' nodes, made again from the texts, are compared. Texts that no pair needs are not shingled."""
+    bloom = _bloom(pairs, members)
 
     def setup():
         hashes = _WordHash()
 
         def f(b: pa.RecordBatch) -> dict:
-            nodes, sets = [], []
-            for t in texts_of(b):
-                s = shingles(t, hashes)
-                node = _node(s)
-                p = int(_bit(node))
-                if int(bloom[p >> 6]) >> (p & 63) & 1:
-                    nodes.append(node)
-                    sets.append(s)
-            return {"node": nodes, "s": sets}
+            needed = b.filter(pa.array(_in_bloom(bloom, b.column("text_hash").to_numpy())))
+            sets = [shingles(t, hashes) for t in texts_of(needed)]
+            return {"node": [_node(s) for s in sets], "s": sets}
 
         return f
 
