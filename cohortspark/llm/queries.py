@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fertility, line_runs, pii, prefix_join, ring_shards, secret_scan, toxic_segments, two_fit
+from . import chat_format, decontaminate, fertility, line_runs, pii, prefix_join, repeats, ring_shards, secret_scan, toxic_segments, two_fit
 from .common import doc_table
 
 
@@ -54,7 +54,11 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     return pii.pii_spans(doc_table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_chat_format, op4_fertility, op5_two_fit_packing, op6_prefix_join, op7_toxic_segments, op8_ring_shards, op9_decontamination, op10_pii)}
+def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(doc_table(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_chat_format, op4_fertility, op5_two_fit_packing, op6_prefix_join, op7_toxic_segments, op8_ring_shards, op9_decontamination, op10_pii, op13_suffix_dedup)}
 
 _WORD10 = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
