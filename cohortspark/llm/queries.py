@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fertility, line_runs, pii, prefix_join, repeats, ring_shards, secret_scan, toxic_segments, two_fit
+from . import chat_format, decontaminate, fertility, line_runs, pii, prefix_join, prefix_trie, repeats, ring_shards, secret_scan, toxic_segments, two_fit
 from .common import doc_table
 
 
@@ -54,11 +54,16 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     return pii.pii_spans(doc_table(spark, sf_dir))
 
 
+def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(doc_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_openings(turns))
+
+
 def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeats.repeat_digest(doc_table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_chat_format, op4_fertility, op5_two_fit_packing, op6_prefix_join, op7_toxic_segments, op8_ring_shards, op9_decontamination, op10_pii, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_chat_format, op4_fertility, op5_two_fit_packing, op6_prefix_join, op7_toxic_segments, op8_ring_shards, op9_decontamination, op10_pii, op12_prefix_trie, op13_suffix_dedup)}
 
 _WORD10 = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -75,6 +80,22 @@ pos AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i +
 its AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)""",
+    "op12_prefix_trie": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id AS c, count(*) AS n, conv_id - conv_id % 100 AS base,
+  xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda x: x::UBIGINT)), lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))), 4294967295::UBIGINT) % 6 AS h FROM t GROUP BY conv_id),
+r AS (SELECT ids.c, t.i - ids.h + least(ids.h, coalesce(b.n, 0)) AS i, role, text FROM ids LEFT JOIN ids b ON b.c = ids.base JOIN t ON t.conv_id = ids.c AND t.i >= ids.h
+  UNION ALL SELECT ids.c, t.i, role, text FROM ids JOIN t ON t.conv_id = ids.base AND t.i < ids.h),
+p AS (SELECT c, i + 1 AS d, length(text) AS chars, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY i)) AS id FROM r UNION ALL SELECT c, 0, 0, '' FROM ids),
+fin AS (SELECT c, max(d) AS e FROM p GROUP BY c),
+node AS (SELECT id, d, min(c) AS m, count(*) AS n, any_value(chars) AS chars, sha256(coalesce(string_agg(CASE WHEN d = e THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS h FROM p JOIN fin USING (c) GROUP BY id, d),
+up AS (SELECT DISTINCT a.id, b.id AS pid FROM p a JOIN p b ON a.c = b.c AND b.d = a.d - 1),
+kids AS (SELECT pid AS id, count(*) AS k FROM up GROUP BY 1),
+sub AS (SELECT DISTINCT a.id, b.id AS w FROM p a JOIN p b ON a.c = b.c AND b.d >= a.d),
+tree AS (SELECT sub.id, count_if(kids.k IS NULL) AS leaves, sum((w.n - 1) * w.chars) AS saved FROM sub JOIN node w ON w.id = sub.w LEFT JOIN kids ON kids.id = sub.w GROUP BY sub.id)
+SELECT node.m AS conv_id, CAST(node.d AS BIGINT) AS depth, q.m AS parent_conv_id, node.n AS n_convs, coalesce(k, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.h AS ends_sha256
+FROM node JOIN tree USING (id) LEFT JOIN kids USING (id) LEFT JOIN up USING (id) LEFT JOIN node q ON q.id = up.pid""",
     "op6_prefix_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
