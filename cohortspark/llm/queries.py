@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fertility, line_runs, pii, prefix_join, prefix_trie, repeats, ring_shards, secret_scan, toxic_segments, two_fit
+from . import chat_format, collocations, decontaminate, fertility, line_runs, pii, prefix_join, prefix_trie, repeats, ring_shards, secret_scan, toxic_segments, two_fit
 from .common import doc_table
 
 
@@ -54,6 +54,10 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     return pii.pii_spans(doc_table(spark, sf_dir))
 
 
+def op11_collocations(spark, sf_dir: str) -> DataFrame:
+    return collocations.collocations(doc_table(spark, sf_dir))
+
+
 def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
     turns = prefix_trie.numbered(doc_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return prefix_trie.prefix_trie(*prefix_trie.with_shared_openings(turns))
@@ -63,7 +67,7 @@ def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeats.repeat_digest(doc_table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_chat_format, op4_fertility, op5_two_fit_packing, op6_prefix_join, op7_toxic_segments, op8_ring_shards, op9_decontamination, op10_pii, op12_prefix_trie, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_chat_format, op4_fertility, op5_two_fit_packing, op6_prefix_join, op7_toxic_segments, op8_ring_shards, op9_decontamination, op10_pii, op11_collocations, op12_prefix_trie, op13_suffix_dedup)}
 
 _WORD10 = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,6 +84,18 @@ pos AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i +
 its AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)""",
+    "op11_collocations": r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+gram AS (SELECT lang, m, list_slice(w, i, i + m - 1) AS g, count(*)::HUGEINT AS a FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) x(m)) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM gram WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM gram WHERE m > 1 AND a >= 10),
+cut AS (SELECT c.lang, c.m, c.g, c.a, k, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN gram x ON x.lang = c.lang AND x.m = k AND x.g = c.g[:k] JOIN gram y ON y.lang = c.lang AND y.m = c.m - k AND y.g = c.g[k + 1:]),
+inside AS (SELECT DISTINCT s.lang, s.g FROM c s JOIN c t ON s.m = 2 AND t.m = 3 AND s.lang = t.lang AND (s.g = t.g[:2] OR s.g = t.g[2:]) AND 100 * t.a >= 50 * s.a),
+best AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS q FROM cut ANTI JOIN inside USING (lang, g)) WHERE q = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_prefix_trie": """
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (SELECT conv_id AS c, count(*) AS n, conv_id - conv_id % 100 AS base,
