@@ -154,7 +154,7 @@ def _resolved(pieces: DataFrame, length: int, narrow: int) -> DataFrame:
     """p1..p4, a, b: the strings a <= at < b of the parents that occur twice. ``pieces``: _PIECE; ``narrow``: strings of a part, if a key has too many."""
     pieces = materialise(pieces)
     sets = materialise(pieces.groupBy(*_KEY, *_OWN).agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("seg", ignorenulls=True).alias("seg")))
-    size = sets.groupBy(*_KEY).agg(F.count("*").alias("sets"), F.sum(F.length("seg")).alias("bytes")).filter("sets > 1")
+    size = materialise(sets.groupBy(*_KEY).agg(F.count("*").alias("sets"), F.sum(F.length("seg")).alias("bytes")).filter("sets > 1"))
     known = sets.join(size, _KEY).select(*_KEY, *_OWN, "count", "n", "anchor", "seg", "bytes")
     whole = sets.filter("count > 1").select(*_KEY, *_OWN, F.lit(0).alias("a"), F.col("n").alias("b"))
     out, small = pa_schema("g1 long, g2 long, s1 long, s2 long, a int, b int"), known.filter(F.col("bytes") <= MOST)
@@ -193,7 +193,7 @@ def _resolved(pieces: DataFrame, length: int, narrow: int) -> DataFrame:
 
         parts = _resolved(large.select(*_KEY, *_OWN, "n", "anchor", "seg").mapInArrow(split, _PIECE), length, 1 if narrow > 1 else 0)
         found = found.unionByName(parts.select(F.col("p1").alias("g1"), F.col("p2").alias("g2"), F.col("p3").alias("s1"), F.col("p4").alias("s2"), "a", "b"))
-    found = found.groupBy(*_KEY, *_OWN).agg(F.collect_list(F.struct("a", "b")).alias("strings"))  # of one segment
+    found = materialise(found.groupBy(*_KEY, *_OWN).agg(F.collect_list(F.struct("a", "b")).alias("strings")))  # of one segment
     d = pieces.select(*_KEY, *_OWN, *_PARENT, "at").join(found, [*_KEY, *_OWN])
     return d.select(*_PARENT, "at", F.explode("strings").alias("x")).select(*_PARENT, (F.col("at") + F.col("x.a")).alias("a"), (F.col("at") + F.col("x.b")).alias("b"))
 
@@ -232,7 +232,8 @@ def _anchor_rows(units: DataFrame, length: int, gram: int) -> DataFrame:
 def _first_pieces(units: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """_PIECE: the segments of the anchors that occur more than once."""
     one = rows.select("ka", "kb", F.posexplode("h").alias("i", "h"))
-    repeated = one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # A table of its own, so that Spark can split what many texts have in the join.
+    repeated = materialise(one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     kept = one.join(repeated.hint("merge"), "h", "left_semi").groupBy("ka", "kb").agg(F.collect_list("i").alias("kept"))  # of one text
     out = pa_schema(_PIECE)
 
