@@ -9,7 +9,8 @@ one pass over the texts. A larger one takes a pass for each part, one after the
 hits of its part, and the hits of a row meet in the end.
 
 Defined cases: very long texts are searched whole; null or wordless text and items have no words; a repeated item id counts once; an item with fewer words than a window is
-one window; an empty benchmark hits nothing; a null item id counts as the id ''; extra columns are ignored.
+one window; an empty benchmark hits nothing; a null item id counts as the id ''; repeated rows are cut alike; an empty table gives an empty one; ``occurrences`` ignores extra columns, ``remove_spans`` keeps
+them whatever their names are.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import map_text, materialise, pa_schema, slices, texts_of
+from .common import fresh_name, map_text, materialise, pa_schema, slices, texts_of
 from .fm_index import FmIndex
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # every byte of a character beyond ASCII is at least 0x80
 WINDOW = 10
 CHUNK = 5000  # windows of an item that stay together
 PART_WORDS = 250_000
-ROW, ITEMS, SPANS = "_row_of_pass", "_items_found", "_spans_found"
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
@@ -113,11 +114,13 @@ def _chunks(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(cut, schema).distinct()
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, part_words: int, finish, schema) -> DataFrame:
-    """``finish`` (slice, items and merged spans of its rows, their words if known -> columns of ``schema``, which rows stay) for all rows of ``docs``."""
-    chunks = materialise(_chunks(benchmark))
-    total = chunks.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // part_words))
+def _parts(chunks: DataFrame, part_words: int) -> int:
+    return max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // part_words))
+
+
+def _searched(docs: DataFrame, chunks: DataFrame, part_words: int, finish, schema) -> DataFrame:
+    """``finish`` (slice, items and merged spans of its rows, their words if known, the phrases if all are at hand -> columns of ``schema``, which rows stay) for all rows of ``docs``."""
+    n = _parts(chunks, part_words)
     part, out = F.pmod(F.xxhash64("item", "text"), F.lit(n)), pa_schema(schema)
     if n == 1:
         phrases = Phrases([(r.item, r.text) for r in chunks.collect()])  # part_words at most
@@ -126,25 +129,26 @@ def _searched(docs: DataFrame, benchmark: DataFrame, part_words: int, finish, sc
             for batch in batches:
                 for b in slices(batch):
                     words = [words_of(t) for t in texts_of(b)]
-                    yield _columns(finish(b, search(words, phrases), list(map(len, words))), out)
+                    yield _columns(finish(b, search(words, phrases), list(map(len, words)), phrases), out)
 
         return docs.mapInArrow(once, schema)
-    keyed = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    row, items, own_spans = (fresh_name(docs, c) for c in ("row_of_pass", "items_found", "spans_found"))
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
     hits: DataFrame | None = None
     for k in range(n):
         phrases = Phrases([(r.item, r.text) for r in chunks.filter(part == k).collect()])  # about part_words
-        own = materialise(_pass(keyed.select(ROW, "text"), phrases))
+        own = materialise(_pass(keyed.select(F.col(row).alias("row"), "text"), phrases))
         hits = own if hits is None else hits.unionByName(own)
     # Of one row: at most a list of each part.
-    met = hits.groupBy(ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ITEMS)))).alias(ITEMS), F.flatten(F.collect_list(SPANS)).alias(SPANS))
+    met = hits.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items), F.flatten(F.collect_list("spans")).alias(own_spans))
 
     def last(batches):
         for batch in batches:
             for b in slices(batch):
-                spans = [merge([(x["start"], x["end"]) for x in s or ()]) for s in b.column(SPANS).to_pylist()]
-                yield _columns(finish(b, [(i or [], s) for i, s in zip(b.column(ITEMS).to_pylist(), spans)], None), out)
+                spans = [merge([(x["start"], x["end"]) for x in s or ()]) for s in b.column(own_spans).to_pylist()]
+                yield _columns(finish(b, [(i or [], s) for i, s in zip(b.column(items).to_pylist(), spans)], None, None), out)
 
-    return keyed.join(met, ROW, "left").drop(ROW).mapInArrow(last, schema)
+    return keyed.join(met, row, "left").drop(row).mapInArrow(last, schema)
 
 
 def _columns(made: tuple[dict, list[bool] | None], out: pa.Schema) -> pa.RecordBatch:
@@ -155,11 +159,11 @@ def _columns(made: tuple[dict, list[bool] | None], out: pa.Schema) -> pa.RecordB
 
 def _pass(keyed: DataFrame, phrases: Phrases) -> DataFrame:
     """One pass over the texts: row, items and spans of the rows with a hit of these phrases."""
-    schema = f"{ROW} long, {ITEMS} array<string>, {SPANS} array<struct<start:int,end:int>>"
+    schema = "row long, items array<string>, spans array<struct<start:int,end:int>>"
 
     def f(b: pa.RecordBatch) -> dict:
-        hit = [(r, *x) for r, x in zip(b.column(ROW).to_pylist(), search([words_of(t) for t in texts_of(b)], phrases)) if x[1]]
-        return {ROW: [r for r, _, _ in hit], ITEMS: [sorted(i) for _, i, _ in hit], SPANS: [[{"start": x, "end": y} for x, y in s] for _, _, s in hit]}
+        hit = [(r, *x) for r, x in zip(b.column("row").to_pylist(), search([words_of(t) for t in texts_of(b)], phrases)) if x[1]]
+        return {"row": [r for r, _, _ in hit], "items": [sorted(i) for _, i, _ in hit], "spans": [[{"start": x, "end": y} for x, y in s] for _, _, s in hit]}
 
     return map_text(keyed, f, schema)
 
@@ -167,11 +171,11 @@ def _pass(keyed: DataFrame, phrases: Phrases) -> DataFrame:
 def occurrences(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans (merged, in words) of every row of ``docs``."""
 
-    def measure(b: pa.RecordBatch, found: list, n_words: list[int] | None):
+    def measure(b: pa.RecordBatch, found: list, n_words: list[int] | None, phrases: Phrases | None):
         n = [len(words_of(t)) for t in texts_of(b)] if n_words is None else n_words
         return {"doc_id": b.column("doc_id"), "n_words": n, "n_hit": [sum(y - x for x, y in s) for _, s in found], "items": [sorted(i) for i, _ in found], "spans": [[{"start": x, "end": y} for x, y in s] for _, s in found]}, None
 
-    return _searched(docs.select("doc_id", "text"), benchmark, part_words, measure, SCHEMA)
+    return _searched(docs.select("doc_id", "text"), materialise(_chunks(benchmark)), part_words, measure, SCHEMA)
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
@@ -183,17 +187,39 @@ _ANY_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
-    """The documents with every hit stretch of words cut out of the text; those of which nothing is left go. All columns are kept."""
-    names = docs.columns
-
-    def clean(b: pa.RecordBatch, found: list, n_words: list[int] | None):
-        new = [_cut(t, s) if s else t for t, (_, s) in zip(b.column("text").to_pylist(), found)]
-        cols = {n: b.column(n) for n in names} | {"text": new}
+    """The documents without any hit word; those of which no word is left go. All columns are kept, whatever their names are.
+
+    Words on both sides of a cut may form a window anew, so what was cut is searched again until nothing is hit; every round takes words away.
+    """
+    names, again = docs.columns, fresh_name(docs, "cut_in_this_pass")
+    schema = StructType([*docs.schema.fields, StructField(again, BooleanType())])
+
+    def clean(b: pa.RecordBatch, found: list, n_words: list[int] | None, phrases: Phrases | None):
+        new, at, first = b.column("text").to_pylist(), range(b.num_rows), [bool(s) for _, s in found]
+        while at := [i for i, (_, s) in zip(at, found) if s]:
+            spans = [s for _, s in found if s]
+            for i, s in zip(at, spans):
+                new[i] = _cut(new[i], s)
+            if phrases is None:
+                break
+            found = search([words_of(new[i]) for i in at], phrases)
+        cols = {n: b.column(n) for n in names} | {"text": new, again: [hit and phrases is None for hit in first]}
         if "n_chars" in cols:
-            cols["n_chars"] = [n if not s else len(t) for n, (_, s), t in zip(b.column("n_chars").to_pylist(), found, new)]
-        return cols, [not s or bool(_ANY_WORD.search(t)) for (_, s), t in zip(found, new)]
+            cols["n_chars"] = [len(t) if hit else n for n, hit, t in zip(b.column("n_chars").to_pylist(), first, new)]
+        return cols, [not hit or bool(_ANY_WORD.search(t)) for hit, t in zip(first, new)]
 
-    return _searched(docs, benchmark, part_words, clean, docs.schema)
+    done: DataFrame | None = None
+    chunks = materialise(_chunks(benchmark))
+    while True:
+        d = _searched(docs, chunks, part_words, clean, schema)
+        if _parts(chunks, part_words) == 1:
+            return d.drop(again)
+        d = materialise(d)
+        docs = d.filter(again).drop(again)
+        clear = d.filter(~F.col(again)).drop(again)
+        done = clear if done is None else done.unionByName(clear)
+        if docs.isEmpty():
+            return done
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

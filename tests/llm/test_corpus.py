@@ -334,7 +334,7 @@ def test_one_per_group_rows(spark):
         if (own[0][1] or "").strip():
             stays = [r for r in worded if r in own]
             assert len(stays) == 1 and stays[0][0] == min((d for d, _ in own if d is not None), default=None)
-    assert bag(r for r in got if not (r[1] or "").strip()) == bag([(20, ""), (21, None), (None, " "), (None, None)])
+    assert bag(r for r in got if not (r[1] or "").strip()) == bag([(20, ""), (20, ""), (21, None), (None, " "), (None, None)])  # each is alone
 
 
 def test_near_duplicates_hot_group(spark):
@@ -559,7 +559,7 @@ def test_decontamination(spark, docs, rows, empty, sf_dir, monkeypatch):
     cleaned = decontaminate.remove_spans(docs, b)
     assert cleaned.columns == docs.columns and decontaminate.remove_spans(empty, b).count() == 0
     left = bag(cleaned.collect())
-    assert sum(left.values()) < len(rows) and decontaminate.decontamination_report(cleaned, b.filter("item_id < 900")).filter("n_hit > 100").count() == 0
+    assert sum(left.values()) < len(rows) and decontaminate.decontamination_report(cleaned, b).filter("n_hit > 0").count() == 0
     # Several parts, one pass each; long items in chunks: the same results.
     few = docs.filter("doc_id % 3 = 0 OR doc_id > 9000")
     monkeypatch.setattr(decontaminate, "CHUNK", 7)
@@ -590,7 +590,7 @@ def test_pipeline(spark, sf_dir, tmp_path):
             named = brute_components([(r.doc_id, r.text) for r in before.collect()])
             assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, _, c in named})
         if name == "decontamination":
-            assert decontaminate.decontamination_report(after, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 20").count() == 0
+            assert decontaminate.decontamination_report(after, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0").count() == 0
         after.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
         before = spark.read.parquet(f"{tmp_path}/{name}")
     assert bag(out.select("doc_id", "piece", "ids_crc32").collect()) == bag(two_fit.pack(before).select("doc_id", "piece", "ids_crc32").collect())
