@@ -2,7 +2,7 @@
 
 Near copies: line dedup comes first and deletes what they share, so the n-gram stage sees only what line dedup left of them.
 
-Defined cases: a null or empty text passes toxicity, line dedup, the n-gram stage (which makes equal rows one) and decontamination, and is packed as one token; very long texts, repeated rows, null ids and
+Defined cases: a null or empty text passes toxicity, line dedup, the n-gram stage (in which a wordless row is alone) and decontamination, and is packed as one token; very long texts, repeated rows, null ids and
 extra columns, whatever their names are, follow the operators' own definitions; empty tables give an empty result.
 """
 
