@@ -1,4 +1,4 @@
-"""Column expressions. NaN is NULL everywhere: ``clean`` converts at the border; comparisons with NULL give NULL unless said otherwise."""
+"""Column expressions. NaN is NULL: ``clean`` converts at the borders, which are the readers, ``col_or_null`` and ``shape.to_long``; comparisons with NULL give NULL unless said otherwise."""
 
 from __future__ import annotations
 
@@ -16,13 +16,19 @@ def clean(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def clean_numbers(df: DataFrame) -> DataFrame:
+    """``df`` with NULL for NaN in its columns of numbers."""
+    return df.withColumns({c: clean(F.col(f"`{c}`")) for c, kind in df.dtypes if kind in ("double", "float")})
+
+
 def null_safe(p: Column) -> Column:
     """A predicate that is false where it is unknown."""
     return F.coalesce(p, F.lit(False))
 
 
 def col_or_null(df: DataFrame, name: str, kind: str = "double") -> Column:
-    return F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    c = F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    return clean(c) if kind in ("double", "float") else c
 
 
 def yes_no(c: Column) -> Column:

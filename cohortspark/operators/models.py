@@ -14,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import clean
 from ..scratch import materialise
 from .shape import to_long, uniform
 from .stats import correlation, exact_quantiles
@@ -54,6 +55,14 @@ def fit_standard_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[fl
     return {c: (r[f"m_{c}"], r[f"s_{c}"] or 1.0) for c in cols}
 
 
+def fit_normaliser(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Median and sample standard deviation of what is known; (0, 1) for a column without values, spread 1 for a constant one."""
+    known = {c: clean(F.col(c).cast("double")) for c in cols}
+    spread = df.agg(*(F.stddev_samp(x).alias(c) for c, x in known.items())).first()
+    centre = {x.feature: x.q[0] for x in exact_quantiles(to_long(df, [], cols), "value", (0.5,), ["feature"]).collect()}  # one row a column
+    return {c: (float(centre.get(c, 0.0)), float(spread[c] or 1.0)) for c in cols}
+
+
 def apply_scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - m) / s for c, (m, s) in fitted.items()})
 

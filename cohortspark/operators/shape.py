@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import days_between
+from ..functions.columns import clean, days_between
 from ..scratch import materialise
 
 
@@ -106,11 +106,20 @@ def pick_index_visit(df: DataFrame, entity: str, ts: str, window_end: Column, fo
 
 
 # ---- windows -----------------------------------------------------------------------------------------------------------
-def group_zscore(df: DataFrame, c: str, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    z = (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))
+def group_zscore(df: DataFrame, c: str, keys: Sequence[str], most_keys: int = 100_000) -> DataFrame:
+    """Mean and deviation per key are aggregated before the shuffle and joined back; up to ``most_keys`` keys travel to the rows, so no key's rows meet in one task.
+    A NULL key has no score; beyond ``most_keys`` Spark joins by key and may split large ones."""
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    return df.withColumn(f"{c}_z", F.when(known, z))
+    mean, sd = fresh(df, "mean_of_key"), fresh(df, "sd_of_key")
+    per = materialise(df.filter(known).groupBy(*keys).agg(F.avg(c).alias(mean), F.stddev_samp(c).alias(sd)))
+    per = F.broadcast(per) if per.limit(most_keys + 1).count() <= most_keys else per
+    return df.join(per, list(keys), "left").withColumn(f"{c}_z", (F.col(c) - F.col(mean)) / F.nullif(F.col(sd), F.lit(0.0))).select(*(df[x] for x in df.columns if x != f"{c}_z"), f"{c}_z")
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {x.lower() for x in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"{stem}{i or ''}") not in taken)
 
 
 def gap_since_previous(df: DataFrame, entity: str, ts: str) -> DataFrame:
@@ -153,15 +162,26 @@ def running_totals(df: DataFrame, order: Sequence[str], values: Sequence[str], d
 
     Rows are range-partitioned; sums inside a range are windows per range, and the offsets of the ranges come from one small table.
     """
-    ordered = [F.desc(o) for o in order] if descending else [F.asc(o) for o in order]
+    return totals_in(ranged(df, order, descending), order, values, descending, by)
+
+
+def _ordered(order: Sequence[str], descending: bool) -> list[Column]:
+    return [F.desc(o) for o in order] if descending else [F.asc(o) for o in order]
+
+
+def ranged(df: DataFrame, order: Sequence[str], descending: bool = False) -> DataFrame:
+    """``df`` in ranges of ``order``, written once; ``totals_in`` may be asked for several groupings of it."""
     # The number of the range is kept by the checkpoint: a second run of the sampling could cut elsewhere.
-    d = materialise(df.repartitionByRange(*ordered).withColumn("_p", F.spark_partition_id()))
+    return materialise(df.repartitionByRange(*_ordered(order, descending)).withColumn("_p", F.spark_partition_id()))
+
+
+def totals_in(d: DataFrame, order: Sequence[str], values: Sequence[str], descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
     keys = [*by, "_p"]
     sums = d.groupBy(*keys).agg(*(F.sum(v).alias(f"_{v}") for v in values))
     ahead = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by) if by else Window.partitionBy()
     offsets = sums.select(*keys, *(F.coalesce(F.sum(f"_{v}").over(ahead), F.lit(0)).alias(f"_o_{v}") for v in values), *(F.sum(f"_{v}").over(whole).alias(f"{v}_total") for v in values))
-    w = Window.partitionBy(*keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(*_ordered(order, descending)).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumns({f"_b_{v}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values}).join(offsets, keys)
     out = d.withColumns({f"{v}_before": F.col(f"_b_{v}") + F.col(f"_o_{v}") for v in values})
     return out.drop("_p", *(f"_b_{v}" for v in values), *(f"_o_{v}" for v in values))
@@ -234,7 +254,8 @@ def sequences(visits: DataFrame, entity: str, idx: str, values: Sequence[str], k
 
 
 def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
-    return df.select(*ids, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(list(ids), list(cols), name, value)
+    """NULL for NaN."""
+    return df.select(*ids, *(clean(F.col(c).cast("double")).alias(c) for c in cols)).unpivot(list(ids), list(cols), name, value)
 
 
 # ---- splits and resampling: all draws are hashes of keys, so results don't depend on partitioning --------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import days_between, null_safe
 from ..scratch import materialise
-from .shape import poisson_weights, running_totals, to_long
+from .shape import poisson_weights, ranged, running_totals, to_long, totals_in
 
 
 def outcome_table(events: DataFrame, entity: str, outcomes: Sequence[str]) -> DataFrame:
@@ -32,9 +32,18 @@ def coverage(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """by, q (array, linear interpolation) from running counts of distinct values: no group's values meet in one task. NULL values and groups are left out."""
+    """by, q (array, linear interpolation) from running counts of distinct values: no group's values meet in one task. NULL and NaN values and NULL groups are left out."""
     known = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [value, *by]))
-    r = running_totals(known.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("n")), ["_x"], ["n"], by=by)
+    return _quantiles_in(ranged(_value_counts(known, value, by), ["_x"]), probs, by)
+
+
+def _value_counts(known: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    return known.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("n")).filter(~F.isnan("_x"))
+
+
+def _quantiles_in(counts: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """by, q of a table of counts (_x, n) in ranges of _x; the table may be counted by more columns than ``by``."""
+    r = totals_in(counts, ["_x"], ["n"], by=by)
     place = lambda p: F.lit(float(p)) * (F.col("n_total") - 1)
     at = lambda h: F.max(F.when((F.col("n_before") <= h) & (h < F.col("n_before") + F.col("n")), F.col("_x")))
     ends = [c for i, p in enumerate(probs) for c in (at(F.floor(place(p))).alias(f"_l{i}"), at(F.ceil(place(p))).alias(f"_h{i}"))]
@@ -54,14 +63,21 @@ def distribution(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
     return d.select(*by, "mean", "sd", *(F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))))
 
 
-def cycle_drift(df: DataFrame, cols: Sequence[str], cycle: str, limit: float = 0.5, least: float = 0.01) -> DataFrame:
-    """Largest shift of a cycle's median in units of the pooled interquartile range; cycles measured in over ``least`` of rows count."""
+def cycle_drift(df: DataFrame, cols: Sequence[str], cycle: str, limit: float = 1.0, least: float = 0.01, least_cycles: float = 0.60) -> DataFrame:
+    """feature, max_shift, cycles, availability, drift, gap of every feature with an interquartile range.
+
+    max_shift: largest distance of any cycle's median from the pooled one, in pooled interquartile ranges, flagged as drift over ``limit``; a cycle measures a feature if more than
+    ``least`` of its rows have it, and a feature that less than ``least_cycles`` of the cycles measure has a gap. Rows of no cycle count for the pooled values only. Values are counted once, by feature, cycle and value.
+    """
     long = to_long(df, [cycle], cols)
-    pooled = exact_quantiles(long, "value", (0.25, 0.5, 0.75), ["feature"]).select("feature", F.col("q")[1].alias("m"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")).filter("iqr > 0")
-    share = long.groupBy("feature", cycle).agg(F.avg(F.col("value").isNotNull().cast("double")).alias("share"))
-    per = share.join(exact_quantiles(long, "value", (0.5,), ["feature", cycle]).select("feature", cycle, F.col("q")[0].alias("cm")), ["feature", cycle])
-    used = per.filter(F.col("share") > least).join(pooled, "feature")
-    return used.groupBy("feature").agg(F.max(F.abs(F.col("cm") - F.col("m")) / F.col("iqr")).alias("max_shift"), F.count("*").alias("cycles")).withColumn("drift", F.col("max_shift") > limit)
+    counts = ranged(_value_counts(long.filter("value IS NOT NULL"), "value", ["feature", cycle]), ["_x"])
+    pooled = _quantiles_in(counts, (0.25, 0.5, 0.75), ["feature"]).select("feature", F.col("q")[1].alias("m"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")).filter("iqr > 0")
+    medians = _quantiles_in(counts.filter(F.col(cycle).isNotNull()), (0.5,), ["feature", cycle]).select("feature", cycle, F.col("q")[0].alias("cm"))
+    share = long.filter(F.col(cycle).isNotNull()).groupBy("feature", cycle).agg(F.avg(F.col("value").isNotNull().cast("double")).alias("share"))
+    per = share.join(medians, ["feature", cycle], "left").join(pooled, "feature")
+    d = per.groupBy("feature").agg(F.coalesce(F.max(F.abs(F.col("cm") - F.col("m")) / F.col("iqr")), F.lit(0.0)).alias("max_shift"), F.count_if(F.col("share") > least).alias("cycles"), F.count("*").alias("_all"))
+    d = d.withColumn("availability", F.col("cycles") / F.col("_all")).drop("_all")
+    return d.withColumn("drift", F.col("max_shift") > limit).withColumn("gap", F.col("availability") < least_cycles)
 
 
 def plausibility(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:

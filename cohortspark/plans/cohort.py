@@ -53,14 +53,28 @@ def build_cohort(events: DataFrame, entity: str, outcome: str, index_days: float
     return d
 
 
-def eligibility(df: DataFrame, cols: Sequence[str], cycle: str, ranges: Mapping[str, tuple[float, float]], low: float = 0.05, high: float = 0.5) -> DataFrame:
-    """Tier per feature with reasons: research below ``high`` coverage, drift or implausible; excluded below ``low`` or hard implausible."""
-    cov = shape.to_long(df, [], cols).groupBy("feature").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("coverage"))
-    d = cov.join(stats.cycle_drift(df, cols, cycle).select("feature", "drift"), "feature", "left").join(stats.plausibility(df, ranges).select("feature", "flagged", "hard"), "feature", "left")
-    yes = lambda c: null_safe(F.col(c))
-    reasons = F.filter(F.array(F.when(F.col("coverage") < low, "coverage"), F.when(F.col("coverage").between(low, high), "partial"), F.when(yes("drift"), "drift"), F.when(yes("hard"), "implausible"), F.when(yes("flagged"), "range")), lambda x: x.isNotNull())
-    tier = F.when((F.col("coverage") < low) | yes("hard"), "excluded").when(F.size(reasons) > 0, "research").otherwise("eligible")
-    return d.select("feature", "coverage", tier.alias("tier"), F.array_join(reasons, ",").alias("reasons"))
+def eligibility(df: DataFrame, cols: Sequence[str], cycle: str, ranges: Mapping[str, tuple[float, float]], denied: Sequence[str] = (), evidence_gap: Sequence[str] = (), weak_evidence: Sequence[str] = (), least: float = 0.05, usable: float = 0.5) -> DataFrame:
+    """feature, coverage, tier, reasons of every candidate and every denied column.
+
+    prohibited: denied; unavailable: absent, or covered by less than ``least``; qualified_use: covered by less than ``usable``, a gap between cycles, drift, values out of range, an evidence gap or weak
+    evidence; usable_now: none of these.
+    """
+    spark = df.sparkSession
+    here, c = [x for x in cols if x in df.columns and x not in denied], F.col
+    names = [(x, x in denied, x in df.columns, x in evidence_gap, x in weak_evidence) for x in dict.fromkeys([*cols, *(x for x in denied if x in df.columns)])]
+    d = spark.createDataFrame(names, "feature string, denied boolean, present boolean, evidence_gap boolean, weak_evidence boolean")
+    if here:
+        cov = shape.to_long(df, [], here).groupBy("feature").agg(F.avg(c("value").isNotNull().cast("double")).alias("coverage"))
+        d = d.join(cov, "feature", "left").join(stats.cycle_drift(df, here, cycle).select("feature", "drift", "gap"), "feature", "left").join(stats.plausibility(df, {k: v for k, v in ranges.items() if k in here}).select("feature", "flagged"), "feature", "left")
+    else:
+        d = d.withColumns({"coverage": F.lit(None).cast("double"), **{x: F.lit(None).cast("boolean") for x in ("drift", "gap", "flagged")}})
+    rules = {"coverage": c("coverage") < usable, "gap": c("gap"), "drift": c("drift"), "range": c("flagged"), "evidence_gap": c("evidence_gap"), "weak_evidence": c("weak_evidence")}
+    reasons = F.array_join(F.filter(F.array(*(F.when(null_safe(bad), name) for name, bad in rules.items())), lambda x: x.isNotNull()), ",")
+    out = [("prohibited", "denied", c("denied")), ("unavailable", "absent", ~c("present")), ("unavailable", "coverage", null_safe(c("coverage") < least))]
+    tier, why = F.when(reasons == "", "usable_now").otherwise("qualified_use"), reasons
+    for name, reason, bad in reversed(out):
+        tier, why = F.when(bad, name).otherwise(tier), F.when(bad, reason).otherwise(why)
+    return d.select("feature", "coverage", tier.alias("tier"), why.alias("reasons"))
 
 
 def select_model(candidates: DataFrame, group: Sequence[str], min_slope: float = 0.2, min_auroc: float = 0.6) -> DataFrame:

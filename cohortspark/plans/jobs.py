@@ -32,7 +32,7 @@ def _finding(df: DataFrame, section: str, item: Column, value: Column, level: Co
 
 # ---- reports -----------------------------------------------------------------------------------------------------------------------
 def reliability_report(df: DataFrame, key: str, age: str, cycle: str, split: str, cols: Sequence[str], wanted: Sequence[str], ranges: Mapping[str, tuple[float, float]], labels: Sequence[str], denied: Sequence[str], weights: Sequence[str]) -> DataFrame:
-    """Eleven sections and the tiers of features. Plausibility, coverage and drift look at adults; no eligible feature is a blocking finding."""
+    """Eleven sections and the tiers of features. Plausibility, coverage and drift look at adults; no usable feature is a blocking finding."""
     c, adult = F.col, screen.adults(df, age)
     here = [w for w in wanted if w in df.columns]
     names = df.sparkSession.createDataFrame([(w, float(w in df.columns), w in denied) for w in wanted], "name string, present double, denied boolean")
@@ -41,7 +41,8 @@ def reliability_report(df: DataFrame, key: str, age: str, cycle: str, split: str
     dup = stats.duplicate_report(df.select(key, *cols), key)
     per_split = stats.coverage(adult, here, [split]).select("feature", c(split).cast("string").alias("part"), "coverage")
     cap = quality.capabilities(df, key, [cycle], labels)
-    tiers = plans.eligibility(adult, here, cycle, ranges)
+    drift = stats.cycle_drift(adult, here, cycle)
+    tiers = plans.eligibility(adult, wanted, cycle, ranges, denied)
     share = lambda w: F.avg(null_safe(c(w) > 0).cast("double")).alias(w)
     parts = [
         _finding(n, "provenance", F.lit("rows"), c("n")),
@@ -51,7 +52,8 @@ def reliability_report(df: DataFrame, key: str, age: str, cycle: str, split: str
         _finding(dup, "duplicates", F.lit("duplicate_rows"), c("duplicate_rows"), _level(c("duplicate_rows") > 0, "warning")),
         _finding(dup, "duplicates", F.lit("repeated_ids"), c("repeated_ids"), _level(c("repeated_ids") > 0, "warning")),
         _finding(per_split, "coverage", F.concat_ws("/", "feature", "part"), c("coverage")),
-        _finding(stats.cycle_drift(adult, here, cycle), "drift", c("feature"), c("max_shift"), _level(c("drift"), "warning")),
+        _finding(drift, "drift", c("feature"), c("max_shift"), _level(c("drift"), "warning")),
+        _finding(drift, "availability", c("feature"), c("availability"), _level(c("gap"), "warning")),
         _finding(stats.label_counts(df, labels), "labels", c("label"), c("positive")),
         _finding(names.filter("denied"), "leakage", c("name"), c("present"), F.lit("blocking")),
         _finding(shape.to_long(df.agg(*map(share, weights)), [], weights), "weights", c("feature"), c("value")),
@@ -60,7 +62,7 @@ def reliability_report(df: DataFrame, key: str, age: str, cycle: str, split: str
         _finding(adult.agg(F.count("*").alias("n")), "row_counts", F.lit("adults"), c("n")),
         _finding(adult.groupBy(split).agg(F.count("*").alias("n")), "row_counts", c(split), c("n")),
         _finding(tiers, "tier", F.concat_ws("/", "feature", "tier"), c("coverage")),
-        _finding(tiers.agg(F.count_if(c("tier") == "eligible").alias("n")), "tier", F.lit("eligible features"), c("n"), _level(c("n") == 0, "blocking")),
+        _finding(tiers.agg(F.count_if(c("tier") == "usable_now").alias("n")), "tier", F.lit("usable features"), c("n"), _level(c("n") == 0, "blocking")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

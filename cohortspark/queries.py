@@ -138,8 +138,15 @@ add("a_quantiles", lambda s, d: r6(S.quantiles(od(s, d), ["price", "score"], [0.
     f"WITH {OD}, l AS (SELECT yr, 'price' AS feature, price AS v FROM od UNION ALL SELECT yr, 'score', score FROM od) SELECT yr, feature, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90 FROM l GROUP BY 1, 2")
 add("a_distribution", lambda s, d: r6(S.distribution(ev(s, d), "value", ["event_type"])),
     f"WITH {EV} SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{round(100 * q)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM ev GROUP BY 1")
-add("a_drift", lambda s, d: r6(S.cycle_drift(od(s, d), ["price", "score"], "yr", 0.05)),
-    f"WITH {OD}, l AS (SELECT yr, 'price' AS feature, price AS v FROM od UNION ALL SELECT yr, 'score', score FROM od), p AS (SELECT feature, quantile_cont(v, 0.5) m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) iqr FROM l GROUP BY 1), c AS (SELECT feature, yr, quantile_cont(v, 0.5) cm, avg((v IS NOT NULL)::INT) s FROM l GROUP BY 1, 2), j AS (SELECT feature, max(abs(cm - m) / iqr) x, count(*) n FROM c JOIN p USING (feature) WHERE s > 0.01 AND iqr > 0 GROUP BY 1) SELECT feature, round(x, 6) AS max_shift, n AS cycles, x > 0.05 AS drift FROM j")
+# A value that is not a number, one that moves with the year, one of three years, one that is there in exactly half of the rows.
+odd_features = lambda s, d: od(s, d).withColumn("score", F.when(F.col("id") % 37 == 0, float("nan")).otherwise(F.col("score"))).withColumn("moving", F.col("price") + (F.col("yr") - 1995) * 60000).withColumn("gappy", F.when(F.col("yr") < 1995, F.col("price"))).withColumn("half", F.col("price"))
+odd_twice = lambda s, d: odd_features(s, d).filter("price IS NOT NULL").transform(lambda x: x.unionByName(x.withColumn("half", F.lit(None).cast("double"))))
+ODDS = f"{OD}, odd AS (SELECT *, CASE WHEN id % 37 = 0 THEN NULL ELSE score END AS s2, price + (yr - 1995) * 60000 AS moving, CASE WHEN yr < 1995 THEN price END AS gappy FROM od), odd2 AS (SELECT *, price AS half FROM odd WHERE price IS NOT NULL UNION ALL SELECT *, NULL FROM odd WHERE price IS NOT NULL)"
+FEATURE_ROWS = lambda t, cols: " UNION ALL ".join(f"SELECT yr, '{n}' AS feature, {e} AS v FROM {t}" for n, e in cols.items())
+DRIFT = "m AS (SELECT feature, quantile_cont(v, 0.5) m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) iqr FROM l GROUP BY 1), cy AS (SELECT feature, yr, quantile_cont(v, 0.5) cm, avg((v IS NOT NULL)::INT) s FROM l WHERE yr IS NOT NULL GROUP BY 1, 2), dr AS (SELECT feature, coalesce(max(abs(cm - m) / iqr), 0) AS x, CAST(count_if(s > 0.01) AS BIGINT) AS k, count_if(s > 0.01) / count(*) AS av FROM cy JOIN m USING (feature) WHERE iqr > 0 GROUP BY 1)"
+FOUR = {"price": "price", "score": "s2", "moving": "moving", "gappy": "gappy"}
+add("a_drift", lambda s, d: r6(S.cycle_drift(odd_features(s, d), list(FOUR), "yr")),
+    f"WITH {ODDS}, l AS ({FEATURE_ROWS('odd', FOUR)}), {DRIFT} SELECT feature, round(x, 6) AS max_shift, k AS cycles, round(av, 6) AS availability, x > 1.0 AS drift, av < 0.6 AS gap FROM dr")
 add("a_plausibility", lambda s, d: r6(S.plausibility(od(s, d), {"price": (2e4, 4.5e5), "score": (0.0, 0.7)})),
     f"WITH {OD}, l AS (SELECT 'price' AS feature, price AS v, 20000.0 a, 450000.0 b FROM od UNION ALL SELECT 'score', score, 0.0, 0.7 FROM od), g AS (SELECT feature, count(*) AS observed, CAST(count_if(v < a OR v > b) AS BIGINT) AS out_of_range, min(v) AS least, max(v) AS most FROM l WHERE v IS NOT NULL GROUP BY 1) SELECT feature, observed, out_of_range, round(least, 6) AS least, round(most, 6) AS most, out_of_range / observed > 0.01 AS flagged, out_of_range / observed > 0.1 AS hard FROM g")
 add("a_duplicates", lambda s, d: S.duplicate_report(ev(s, d).select("user_id", "event_type"), "user_id"),
@@ -206,8 +213,11 @@ add("q_cohort", lambda s, d: r6(P.build_cohort(outcomes(s, d), "user_id", "disea
 RULES = {"negative": "value < 1", "late": "ts > TIMESTAMP '2024-01-25'", "odd_type": "event_type NOT IN ('click', 'view', 'purchase', 'signup', 'error')"}
 add("q_event_findings", lambda s, d: P.validate_events(ev(s, d), ["user_id", "event_type", "ts"], "ts", "event_id", {k: F.expr(v) for k, v in RULES.items()})[1],
     f"WITH {EV} SELECT code, CAST(sum(n) AS BIGINT) AS rows FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS code, count(*) n FROM ev WHERE {v}" for k, v in RULES.items() if k != "odd_type") + " UNION ALL SELECT 'duplicate_key', sum(c - 1) FROM (SELECT count(*) c FROM ev GROUP BY user_id, event_type, ts)) GROUP BY 1 HAVING sum(n) > 0 OR code = 'duplicate_key'")
-add("q_eligibility", lambda s, d: r6(P.eligibility(od(s, d), ["price", "score"], "yr", {"price": (2e4, 4.5e5), "score": (0.0, 2.0)})),
-    f"WITH {OD}, g AS (SELECT 'price' AS feature, avg((price IS NOT NULL)::INT) c, count_if(price NOT BETWEEN 20000 AND 450000) / count(price) b FROM od UNION ALL SELECT 'score', 1.0, count_if(score NOT BETWEEN 0 AND 2) / count(score) FROM od) SELECT feature, round(c, 6) AS coverage, CASE WHEN c < 0.05 OR b > 0.1 THEN 'excluded' WHEN b > 0.01 OR c <= 0.5 THEN 'research' ELSE 'eligible' END AS tier, concat_ws(',', CASE WHEN b > 0.1 THEN 'implausible' END, CASE WHEN b > 0.01 THEN 'range' END) AS reasons FROM g")
+TIERED = ["price", "score", "moving", "gappy", "half", "absent", "y"]
+add("q_eligibility", lambda s, d: r6(P.eligibility(odd_twice(s, d), TIERED, "yr", {"price": (2e4, 4.5e5), "score": (0.0, 0.7), "half": (0.0, 1e9)}, denied=["y", "t"], weak_evidence=["score"])),
+    f"WITH {ODDS}, l AS ({FEATURE_ROWS('odd2', FOUR | {'half': 'half'})}), {DRIFT}, g AS (SELECT feature, avg((v IS NOT NULL)::INT) c, count_if(feature = 'price' AND v NOT BETWEEN 20000 AND 450000 OR feature = 'score' AND v NOT BETWEEN 0 AND 0.7) / count(v) b FROM l GROUP BY 1), "
+    "w AS (SELECT feature, c, concat_ws(',', CASE WHEN c < 0.5 THEN 'coverage' END, CASE WHEN av < 0.6 THEN 'gap' END, CASE WHEN x > 1 THEN 'drift' END, CASE WHEN b > 0.01 THEN 'range' END, CASE WHEN feature = 'score' THEN 'weak_evidence' END) AS r FROM g LEFT JOIN dr USING (feature)) "
+    "SELECT feature, round(c, 6) AS coverage, CASE WHEN c < 0.05 THEN 'unavailable' WHEN r = '' THEN 'usable_now' ELSE 'qualified_use' END AS tier, CASE WHEN c < 0.05 THEN 'coverage' ELSE r END AS reasons FROM w UNION ALL SELECT 'absent', NULL, 'unavailable', 'absent' UNION ALL SELECT unnest(['y', 't']), NULL, 'prohibited', 'denied'")
 add("q_units", lambda s, d: r6(P.harmonise_units(ev(s, d).withColumn("unit", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b")), "event_type", "unit", "value", s.createDataFrame([("view", "a", "z", 18.0, 1.5), ("click", "b", "z", 0.5, 0.0)], "event_type string, unit string, target_unit string, slope double, intercept double")).select("event_id", "value", "unit", "unit_known")),
     f"WITH {EV}, u AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END unit FROM ev) SELECT event_id, round(CASE WHEN event_type = 'view' AND unit = 'a' THEN value * 18 + 1.5 WHEN event_type = 'click' AND unit = 'b' THEN value * 0.5 ELSE value END, 6) AS value, CASE WHEN (event_type = 'view' AND unit = 'a') OR (event_type = 'click' AND unit = 'b') THEN 'z' ELSE unit END AS unit, (event_type = 'view' AND unit = 'a') OR (event_type = 'click' AND unit = 'b') AS unit_known FROM u")
 add("q_implausible", lambda s, d: P.null_implausible(ev(s, d).withColumn("reason", F.lit("none")), "event_type", "value", "reason", {"view": (1.0, 100.0), "error": (5.0, 200.0)}).groupBy("event_type", "reason").agg(F.count("value").alias("n_values"), F.count("*").alias("n")),

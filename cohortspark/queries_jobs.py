@@ -22,19 +22,19 @@ LEVEL = "CASE WHEN {} THEN '{}' ELSE 'info' END"
 REL = f"""WITH {OD}, p AS (SELECT *, id % 90 AS age FROM od), a AS (SELECT * FROM p WHERE age >= 18), l AS (SELECT yr, st, 'price' AS f, price AS v FROM a UNION ALL SELECT yr, st, 'score', score FROM a),
 g AS (SELECT cust, price, score, count(*) n FROM od GROUP BY ALL), u AS (SELECT cust, sum(n) r, count(*) k FROM g GROUP BY 1), z AS (SELECT (sum(r) - sum(k))::DOUBLE b, count_if(r > 1)::DOUBLE c FROM u),
 pl AS (SELECT f, count_if(v NOT BETWEEN 20000 AND 450000 AND f = 'price' OR v NOT BETWEEN 0 AND 2 AND f = 'score') / count(v) x, avg((v IS NOT NULL)::INT) c FROM l GROUP BY 1),
-m AS (SELECT f, quantile_cont(v, 0.5) m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) iqr FROM l GROUP BY 1), cy AS (SELECT f, yr, quantile_cont(v, 0.5) cm, avg((v IS NOT NULL)::INT) s FROM l GROUP BY 1, 2), dr AS (SELECT f, max(abs(cm - m) / iqr) x FROM cy JOIN m USING (f) WHERE s > 0.01 AND iqr > 0 GROUP BY 1),
-t AS (SELECT f, c, CASE WHEN c < 0.05 OR pl.x > 0.1 THEN 'excluded' WHEN c <= 0.5 OR pl.x > 0.01 OR coalesce(dr.x > 0.5, false) THEN 'research' ELSE 'eligible' END AS tier FROM (SELECT f, x, c FROM pl) pl LEFT JOIN dr USING (f)),
+m AS (SELECT f, quantile_cont(v, 0.5) m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) iqr FROM l GROUP BY 1), cy AS (SELECT f, yr, quantile_cont(v, 0.5) cm, avg((v IS NOT NULL)::INT) s FROM l GROUP BY 1, 2), dr AS (SELECT f, max(abs(cm - m) / iqr) x, count_if(s > 0.01) / count(*) av FROM cy JOIN m USING (f) WHERE iqr > 0 GROUP BY 1),
+t AS (SELECT f, c, CASE WHEN c < 0.05 THEN 'unavailable' WHEN c < 0.5 OR pl.x > 0.01 OR coalesce(dr.x > 1 OR dr.av < 0.6, false) THEN 'qualified_use' ELSE 'usable_now' END AS tier FROM (SELECT f, x, c FROM pl) pl LEFT JOIN dr USING (f) UNION ALL SELECT 'secret', NULL, 'prohibited' UNION ALL SELECT 'absent', NULL, 'unavailable'),
 o(section, item, value, level) AS (SELECT 'provenance', 'rows', count(*)::DOUBLE, 'info' FROM od UNION ALL SELECT 'provenance', 'columns', 11.0, 'info'
 UNION ALL SELECT 'schema', n, e, CASE WHEN e = 0 THEN 'warning' ELSE 'info' END FROM (VALUES ('price', 1.0), ('score', 1.0), ('secret', 0.0), ('absent', 0.0)) w(n, e)
 UNION ALL SELECT 'plausibility', f, x, CASE WHEN x > 0.1 THEN 'blocking' WHEN x > 0.01 THEN 'warning' ELSE 'info' END FROM pl
 UNION ALL SELECT 'duplicates', 'duplicate_rows', b, {LEVEL.format('b > 0', 'warning')} FROM z UNION ALL SELECT 'duplicates', 'repeated_ids', c, {LEVEL.format('c > 0', 'warning')} FROM z
 UNION ALL SELECT 'coverage', f || coalesce('/' || st, ''), avg((v IS NOT NULL)::INT), 'info' FROM l GROUP BY GROUPING SETS ((f), (f, st)), f, st HAVING f IS NOT NULL
-UNION ALL SELECT 'drift', f, x, {LEVEL.format('x > 0.5', 'warning')} FROM dr
+UNION ALL SELECT 'drift', f, x, {LEVEL.format('x > 1', 'warning')} FROM dr UNION ALL SELECT 'availability', f, av, {LEVEL.format('av < 0.6', 'warning')} FROM dr
 UNION ALL SELECT 'labels', 'y', sum(y)::DOUBLE, 'info' FROM od UNION ALL SELECT 'labels', 't', sum(t)::DOUBLE, 'info' FROM od UNION ALL SELECT 'leakage', 'secret', 0.0, 'blocking'
 UNION ALL SELECT 'weights', 'score', avg(coalesce(score > 0, false)::INT), 'info' FROM od UNION ALL SELECT 'weights', 'price', avg(coalesce(price > 0, false)::INT), 'info' FROM od
 UNION ALL SELECT 'capability', CASE WHEN max(r) > 1 THEN 'trajectories' ELSE 'association' END, (SELECT (count_if(q = 1) > 0 AND count_if(q = 0) > 0)::INT FROM (SELECT y q FROM od)) + (SELECT (count_if(t = 1) > 0 AND count_if(t = 0) > 0)::INT FROM od), 'info' FROM u
 UNION ALL SELECT 'row_counts', 'rows', count(*), 'info' FROM od UNION ALL SELECT 'row_counts', 'adults', count(*), 'info' FROM a UNION ALL SELECT 'row_counts', st, count(*), 'info' FROM a GROUP BY st
-UNION ALL SELECT 'tier', f || '/' || tier, c, 'info' FROM t UNION ALL SELECT 'tier', 'eligible features', count_if(tier = 'eligible'), {LEVEL.format("count_if(tier = 'eligible') = 0", 'blocking')} FROM t)
+UNION ALL SELECT 'tier', f || '/' || tier, c, 'info' FROM t UNION ALL SELECT 'tier', 'usable features', count_if(tier = 'usable_now'), {LEVEL.format("count_if(tier = 'usable_now') = 0", 'blocking')} FROM t)
 SELECT section, item, round(value::DOUBLE, 6) AS value, level FROM o""".replace("GROUP BY GROUPING SETS ((f), (f, st)), f, st HAVING f IS NOT NULL", "GROUP BY GROUPING SETS ((f), (f, st))")
 add("q_reliability", lambda s, d: r6(reliable(s, d)), REL)
 integrity = lambda s, d: Q.integrity_report(od(s, d), "cust", ["price", "score"], ["y", "t"], {"price": (2e4, 4.5e5)}).select("section", "item", "value", "level")

@@ -35,8 +35,8 @@ add("p_derive", lambda s, d: R.derive_if_absent(od(s, d), {"double_price": F.col
 add("p_usable", lambda s, d: s.createDataFrame([(c,) for c in H.usable_columns(od(s, d).withColumn("one", F.lit(1)), ["price", "one", "y"])], "name string"), "SELECT * FROM (VALUES ('price'), ('y')) v(name)")
 
 # ---- columns
-add("d_changes", lambda s, d: r6(od(s, d).select("id", C.bounded_difference(F.col("price") / 1000, F.col("score") * 100, 0, 90).alias("duration"), C.square(F.col("score")).alias("sq"), C.change(F.col("score"), F.col("price") / 1e5).alias("change"), C.interaction(F.col("price"), F.col("score")).alias("both"), L("yr"), C.year_of(F.col("d")).cast("long").alias("year"), C.missing_burden(["price", "cust"]).alias("burden"))),
-    f"WITH {OD} SELECT id, round(CASE WHEN price / 1000 - score * 100 BETWEEN 0 AND 90 THEN price / 1000 - score * 100 END, 6) AS duration, round(score * score, 6) AS sq, round(price / 100000 - score, 6) AS change, round(price * score, 6) AS both, CAST(yr AS BIGINT) AS yr, CAST(year(d) AS BIGINT) AS year, CASE WHEN price IS NULL THEN 0.5::DOUBLE ELSE 0.0 END AS burden FROM od")
+add("d_changes", lambda s, d: r6(od(s, d).select("id", C.bounded_difference(F.col("price") / 1000, F.col("score") * 100, 0, 90).alias("duration"), C.square(F.col("score")).alias("sq"), C.change(F.col("score"), F.col("price") / 97e3).alias("change"), C.interaction(F.col("price"), F.col("score")).alias("both"), L("yr"), C.year_of(F.col("d")).cast("long").alias("year"), C.missing_burden(["price", "cust"]).alias("burden"))),
+    f"WITH {OD} SELECT id, round(CASE WHEN price / 1000 - score * 100 BETWEEN 0 AND 90 THEN price / 1000 - score * 100 END, 6) AS duration, round(score * score, 6) AS sq, round(price / 97000 - score, 6) AS change, round(price * score, 6) AS both, CAST(yr AS BIGINT) AS yr, CAST(year(d) AS BIGINT) AS year, CASE WHEN price IS NULL THEN 0.5::DOUBLE ELSE 0.0 END AS burden FROM od")
 add("d_age_gap", lambda s, d: od(s, d).select("id", *(c.alias(n) for n, c in C.age_gap((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double"), F.col("y"), F.col("id") % 2).items())),
     f"WITH {OD}, g AS (SELECT id, y, id % 2 AS b, CASE WHEN y = 1 AND id % 2 = 1 THEN (id % 11 - id % 7)::DOUBLE END AS gap FROM od) SELECT id, gap, (gap = 0)::DOUBLE AS same_year, CASE WHEN gap BETWEEN 0 AND 3 THEN 1.0::DOUBLE WHEN y = 1 AND b = 0 THEN 0.0 END AS within FROM g")
 add("d_ever_now", lambda s, d: od(s, d).select("id", C.ever_now(F.col("id") % 3, F.col("id") % 5).alias("status"), C.current_status(F.col("id") % 3, F.col("id") % 5).alias("current")),
@@ -83,9 +83,8 @@ add("w_row_topk", lambda s, d: table(s, d, "embeddings").select("vec_id", H.row_
 add("w_cumulative", lambda s, d: H.running_totals(od(s, d).select("id", "score", "y", (1 - F.col("y")).alias("n")), ["score", "id"], ["y", "n"], descending=True).select("id", (F.col("y_before") + F.col("y")).alias("tp"), (F.col("n_before") + F.col("n")).alias("fp")), f"WITH {OD} SELECT id, CAST(sum(y) OVER w AS BIGINT) AS tp, CAST(sum(1 - y) OVER w AS BIGINT) AS fp FROM od WINDOW w AS (ORDER BY score DESC, id DESC ROWS UNBOUNDED PRECEDING)")
 add("n_group_means", lambda s, d: r6(table(s, d, "embeddings").select("vec_id", *(c.alias(g) for g, c in R.group_means(F.col("embedding").cast("array<double>"), {"a": [0, 1, 2], "b": [3, 4]}).items()))), "SELECT vec_id, round((embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3, 6) AS a, round((embedding[4]::DOUBLE + embedding[5]::DOUBLE) / 2, 6) AS b FROM embeddings")
 add("n_outcome_rows", lambda s, d: R.outcome_rows(table(s, d, "events").filter("event_type = 'error'"), "user_id", "ts", F.lit("death"), {"value": "double", "unit": "string"}), "SELECT user_id, ts AS event_date, 'death' AS outcome_type, 'outcome:death' AS feature_code, NULL::DOUBLE AS value, NULL::VARCHAR AS unit FROM events WHERE event_type = 'error'")
-add("n_normaliser", lambda s, d: r6(s.createDataFrame([(c, float(m), float(v)) for c, (m, v) in M.fit_standard_scale(od(s, d).filter("yr < 1997"), ["price", "score"]).items()], "feature string, mean double, sd double")), f"WITH {OD} SELECT 'price' AS feature, round(avg(price), 6) AS mean, round(stddev_pop(price), 6) AS sd FROM od WHERE yr < 1997 UNION ALL SELECT 'score', round(avg(score), 6), round(stddev_pop(score), 6) FROM od WHERE yr < 1997")
-
-# ---- preprocessing
+add("n_normaliser", lambda s, d: r6(s.createDataFrame([(c, m, v) for c, (m, v) in M.fit_normaliser(od(s, d).filter("yr < 1997").withColumn("flat", F.lit(2.0)).withColumn("none", F.lit(None).cast("double")), ["price", "score", "flat", "none"]).items()], "feature string, centre double, spread double")),
+    f"WITH {OD}, o AS (SELECT * FROM od WHERE yr < 1997) SELECT 'price' AS feature, round(quantile_cont(price, 0.5), 6) AS centre, round(stddev_samp(price), 6) AS spread FROM o UNION ALL SELECT 'score', round(quantile_cont(score, 0.5), 6), round(stddev_samp(score), 6) FROM o UNION ALL SELECT 'flat', 2.0, 1.0 UNION ALL SELECT 'none', 0.0, 1.0")
 add("l_impute", lambda s, d: r6(M.apply_impute(od(s, d), M.fit_impute(od(s, d).filter("yr < 1997"), ["price", "score"])).select("id", "price", "score", "price_missing")), f"WITH {OD}, m AS (SELECT quantile_cont(price, 0.5) q FROM od WHERE yr < 1997) SELECT id, round(coalesce(price, q), 6) AS price, score, (price IS NULL)::DOUBLE AS price_missing FROM od, m")
 add("l_onehot", lambda s, d: M.apply_onehot(od(s, d).withColumn("st", F.when(F.col("id") % 5 != 0, F.col("st"))), M.fit_onehot(od(s, d).filter("st <> 'P'"), ["st"])).select("id", F.col("st=F").alias("st_f"), F.col("st=O").alias("st_o")),
     f"WITH {OD}, m AS (SELECT st FROM od WHERE st <> 'P' GROUP BY 1 ORDER BY count(*) DESC, st LIMIT 1), x AS (SELECT id, coalesce(CASE WHEN id % 5 <> 0 THEN od.st END, m.st) z FROM od, m) SELECT id, (z = 'F')::DOUBLE AS st_f, (z = 'O')::DOUBLE AS st_o FROM x")

@@ -9,10 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import clean_numbers
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    return r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
+    return clean_numbers(r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path))
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
@@ -61,7 +63,7 @@ def first_readable(spark: SparkSession, candidates: Sequence[str], required: boo
 def read_batches(spark: SparkSession, manifests: str) -> DataFrame:
     """Batches listed by JSON sidecars (path, batch, seed, status); only complete ones are read, stamped by batch and seed."""
     rows = spark.read.json(manifests).filter("status = 'complete'").select("path", "batch", "seed").collect()  # one row a batch
-    frames = [spark.read.parquet(r.path).withColumn("source_batch", F.lit(r.batch)).withColumn("source_seed", F.lit(r.seed)) for r in rows]
+    frames = [clean_numbers(spark.read.parquet(r.path)).withColumn("source_batch", F.lit(r.batch)).withColumn("source_seed", F.lit(r.seed)) for r in rows]
     if not frames:
         raise FileNotFoundError("no complete batch")
     out = frames[0]
