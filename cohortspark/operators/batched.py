@@ -1,0 +1,425 @@
+"""Many fits at once: every pass over the rows adds up the sums that all fits need, so the number of jobs does not grow with folds, labels, candidates or repeats.
+
+A pass is ``sums_over``: tasks add arrays over their batches, partial sums meet in SALTS groups per fit, and the driver adds those few. Rows are never exploded by fit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import clean
+from ..scratch import materialise
+from . import shape, stats
+
+SALTS = 16
+MOST_NUMBERS = 8_000_000  # of all fits together: what one pass may send to the driver from each salt
+
+
+def matrix_of(column) -> np.ndarray:
+    """Rows of an Arrow column of equally long lists, NULL as NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+
+
+def sums_over(df: DataFrame, parts: Callable[[pa.RecordBatch], np.ndarray], shape_: tuple[int, int]) -> np.ndarray:
+    """The sum of ``parts`` (batch -> array of ``shape_``) over all rows of ``df``."""
+    if np.prod(shape_) > MOST_NUMBERS:
+        raise ValueError(f"{shape_} sums at once are more than {MOST_NUMBERS} numbers; fit fewer at a time")
+    out = pa.schema([("fit", pa.int32()), ("salt", pa.int32()), ("v", pa.binary())])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        total = np.zeros(shape_)
+        for b in batches:
+            if b.num_rows:
+                total += parts(b)
+        yield pa.RecordBatch.from_arrays([pa.array(range(shape_[0]), pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS] * shape_[0], pa.int32()), pa.array([row.tobytes() for row in total], pa.binary())], schema=out)
+
+    def add(t: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(x) for x in t.column("v").to_pylist())
+        return pa.Table.from_arrays([t.column("fit")[:1], t.column("salt")[:1], pa.array([v.tobytes()], pa.binary())], schema=out)
+
+    schema, total = "fit int, salt int, v binary", np.zeros(shape_)
+    for r in df.mapInArrow(run, schema).groupBy("fit", "salt").applyInArrow(add, schema).toLocalIterator():
+        total[r.fit] += np.frombuffer(bytes(r.v))
+    return total
+
+
+# ---- logistic regressions ---------------------------------------------------------------------------------------------------------
+class Folds:
+    """Weighted ridge logistic regressions of every label, each without one fold. Rows: key, x (numbers), y (0, 1 or NULL for each label), fold (of each label; below 0: always in training)."""
+
+    def __init__(self, rows: DataFrame, labels: int, folds: int, width: int, ridge: float | Sequence[float] = 1.0, balanced: bool = True, centres: np.ndarray | None = None, scale: bool = True):
+        """``ridge``: one penalty, or one for each label; ``centres``: for each fit the values that stand for unknown ones."""
+        self.rows, self.labels, self.folds, self.width = rows, labels, folds, width
+        self.ridge = np.broadcast_to(np.asarray(ridge, float), labels)
+        self.fits = [(a, k) for a in range(labels) for k in range(folds)]
+        self.centres = np.zeros((len(self.fits), width)) if centres is None else centres
+        self._count(balanced)
+        self._moments(scale)
+        self.usable = [i for i in range(len(self.fits)) if (self.train[i] > 0).all()]
+        self.coefficients = self._newton()
+
+    def _count(self, balanced: bool) -> None:
+        """Rows of each class in training (all but the fold) and in the fold."""
+        labels, folds = self.labels, self.folds
+
+        def parts(b):
+            y, fold = matrix_of(b.column("y")), matrix_of(b.column("fold")).astype(int)
+            out = np.zeros((labels, (folds + 1) * 2))
+            for a in range(labels):
+                for c in (0, 1):
+                    at = np.where(fold[:, a] < 0, folds, fold[:, a])[y[:, a] == c]
+                    out[a, c :: 2] += np.bincount(at, minlength=folds + 1)
+            return out
+
+        n = sums_over(self.rows.select("y", "fold"), parts, (labels, (folds + 1) * 2)).reshape(labels, folds + 1, 2)
+        self.test = np.array([n[a, k] for a, k in self.fits])
+        self.train = np.array([n[a].sum(0) - n[a, k] for a, k in self.fits])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.weights = self.train.sum(1, keepdims=True) / (2 * self.train) if balanced else np.ones_like(self.train)
+
+    def _moments(self, scale: bool) -> None:
+        """Mean and deviation of the features in training, unknown ones filled: sums of each fold, of which a fit has the total less its own."""
+        labels, folds, p = self.labels, self.folds, self.width
+        self.mean, self.sd = np.zeros((len(self.fits), p)), np.ones((len(self.fits), p))
+        if not scale:
+            return
+
+        def parts(b):
+            x, y, fold = (matrix_of(b.column(c)) for c in ("x", "y", "fold"))
+            out = np.zeros((labels * (folds + 1), 1 + 3 * p))
+            known, zero = ~np.isnan(x), np.nan_to_num(x)
+            for a in range(labels):
+                at = np.where(fold[:, a] < 0, folds, fold[:, a]).astype(int)
+                for k in np.unique(at[~np.isnan(y[:, a])]):
+                    m = (at == k) & ~np.isnan(y[:, a])
+                    out[a * (folds + 1) + k] += np.concatenate([[m.sum()], known[m].sum(0), zero[m].sum(0), (zero[m] ** 2).sum(0)])
+            return out
+
+        s = sums_over(self.rows.select("x", "y", "fold"), parts, (labels * (folds + 1), 1 + 3 * p)).reshape(labels, folds + 1, 1 + 3 * p)
+        for i, (a, k) in enumerate(self.fits):
+            t = s[a].sum(0) - s[a, k]
+            n, known, one, two = t[0], t[1 : 1 + p], t[1 + p : 1 + 2 * p], t[1 + 2 * p :]
+            if n:
+                fill = self.centres[i]
+                self.mean[i] = (one + (n - known) * fill) / n
+                var = (two + (n - known) * fill**2) / n - self.mean[i] ** 2
+                self.sd[i] = np.where(var > 1e-12 * np.maximum(1, self.mean[i] ** 2), np.sqrt(np.maximum(var, 0)), 1.0)
+
+    @property
+    def design(self) -> Callable[[int, np.ndarray], np.ndarray]:
+        """(fit, features) -> its columns, the constant first."""
+        centres, mean, sd = self.centres, self.mean, self.sd  # tasks get these arrays only
+        return lambda i, x: np.concatenate([np.ones((len(x), 1)), (np.where(np.isnan(x), centres[i], x) - mean[i]) / sd[i]], 1)
+
+    def _newton(self, steps: int = 60, tolerance: float = 1e-9) -> np.ndarray:
+        q = self.width + 1
+        best, trial, direction = np.zeros((len(self.fits), q)), np.zeros((len(self.fits), q)), np.zeros((len(self.fits), q))
+        objective, pace = np.full(len(self.fits), np.inf), np.ones(len(self.fits))
+        open_ = list(self.usable)
+        ridges = [np.diag([0.0] + [self.ridge[a]] * self.width) for a, _ in self.fits]
+        for _ in range(steps):
+            if not open_:
+                break
+            now, design, fits, weights = [(i, trial[i]) for i in open_], self.design, self.fits, self.weights
+
+            def parts(b):
+                x, y, fold = (matrix_of(b.column(c)) for c in ("x", "y", "fold"))
+                out = np.zeros((len(now), 1 + q + q * q))
+                for at, (i, beta) in enumerate(now):
+                    a, k = fits[i]
+                    m = ~np.isnan(y[:, a]) & (fold[:, a] != k)
+                    z, own = design(i, x[m]), y[m, a]
+                    eta = z @ beta
+                    w = weights[i][own.astype(int)]
+                    p = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+                    out[at, 0] = (w * (np.logaddexp(0, eta) - own * eta)).sum()
+                    out[at, 1 : 1 + q] = z.T @ (w * (p - own))
+                    out[at, 1 + q :] = (z.T @ (z * (w * p * (1 - p))[:, None])).ravel()
+                return out
+
+            s = sums_over(self.rows.select("x", "y", "fold"), parts, (len(now), 1 + q + q * q))
+            left = []
+            for (i, beta), row in zip(now, s):
+                ridge = ridges[i]
+                value = row[0] + 0.5 * beta @ ridge @ beta
+                if value <= objective[i] + 1e-12 * abs(value):
+                    best[i], objective[i], pace[i] = beta, value, 1.0
+                    direction[i] = np.linalg.lstsq(row[1 + q :].reshape(q, q) + ridge, row[1 : 1 + q] + ridge @ beta, rcond=None)[0]
+                    if np.abs(direction[i]).max() < tolerance * (1 + np.abs(beta).max()):
+                        continue
+                else:
+                    pace[i] /= 2
+                    if pace[i] < 1e-6:
+                        continue
+                trial[i] = best[i] - pace[i] * direction[i]
+                left.append(i)
+            open_ = left
+        return best
+
+    def scored(self) -> DataFrame:
+        """label, fold, y, p of every row by the fit that has not seen it."""
+        out = pa.schema([("label", pa.int32()), ("fold", pa.int32()), ("y", pa.int32()), ("p", pa.float64())])
+        usable, fits, beta, design = self.usable, self.fits, self.coefficients, self.design
+
+        def run(batches):
+            for b in batches:
+                x, y, fold = (matrix_of(b.column(c)) for c in ("x", "y", "fold"))
+                for i in usable if len(x) else ():
+                    a, k = fits[i]
+                    m = ~np.isnan(y[:, a]) & (fold[:, a] == k)
+                    if m.any():
+                        p = 1 / (1 + np.exp(-np.clip(design(i, x[m]) @ beta[i], -500, 500)))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m.sum(), a), pa.int32()), pa.array(np.full(m.sum(), k), pa.int32()), pa.array(y[m, a].astype(int), pa.int32()), pa.array(p)], schema=out)
+
+        return self.rows.select("x", "y", "fold").mapInArrow(run, "label int, fold int, y int, p double")
+
+
+def _metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows, positives, prevalence, auroc (NULL with one class), auprc, auprc_lift, brier_score per ``by``."""
+    n = scored.groupBy(*by).agg(F.count("*").alias("rows"), F.sum("y").alias("positives"), F.avg("y").alias("prevalence"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier_score"))
+    d = n.join(stats.auroc(scored, "y", "p", by=by), list(by)).join(stats.average_precision(scored, "y", "p", by=by), list(by))
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("rows"))
+    ap = F.coalesce("average_precision", F.lit(0.0))
+    return d.select(*by, "rows", "positives", "prevalence", F.when(both, F.col("auroc")).alias("auroc"), ap.alias("auprc"), (ap / F.greatest("prevalence", F.lit(1e-12))).alias("auprc_lift"), "brier_score")
+
+
+def leave_out_medians(df: DataFrame, cols: Sequence[str], group: str) -> dict[tuple[str, object], float]:
+    """(feature, group): the median over the rows of all other groups and of none, from one table of counts in ranges of values; that is groups x features numbers."""
+    long = shape.to_long(df, [group], cols).filter("value IS NOT NULL")
+    counts = long.groupBy("feature", group, F.col("value").alias("_x")).agg(F.count("*").alias("n"))
+    groups = [r[0] for r in df.select(group).filter(F.col(group).isNotNull()).distinct().collect()]  # as many as folds
+    own = F.map_from_entries(F.collect_list(F.when(F.col(group).isNotNull(), F.struct(F.col(group), "n"))))
+    per = counts.groupBy("feature", "_x").agg(F.sum("n").alias("all"), own.alias("own"))
+    left = per.select("feature", "_x", "all", "own", F.explode(F.array(*map(F.lit, groups))).alias("without")).withColumn("n", F.col("all") - F.coalesce(F.try_element_at("own", "without"), F.lit(0))).filter("n > 0")
+    q = stats._quantiles_in(shape.ranged(left.select("feature", "without", "_x", "n"), ["_x"]), (0.5,), ["feature", "without"])
+    return {(r.feature, r.without): r.q[0] for r in q.collect()}
+
+
+MOST_GROUPS = 500
+
+
+def refit_leave_one_group_out(df: DataFrame, group: str, y: str, features: Sequence[str], rounds: int = 500, seed: int = 0) -> DataFrame:
+    """Each group held out in turn, the model fitted on all others: fold, train_rows, test_rows, train_positives, metrics, and a row ``pooled`` of all held-out scores with intervals of whole groups drawn anew.
+
+    Unknown features get the median of the training groups. A fold whose training rows have one class is not fitted, as are groups without labelled rows; one whose own rows have one class has no AUROC but stays in the pool.
+    Rows of no group are always in training. Labels other than 0 and 1 are unknown.
+    """
+    known = df.filter(F.col(y).isin(0, 1))
+    groups = sorted(r[0] for r in known.select(group).filter(F.col(group).isNotNull()).distinct().limit(MOST_GROUPS + 1).collect())
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups to hold out")
+    medians = leave_out_medians(known, features, group)
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, groups)), F.col(group)) - 1, F.lit(-1))
+    rows = materialise(known.select(F.array(*(clean(F.col(c).cast("double")) for c in features)).alias("x"), F.array(F.col(y).cast("double")).alias("y"), F.array(place.cast("int")).alias("fold")))
+    fits = Folds(rows, 1, len(groups), len(features), centres=np.array([[medians.get((f, g), 0.0) for f in features] for g in groups]))
+    names = known.sparkSession.createDataFrame([(i, str(g), int(fits.train[i].sum()), int(fits.train[i][1])) for i, g in enumerate(groups) if i in fits.usable], "fold int, name string, train_rows long, train_positives long")
+    scored = materialise(fits.scored())
+    per = _metrics(scored, ["fold"]).join(F.broadcast(names), "fold")  # MOST_GROUPS rows at most
+    cols = ["fold", "train_rows", "train_positives", "rows", "positives", "prevalence", "auroc", "auprc", "auprc_lift", "brier_score"]
+    nothing = F.lit(None).cast("double")
+    per = per.withColumn("fold", F.col("name")).select(*cols, *(nothing.alias(c) for c in ("auroc_low", "auroc_high", "auprc_low", "auprc_high")))
+    pool = _metrics(scored.withColumn("fold", F.lit("pooled")), ["fold"]).withColumns({c: F.lit(None).cast("long") for c in ("train_rows", "train_positives")})
+    low_high = resampled(scored, "y", "p", rounds, seed, cluster="fold", fixed=True).interval() if len(groups) >= 3 else {}
+    return per.unionByName(pool.select(*cols, *(F.lit(low_high.get(c)).cast("double").alias(c) for c in ("auroc_low", "auroc_high", "auprc_low", "auprc_high"))))
+
+
+def linear_probe(df: DataFrame, key: str, vec: str, labels: dict[str, object], folds: int = 5, least: int = 50, seed: int = 0) -> DataFrame:
+    """How well a representation tells labels apart by linear models: a row for each label and fold, and one for each label over all held-out rows.
+
+    ``labels``: name -> column of 0, 1 or NULL. Folds are stratified by class; a label of fewer than ``least`` rows in a class is not evaluated, and says so.
+    """
+    names = list(labels)
+    y = df.select(key, *(F.when(labels[n].cast("double").isin(0, 1), labels[n].cast("double")).alias(n) for n in names))
+    long = y.unpivot([key], names, "label", "y").filter("y IS NOT NULL").withColumn("one", F.lit(1)).withColumn("h", F.xxhash64(F.lit(seed), key, "label"))
+    dealt = shape.running_totals(long, ["h", key], ["one"], by=["label", "y"]).withColumn("fold", F.pmod("one_before", F.lit(folds)).cast("int"))
+    at = F.map_from_entries(F.collect_list(F.struct("label", F.struct("y", "fold"))))
+    per_row = dealt.groupBy(key).agg(at.alias("m"))  # a row for each key, with all its labels
+    get = lambda part, other: F.array(*(F.coalesce(F.try_element_at("m", F.lit(n))[part], F.lit(other)) for n in names))
+    d = df.select(key, F.transform(F.col(vec).cast("array<double>"), lambda v: clean(v)).alias("x")).join(per_row, key)
+    rows = materialise(d.select("x", F.transform(get("y", -1.0), lambda v: F.when(v >= 0, v)).alias("y"), get("fold", -1).alias("fold")))
+    first = rows.select(F.size("x").alias("n")).first()
+    if first is None:
+        return _probe_rows(df.sparkSession, [])
+    fits = Folds(rows, len(names), folds, first.n, scale=False)
+    counts = {n: fits.test[a * folds : (a + 1) * folds].sum(0) for a, n in enumerate(names)}
+    skipped = [n for n in names if counts[n].min() < least]
+    fits.usable = [i for i in fits.usable if names[fits.fits[i][0]] not in skipped]
+    scored = materialise(fits.scored())
+    both = scored.unionByName(scored.withColumn("fold", F.lit(-1)))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("label") + 1)
+    out = _metrics(both, ["label", "fold"]).select(name.alias("label"), F.when(F.col("fold") >= 0, F.col("fold").cast("string")).otherwise("all").alias("fold"), F.lit("cross_sectional_association_only").alias("status"), "positives", (F.col("rows") - F.col("positives")).alias("negatives"), "auroc", "auprc", "brier_score", F.lit(None).cast("string").alias("reason"))
+    return out.unionByName(_probe_rows(df.sparkSession, [(n, "all", "not_evaluated", int(counts[n][1]), int(counts[n][0]), None, None, None, f"fewer than {least} rows in a class") for n in skipped]))
+
+
+def _probe_rows(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "label string, fold string, status string, positives long, negatives long, auroc double, auprc double, brier_score double, reason string")
+
+
+# ---- resampling -------------------------------------------------------------------------------------------------------------------
+def _uniforms(cells: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each cell (64 bits) and round: a hash of both, so draws don't depend on partitions."""
+    h = cells[:, None] ^ (np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 % (1 << 64)))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return ((h >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+
+
+def poisson_quantile(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The inverse law of Poisson numbers; beyond a mean of 64 by its expansion around the normal law."""
+    u, mean = np.broadcast_arrays(u, mean)
+    out, small = np.zeros(u.shape), mean <= 64
+    if small.any():
+        x, m = u[small], mean[small]
+        p = np.exp(-m)
+        total, k = p.copy(), np.zeros(len(x))
+        open_ = total < x
+        while open_.any() and k.max() < 400:
+            k[open_] += 1
+            p[open_] *= m[open_] / k[open_]
+            total[open_] += p[open_]
+            open_ &= total < x
+        out[small] = k
+    if not small.all():
+        z, m = normal_quantile(u[~small]), mean[~small]
+        out[~small] = np.maximum(0, np.round(m + np.sqrt(m) * z + (z * z - 1) / 6))
+    return out
+
+
+def normal_quantile(u: np.ndarray) -> np.ndarray:
+    """Inverse of the normal law: a rational start (error below 5e-4), then Newton steps on the law itself."""
+    from math import erfc, pi, sqrt
+
+    tail = np.minimum(u, 1 - u)
+    t = np.sqrt(-2 * np.log(tail))
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
+    for _ in range(2):
+        over = np.array([0.5 * erfc(x / sqrt(2)) for x in np.ravel(z)]).reshape(np.shape(z))
+        z = z + (over - tail) / (np.exp(-z * z / 2) / np.sqrt(2 * pi))
+    return np.where(u < 0.5, -z, z)
+
+
+class Rounds:
+    def __init__(self, auroc: np.ndarray, auprc: np.ndarray):
+        self.auroc, self.auprc = auroc, auprc
+
+    def interval(self) -> dict[str, float]:
+        out = {}
+        for name, x in (("auroc", self.auroc), ("auprc", self.auprc)):
+            x = x[~np.isnan(x)]
+            if len(x):
+                out |= {f"{name}_low": float(np.quantile(x, 0.025)), f"{name}_high": float(np.quantile(x, 0.975))}
+        return out
+
+
+def resampled(df: DataFrame, y: str, p: str, rounds: int = 200, seed: int = 0, cluster: str | None = None, fixed: bool = False) -> Rounds:
+    """AUROC and average precision of every bootstrap round; a round of one class is NaN.
+
+    Rows are counted by score, class and cluster once. Those cells lie in ranges of the score, each of which draws the weights of its cells for all rounds: Poisson numbers of the cell's count, or
+    of the cluster. ``fixed``: exactly as many clusters are drawn as there are (of at most MOST_GROUPS). What the driver gets are three sums a range and round.
+    """
+    c = [F.xxhash64(cluster).alias("cluster")] if cluster else [F.lit(0).cast("long").alias("cluster")]
+    cells = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("s"), *c).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) != 1).alias("b"))
+    cells = materialise(cells.repartitionByRange(F.desc("s")).sortWithinPartitions(F.desc("s")).withColumn("range", F.spark_partition_id()))
+    times: dict[int, np.ndarray] = {}
+    if fixed:
+        names = sorted(r[0] for r in cells.select("cluster").distinct().limit(MOST_GROUPS + 1).collect())
+        if len(names) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} clusters to draw from")
+        draws = np.floor(_uniforms(np.arange(len(names), dtype=np.uint64), rounds, seed) * len(names)).astype(int)
+        times = {n: (draws == i).sum(0).astype(float) for i, n in enumerate(names)}
+
+    def weights(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, and for each the drawn weight of both classes in every round."""
+        t = t.sort_by([("s", "descending"), ("cluster", "ascending")])
+        s, who = t.column("s").to_numpy(), t.column("cluster").to_numpy()
+        n = np.stack([t.column("a").to_numpy(), t.column("b").to_numpy()]).astype(float)
+        if fixed:
+            w = np.stack([times[x] for x in who.tolist()])
+            drawn = [n[k][:, None] * w for k in (0, 1)]
+        elif cluster:
+            w = poisson_quantile(_uniforms(who.view(np.uint64), rounds, seed), np.ones((len(who), 1)))
+            drawn = [n[k][:, None] * w for k in (0, 1)]
+        else:
+            cell = (s + 0.0).view(np.uint64)
+            drawn = [poisson_quantile(_uniforms(cell ^ np.uint64(k + 1) * np.uint64(0xA0761D6478BD642F), rounds, seed), n[k][:, None]) for k in (0, 1)]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        return s[first], *(np.add.reduceat(x, first) for x in drawn)
+
+    block = pa.schema([("range", pa.int32()), ("a", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())), ("v", pa.list_(pa.float64()))])
+    ddl = "range int, a array<double>, b array<double>, v array<double>"
+
+    def over_ranges(measure) -> list:
+        def run(t: pa.Table) -> pa.Table:
+            _, a, b = weights(t)
+            at = t.column("range")[0].as_py()
+            return pa.Table.from_pylist([{"range": at, "a": a.sum(0).tolist(), "b": b.sum(0).tolist(), "v": measure(at, a, b).tolist()}], schema=block)
+
+        return sorted(cells.groupBy("range").applyInArrow(run, ddl).collect(), key=lambda r: r.range)  # a row a range
+
+    found = over_ranges(lambda at, a, b: (b * (np.cumsum(a, 0) - a / 2)).sum(0))
+    if not found:
+        return Rounds(np.zeros(0), np.zeros(0))
+    a, b, won = (np.array([r[k] for r in found]) for k in ("a", "b", "v"))
+    ahead_a, ahead_b = np.cumsum(a, 0) - a, np.cumsum(b, 0) - b
+    total_a, total_b = a.sum(0), b.sum(0)
+    some = (total_a > 0) & (total_b > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        auroc = np.where(some, (won + b * ahead_a).sum(0) / (total_a * total_b), np.nan)
+    offsets = {r.range: (ahead_a[i], ahead_b[i]) for i, r in enumerate(found)}
+
+    def precise(at, own_a, own_b):
+        up = np.cumsum(own_a, 0) + offsets[at][0]
+        all_ = up + np.cumsum(own_b, 0) + offsets[at][1]
+        return (own_a * np.where(all_ > 0, up / np.maximum(all_, 1e-300), 0)).sum(0)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        auprc = np.where(some, np.array([r.v for r in over_ranges(precise)]).sum(0) / total_a, np.nan)
+    return Rounds(auroc, auprc)
+
+
+# ---- permutation importance ----------------------------------------------------------------------------------------------------------
+def permutation_importance(test: DataFrame, y: str, cols: Sequence[str], key: str, predict: Callable[[np.ndarray], np.ndarray], repeats: int = 10, seed: int = 0, block: int = 4096) -> DataFrame:
+    """feature, importance, sd: loss of average precision when a column is dealt anew, ranked by importance. ``predict``: features (rows, columns) -> scores.
+
+    Rows are dealt into random blocks of about ``block`` by a hash; in the task that scores a block its rows exchange their values of one column after another, ``repeats`` times. So all permuted columns are scored in one pass, and ranked in one.
+    """
+    rows = test.filter(F.col(y).isNotNull()).select(F.col(key), F.col(y).cast("int").alias("y"), F.array(*(clean(F.col(c).cast("double")) for c in cols)).alias("x"), F.xxhash64(F.lit(seed), key).alias("h"))
+    rows = materialise(rows)
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("block", F.pmod("h", F.lit(n)))
+    out = pa.schema([("column", pa.int32()), ("round", pa.int32()), ("p", pa.float64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def scores(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), (key, "ascending")])
+        x, truth = matrix_of(t.column("x")), t.column("y").to_numpy() == 1
+        rng, made = np.random.default_rng([seed, t.column("block")[0].as_py()]), []
+        for c in range(-1, x.shape[1]):
+            for r in range(repeats if c >= 0 else 1):
+                own = x
+                if c >= 0:
+                    own = x.copy()
+                    own[:, c] = x[rng.permutation(len(x)), c]
+                values, at = np.unique(predict(own), return_inverse=True)
+                a, b = (np.bincount(at, m, len(values)).astype(int) for m in (truth, ~truth))
+                made.append(pa.Table.from_arrays([pa.array(np.full(len(values), v), pa.int32()) for v in (c, r)] + [pa.array(values), pa.array(a), pa.array(b)], schema=out))
+        return pa.concat_tables(made)
+
+    cells = dealt.groupBy("block").applyInArrow(scores, "column int, round int, p double, a long, b long").groupBy("column", "round", "p").agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))
+    by = ["column", "round"]
+    d = shape.running_totals(cells, ["p"], ["pos", "neg"], descending=True, by=by)
+    up = F.col("pos_before") + F.col("pos")
+    ap = materialise(d.groupBy(*by).agg(F.sum(F.col("pos") / F.nullif(F.col("pos_total"), F.lit(0)) * up / (up + F.col("neg_before") + F.col("neg"))).alias("ap")))
+    base = ap.filter(F.col("column") < 0).agg(F.max("ap").alias("base"))
+    name = F.element_at(F.array(*map(F.lit, cols)), F.col("column") + 1)
+    lost = ap.filter(F.col("column") >= 0).crossJoin(F.broadcast(base)).select(name.alias("feature"), (F.col("base") - F.col("ap")).alias("loss"))  # one row
+    return lost.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("sd"))

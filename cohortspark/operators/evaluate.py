@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import logit, null_safe
 from ..scratch import materialise
-from . import models, shape, stats
+from . import batched, models, shape, stats
 
 
 def auprc_lift(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -74,13 +74,11 @@ def leave_one_group_out(df: DataFrame, group: str, y: str, p: str) -> DataFrame:
     return per.unionByName(pool)
 
 
-def bootstrap(df: DataFrame, y: str, p: str, key: Sequence[str], rounds: int = 200, seed: int = 0, cluster: Sequence[str] = ()) -> DataFrame:
-    """Interval of the AUROC. Weights are drawn per row, apart for each class, or per cluster; one-class rounds do not count."""
-    drawn = list(cluster) or [*key, y]
-    w = shape.poisson_weights(df.select(*{*key, y, p, *cluster}), drawn, rounds, seed)
-    per = w.groupBy("round").agg(F.sum(F.when(F.col(y) == 1, F.col("weight"))).alias("a"), F.sum(F.when(F.col(y) == 0, F.col("weight"))).alias("b")).filter("a > 0 AND b > 0")
-    a = stats.auroc(w, y, p, by=["round"], weight="weight").join(per.select("round"), "round")
-    return a.agg(F.percentile("auroc", F.lit(0.025)).alias("low"), F.percentile("auroc", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))  # one row a round
+def bootstrap(df: DataFrame, y: str, p: str, rounds: int = 200, seed: int = 0, cluster: str | None = None) -> DataFrame:
+    """low, high of the AUROC, and the rounds that had both classes. Weights are drawn for each class apart, or per cluster."""
+    drawn = batched.resampled(df, y, p, rounds, seed, cluster)
+    x = drawn.interval()
+    return df.sparkSession.createDataFrame([(x.get("auroc_low"), x.get("auroc_high"), int((drawn.auroc == drawn.auroc).sum()))], "low double, high double, rounds long")
 
 
 def shuffled_label_control(df: DataFrame, y: str, p: str, key: str, seed: int = 0) -> DataFrame:
@@ -88,18 +86,6 @@ def shuffled_label_control(df: DataFrame, y: str, p: str, key: str, seed: int =
     return stats.auroc(shape.permute_column(df.select(key, y, p), y, key, seed), y, p)
 
 
-def permutation_importance(test: DataFrame, y: str, cols: Sequence[str], key: str, score, repeats: int = 10) -> DataFrame:
-    """Loss of average precision when a column is dealt anew, mean and sd. ``score``: DataFrame -> DataFrame with ``score``."""
-    base = stats.average_precision(score(test), y, "score").select(F.col("average_precision").alias("base"))
-    parts = None
-    for c in cols:
-        for r in range(repeats):
-            own = stats.average_precision(score(shape.permute_column(test, c, key, r)), y, "score").select(F.lit(c).alias("feature"), "average_precision")
-            parts = own if parts is None else parts.unionByName(own)
-    d = parts.crossJoin(base).withColumn("loss", F.col("base") - F.col("average_precision"))  # one row
-    return d.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("sd"))
-
-
 def time_reversal_control(visits: DataFrame, entity: str, ts: str, value: str, labels: DataFrame, y: str, least_drop: float = 0.02) -> DataFrame:
     """AUROC of the slope with visits in order and in reversed order; an order-sensitive score must lose ``least_drop``."""
     slope = f"{value}_slope_per_year"

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import days_between, null_safe
 from ..scratch import materialise
-from .shape import poisson_weights, ranged, running_totals, to_long, totals_in
+from .shape import ranged, running_totals, to_long, totals_in
 
 
 def outcome_table(events: DataFrame, entity: str, outcomes: Sequence[str]) -> DataFrame:
@@ -326,11 +325,6 @@ def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     return per.agg(F.try_divide(of(level >= 0) + of(level == -1) / 2, of(level == -2)).alias("c_index"))
 
 
-def bootstrap_auroc(df: DataFrame, y: str, p: str, key: Sequence[str], rounds: int = 50, seed: int = 0) -> DataFrame:
-    w = poisson_weights(df.select(*key, y, p), key, rounds, seed)
-    return auroc(w, y, p, by=["round"], weight="weight").agg(F.percentile("auroc", F.lit(0.025)).alias("low"), F.percentile("auroc", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))
-
-
 def subgroup_metrics(df: DataFrame, y: str, p: str, groups: Sequence[str], least: int = 10) -> DataFrame:
     long = df.select(F.col(y).alias("y"), F.col(p).alias("p"), *groups).unpivot(["y", "p"], list(groups), "subgroup", "level")
     n = long.groupBy("subgroup", "level").agg(F.count("*").alias("n"), F.sum("y").alias("events"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"))
@@ -339,18 +333,6 @@ def subgroup_metrics(df: DataFrame, y: str, p: str, groups: Sequence[str], least
     return d.select("subgroup", "level", "n", "events", F.when(ok, F.col("brier")).alias("brier"), F.when(ok, F.col("auroc")).alias("auroc"))
 
 
-def weighted_mean(values: Column, weights: Column) -> Column:
-    return F.sum(values * weights) / F.sum(weights)
-
-
 def any_violation(rules: Mapping[str, Column]) -> Column:
     """Codes of the rules that a row breaks."""
     return F.filter(F.array(*(F.when(null_safe(bad), F.lit(code)) for code, bad in rules.items())), lambda x: x.isNotNull())
-
-
-def violation_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    return df.select(F.explode(any_violation(rules)).alias("code")).groupBy("code").count()
-
-
-def all_of(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols)

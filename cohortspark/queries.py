@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .operators import evaluate as E
 from .operators import models as M
 from .operators import shape as H
 from .operators import stats as S
@@ -237,7 +238,7 @@ RISK = ["score", "yr"]
 add("x_group_split", lambda s, d: H.group_split(od(s, d), "cust", [("train", 0.7), ("validation", 0.15), ("test", 0.15)]).select("id", "cust", "split"))
 add("x_stratified_folds", lambda s, d: H.stratified_folds(od(s, d).select("id", "y"), "y", "id", 5))
 add("x_permutation", lambda s, d: H.permute_column(od(s, d).select("id", "y"), "y", "id"))
-add("m_bootstrap", lambda s, d: S.bootstrap_auroc(od(s, d), "y", "score", ["id"], 30))
+add("m_bootstrap", lambda s, d: E.bootstrap(od(s, d), "y", "score"))
 add("l_logistic", lambda s, d: M.logistic(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "y", RISK).select("id", "y", "score"))
 add("l_boosted", lambda s, d: M.boosted(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "y", ["yr", "t"], rounds=5).select("id", "y", "score"))
 add("l_calibrate", lambda s, d: M.calibrate(od(s, d).filter("yr < 2000"), od(s, d).filter("yr >= 2000"), "score", "y").select("id", "y", "calibrated"))

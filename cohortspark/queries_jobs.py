@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from .operators import batched as B
 from .operators import evaluate as E
 from .operators import models as M
 from .operators import shape as H
@@ -99,6 +101,22 @@ add("q_predictive", lambda s, d: r6(J.predictive_baseline(od(s, d).withColumn("r
 split_of = lambda: F.when(F.col("yr") >= 2001, "temporal").when(F.col("id") % 10 < 6, "train").when(F.col("id") % 10 < 8, "validation").otherwise("test")
 RISK_FITS = {"logistic": lambda a, b: M.logistic(a, b, "y", ["score", "yr"]), "forest": lambda a, b: M.forest(a, b, "y", ["score", "yr"], trees=20, depth=4)}
 add("q_risk_pipeline", lambda s, d: r6(J.risk_pipeline(od(s, d).withColumn("part", split_of()), "id", "y", "part", RISK_FITS).withColumnRenamed("part", "split")))
-add("m_permutation_importance", lambda s, d: r6(E.permutation_importance(od(s, d).filter("yr >= 2000").select("id", "y", "score", "yr"), "y", ["score", "yr"], "id", lambda x: x.withColumn("score", F.col("yr") / 3000 + F.col("score") / 10), 3)))
+
+
+def importance(s, d):
+    """A logistic model of the orders of other years, its columns dealt anew among those from 2000 on."""
+    cols = ["score", "yr", "price"]
+    f = od(s, d).withColumn("late", F.col("yr") >= 2000)
+    x = f.select(F.array(*(F.col(c).cast("double") for c in cols)).alias("x"), F.array(F.col("y").cast("double")).alias("y"), F.array(F.when(F.col("late"), 0).otherwise(-1)).alias("fold"))
+    fit = B.Folds(x, 1, 1, len(cols), centres=np.array([[0.3, 1996.0, 150000.0]]))
+    design, beta = fit.design, fit.coefficients[0]
+    predict = lambda v: 1 / (1 + np.exp(-(design(0, v) @ beta)))
+    return B.permutation_importance(f.filter("late"), "y", cols, "id", predict)
+
+
+add("m_permutation_importance", lambda s, d: r6(importance(s, d)))
+add("m_refit_groups", lambda s, d: r6(B.refit_leave_one_group_out(od(s, d).withColumn("wd", F.dayofweek("d")), "yr", "y", ["score", "price", "wd"])))
+PROBED = {"class 0": "CAST(label = 0 AS INT)", "class 1": "CAST(label = 1 AS INT)", "rare": "CASE WHEN vec_id % 3 = 0 THEN CAST(vec_id < 40 AS INT) END"}
+add("m_linear_probe", lambda s, d: r6(B.linear_probe(table(s, d, "embeddings"), "vec_id", "embedding", {k: F.expr(v) for k, v in PROBED.items()})))
 add("q_baselines", lambda s, d: r6(J.baseline_report(table(s, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 10 < 7)))
 add("q_clustering", lambda s, d: r6(J.cluster_pipeline(table(s, d, "embeddings"), "vec_id", "embedding", ["kmeans"], [2, 3])).drop("error", "failed"))

@@ -119,8 +119,8 @@ add("m_best", lambda s, d: E.best_by(r6(od(s, d).groupBy(F.col("pri").alias("mod
 add("m_error_by_split", lambda s, d: r6(E.error_by_split(od(s, d).withColumn("e", F.col("score") * F.col("score")), "st", "e")), f"WITH {OD} SELECT st, round(avg(score * score), 6) AS mse, count(*) AS n FROM od GROUP BY 1")
 add("m_promotion", lambda s, d: r6(E.promotion_gates(od(s, d).withColumn("old", F.col("score") * 1.0).withColumn("new", F.col("score") * 0.9).withColumn("s2", F.col("score") * 2), "old", "new", "score", "s2")), f"WITH {OD} SELECT round(avg(score), 6) AS old_mse, round(avg(score * 0.9), 6) AS new_mse, CAST(0 AS BIGINT) AS unmatched, 1.0::DOUBLE AS spearman, true AS improved, true AS agrees, true AS same_rows, true AS promoted FROM od")
 add("m_leave_one_out", lambda s, d: r6(E.leave_one_group_out(od(s, d), "yr", "y", "score").withColumn("events", F.col("events").cast("long"))), f"WITH {OD}, r AS (SELECT yr, y, rank() OVER (PARTITION BY yr ORDER BY score) + (count(*) OVER (PARTITION BY yr, score) - 1) / 2.0 k FROM od), a AS ({RNK}) SELECT CAST(yr AS VARCHAR) AS fold, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, round(CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) END, 6) AS auroc FROM r GROUP BY 1 UNION ALL SELECT 'pooled', count(*), CAST(sum(y) AS BIGINT), round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) FROM a")
-add("m_stratified_bootstrap", lambda s, d: E.bootstrap(od(s, d), "y", "score", ["id"], 50))
-add("m_cluster_bootstrap", lambda s, d: E.bootstrap(od(s, d), "y", "score", ["id"], 50, cluster=["yr"]))
+add("m_stratified_bootstrap", lambda s, d: E.bootstrap(od(s, d), "y", "score"))
+add("m_cluster_bootstrap", lambda s, d: E.bootstrap(od(s, d), "y", "score", cluster="yr"))
 add("m_shuffled_labels", lambda s, d: E.shuffled_label_control(od(s, d), "y", "score", "id"))
 add("m_time_reversal", lambda s, d: r6(E.time_reversal_control(ev(s, d), "user_id", "ts", "value", ev(s, d).groupBy("user_id").agg((F.max("value") > 90).cast("int").alias("y")), "y")))
 add("l_davies_bouldin", lambda s, d: r6(E.davies_bouldin(table(s, d, "embeddings"), "embedding", "label")),

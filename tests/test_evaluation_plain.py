@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cohortspark.operators import evaluate, models, shape, stats
+from cohortspark.operators import batched, evaluate, models, shape, stats
 
 
 def plain_auroc(y, p, w):
@@ -21,21 +22,51 @@ def scored(spark):
     return spark.createDataFrame([(i, i // 5, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "id int, ward int, y int, p double")
 
 
-@pytest.mark.parametrize("kind", ["rows", "classes", "wards"])
+@pytest.mark.parametrize("kind", ["classes", "wards"])
 def test_bootstrap_by_plain_resampling(scored, kind):
-    if kind == "rows":
-        got, drawn = stats.bootstrap_auroc(scored, "y", "p", ["id"], 40, 3), ["id"]
-    else:
-        own = ["ward"] if kind == "wards" else []
-        got, drawn = evaluate.bootstrap(scored, "y", "p", ["id"], 40, 3, own), own or ["id", "y"]
-    w = shape.poisson_weights(scored, drawn, 40, 3).toPandas()
+    """Every round of cells against a loop over rows with the same draws, also of average precision."""
+    d, rounds = scored.toPandas(), 40
+    drawn = batched.resampled(scored.repartition(3), "y", "p", rounds, 3, "ward" if kind == "wards" else None)
     if kind == "wards":
-        assert (w.groupby(["round", "ward"])["weight"].nunique() == 1).all()
-    assert abs(w["weight"].mean() - 1) < 0.1
-    want = [plain_auroc(d["y"].to_numpy(), d["p"].to_numpy(), d["weight"].to_numpy()) for _, d in w.groupby("round")]
-    r = got.first()
-    assert r.rounds == 40
-    assert np.allclose([r.low, r.high], np.percentile(want, [2.5, 97.5]), atol=1e-9)
+        names = {r.ward: r.h for r in scored.select("ward", F.xxhash64("ward").alias("h")).distinct().collect()}
+        key = d["ward"].map(names).to_numpy().astype(np.int64).view(np.uint64)
+        w = batched.poisson_quantile(batched._uniforms(key, rounds, 3), np.ones((len(d), 1)))
+    else:  # all rows of a score and class together have a Poisson weight of their number
+        cell = d["p"].to_numpy().view(np.uint64) ^ np.where(d["y"] == 1, 1, 2).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        n = d.groupby(["p", "y"])["id"].transform("size").to_numpy()
+        w = batched.poisson_quantile(batched._uniforms(cell, rounds, 3), n[:, None]) / n[:, None]
+    assert abs(w.mean() - 1) < 0.1
+    y, p = d["y"].to_numpy(), d["p"].to_numpy()
+    want = [plain_auroc(y, p, w[:, r]) for r in range(rounds)]
+    assert np.allclose(drawn.auroc, want, atol=1e-9)
+    for r in range(rounds):
+        levels = np.unique(p)[::-1]
+        up = np.cumsum([w[(p == s) & (y == 1), r].sum() for s in levels])
+        all_ = np.cumsum([w[p == s, r].sum() for s in levels])
+        gained = np.diff(np.concatenate([[0], up]))
+        assert abs(drawn.auprc[r] - (gained * np.divide(up, all_, out=np.zeros_like(up), where=all_ > 0)).sum() / up[-1]) < 1e-9
+    row = evaluate.bootstrap(scored, "y", "p", rounds, 3, "ward" if kind == "wards" else None).first()
+    assert row.rounds == rounds and np.allclose([row.low, row.high], np.quantile(want, [0.025, 0.975]), atol=1e-9)
+
+
+def test_bootstrap_interval_is_that_of_drawing_rows(spark):
+    g = np.random.default_rng(5)
+    y = g.integers(0, 2, 3000)
+    p = np.round(g.normal(size=3000) + 0.5 * y, 2)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)] + [(None, 0.5), (1, None)], "y int, p double")
+    rank = lambda i: plain_auroc(y[i], p[i], np.ones(len(i)))
+    one = [rank(g.integers(0, 3000, 3000)) for _ in range(60)]
+    row = evaluate.bootstrap(df, "y", "p").first()
+    assert row.rounds == 200 and abs((row.high - row.low) / (3.92 * np.std(one)) - 1) < 0.35 and row.low < rank(np.arange(3000)) < row.high
+
+
+def test_inverse_laws():
+    u = (np.arange(20000) + 0.5) / 20000
+    for mean in (0.3, 1.0, 20.0, 64.0, 65.0, 5000.0):
+        x = batched.poisson_quantile(u, np.array(mean))
+        assert abs(x.mean() - mean) < 0.02 * max(1, mean**0.5) and abs(x.var() / mean - 1) < 0.02
+    z = batched.normal_quantile(u)
+    assert abs(z.mean()) < 1e-6 and abs(z.var() - 1) < 2e-3 and abs(batched.normal_quantile(np.array([0.975]))[0] - 1.959963985) < 1e-8
 
 
 def test_shuffled_labels_by_plain_pairs(scored):
