@@ -46,7 +46,7 @@ def capabilities(df: DataFrame, key: str, times: Sequence[str], labels: Sequence
     """One row: repeated ids, time columns, labels with both classes, and which outputs those allow."""
     have = [t for t in times if t in df.columns]
     ids = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("repeated_ids"))
-    both = stats.label_counts(df, labels).agg(F.count_if((F.col("positive") > 0) & (F.col("negative") > 0)).alias("usable_labels"))
+    both = stats.label_counts(df, labels).agg(F.count_if((F.col("positive") > 0) & (F.col("negative") > 0)).alias("usable_labels")) if labels else df.sparkSession.createDataFrame([(0,)], "usable_labels long")
     d = ids.crossJoin(both).withColumn("time_columns", F.lit(len(have)).cast("long"))  # two single rows
     return d.withColumn("supports", F.when(F.col("repeated_ids") & (F.col("time_columns") > 0), "trajectories").when(F.col("usable_labels") > 0, "association").otherwise("description"))
 

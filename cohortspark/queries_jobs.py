@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .operators import batched as B
 from .operators import evaluate as E
 from .operators import models as M
 from .operators import shape as H
+from .plans import intake as I
 from .plans import jobs as J
 from .plans import quality as Q
 from .queries import OD, SQL, add, od, r6, table
@@ -120,3 +123,33 @@ PROBED = {"class 0": "CAST(label = 0 AS INT)", "class 1": "CAST(label = 1 AS INT
 add("m_linear_probe", lambda s, d: r6(B.linear_probe(table(s, d, "embeddings"), "vec_id", "embedding", {k: F.expr(v) for k, v in PROBED.items()})))
 add("q_baselines", lambda s, d: r6(J.baseline_report(table(s, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 10 < 7)))
 add("q_clustering", lambda s, d: r6(J.cluster_pipeline(table(s, d, "embeddings"), "vec_id", "embedding", ["kmeans"], [2, 3])).drop("error", "failed"))
+
+
+# ---- intake ----------------------------------------------------------------------------------------------------------------------------
+UPLOAD = I.Intake(numeric=["age", "price", "score", "absent"], categories=["status"], age="age", key="cust", labels=["y"], denied=["y", "secret"], identifier_names={"e-mail": "e_?mail"}, identifier_values={"e-mail": "[^@ ]+@[^@ ]+"}, ranges={"price": (0.0, 1e6), "score": (0.0, 0.7), "age": (0.0, 120.0)})
+
+
+def intake(s, d):
+    """The orders as an upload with wrong values, written as CSV and taken in."""
+    c, f = F.col, od(s, d)
+    at = f"{shared_dir(s)}/upload-{uuid.uuid4().hex}"
+    age = F.when(c("id") % 23 == 0, "n/a").when(c("id") % 31 == 0, "").otherwise((c("id") % 110).cast("string"))
+    price = F.when(c("id") % 3 == 0, None).otherwise(F.when(c("id") % 29 == 0, c("price") * 100).otherwise(c("price")))
+    f.select("id", "cust", age.alias("age"), price.alias("price"), F.when(c("id") % 7 > 0, c("score")).alias("score"), c("st").alias("status"), "y", c("pri").alias("note")).write.option("header", True).csv(f"{at}/orders.csv")
+    return I.take_in(s, f"{at}/orders.csv", UPLOAD, f"{at}/rows")[1]
+
+
+add("q_intake", lambda s, d: r6(intake(s, d)),
+    f"""WITH {OD}, f AS (SELECT id, cust, id % 23 = 0 AS corrupt, CASE WHEN id % 23 > 0 AND id % 31 > 0 THEN id % 110 END AS age, CASE WHEN id % 3 > 0 THEN CASE WHEN id % 29 = 0 THEN price * 100 ELSE price END END AS price, CASE WHEN id % 7 > 0 THEN score END AS score, st FROM od),
+r AS (SELECT *, CASE WHEN corrupt THEN 'corrupt' WHEN NOT coalesce(age BETWEEN 18 AND 120, false) THEN 'age' WHEN (age IS NOT NULL)::INT + (price IS NOT NULL)::INT + (score IS NOT NULL)::INT + (st IS NOT NULL)::INT < 3 THEN 'features' WHEN (age IS NOT NULL)::INT + (price IS NOT NULL)::INT + (score IS NOT NULL)::INT < 2 THEN 'numeric' END AS why FROM f),
+g AS (SELECT feature, count(v) / count(*) AS c, count_if(v < lo OR v > hi) / count(v) AS b FROM (SELECT 'age' AS feature, age::DOUBLE AS v, 0 AS lo, 120.0 AS hi FROM r UNION ALL SELECT 'price', price, 0, 1e6 FROM r UNION ALL SELECT 'score', score, 0, 0.7 FROM r UNION ALL SELECT 'status', CASE WHEN st IS NOT NULL THEN 0 END, NULL, NULL FROM r) GROUP BY 1),
+o(section, item, value, level) AS (SELECT 'file', 'rows', count(*)::DOUBLE, 'info' FROM r UNION ALL SELECT 'file', 'columns', 8, 'info'
+UNION ALL SELECT 'schema', x, 1, l FROM (VALUES ('mapped/age', 'info'), ('mapped/price', 'info'), ('mapped/score', 'info'), ('mapped/status', 'info'), ('missing/absent', 'warning'), ('prohibited/y', 'warning'), ('unmapped/id', 'info'), ('unmapped/cust', 'info'), ('unmapped/note', 'info')) t(x, l)
+UNION ALL SELECT 'coverage', feature, c, CASE WHEN c < 0.5 THEN 'warning' ELSE 'info' END FROM g UNION ALL SELECT 'missing', feature, 1 - c, 'info' FROM g UNION ALL SELECT 'range', feature, b, CASE WHEN b > 0.01 THEN 'warning' ELSE 'info' END FROM g WHERE b > 0
+UNION ALL SELECT 'tier', feature || '/' || CASE WHEN c < 0.05 THEN 'unavailable' WHEN c < 0.5 OR b > 0.01 THEN 'qualified_use' ELSE 'usable_now' END || '/' || coalesce(nullif(concat_ws(',', CASE WHEN c < 0.5 THEN 'coverage' END, CASE WHEN b > 0.01 THEN 'implausible' END, CASE WHEN b > 0 AND b <= 0.01 THEN 'few implausible' END), ''), 'none'), 1, 'info' FROM g
+UNION ALL SELECT 'tier', 'absent/unavailable/absent', 1, 'info' UNION ALL SELECT 'tier', 'y/prohibited/denied', 1, 'info'
+UNION ALL SELECT 'rejected', x, (SELECT count_if(why = x) FROM r), 'info' FROM (VALUES ('corrupt'), ('age'), ('features'), ('numeric')) t(x)
+UNION ALL SELECT 'rows', 'accepted', count_if(why IS NULL), 'info' FROM r UNION ALL SELECT 'rows', 'rejected', count(why), 'info' FROM r UNION ALL SELECT 'rows', 'will be scored', least(count_if(why IS NULL), 2000), 'info' FROM r UNION ALL SELECT 'rows', 'cap applied', (count_if(why IS NULL) > 2000)::INT, 'info' FROM r
+UNION ALL SELECT 'ready', CASE WHEN count_if(why IS NULL) > 0 THEN 'ready' ELSE 'no accepted row' END, (count_if(why IS NULL) > 0)::INT, CASE WHEN count_if(why IS NULL) > 0 THEN 'info' ELSE 'blocking' END FROM r
+UNION ALL SELECT 'capability', 'association', (max(n) > 1)::INT, 'info' FROM (SELECT count(*) n FROM r GROUP BY cust))
+SELECT section, item, round(value::DOUBLE, 6) AS value, level FROM o""")

@@ -92,6 +92,26 @@ def guarded_csv(spark: SparkSession, path: str, most_bytes: int = 15_000_000, mo
     return d
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """The names in the first line; raises where there is none, where names repeat or are empty, and on another extension."""
+    if not path.lower().endswith(".csv"):
+        raise ValueError("only .csv is accepted")
+    first = spark.read.option("header", False).option("inferSchema", False).option("encoding", "UTF-8").csv(path).limit(1).collect()
+    names = [(x or "").strip().lstrip("\ufeff") for x in first[0]] if first else []
+    if not any(names):
+        raise ValueError("no header")
+    if "" in names or len({n.lower() for n in names}) < len(names):
+        raise ValueError("empty or repeated names in the header")
+    return names
+
+
+def permissive_csv(spark: SparkSession, path: str, columns: Sequence[tuple[str, str]], corrupt: str = "_corrupt_record") -> DataFrame:
+    """A CSV with the header ``columns`` (name, type). A line that does not fit its types or length keeps what could be read and is whole in ``corrupt``; bytes that are no UTF-8 become U+FFFD."""
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in (*columns, (corrupt, "string")))
+    r = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).option("encoding", "UTF-8").option("enforceSchema", True)
+    return r.schema(schema).csv(path)
+
+
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
