@@ -11,6 +11,7 @@ from .operators import batched as B
 from .operators import evaluate as E
 from .operators import models as M
 from .operators import shape as H
+from .operators import stability as ST
 from .plans import intake as I
 from .plans import jobs as J
 from .plans import quality as Q
@@ -122,6 +123,7 @@ add("m_refit_groups", lambda s, d: r6(B.refit_leave_one_group_out(od(s, d).withC
 PROBED = {"class 0": "CAST(label = 0 AS INT)", "class 1": "CAST(label = 1 AS INT)", "rare": "CASE WHEN vec_id % 3 = 0 THEN CAST(vec_id < 40 AS INT) END"}
 add("m_linear_probe", lambda s, d: r6(B.linear_probe(table(s, d, "embeddings"), "vec_id", "embedding", {k: F.expr(v) for k, v in PROBED.items()})))
 add("q_baselines", lambda s, d: r6(J.baseline_report(table(s, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 10 < 7)))
+add("q_cluster_stability", lambda s, d: r6(ST.cluster_stability(table(s, d, "embeddings").withColumn("odd", F.col("vec_id") % 3), "vec_id", "embedding", controls={"odd": "category", "vec_id": "number"})[0]))
 add("q_clustering", lambda s, d: r6(J.cluster_pipeline(table(s, d, "embeddings"), "vec_id", "embedding", ["kmeans"], [2, 3])).drop("error", "failed"))
 
 
