@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .operators import batched as B
 from .operators import evaluate as E
 from .operators import models as M
+from .operators import neighbours as N
 from .operators import shape as H
 from .operators import stability as ST
+from .plans import association as A
 from .plans import intake as I
 from .plans import jobs as J
 from .plans import quality as Q
@@ -127,6 +129,17 @@ add("q_cluster_stability", lambda s, d: r6(ST.cluster_stability(table(s, d, "emb
 add("q_clustering", lambda s, d: r6(J.cluster_pipeline(table(s, d, "embeddings"), "vec_id", "embedding", ["kmeans"], [2, 3])).drop("error", "failed"))
 
 
+def neighbours_found(s, d):
+    """Neighbours of every row whose id is divisible by 50, with the share of the exact ones that the index finds."""
+    e = table(s, d, "embeddings")
+    asked = e.filter("vec_id % 50 = 0")
+    found = N.knn_by_buckets(asked, e, "vec_id", "vec_id", "embedding")
+    return found.crossJoin(F.broadcast(N.recall(found, H.knn(asked, e, "vec_id", "vec_id", "embedding"))))  # one row
+
+
+add("j_knn_buckets", lambda s, d: r6(neighbours_found(s, d)))
+add("q_association", lambda s, d: r6(A.associate(od(s, d).withColumn("wd", F.dayofweek("d")).withColumn("urgent", F.col("pri").startswith("1").cast("int")), "id", "y", ["score", "price", "wd", "urgent", "absent"], required=["score"], similar_to=F.col("id") % 50 == 0)["report"]))
+
 # ---- intake ----------------------------------------------------------------------------------------------------------------------------
 UPLOAD = I.Intake(numeric=["age", "price", "score", "absent"], categories=["status"], age="age", key="cust", labels=["y"], denied=["y", "secret"], identifier_names={"e-mail": "e_?mail"}, identifier_values={"e-mail": "[^@ ]+@[^@ ]+"}, ranges={"price": (0.0, 1e6), "score": (0.0, 0.7), "age": (0.0, 120.0)})
 
