@@ -26,7 +26,7 @@ from .tokens import TokenCache, tokenizer_path
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 METRICS = ("chars_per_token", "byte_fallback", "entropy")
 GRAIN = 1000  # bins per unit of a metric
-LEAST = 20
+WEIGHT = 20  # documents that the fences of all languages count for in those of one
 SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, " + ", ".join(f"{m} int" for m in METRICS)
 
 
@@ -105,7 +105,10 @@ def _known_chars(path: str) -> _Known:
 
 
 def fences(measured: DataFrame, reach: float) -> DataFrame:
-    """lang, metric, low, high in bins, from exact quartiles of the histogram of documents that pass the base rules; and the fences of all languages together."""
+    """lang, metric, low, high in bins, from exact quartiles of the histogram of documents that pass the base rules; and the fences of all languages together.
+
+    The fences of a language are drawn towards those of all by WEIGHT documents, so a language of few is judged almost like all and one of many by itself, without a step between.
+    """
     long = measured.filter("NOT base_failed").select("lang", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("bin")) for m in METRICS))).alias("x")).select("lang", "x.*")
     hist = long.groupBy("lang", "metric", "bin").agg(F.count("*").alias("n")).withColumn("pooled", F.explode(F.array(F.lit(False), F.lit(True))))
     hist = hist.groupBy("pooled", F.when(~F.col("pooled"), F.col("lang")).alias("lang"), "metric", "bin").agg(F.sum("n").alias("n"))
@@ -114,7 +117,10 @@ def fences(measured: DataFrame, reach: float) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin")))
     quart = cum.groupBy("pooled", "lang", "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("all"))
     gap = F.greatest(F.col("q3") - F.col("q1"), F.lit(10))
-    return quart.filter(F.col("pooled") | (F.col("all") >= LEAST)).select("pooled", "lang", "metric", (F.col("q1") - reach * gap).alias("low"), (F.col("q3") + reach * gap).alias("high"))
+    quart = quart.select("pooled", "lang", "metric", "all", (F.col("q1") - reach * gap).alias("low"), (F.col("q3") + reach * gap).alias("high"))
+    every = quart.filter("pooled").select("metric", F.col("low").alias("low_"), F.col("high").alias("high_"))  # a row a metric
+    drawn = lambda c: F.when(F.col("pooled"), F.col(c)).otherwise((F.col("all") * F.col(c) + WEIGHT * F.col(f"{c}_")) / (F.col("all") + WEIGHT)).alias(c)
+    return quart.join(F.broadcast(every), "metric").select("pooled", "lang", "metric", drawn("low"), drawn("high"))
 
 
 def fertility(docs: DataFrame, bpe: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model", reach: float = 2.5) -> DataFrame:

@@ -6,8 +6,8 @@ Documents of over ``1/GRAIN`` of a shard's mean (at most shards * GRAIN by arith
 the running sum of bytes within their arc, for which only the sums per arc are needed (shards * VNODES rows). DataFrame
 functions do all work on documents; the driver plans over those bounded sums alone.
 
-Defined cases: null text has 0 bytes; repeated rows are placed each on its own; a null ``doc_id`` hashes like any value, and the text's crc is hashed with it, so rows without an id spread over the
-ring; copies of a text under other ids may lie in other shards; very long texts are sizes like others; extra columns are ignored, whatever their names are; an empty table gives an empty one.
+Defined cases: null text has 0 bytes; repeated rows are placed each on its own; rows of null ``doc_id`` are spread over the ring by their place in the table;
+the text's crc is hashed with the id; copies of a text under other ids may lie in other shards; very long texts are sizes like others; extra columns are ignored, whatever their names are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ def ring_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     bounds, owner = [p for p, _ in points], [s for _, s in points]
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     d = docs.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    d = d.withColumn("key", F.coalesce("doc_id", F.lit(-1))).withColumn("h", F.xxhash64("key", "text_crc32", F.lit("key")))
+    # Rows without an id have their place in the table as a key, or equal ones among them would be one place of the ring.
+    d = d.withColumn("key", F.coalesce("doc_id", -1 - F.monotonically_increasing_id())).withColumn("h", F.xxhash64("key", "text_crc32", F.lit("key")))
     d = d.withColumn("cell", F.shiftright("h", 64 - CELL_BITS)).join(F.broadcast(arc_table(spark, bounds)), "cell")  # 2^CELL_BITS rows
     d = materialise(d.withColumn("arc", F.get(F.filter("points", lambda p: p["point"] >= F.col("h")), F.lit(0))["arc"]).drop("cell", "points"))
     total = d.agg(F.sum("size")).first()[0] or 0

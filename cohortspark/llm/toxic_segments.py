@@ -159,7 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 40_000) -> tuple[d
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()  # train_rows rows at most
     spark = docs.sparkSession
     sample = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, r long, toxic int")
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # One text of each labelled id, however many rows have that id: the sample stays bounded.
+    text = F.coalesce("text", F.lit(""))
+    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "r", "toxic").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
     odds = log_odds(train.filter(F.col("r") <= FOLD))
     if not odds:
         return {}, Calibration()
