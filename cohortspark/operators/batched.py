@@ -295,17 +295,21 @@ def poisson_quantile(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The rational approximation of the normal quantile by Wichura (1988), algorithm AS 241: coefficients for the middle, for tails and for far tails (fixed values).
+_MIDDLE = ((3.3871328727963666080, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3), (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3))
+_TAIL = ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4), (1.0, 2.05319162663775882187, 1.67638483018380384940, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+_FAR = ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7), (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
+
 def normal_quantile(u: np.ndarray) -> np.ndarray:
-    """Inverse of the normal law: a rational start (error below 5e-4), then Newton steps on the law itself."""
-    from math import erfc, pi, sqrt
-
-    tail = np.minimum(u, 1 - u)
-    t = np.sqrt(-2 * np.log(tail))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
-    for _ in range(2):
-        over = np.array([0.5 * erfc(x / sqrt(2)) for x in np.ravel(z)]).reshape(np.shape(z))
-        z = z + (over - tail) / (np.exp(-z * z / 2) / np.sqrt(2 * pi))
-    return np.where(u < 0.5, -z, z)
+    """Inverse of the normal law, by columns."""
+    u = np.asarray(u, float)
+    q = u - 0.5
+    r = np.sqrt(-np.log(np.minimum(u, 1 - u)))
+    ratio = lambda c, x: np.polyval(c[0][::-1], x) / np.polyval(c[1][::-1], x)
+    middle = q * ratio(_MIDDLE, 0.180625 - q * q)
+    tail = np.sign(q) * np.where(r <= 5, ratio(_TAIL, r - 1.6), ratio(_FAR, r - 5))
+    return np.where(np.abs(q) <= 0.425, middle, tail)
 
 
 class Rounds:

@@ -197,7 +197,8 @@ def isolation_forest(df: DataFrame, key: str, vec: str, trees: int = 100, sample
     """Trees are built in tasks from hash samples of at most ``sample`` rows each; scoring is one pass over all rows."""
     n = df.count()
     share = min(1.0, 2.0 * sample / max(1, n))
-    drawn = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", uniform(seed, "tree", key)).filter(F.col("_u") < share).select("tree", "_u", F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    own = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform(seed, t, F.col(key)) < share)  # the trees of a row: no row is there for every tree
+    drawn = df.withColumn("tree", F.explode(own)).withColumn("_u", uniform(seed, "tree", key)).select("tree", "_u", F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
 
     def build(key_, pdf):
         import pandas as pd
@@ -286,13 +287,12 @@ def normal_scores(df: DataFrame, cols: Sequence[str], low: float = 0.001) -> Dat
     """``<c>_normal``: the standard normal quantile of the average percent rank, kept within ``low`` and 1 - ``low``; 0 for NULL."""
     from pyspark.sql.functions import pandas_udf
 
+    from .batched import normal_quantile
     from .shape import average_pct_rank
 
     @pandas_udf("double")
     def quantile(p: pd.Series) -> pd.Series:
-        from statistics import NormalDist
-
-        return p.map(NormalDist().inv_cdf)
+        return pd.Series(normal_quantile(p.to_numpy()))
 
     for c in cols:
         df = average_pct_rank(df, c)
