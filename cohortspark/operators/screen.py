@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import days_between, null_safe
+from ..scratch import materialise
 from .shape import running_totals, to_long
+from .stats import exact_quantiles
 
 
 # ---- filters ---------------------------------------------------------------------------------------------------------
@@ -178,6 +180,11 @@ def event_counts(df: DataFrame, entity: str, ts: str, value: str) -> DataFrame:
     return per.agg(F.sum("n").alias("rows"), F.count(entity).alias("entities"), F.sum("visits").alias("visits"), F.sum("v").alias("observations"))
 
 
+def outcome_counts(df: DataFrame, entity: str, outcome: str, none: str = "none") -> DataFrame:
+    """Rows and entities of each outcome; observations are not counted."""
+    return df.filter(F.col(outcome) != none).groupBy(F.col(outcome).alias("outcome")).agg(F.count("*").alias("rows"), F.count_distinct(entity).alias("entities"))
+
+
 def slot_audit(df: DataFrame, recomputed: Column, stored: str) -> DataFrame:
     """Stored labels against recomputed ones: positives of both, and rows that disagree."""
     a, b = F.col(stored), F.col("_r")
@@ -233,8 +240,12 @@ def schema_report(df: DataFrame, allow: Sequence[str]) -> DataFrame:
 
 
 def follow_up_summary(df: DataFrame, entity: str, ts: str) -> DataFrame:
-    per = df.groupBy(entity).agg(F.count_distinct(ts).alias("v"), days_between(F.max(ts), F.min(ts)).alias("f"))
-    return per.agg(F.min("v").alias("visits_min"), F.max("v").alias("visits_max"), F.avg("v").alias("visits_mean"), F.min("f").alias("follow_up_min"), F.max("f").alias("follow_up_max"), F.avg("f").alias("follow_up_mean"))
+    """Visits and days of follow-up of the entities: least, 10th percentile, median, 90th percentile, most and mean."""
+    per = materialise(df.groupBy(entity).agg(F.count_distinct(ts).alias("v"), days_between(F.max(ts), F.min(ts)).alias("f")))
+    probs = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    q = [exact_quantiles(per, c, list(probs.values())).select(*(F.col("q")[i].alias(f"{n}_{p}") for i, p in enumerate(probs))) for c, n in (("v", "visits"), ("f", "follow_up"))]
+    m = per.agg(F.min("v").alias("visits_min"), F.max("v").alias("visits_max"), F.avg("v").alias("visits_mean"), F.min("f").alias("follow_up_min"), F.max("f").alias("follow_up_max"), F.avg("f").alias("follow_up_mean"))
+    return m.join(q[0], how="left").join(q[1], how="left")  # three single rows
 
 
 def share_measured(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -130,10 +130,11 @@ def visit_index(df: DataFrame, entity: str, ts: str) -> DataFrame:
     return df.withColumn("visit_index", F.dense_rank().over(Window.partitionBy(entity).orderBy(ts)) - 1)
 
 
-def last_k(df: DataFrame, entity: str, ts: str, k: int) -> DataFrame:
+def last_k(df: DataFrame, entity: str, ts: str, k: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The last k rows of each entity, numbered from 0; rows of one time are ordered by ``ties``."""
     w = Window.partitionBy(entity)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc(ts)))).filter(F.col("_r") <= k)
-    return d.withColumn("visit_index", F.row_number().over(w.orderBy(ts)) - 1).drop("_r")
+    d = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc(ts), *(F.desc(c) for c in ties)))).filter(F.col("_r") <= k)
+    return d.withColumn("visit_index", F.row_number().over(w.orderBy(F.desc("_r"))) - 1).drop("_r")
 
 
 def reverse_index(df: DataFrame, entity: str, idx: str) -> DataFrame:
@@ -245,11 +246,13 @@ def person_intervals(df: DataFrame, time: str, event: str, horizon: float, width
     return d.withColumn("event_here", (ends & (F.col(event) == 1)).cast("int")).withColumn("competing_here", (ends & (F.col(event) == 2)).cast("int")).drop("_n")
 
 
-def sequences(visits: DataFrame, entity: str, idx: str, values: Sequence[str], k: int) -> DataFrame:
-    """entity, length, sequence: array of k arrays (values with NULL as 0, masks), padded by zeros."""
-    row = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in values), *(F.col(c).isNotNull().cast("double") for c in values))
-    d = last_k(visits, entity, idx, k).groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(F.col("visit_index"), row.alias("row")))).alias("s"))
-    zero = F.array_repeat(F.lit(0.0), 2 * len(values))
+def sequences(visits: DataFrame, entity: str, idx: str, values: Sequence[str], k: int, normaliser: dict[str, tuple[float, float]] | None = None, gap: str | None = None) -> DataFrame:
+    """entity, length, sequence: array of k arrays (values with NULL as 0, masks, and the ``gap`` in years), padded by zeros. ``normaliser``: centre and spread of a value. The last k visits by ``idx``, ties by the values."""
+    scaled = lambda c: (F.col(c).cast("double") - normaliser[c][0]) / normaliser[c][1] if normaliser else F.col(c).cast("double")
+    years = [F.coalesce(F.col(gap).cast("double"), F.lit(0.0)) / 365.25] if gap else []
+    row = F.array(*(F.coalesce(scaled(c), F.lit(0.0)) for c in values), *(F.col(c).isNotNull().cast("double") for c in values), *years)
+    d = last_k(visits, entity, idx, k, values).groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(F.col("visit_index"), row.alias("row")))).alias("s"))
+    zero = F.array_repeat(F.lit(0.0), 2 * len(values) + len(years))
     return d.select(entity, F.size("s").alias("length"), F.concat(F.transform("s", lambda x: x["row"]), F.array_repeat(zero, F.lit(k) - F.size("s"))).alias("sequence"))
 
 

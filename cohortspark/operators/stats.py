@@ -120,9 +120,10 @@ def class_balance(df: DataFrame, horizons: Sequence[int], time: str, cause: str)
 
 
 def trajectory_features(visits: DataFrame, entity: str, ts: str, cols: Sequence[str]) -> DataFrame:
-    """Count, last, mean, delta and slope per year of every measure, and the context of the history, in one grouping."""
+    """Count, last, mean, delta and slope per year of every measure, and the context of the history (visits, days, visits per year, median gap, share missing), in one grouping."""
+    gap = days_between(F.col(ts), F.lag(ts).over(Window.partitionBy(entity).orderBy(ts)))
     years = days_between(F.col(ts), F.min(ts).over(Window.partitionBy(entity))) / 365.25
-    d, aggs = visits.withColumn("_t", years), []
+    d, aggs = visits.withColumn("_t", years).withColumn("_gap", gap), []
     for c in cols:
         v, t = F.col(c), F.when(F.col(c).isNotNull(), F.col("_t"))
         last, first = F.max_by(v, t), F.min_by(v, t)
@@ -131,7 +132,8 @@ def trajectory_features(visits: DataFrame, entity: str, ts: str, cols: Sequence[
         aggs += [F.count(v).alias(f"{c}_observed_count"), last.alias(f"{c}_last"), F.avg(v).alias(f"{c}_mean"), F.when(F.count(v) >= 2, last - first).when(F.count(v) > 0, 0.0).alias(f"{c}_delta"), slope.alias(f"{c}_slope_per_year")]
     seen = sum((F.count(c) for c in cols), F.lit(0))
     burden = 1 - seen / (F.count("*") * len(cols))
-    return d.groupBy(entity).agg(F.count("*").alias("visit_count"), (F.max("_t") * 365.25).alias("history_days"), burden.alias("missingness_burden"), *aggs)
+    density = F.round(F.count("*") / (F.greatest(F.max("_t") * 365.25, F.lit(1.0)) / 365.25), 4)
+    return d.groupBy(entity).agg(F.count("*").alias("visit_count"), (F.max("_t") * 365.25).alias("history_days"), density.alias("visit_density_per_year"), F.coalesce(F.median("_gap"), F.lit(0.0)).alias("median_visit_gap_days"), burden.alias("missingness_burden"), *aggs)
 
 
 # ---- association -----------------------------------------------------------------------------------------------------------
@@ -297,7 +299,7 @@ def decision_curve(df: DataFrame, y: str, p: str, thresholds: Sequence[float]) -
     hit, pos, t = F.col("_p") >= F.col("threshold"), F.col("_y") == 1, F.col("threshold")
     g = d.groupBy("threshold").agg(F.count_if(hit).alias("flagged"), F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count("*").alias("n"), F.avg("_y").alias("prevalence"))
     odds = t / (1 - t)
-    return g.select("threshold", "flagged", "tp", "fp", (F.col("tp") / F.col("n") - F.col("fp") / F.col("n") * odds).alias("net_benefit"), (F.col("prevalence") - (1 - F.col("prevalence")) * odds).alias("treat_all"))
+    return g.select("threshold", "flagged", (F.col("flagged") / F.col("n")).alias("flagged_share"), "tp", "fp", (100 * F.col("fp") / F.col("n")).alias("false_alerts_per_100"), (F.col("tp") / F.col("n") - F.col("fp") / F.col("n") * odds).alias("net_benefit"), (F.col("prevalence") - (1 - F.col("prevalence")) * odds).alias("treat_all"))
 
 
 def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:

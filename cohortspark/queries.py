@@ -159,7 +159,7 @@ add("a_horizon_gate", lambda s, d: S.horizon_gate(od(s, d).withColumn("time", F.
 add("a_class_balance", lambda s, d: r6(S.class_balance(od(s, d).withColumn("time", F.col("score") * 2000).withColumn("cause", F.col("y") + 2 * F.col("t")), [365, 1095], "time", "cause").withColumn("horizon", F.col("horizon").cast("long"))),
     f"WITH {OD}, h AS (SELECT unnest([365, 1095]) AS horizon), a AS (SELECT horizon, score * 2000 AS time, y + 2 * t AS cause FROM od, h), g AS (SELECT horizon, count_if(cause = 1 AND time <= horizon) c, count_if(cause = 2 AND time <= horizon) k, count_if(cause = 0 AND time < horizon) z, count_if(NOT (cause = 0 AND time < horizon) AND NOT (cause = 2 AND time <= horizon)) e FROM a GROUP BY 1) SELECT CAST(horizon AS BIGINT) AS horizon, CAST(c AS BIGINT) AS cases, CAST(k AS BIGINT) AS competing, CAST(z AS BIGINT) AS censored, CAST(e AS BIGINT) AS eligible, round(c / e, 6) AS prevalence FROM g")
 add("a_trajectory", lambda s, d: r6(S.trajectory_features(ev(s, d), "user_id", "ts", ["value"])),
-    f"WITH {EV}, a AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 86400000000.0 / 365.25 AS yt FROM ev) SELECT user_id, count(*) AS visit_count, round(max(yt) * 365.25, 6) AS history_days, round(1 - count(value) / count(*), 6) AS missingness_burden, count(value) AS value_observed_count, round(arg_max(value, CASE WHEN value IS NOT NULL THEN yt END), 6) AS value_last, round(avg(value), 6) AS value_mean, round(CASE WHEN count(value) >= 2 THEN arg_max(value, CASE WHEN value IS NOT NULL THEN yt END) - arg_min(value, CASE WHEN value IS NOT NULL THEN yt END) WHEN count(value) = 1 THEN 0.0 END, 6) AS value_delta, round(CASE WHEN count(value) >= 2 THEN coalesce(covar_pop(value, yt) FILTER (value IS NOT NULL) / nullif(var_pop(yt) FILTER (value IS NOT NULL), 0), 0.0) WHEN count(value) = 1 THEN 0.0 END, 6) AS value_slope_per_year FROM a GROUP BY 1")
+    f"WITH {EV}, a AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 86400000000.0 / 365.25 AS yt, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 86400000000.0 AS gap FROM ev) SELECT user_id, count(*) AS visit_count, round(max(yt) * 365.25, 6) AS history_days, round(count(*) / (greatest(max(yt) * 365.25, 1.0) / 365.25), 4) AS visit_density_per_year, round(coalesce(quantile_cont(gap, 0.5), 0.0), 6) AS median_visit_gap_days, round(1 - count(value) / count(*), 6) AS missingness_burden, count(value) AS value_observed_count, round(arg_max(value, CASE WHEN value IS NOT NULL THEN yt END), 6) AS value_last, round(avg(value), 6) AS value_mean, round(CASE WHEN count(value) >= 2 THEN arg_max(value, CASE WHEN value IS NOT NULL THEN yt END) - arg_min(value, CASE WHEN value IS NOT NULL THEN yt END) WHEN count(value) = 1 THEN 0.0 END, 6) AS value_delta, round(CASE WHEN count(value) >= 2 THEN coalesce(covar_pop(value, yt) FILTER (value IS NOT NULL) / nullif(var_pop(yt) FILTER (value IS NOT NULL), 0), 0.0) WHEN count(value) = 1 THEN 0.0 END, 6) AS value_slope_per_year FROM a GROUP BY 1")
 add("a_cramers_v", lambda s, d: r6(S.cramers_v(od(s, d), "pri", "st")),
     f"WITH {OD}, c AS (SELECT pri, st, count(*)::DOUBLE n FROM od GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY pri) a, sum(n) OVER (PARTITION BY st) b FROM c), s AS (SELECT sum(n) n, sum(n * n / (a * b)) q, count(DISTINCT pri) r, count(DISTINCT st) k FROM m) SELECT round(n * (q - 1), 6) AS chi2, round(sqrt(greatest(0, (q - 1) - (k - 1) * (r - 1) / (n - 1)) / least(r - (r - 1) * (r - 1) / (n - 1) - 1, k - (k - 1) * (k - 1) / (n - 1) - 1)), 6) AS cramers_v FROM s")
 add("a_correlation_ratio", lambda s, d: r6(S.correlation_ratio(od(s, d), "pri", "price")),
@@ -200,7 +200,7 @@ add("m_brier", lambda s, d: r6(S.brier(od(s, d), "y", "score", ["pri"])),
 add("m_calibration_curve", lambda s, d: r6(S.calibration_curve(od(s, d), "y", "score", "id").withColumn("chunk", F.col("chunk").cast("long"))),
     f"WITH {OD}, c AS (SELECT y, score, ntile(10) OVER (ORDER BY score, id) - 1 AS chunk FROM od) SELECT CAST(chunk AS BIGINT) AS chunk, round(avg(score), 6) AS mean_score, round(avg(y), 6) AS observed, count(*) AS n FROM c GROUP BY 1")
 add("m_decision_curve", lambda s, d: r6(S.decision_curve(od(s, d), "y", "score", [0.1, 0.3, 0.5])),
-    f"WITH {OD}, h AS (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS threshold) SELECT threshold, CAST(count_if(score >= threshold) AS BIGINT) AS flagged, CAST(count_if(score >= threshold AND y = 1) AS BIGINT) AS tp, CAST(count_if(score >= threshold AND y = 0) AS BIGINT) AS fp, round(count_if(score >= threshold AND y = 1) / count(*) - count_if(score >= threshold AND y = 0) / count(*) * threshold / (1 - threshold), 6) AS net_benefit, round(avg(y) - (1 - avg(y)) * threshold / (1 - threshold), 6) AS treat_all FROM od, h GROUP BY threshold")
+    f"WITH {OD}, h AS (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS threshold) SELECT threshold, CAST(count_if(score >= threshold) AS BIGINT) AS flagged, round(count_if(score >= threshold) / count(*), 6) AS flagged_share, round(100 * count_if(score >= threshold AND y = 0) / count(*), 6) AS false_alerts_per_100, CAST(count_if(score >= threshold AND y = 1) AS BIGINT) AS tp, CAST(count_if(score >= threshold AND y = 0) AS BIGINT) AS fp, round(count_if(score >= threshold AND y = 1) / count(*) - count_if(score >= threshold AND y = 0) / count(*) * threshold / (1 - threshold), 6) AS net_benefit, round(avg(y) - (1 - avg(y)) * threshold / (1 - threshold), 6) AS treat_all FROM od, h GROUP BY threshold")
 add("m_subgroups", lambda s, d: r6(S.subgroup_metrics(od(s, d), "y", "score", ["pri"]).withColumn("events", F.col("events").cast("long"))),
     f"WITH {OD}, r AS (SELECT pri, y, score, rank() OVER (PARTITION BY pri ORDER BY score) + (count(*) OVER (PARTITION BY pri, score) - 1) / 2.0 k FROM od) SELECT 'pri' AS subgroup, pri AS level, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, round(CASE WHEN sum(y) >= 10 THEN avg((score - y) * (score - y)) END, 6) AS brier, round(CASE WHEN sum(y) >= 10 THEN (sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) END, 6) AS auroc FROM r GROUP BY pri")
 add("m_select_model", lambda s, d: P.select_model(r6(od(s, d).groupBy("yr", F.col("pri").alias("model")).agg((F.avg("price") / 250000).alias("slope"), (F.avg("y") + 0.3).alias("auroc"))), ["yr"]).select("yr", "model", "abstains"),

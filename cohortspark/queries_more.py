@@ -11,12 +11,55 @@ from .operators import screen as R
 from .operators import shape as H
 from .operators import stats as S
 from .plans import cohort as P
+from .plans import incident as K
 from .plans import quality as Q
 from .queries import EV, OD, add, ev, od, r6, table
 
 L = lambda c: F.col(c).cast("long").alias(c)
 
 # ---- projections, filters, predicates
+#: Events with index dates, outcomes, censoring dates, visits and sites.
+FOLLOWED = "fo AS (SELECT user_id, ts, date_trunc('day', ts)::TIMESTAMP AS visit, TIMESTAMP '2024-01-06' + INTERVAL 1 DAY * (user_id % 9)::INT AS index_date, CASE WHEN event_type = 'purchase' AND event_id % 29 = 0 THEN 'disease' WHEN event_type = 'error' AND event_id % 31 = 0 THEN 'death' WHEN event_type = 'signup' AND event_id % 23 = 0 THEN 'cancer' ELSE 'none' END AS outcome_type, ts AS event_date, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 9 DAY END AS censoring_date, CASE event_id % 3 WHEN 0 THEN 'lung' WHEN 1 THEN 'colon' END AS site FROM events)"
+
+
+def followed(s, d):
+    e, c = table(s, d, "events"), F.col
+    kind = F.when((c("event_type") == "purchase") & (c("event_id") % 29 == 0), "disease").when((c("event_type") == "error") & (c("event_id") % 31 == 0), "death").when((c("event_type") == "signup") & (c("event_id") % 23 == 0), "cancer").otherwise("none")
+    start = F.timestamp_micros(F.unix_micros(F.lit("2024-01-06 00:00:00").cast("timestamp")) + (c("user_id") % 9) * 86_400_000_000).cast(dict(e.dtypes)["ts"])
+    later = F.timestamp_micros(F.unix_micros(c("ts").cast("timestamp")) + 9 * 86_400_000_000).cast(dict(e.dtypes)["ts"])
+    return e.select("user_id", "ts", F.date_trunc("day", "ts").alias("visit"), start.alias("index_date"), kind.alias("outcome_type"), c("ts").alias("event_date"), F.when(c("event_id") % 2 == 0, later).alias("censoring_date"), F.when(c("event_id") % 3 == 0, "lung").when(c("event_id") % 3 == 1, "colon").alias("site"))
+
+
+def summed_place(i):
+    return F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[i])
+
+
+def typed(df):
+    return df.select(*(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
+
+
+def incident_report(s, d):
+    cohort, counts = K.incident_cohort(followed(s, d), "user_id", PROTOCOL)
+    return K.cohort_report(cohort, counts, PROTOCOL)
+
+
+DAYS = "(epoch_us({}) - epoch_us({})) / 86400000000.0".format
+INCIDENT = (
+    "tab0 AS (SELECT user_id, max(index_date) AS index_date, max(ts) AS last_record, min(ts) FILTER (outcome_type = 'none') AS first_observation, count(DISTINCT visit) FILTER (outcome_type = 'none') AS visits, "
+    + ", ".join(f"min(event_date) FILTER (outcome_type = '{o}') AS {o}_date" for o in ("disease", "cancer", "death"))
+    + ", arg_min(site, (event_date, site)) FILTER (outcome_type = 'cancer' AND site IS NOT NULL) AS site, max(censoring_date) FILTER (outcome_type <> 'none') AS censoring_date FROM fo GROUP BY 1), "
+    f"tab1 AS (SELECT *, coalesce(censoring_date, last_record) AS follow_up_end, {DAYS('index_date', 'first_observation')} AS history_days FROM tab0), "
+    f"tab AS (SELECT *, coalesce(disease_date <= index_date, false) AS p1, coalesce(cancer_date <= index_date, false) AS p2, coalesce(history_days, -1) < 1 AS p3, visits < 3 AS p4, {DAYS('follow_up_end', 'index_date')} AS fu FROM tab1), "
+    f"coh0 AS (SELECT *, {DAYS('death_date', 'index_date')} AS xd, {DAYS('disease_date', 'index_date')} AS e_disease, {DAYS('cancer_date', 'index_date')} AS e_cancer FROM tab WHERE NOT (p1 OR p2 OR p3 OR p4)), "
+    "coh AS (SELECT *, " + ", ".join(f"CASE WHEN coalesce(e_{o} <= fu, false) THEN 1 WHEN coalesce(xd <= fu, false) AND (NOT coalesce(e_{o} <= fu, false) OR coalesce(xd < e_{o}, false)) THEN 2 ELSE 0 END AS c_{o}" for o in ("disease", "cancer")) + " FROM coh0)"
+)
+TIME = {o: f"(CASE c_{o} WHEN 1 THEN e_{o} WHEN 2 THEN xd ELSE fu END)" for o in ("disease", "cancer")}
+COHORT_COLUMNS = ", ".join(
+    f"round(e_{o}, 6) AS {o}_event_days, round({TIME[o]}, 6) AS {o}_time_days, CAST(c_{o} AS BIGINT) AS {o}_cause, "
+    + ", ".join(f"CAST(c_{o} = 1 AND e_{o} <= {h} AS BIGINT) AS {o}_{h}_label, CAST((c_{o} = 1 AND e_{o} <= {h}) OR ({TIME[o]} >= {h} AND c_{o} <> 1) AS BIGINT) AS {o}_{h}_eligible, CAST(c_{o} = 0 AND {TIME[o]} < {h} AS BIGINT) AS {o}_{h}_censored_before, CAST(c_{o} = 2 AND {TIME[o]} < {h} AS BIGINT) AS {o}_{h}_competing_before" for h in (5, 10))
+    for o in ("disease", "cancer")
+)
+
 add("p_keep_list", lambda s, d: H.keep_list(od(s, d), ["price", "pri", "absent"], "O", "id"), f"WITH {OD} SELECT id, price AS \"O_price\", pri AS \"O_pri\" FROM od")
 add("p_cast_recode", lambda s, d: od(s, d).select("id", C.col_or_null(od(s, d), "st").alias("num"), C.col_or_null(od(s, d), "absent").alias("none"), C.yes_no(F.col("id") % 4).alias("yn"), C.drop_codes((F.col("id") % 100).cast("double")).alias("kept")),
     f"WITH {OD} SELECT id, TRY_CAST(st AS DOUBLE) AS num, NULL::DOUBLE AS none, CASE id % 4 WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.0 END AS yn, CASE WHEN id % 100 NOT IN (7, 9, 77, 99, 777, 999, 6666, 7777, 9999, 99999) THEN (id % 100)::DOUBLE END AS kept FROM od")
@@ -103,7 +146,18 @@ add("a_exclusions", lambda s, d: R.exclusions(od(s, d).withColumn("old", F.col("
 add("a_category_distribution", lambda s, d: r6(R.category_distribution(od(s, d).filter("id < 40"), "pri", od(s, d))), f"WITH {OD}, n AS (SELECT count(*) n FROM od WHERE id < 40), a AS (SELECT pri, count(*) FILTER (id < 40) x, count(*) z FROM od GROUP BY 1) SELECT pri, round(CASE WHEN n >= 50 THEN CASE WHEN x > 0 THEN x / n END ELSE z / sum(z) OVER () END, 6) AS share, CASE WHEN n >= 50 THEN 'own' ELSE 'fallback' END AS source FROM a, n")
 add("a_band_histogram", lambda s, d: R.band_histogram(od(s, d).withColumn("p", F.col("score") * 100), "p", [0.0, 50.0, 75.0, 90.0, 99.0]), f"WITH {OD}, e AS (SELECT unnest([0.0, 50.0, 75.0, 90.0, 99.0])::DOUBLE AS f, unnest([50.0, 75.0, 90.0, 99.0, 1e9])::DOUBLE AS u) SELECT f AS band_from, count(id) AS n FROM e LEFT JOIN od ON score * 100 >= f AND score * 100 < u GROUP BY 1")
 add("a_catalogue", lambda s, d: R.catalogue_summary(cu(s, d), ["seg", "nat"]), f"WITH {CU} SELECT 'seg' AS cut, seg AS level, count(*) AS n FROM cu GROUP BY 2 UNION ALL SELECT 'nat', CAST(nat AS VARCHAR), count(*) FROM cu GROUP BY 2")
-add("a_follow_up", lambda s, d: r6(R.follow_up_summary(ev(s, d), "user_id", "ts")), "WITH g AS (SELECT user_id, count(DISTINCT ts) v, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 f FROM events GROUP BY 1) SELECT min(v) AS visits_min, max(v) AS visits_max, round(avg(v), 6) AS visits_mean, round(min(f), 6) AS follow_up_min, round(max(f), 6) AS follow_up_max, round(avg(f), 6) AS follow_up_mean FROM g")
+add("a_follow_up", lambda s, d: r6(R.follow_up_summary(ev(s, d), "user_id", "ts")), "WITH g AS (SELECT user_id, count(DISTINCT ts) v, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 f FROM events GROUP BY 1) SELECT min(v) AS visits_min, max(v) AS visits_max, round(avg(v), 6) AS visits_mean, round(min(f), 6) AS follow_up_min, round(max(f), 6) AS follow_up_max, round(avg(f), 6) AS follow_up_mean, " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {n}_{p}" for c, n in (("v", "visits"), ("f", "follow_up")) for p, q in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))) + " FROM g")
+add("a_outcome_counts", lambda s, d: R.outcome_counts(followed(s, d), "user_id", "outcome_type"), f"WITH {FOLLOWED} SELECT outcome_type AS outcome, count(*) AS rows, count(DISTINCT user_id) AS entities FROM fo WHERE outcome_type <> 'none' GROUP BY 1")
+PROTOCOL = K.Protocol(["disease", "cancer"], "death", "cancer", (5, 10), 1.0, 3, 50)
+add("q_incident_cohort", lambda s, d: r6(typed(K.incident_cohort(followed(s, d), "user_id", PROTOCOL)[0])), f"WITH {FOLLOWED}, {INCIDENT} SELECT user_id, index_date, last_record, first_observation, CAST(visits AS BIGINT) AS visits, disease_date, cancer_date, death_date, site, censoring_date, follow_up_end, round(history_days, 6) AS history_days, round(fu, 6) AS follow_up_days, CAST(year(index_date) AS BIGINT) AS index_year, {COHORT_COLUMNS} FROM coh")
+add("q_incident_report", lambda s, d: r6(incident_report(s, d)), f"""WITH {FOLLOWED}, {INCIDENT}, lab AS (SELECT user_id, site, index_date, fu, {COHORT_COLUMNS} FROM coh),
+o(section, item, value) AS (SELECT 'entities', 'before', count(*)::DOUBLE FROM tab UNION ALL SELECT 'entities', 'after', count(*) FROM coh
+UNION ALL SELECT 'exclusions', 'prevalent_disease', count_if(p1) FROM tab UNION ALL SELECT 'exclusions', 'prevalent_cancer', count_if(p2) FROM tab UNION ALL SELECT 'exclusions', 'short_history', count_if(p3) FROM tab UNION ALL SELECT 'exclusions', 'insufficient_visits', count_if(p4) FROM tab
+UNION ALL SELECT 'follow_up_days', n, quantile_cont(fu, q) FROM coh, (VALUES ('p10', 0.1)) t(n, q) GROUP BY n, q UNION ALL SELECT 'follow_up_days', 'median', quantile_cont(fu, 0.5) FROM coh UNION ALL SELECT 'follow_up_days', 'p90', quantile_cont(fu, 0.9) FROM coh UNION ALL SELECT 'follow_up_days', 'max', max(fu) FROM coh
+UNION ALL SELECT 'index_year', CAST(year(index_date) AS VARCHAR), count(*) FROM coh GROUP BY 2 UNION ALL SELECT 'site_events', site, count(*) FROM coh WHERE site IS NOT NULL GROUP BY 2 UNION ALL SELECT 'site_open', site, (count(*) >= 50)::INT FROM coh WHERE site IS NOT NULL GROUP BY 2
+""".replace("SELECT 'follow_up_days', n, quantile_cont(fu, q) FROM coh, (VALUES ('p10', 0.1)) t(n, q) GROUP BY n, q", "SELECT 'follow_up_days', 'p10', quantile_cont(fu, 0.1) FROM coh") + "".join(f" UNION ALL SELECT 'events', '{o}/{h}', count_if({o}_{h}_label = 1) FROM lab UNION ALL SELECT 'non_events', '{o}/{h}', count_if({o}_{h}_label = 0 AND {o}_{h}_eligible = 1) FROM lab UNION ALL SELECT 'gate_open', '{o}/{h}', (count_if({o}_{h}_label = 1) >= 50 AND count_if({o}_{h}_label = 0 AND {o}_{h}_eligible = 1) >= 50)::INT FROM lab" for o in ("disease", "cancer") for h in (5, 10)) + ") SELECT section, item, round(value::DOUBLE, 6) AS value FROM o")
+add("n_normal_sequences", lambda s, d: H.sequences(H.gap_since_previous(ev(s, d), "user_id", "ts"), "user_id", "ts", ["value"], 4, {"value": (20.0, 4.0)}, "gap_days").select("user_id", F.col("length").cast("long").alias("length"), *(F.round(summed_place(i), 6).alias(n) for i, n in enumerate(("values", "masks", "years")))),
+    f"WITH {EV}, g AS (SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 86400000000.0, 0.0) AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) k FROM ev) SELECT user_id, count(*) AS length, round(sum(coalesce((value - 20.0) / 4.0, 0.0)), 6) AS values, round(count(value), 6)::DOUBLE AS masks, round(sum(gap) / 365.25, 6) AS years FROM g WHERE k <= 4 GROUP BY 1")
 add("a_share_measured", lambda s, d: r6(R.share_measured(od(s, d), ["price", "score"])), f"WITH {OD} SELECT 'price' AS feature, count(price) AS measured, round(avg((price IS NOT NULL)::INT), 6) AS share FROM od UNION ALL SELECT 'score', count(score), 1.0 FROM od")
 add("a_distinct_values", lambda s, d: R.distinct_values(od(s, d), "yr").select(L("yr"), "n"), f"WITH {OD} SELECT CAST(yr AS BIGINT) AS yr, count(*) AS n FROM od GROUP BY 1")
 add("a_topk_frequency", lambda s, d: S.array_topk_frequency(table(s, d, "documents").select(F.split(F.lower("text"), " ").alias("w")), "w", 3, 10).select("item", F.col("count").alias("n")), "WITH w AS (SELECT unnest(string_split(lower(text), ' ')[1:3]) AS item FROM documents) SELECT item, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, item LIMIT 10")
