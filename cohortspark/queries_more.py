@@ -10,6 +10,7 @@ from .operators import models as M
 from .operators import screen as R
 from .operators import shape as H
 from .operators import stats as S
+from .plans import catalogue as G
 from .plans import cohort as P
 from .plans import incident as K
 from .plans import quality as Q
@@ -191,5 +192,29 @@ CI = "w AS (SELECT doc_id, trim(coalesce(source, '')) = '' AS m, len(list_filter
 issues = lambda s, d: Q.catalogue_issues(table(s, d, "documents"), "doc_id", "text", ["source"], PHRASES, 60)
 add("q_catalogue_issues", issues, f"WITH {CI} SELECT doc_id, issue FROM iss")
 add("q_routing", lambda s, d: Q.routing(table(s, d, "documents"), "doc_id", issues(s, d), ["short"]), f"WITH {CI}, g AS (SELECT doc_id, max((issue = 'short')::INT) b FROM iss GROUP BY 1) SELECT DISTINCT doc_id, CASE WHEN b IS NULL THEN 'presentable' WHEN b = 0 THEN 'research' ELSE 'held' END AS route FROM documents LEFT JOIN g USING (doc_id)")
+CAUSE = [G.Phrase("causal", [["the", "la"], ["of", "the", "in", "que"]], ["and", "en"], 3, ["trial"]), G.Phrase("denial", [["and"], ["the"], ["of"]])]
+CATALOGUE = G.Rules("doc_id", ["source", "lang"], ["text"], "url", "doi", "related", ["allow", "deny"], "allow", "design", "unknown", CAUSE)
+
+
+def entries(s, d):
+    """Documents as entries of a catalogue, some of them with wrong fields."""
+    c, e = F.col("doc_id"), table(s, d, "documents")
+    say = lambda *x: F.array(*(F.lit(v) for v in x))
+    return e.select(
+        "doc_id", "source", F.when(c % 41 > 0, F.col("lang")).alias("lang"), "text", F.when(c % 7 == 0, "unknown").when(c % 11 == 0, "ftp://x").otherwise("https://a.b/c").alias("url"), F.when(c % 5 == 0, "10.1234/ab").when(c % 13 == 0, "11.1/x").otherwise("n.a.").alias("doi"),
+        F.when(c % 17 == 0, say("https://a.b", "nowhere")).otherwise(say("http://c.d")).alias("related"), F.when(c % 3 == 0, say("may say", "must not say")).alias("allow"), F.when(c % 19 == 0, say(" ")).otherwise(say("must not say")).alias("deny"), F.when(c % 4 == 0, "Trial").otherwise("cohort").alias("design"), F.when(c % 23 == 0, say("extra")).alias("unknown"),
+    )
+
+
+ENTRY_SQL = r"""e AS (SELECT doc_id, source, CASE WHEN doc_id % 41 > 0 THEN lang END AS lang, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w,
+CASE WHEN doc_id % 7 = 0 THEN 'unknown' WHEN doc_id % 11 = 0 THEN 'ftp' ELSE 'url' END AS url, CASE WHEN doc_id % 5 = 0 THEN 'doi' WHEN doc_id % 13 = 0 THEN 'bad' ELSE 'n.a.' END AS doi FROM documents),
+f AS (SELECT *, list_filter(range(1, len(w)), lambda i: list_contains(['the', 'la'], w[i]) AND list_contains(['of', 'the', 'in', 'que'], w[i + 1]) AND NOT list_has_any(w[greatest(i - 3, 1):i - 1], ['and', 'en'])) AS c, list_filter(range(1, len(w) - 1), lambda i: w[i] = 'and' AND w[i + 1] = 'the' AND w[i + 2] = 'of') AS n FROM e),
+iss2 AS (SELECT doc_id, 'source' AS field, 'hard' AS severity, 'empty' AS issue FROM f WHERE trim(coalesce(source, '')) = '' UNION ALL SELECT doc_id, 'lang', 'hard', 'empty' FROM f WHERE trim(coalesce(lang, '')) = '' UNION ALL SELECT doc_id, 'url', 'hard', 'no URL' FROM f WHERE url = 'ftp' UNION ALL SELECT doc_id, 'doi', 'hard', 'no DOI' FROM f WHERE doi = 'bad'
+UNION ALL SELECT doc_id, 'url', 'soft', 'no source' FROM f WHERE url = 'unknown' AND doi = 'n.a.' UNION ALL SELECT doc_id, 'allow', 'hard', 'statements need a source' FROM f WHERE doc_id % 3 = 0 AND url <> 'url' AND doi <> 'doi'
+UNION ALL SELECT doc_id, 'related', 'hard', 'related source is no URL' FROM f WHERE doc_id % 17 = 0 UNION ALL SELECT doc_id, 'deny', 'hard', 'empty statement' FROM f WHERE doc_id % 19 = 0 UNION ALL SELECT doc_id, 'unknown', 'hard', 'unknown keys' FROM f WHERE doc_id % 23 = 0
+UNION ALL SELECT doc_id, 'text', 'hard', 'causal' FROM f WHERE len(c) > 0 AND doc_id % 4 <> 0 UNION ALL SELECT doc_id, 'text', 'hard', 'denial' FROM f WHERE len(n) > 0 UNION ALL SELECT doc_id, 'doc_id', 'hard', 'repeated key' FROM f WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1)"""
+add("q_catalogue_rules", lambda s, d: G.issues(entries(s, d), CATALOGUE), f"WITH {ENTRY_SQL} SELECT doc_id, field, severity, issue FROM iss2")
+add("q_catalogue_shown", lambda s, d: entries(s, d).transform(lambda e: G.shown(e, G.issues(e, CATALOGUE), "doc_id", "allow", "deny")).select("doc_id", "route", F.array_join("statements", "|").alias("statements"), F.array_join("denied", "|").alias("denied")),
+    f"WITH {ENTRY_SQL}, g AS (SELECT doc_id, bool_or(severity = 'hard') AS h FROM iss2 GROUP BY 1) SELECT f.doc_id, CASE WHEN h IS NULL THEN 'presentable' WHEN NOT h THEN 'research' ELSE 'held' END AS route, CASE WHEN h IS NULL AND f.doc_id % 3 = 0 THEN 'may say' ELSE '' END AS statements, CASE WHEN f.doc_id % 19 = 0 THEN ' ' ELSE 'must not say' END AS denied FROM f LEFT JOIN g USING (doc_id)")
 add("q_registry", lambda s, d: Q.registry_frame(od(s, d).withColumn("time", F.col("score") * 2000), {"st": {"f": 1, "o": 2}}, "y", "time", 1825.0, ["id"]).select("id", "st_ordinal", "label", L("row_id")), f"WITH {OD}, l AS (SELECT id, CASE st WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 2.0 END AS st_ordinal, CASE WHEN y = 1 AND score * 2000 <= 1825 THEN 1.0::DOUBLE WHEN score * 2000 >= 1825 THEN 0.0 END AS label FROM od) SELECT *, row_number() OVER (ORDER BY id) AS row_id FROM l WHERE label IS NOT NULL")
 add("q_merge_batches", lambda s, d: Q.merge_batches([od(s, d).filter("yr <= 1995"), od(s, d).filter("yr > 1995")], "cust", ["cust", "pri"], "id").select("id", "cust", "source_batch").withColumn("source_batch", F.col("source_batch").cast("long")), f"WITH {OD}, b AS (SELECT *, CAST(yr > 1995 AS BIGINT) AS source_batch FROM od), f AS (SELECT *, min(source_batch) OVER (PARTITION BY cust) m FROM b) SELECT id, cust, source_batch FROM f WHERE source_batch = m QUALIFY row_number() OVER (PARTITION BY cust, pri ORDER BY id DESC) = 1")
