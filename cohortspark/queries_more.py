@@ -12,6 +12,7 @@ from .operators import shape as H
 from .operators import stats as S
 from .plans import catalogue as G
 from .plans import cohort as P
+from .plans import events as V
 from .plans import incident as K
 from .plans import quality as Q
 from .queries import EV, OD, add, ev, od, r6, table
@@ -216,5 +217,41 @@ UNION ALL SELECT doc_id, 'text', 'hard', 'causal' FROM f WHERE len(c) > 0 AND do
 add("q_catalogue_rules", lambda s, d: G.issues(entries(s, d), CATALOGUE), f"WITH {ENTRY_SQL} SELECT doc_id, field, severity, issue FROM iss2")
 add("q_catalogue_shown", lambda s, d: entries(s, d).transform(lambda e: G.shown(e, G.issues(e, CATALOGUE), "doc_id", "allow", "deny")).select("doc_id", "route", F.array_join("statements", "|").alias("statements"), F.array_join("denied", "|").alias("denied")),
     f"WITH {ENTRY_SQL}, g AS (SELECT doc_id, bool_or(severity = 'hard') AS h FROM iss2 GROUP BY 1) SELECT f.doc_id, CASE WHEN h IS NULL THEN 'presentable' WHEN NOT h THEN 'research' ELSE 'held' END AS route, CASE WHEN h IS NULL AND f.doc_id % 3 = 0 THEN 'may say' ELSE '' END AS statements, CASE WHEN f.doc_id % 19 = 0 THEN ' ' ELSE 'must not say' END AS denied FROM f LEFT JOIN g USING (doc_id)")
+UNITS = {("view", "a"): ("z", 18.0, 1.5), ("view", "z"): ("z", 1.0, 0.0), ("click", "b"): ("z", 0.5, 0.0)}
+EVENT_RULES = V.EventRules("user_id", "ts", "code", "value", "event_id", reasons=("observed", "not measured", "invalid_value_removed"), outcomes=("none", "disease", "death", "cancer"), site_outcomes=("cancer",), units=UNITS, ranges={"view": (10.0, 900.0), "error": (0.5, 60.0)})
+
+
+def dirty_events(s, d):
+    """The events with units, reasons, outcomes and dates, some of them wrong, and repeated rows."""
+    c, e = F.col, table(s, d, "events")
+    k, text = c("event_id"), lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
+    kind = F.when((c("event_type") == "purchase") & (k % 29 == 0), "disease").when((c("event_type") == "error") & (k % 31 == 0), "odd").when((c("event_type") == "signup") & (k % 23 == 0), "cancer").otherwise("none")
+    e = e.select(
+        "event_id", "user_id", F.when(k % 101 == 0, "no time").otherwise(text(c("ts"))).alias("ts"), c("event_type").alias("code"), F.when(k % 37 == 0, "x").when(k % 17 > 0, c("value").cast("string")).alias("value"), F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").alias("unit"),
+        F.when(k % 17 == 0, "not measured").when(k % 53 == 0, "who knows").otherwise("observed").alias("missingness_reason"), kind.alias("outcome_type"), F.when((kind != "none") & (k % 2 == 0), text(c("ts"))).alias("event_date"), F.lit("2024-01-10T00:00:00").alias("index_date"), F.when(k % 47 == 0, "2024-01-09T00:00:00").alias("censoring_date"),
+        F.when(k % 43 == 0, "lung").alias("site"), F.when(k % 61 > 0, "generator").alias("provenance"),
+    )
+    return e.unionByName(e.filter("event_id % 10 = 0").withColumn("event_id", k + 10_000_000))
+
+
+DIRTY = """raw AS (SELECT event_id, user_id, event_type AS code, CASE WHEN event_id % 101 > 0 THEN date_trunc('second', ts)::TIMESTAMP END AS ts, CASE WHEN event_id % 37 > 0 AND event_id % 17 > 0 THEN value END AS v0, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS unit,
+CASE WHEN event_id % 17 = 0 THEN 'not measured' WHEN event_id % 53 = 0 THEN 'who knows' ELSE 'observed' END AS why, CASE WHEN event_type = 'purchase' AND event_id % 29 = 0 THEN 'disease' WHEN event_type = 'error' AND event_id % 31 = 0 THEN 'odd' WHEN event_type = 'signup' AND event_id % 23 = 0 THEN 'cancer' ELSE 'none' END AS o,
+CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts)::TIMESTAMP END AS ed, event_id % 47 = 0 AS cens, CASE WHEN event_id % 43 = 0 THEN 'lung' END AS site, event_id % 61 > 0 AS prov FROM events),
+dd AS (SELECT * FROM raw UNION ALL SELECT event_id + 10000000, * EXCLUDE (event_id) FROM raw WHERE event_id % 10 = 0),
+u AS (SELECT *, CASE WHEN code = 'view' AND unit = 'a' THEN v0 * 18 + 1.5 WHEN code = 'click' AND unit = 'b' THEN v0 * 0.5 ELSE v0 END AS v, coalesce((code = 'view' AND unit = 'a') OR (code = 'click' AND unit = 'b'), false) AS conv FROM dd),
+k1 AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id, ts, code, o ORDER BY event_id DESC) = 1),
+k AS (SELECT *, coalesce(code = 'view' AND (v < 10 OR v > 900) OR code = 'error' AND (v < 0.5 OR v > 60), false) AS bad FROM k1),
+w AS (SELECT *, CASE WHEN NOT bad THEN v END AS x, CASE WHEN bad THEN 'invalid_value_removed' ELSE why END AS why2 FROM k)"""
+ISSUE = lambda name, cond: f"SELECT 'issues', '{name}', count_if({cond}), CASE WHEN count_if({cond}) > 0 THEN 'hard' ELSE 'info' END FROM u"
+ROWRULE = lambda name, cond: f"SELECT 'row rules', '{name}', count_if(coalesce({cond}, false)), CASE WHEN count_if(coalesce({cond}, false)) > 0 THEN 'hard' ELSE 'info' END FROM u"
+add("q_validate_events", lambda s, d: r6(V.validate(dirty_events(s, d), EVENT_RULES)[1]), f"WITH {DIRTY}, o(section, item, value, level) AS (" + " UNION ALL ".join([
+    "SELECT 'rows', 'rows', count(*)::DOUBLE, 'info' FROM u", "SELECT 'rows', 'entities', count(DISTINCT user_id), 'info' FROM u", "SELECT 'rows', 'observations', count_if(o = 'none'), 'info' FROM u", "SELECT 'rows', 'outcomes', count_if(o <> 'none'), 'info' FROM u", "SELECT 'rows', 'converted units', count_if(conv), 'info' FROM u",
+    ISSUE("unreadable time", "ts IS NULL"), ISSUE("unknown reason", "why = 'who knows'"), ISSUE("unknown outcome", "o = 'odd'"), ISSUE("no provenance", "NOT prov"), ISSUE("unknown unit", "code IN ('view', 'click') AND unit IS NOT NULL AND v0 IS NOT NULL AND NOT conv"),
+    ROWRULE("missing value without a reason", "v IS NULL AND why = 'observed' AND o = 'none'"), ROWRULE("outcome without a date", "o <> 'none' AND ed IS NULL"), ROWRULE("event before index", "o <> 'none' AND ed < TIMESTAMP '2024-01-10'"), ROWRULE("censoring before index", "cens"), ROWRULE("site without cancer", "site IS NOT NULL AND o <> 'cancer'"),
+    "SELECT 'duplicates', 'removed', (SELECT count(*) FROM u) - (SELECT count(*) FROM k), 'info'", "SELECT 'missing', 'rows without value', count_if(o = 'none' AND x IS NULL), 'info' FROM w",
+    "SELECT 'order', 'arrived out of order', count_if(b), 'info' FROM (SELECT ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM k)",
+    "SELECT 'impossible', code, count_if(bad), CASE WHEN count_if(bad) > 0.1 * count(v) THEN 'hard' ELSE 'info' END FROM k WHERE code IN ('view', 'error') GROUP BY code", "SELECT 'missing/reason', why2, count(*), 'info' FROM w WHERE o = 'none' GROUP BY 2", "SELECT 'coverage', code, avg((x IS NOT NULL)::INT), 'info' FROM w WHERE o = 'none' GROUP BY 2",
+    "SELECT 'outcomes', o, count(*), 'info' FROM w WHERE o <> 'none' GROUP BY 2", "SELECT 'outcomes', 'entities with any', count(DISTINCT user_id) FILTER (o <> 'none'), 'info' FROM w", "SELECT 'sites', site, count(*), 'info' FROM w WHERE o <> 'none' AND site IS NOT NULL GROUP BY 2",
+]) + ") SELECT section, item, round(value::DOUBLE, 6) AS value, level FROM o")
 add("q_registry", lambda s, d: Q.registry_frame(od(s, d).withColumn("time", F.col("score") * 2000), {"st": {"f": 1, "o": 2}}, "y", "time", 1825.0, ["id"]).select("id", "st_ordinal", "label", L("row_id")), f"WITH {OD}, l AS (SELECT id, CASE st WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 2.0 END AS st_ordinal, CASE WHEN y = 1 AND score * 2000 <= 1825 THEN 1.0::DOUBLE WHEN score * 2000 >= 1825 THEN 0.0 END AS label FROM od) SELECT *, row_number() OVER (ORDER BY id) AS row_id FROM l WHERE label IS NOT NULL")
 add("q_merge_batches", lambda s, d: Q.merge_batches([od(s, d).filter("yr <= 1995"), od(s, d).filter("yr > 1995")], "cust", ["cust", "pri"], "id").select("id", "cust", "source_batch").withColumn("source_batch", F.col("source_batch").cast("long")), f"WITH {OD}, b AS (SELECT *, CAST(yr > 1995 AS BIGINT) AS source_batch FROM od), f AS (SELECT *, min(source_batch) OVER (PARTITION BY cust) m FROM b) SELECT id, cust, source_batch FROM f WHERE source_batch = m QUALIFY row_number() OVER (PARTITION BY cust, pri ORDER BY id DESC) = 1")
