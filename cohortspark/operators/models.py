@@ -301,17 +301,7 @@ def normal_scores(df: DataFrame, cols: Sequence[str], low: float = 0.001) -> Dat
 
 
 def rank_correlation_factor(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Cholesky factor of the correlation of normal scores, eigenvalues at least 1e-4, unit diagonal; p x p values reach the driver."""
-    d = normal_scores(df.select(*cols), cols)
-    r = d.agg(F.count("*").alias("n"), *(correlation(F.col(f"{a}_normal"), F.col(f"{b}_normal")).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j)).first()
-    m = np.eye(len(cols))
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            x = r[f"{i}_{j}"]
-            m[i, j] = m[j, i] = 0.0 if x is None or np.isnan(x) else x
-    w, v = np.linalg.eigh(m)
-    m = (v * np.maximum(w, 1e-4)) @ v.T
-    d_ = np.sqrt(np.diag(m))
-    m = m / d_[:, None] / d_
-    np.fill_diagonal(m, 1.0 + 1e-8)
-    return np.linalg.cholesky(m)
+    """Cholesky factor of the correlation of normal scores of all rows; p x p values reach the driver."""
+    from .batched import rank_factors
+
+    return rank_factors(df, {"all": F.lit(True)}, cols)["all"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import composite_key, null_safe, percentile_band
-from ..operators import evaluate, models, screen, shape, stats
+from ..operators import batched, evaluate, models, screen, shape, stats
 from ..scratch import materialise
 from . import cohort as plans
 from . import quality
@@ -296,9 +296,9 @@ def cluster_pipeline(df: DataFrame, key: str, vec: str, methods: Sequence[str],
     return models.best_or_abstain(grid.withColumn("_by", -F.col("davies_bouldin")), gates, "_by").drop("_by")
 
 
-def profile_model(df: DataFrame, profiles: Mapping[str, Column], continuous: Sequence[str], categories: Sequence[str], probs: Sequence[float], least: int = 250, few: int = 50) -> DataFrame:
+def profile_model(df: DataFrame, profiles: Mapping[str, Column], continuous: Sequence[str], categories: Sequence[str], probs: Sequence[float], least: int = 250, few: int = 50, factors: bool = True) -> DataFrame:
     """Aggregates from which rows like those of each profile can be drawn, no row among them: weight, share missing, quantiles (of all rows where a profile has under ``few`` values) and shares of
-    categories. A profile of under ``least`` rows is an error."""
+    categories, and with ``factors`` the Cholesky factor of the rank correlation (field: its row, item: its column). A profile of under ``least`` rows is an error."""
     n = df.agg(F.count("*").alias("all"), *(F.count_if(m).alias(p) for p, m in profiles.items())).first()
     if small := [p for p in profiles if n[p] < least]:
         raise ValueError(f"profiles of under {least} rows: {small}")
@@ -313,4 +313,7 @@ def profile_model(df: DataFrame, profiles: Mapping[str, Column], continuous: Seq
         q = q.select("feature", F.posexplode(F.when(F.col("measured") >= few, F.col("own")).otherwise(F.col("q"))).alias("i", "x"))
         out.append(row(q, p, "quantile", F.col("feature"), F.element_at(F.array(*map(F.lit, probs)), F.col("i") + 1), F.col("x")))
         out += [row(screen.category_distribution(d, c, df).filter("share > 0"), p, "category", F.lit(c), F.col(c), F.col("share")) for c in categories]
+    if factors:
+        cells = [(p, "factor", continuous[i], continuous[j], float(f[i, j])) for p, f in batched.rank_factors(df, dict(profiles), continuous).items() for i in range(len(continuous)) for j in range(i + 1)]
+        out.append(df.sparkSession.createDataFrame(cells, out[0].schema))
     return reduce(DataFrame.unionByName, out)

@@ -99,9 +99,10 @@ add("l_silhouette", lambda s, d: r6(E.silhouette(table(s, d, "embeddings").filte
 add("l_prototypes", lambda s, d: r6(J.prototypes(wide(s, d), "label", COORDS, 3).withColumn("label", F.col("label").cast("long"))),
     "WITH l AS (SELECT CAST(label AS BIGINT) AS label, 'x' || i AS feature, embedding[i + 1]::DOUBLE v FROM embeddings, range(8) r(i)), a AS (SELECT feature, quantile_cont(v, 0.5) m FROM l GROUP BY 1), k AS (SELECT feature, m, 1.4826 * quantile_cont(abs(v - m), 0.5) sc FROM l JOIN a USING (feature) GROUP BY 1, 2), g AS (SELECT label, feature, count(*) n, quantile_cont(v, 0.5) med FROM l GROUP BY 1, 2), z AS (SELECT *, CASE WHEN n >= 5 THEN (med - m) / sc END smd FROM g JOIN k USING (feature)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(smd) DESC, feature) p FROM z) SELECT label, feature, n, round(med, 6) AS median, round(smd, 6) AS smd, CASE WHEN smd > 0 THEN 'higher' ELSE 'lower' END AS direction, CASE WHEN p <= 3 THEN p END AS panel FROM r")
 GRID = (0.01, 0.25, 0.5, 0.75, 0.99)
-add("q_profile_model", lambda s, d: r6(J.profile_model(od(s, d), {"finished": F.col("y") == 1, "rest": F.col("y") == 0}, ["price", "score"], ["pri"], GRID)),
+add("q_profile_model", lambda s, d: r6(J.profile_model(od(s, d), {"finished": F.col("y") == 1, "rest": F.col("y") == 0}, ["price", "score"], ["pri"], GRID, factors=False)),
     f"WITH {OD}, p AS (SELECT *, CASE y WHEN 1 THEN 'finished' ELSE 'rest' END AS profile FROM od), l AS (SELECT profile, 'price' AS field, price v FROM p UNION ALL SELECT profile, 'score', score FROM p), w AS (SELECT count(*) n FROM od), c AS (SELECT profile, pri, count(*) n FROM p GROUP BY 1, 2) SELECT profile, 'weight' AS kind, NULL AS field, NULL AS item, round(count(*) / max(n), 6) AS value FROM p, w GROUP BY 1 UNION ALL SELECT profile, 'missing', field, NULL, round(avg((v IS NULL)::INT), 6) FROM l GROUP BY 1, 3 UNION ALL SELECT profile, 'category', 'pri', pri, round(n / sum(n) OVER (PARTITION BY profile), 6) FROM c"
     + "".join(f" UNION ALL SELECT profile, 'quantile', field, '{q}', round(quantile_cont(v, {q}), 6) FROM l GROUP BY 1, 3" for q in GRID))
+add("q_profile_factors", lambda s, d: r6(J.profile_model(od(s, d).withColumn("wd", F.dayofweek("d")), {"finished": F.col("y") == 1, "rest": F.col("y") == 0}, ["price", "score", "wd"], ["pri"], GRID).filter("kind = 'factor'")))
 add("d_normal_scores", lambda s, d: r6(M.normal_scores(od(s, d).select("id", "price"), ["price"]).select("id", "price_normal")))
 add("q_predictive", lambda s, d: r6(J.predictive_baseline(od(s, d).withColumn("rare", F.when(F.col("id") < 100, F.col("y"))), "id", ["y", "t", "rare", "absent"], ["score", "yr"])))
 split_of = lambda: F.when(F.col("yr") >= 2001, "temporal").when(F.col("id") % 10 < 6, "train").when(F.col("id") % 10 < 8, "validation").otherwise("test")

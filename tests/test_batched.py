@@ -128,3 +128,32 @@ def test_importance_is_that_of_plain_permutations(spark):
 def test_too_many_sums_are_refused(spark):
     with pytest.raises(ValueError, match="fit fewer"):
         batched.sums_over(spark.range(3), lambda b: np.zeros((10**4, 10**4)), (10**4, 10**4))
+
+
+def test_rank_factors_by_plain_scores(spark):
+    import pandas as pd
+    from statistics import NormalDist
+
+    g = np.random.default_rng(8)
+    x = g.normal(size=(400, 4))
+    x[:, 1] = np.round(x[:, 0] + 0.5 * x[:, 1], 1)
+    x[:, 3] = 2.0
+    x[g.uniform(size=x.shape) < 0.1] = np.nan
+    x[:, 3] = np.where(np.isnan(x[:, 3]), np.nan, 2.0)
+    x[:5] = np.nan
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)]
+    d = spark.createDataFrame(rows, "id int, a double, b double, c double, k double").repartition(3)
+    got = batched.rank_factors(d, {"all": F.lit(True), "even": F.col("id") % 2 == 0, "none": F.col("id") < 0}, ["a", "b", "c", "k"])
+    assert sorted(got) == ["all", "even"]
+    for name, own in (("all", x), ("even", x[::2])):
+        f = pd.DataFrame(own)
+        u = f.rank(method="average", pct=True).clip(0.001, 0.999).fillna(0.5)
+        z = u.map(NormalDist().inv_cdf).to_numpy()
+        z[:, 3] = np.where(np.isnan(own[:, 3]), 0.0, z[:, 3])
+        m = np.nan_to_num(np.corrcoef(z, rowvar=False))
+        np.fill_diagonal(m, 1)
+        w, v = np.linalg.eigh((m + m.T) / 2)
+        m = v @ np.diag(np.maximum(w, 1e-4)) @ v.T
+        m = m / np.sqrt(np.outer(np.diag(m), np.diag(m)))
+        np.fill_diagonal(m, 1)
+        assert np.abs(got[name] - np.linalg.cholesky((m + m.T) / 2 + np.eye(4) * 1e-8)).max() < 1e-9
