@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import columns as C
@@ -15,7 +17,9 @@ from .plans import cohort as P
 from .plans import events as V
 from .plans import incident as K
 from .plans import quality as Q
+from .plans import steps as T
 from .queries import EV, OD, add, ev, od, r6, table
+from .scratch import shared_dir
 
 L = lambda c: F.col(c).cast("long").alias(c)
 
@@ -158,6 +162,17 @@ UNION ALL SELECT 'exclusions', 'prevalent_disease', count_if(p1) FROM tab UNION
 UNION ALL SELECT 'follow_up_days', n, quantile_cont(fu, q) FROM coh, (VALUES ('p10', 0.1)) t(n, q) GROUP BY n, q UNION ALL SELECT 'follow_up_days', 'median', quantile_cont(fu, 0.5) FROM coh UNION ALL SELECT 'follow_up_days', 'p90', quantile_cont(fu, 0.9) FROM coh UNION ALL SELECT 'follow_up_days', 'max', max(fu) FROM coh
 UNION ALL SELECT 'index_year', CAST(year(index_date) AS VARCHAR), count(*) FROM coh GROUP BY 2 UNION ALL SELECT 'site_events', site, count(*) FROM coh WHERE site IS NOT NULL GROUP BY 2 UNION ALL SELECT 'site_open', site, (count(*) >= 50)::INT FROM coh WHERE site IS NOT NULL GROUP BY 2
 """.replace("SELECT 'follow_up_days', n, quantile_cont(fu, q) FROM coh, (VALUES ('p10', 0.1)) t(n, q) GROUP BY n, q", "SELECT 'follow_up_days', 'p10', quantile_cont(fu, 0.1) FROM coh") + "".join(f" UNION ALL SELECT 'events', '{o}/{h}', count_if({o}_{h}_label = 1) FROM lab UNION ALL SELECT 'non_events', '{o}/{h}', count_if({o}_{h}_label = 0 AND {o}_{h}_eligible = 1) FROM lab UNION ALL SELECT 'gate_open', '{o}/{h}', (count_if({o}_{h}_label = 1) >= 50 AND count_if({o}_{h}_label = 0 AND {o}_{h}_eligible = 1) >= 50)::INT FROM lab" for o in ("disease", "cancer") for h in (5, 10)) + ") SELECT section, item, round(value::DOUBLE, 6) AS value FROM o")
+
+
+def cohort_risk(s, d):
+    """The whole way from events to metrics, in kept steps."""
+    f = table(s, d, "events").join(followed(s, d).select("user_id", "ts", "visit", "index_date", "outcome_type", "event_date", "censoring_date", "site").distinct(), ["user_id", "ts"])
+    protocol = K.Protocol(["disease"], "death", None, (5, 10), 0.0, 2, 50)
+    steps = T.Steps(s, f"{shared_dir(s)}/risk-{uuid.uuid4().hex}", f, "registered")
+    return T.cohort_risk(steps, f, "user_id", "event_type", "value", "event_id", ["click", "view"], "disease", protocol, 2030, 1.0)
+
+
+add("q_cohort_risk", lambda s, d: r6(cohort_risk(s, d)))
 add("n_normal_sequences", lambda s, d: H.sequences(H.gap_since_previous(ev(s, d), "user_id", "ts"), "user_id", "ts", ["value"], 4, {"value": (20.0, 4.0)}, "gap_days").select("user_id", F.col("length").cast("long").alias("length"), *(F.round(summed_place(i), 6).alias(n) for i, n in enumerate(("values", "masks", "years")))),
     f"WITH {EV}, g AS (SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 86400000000.0, 0.0) AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) k FROM ev) SELECT user_id, count(*) AS length, round(sum(coalesce((value - 20.0) / 4.0, 0.0)), 6) AS values, round(count(value), 6)::DOUBLE AS masks, round(sum(gap) / 365.25, 6) AS years FROM g WHERE k <= 4 GROUP BY 1")
 add("a_share_measured", lambda s, d: r6(R.share_measured(od(s, d), ["price", "score"])), f"WITH {OD} SELECT 'price' AS feature, count(price) AS measured, round(avg((price IS NOT NULL)::INT), 6) AS share FROM od UNION ALL SELECT 'score', count(score), 1.0 FROM od")
