@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, pa_schema, slices
-from .count_automaton import EMPTY, ORDER, CountAutomaton, summed, union
+from .count_automaton import EMPTY, ORDER, CountAutomaton, decoded, union
 
 LEAST, TOP, SHARE = 10, 2000, 50
-SHARD_WORDS = 1_500_000
-FRAGMENT, RANGE = 1 << 16, 1 << 19
+SHARD_WORDS = 1_500_000  # the cube of one more is below 2^63
+BLOCK = 4 << 20
+FRAGMENT, RANGE = 1 << 16, 1 << 20
 FAN = 256
 BORDER_KEYS = 50_000
 SALTS = 64
@@ -50,37 +51,52 @@ class _Shard:
         self.number, self.ids, self.size = _Words({b"\n": 0, b"": -1}), [], 0
 
     def add(self, texts: list[bytes]) -> None:
-        tokens = b"\n".join([b"", *texts]).translate(_CHARS).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-        ids = ids[ids >= 0]
-        self.ids.append(ids)
-        self.size += len(ids)
+        data = b"\n".join([b"", *texts]).translate(_CHARS)
+        at = 0
+        while at < len(data):  # tokens of a block at a time, cut between words
+            end = at + BLOCK if at + BLOCK < len(data) else len(data)
+            end = max(at + 1, data.rfind(b" ", at, end) + 1, data.rfind(b"\n", at, end) + 1) if end < len(data) else end
+            if end == at + 1 and end < len(data):  # one word of more than a block
+                end = min((x for x in (data.find(b" ", at), data.find(b"\n", at + 1)) if x > at), default=len(data))
+            tokens = data[at:end].replace(b"\n", b" \n ").split(b" ")
+            ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+            self.ids.append(ids[ids >= 0])
+            self.size += len(self.ids[-1])
+            at = end
 
     def automata(self):
         """Fragments: the first n-gram, the number of n-grams, that of words read, and the automaton."""
         ids = np.concatenate([EMPTY, *self.ids]) - 1
         words = [w for w, n in self.number.items() if n > 0]
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(words) + 1, np.int64)
-        rank[order] = np.arange(len(order))
-        rank[-1] = -1
-        x = np.append(rank[ids], [-1] * ORDER)  # breaks behind the last word
-        rows, counts = [], []
-        for n in range(1, ORDER + 1):
-            on = np.ones(len(ids), bool)
-            for k in range(n):
-                on &= x[k : k + len(ids)] >= 0
-            at = np.flatnonzero(on)
-            cols = np.stack([x[at + k] if k < n else np.full(len(at), -1) for k in range(ORDER)], 1)
-            rows, counts = [*rows, cols], [*counts, np.ones(len(at), np.int64)]
-        words = [words[i] for i in order]
-        yield from fragments(words, *summed(np.concatenate(rows), np.concatenate(counts), len(words)))
-
-
-def fragments(words: list[bytes], cols: np.ndarray, n: np.ndarray):
+        for a in range(0, len(ids), SHARD_WORDS):  # of a very long text, block by block; n-grams belong to the block in which they begin
+            block = ids[a : a + SHARD_WORDS + ORDER - 1]
+            own = np.unique(block[block >= 0]).tolist()
+            order = sorted(own, key=words.__getitem__)
+            rank = np.full(len(words) + 1, -1, np.int64)
+            rank[order] = np.arange(len(order))
+            yield from fragments([words[i] for i in order], *_counted(rank[block], min(SHARD_WORDS, len(ids) - a), len(order)))
+
+
+def _counted(x: np.ndarray, begins: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams of ``x`` (ids, -1 between pieces) that begin at the first ``begins`` places, sorted, and their counts."""
+    x = np.concatenate([x, np.full(begins + ORDER - 1 - len(x), -1)])
+    found, counts, on, code = [], [], np.ones(begins, bool), np.zeros(begins, np.int64)
+    for k in range(ORDER):
+        on &= x[k : k + begins] >= 0
+        code = code * (words + 1) + x[k : k + begins] + 1
+        full = np.sort(code[on] * (words + 1) ** (ORDER - 1 - k))
+        first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]])) if len(full) else EMPTY
+        found.append(full[first])
+        counts.append(np.diff(np.append(first, len(full))))
+    full, n = np.concatenate(found), np.concatenate(counts)
+    order = np.argsort(full, kind="stable")
+    return full[order], n[order]
+
+
+def fragments(words: list[bytes], code: np.ndarray, n: np.ndarray):
     for a in range(0, len(n), FRAGMENT):
-        own, count = cols[a : a + FRAGMENT], n[a : a + FRAGMENT]
-        yield _key(words, own[0]), len(own), int(count[own[:, 1] < 0].sum()), CountAutomaton.of(words, own, count).dump()
+        own, count = decoded(code[a : a + FRAGMENT], len(words)), n[a : a + FRAGMENT]
+        yield _key(words, own[:, 0]), len(count), int(count[own[1] < 0].sum()), CountAutomaton.of(words, own, count).dump()
 
 
 def _key(words: list[bytes], row: np.ndarray) -> bytes:
@@ -142,7 +158,7 @@ class _Cut:
         cols, n = a.paths()
         if not len(n):
             return
-        key = lambda i: (lang, *(a.words[w] for w in cols[i].tolist() if w >= 0))
+        key = lambda i: (lang, *(a.words[w] for w in cols[:, i].tolist() if w >= 0))
         low, high = bisect_right(self.borders, key(0)), bisect_right(self.borders, key(len(n) - 1))
         if low == high:
             yield low, data
@@ -150,7 +166,7 @@ class _Cut:
         edges = [0, *(bisect_left(range(len(n)), b, key=key) for b in self.borders[low:high]), len(n)]
         for k, (x, y) in enumerate(zip(edges, edges[1:])):
             if y > x:
-                yield low + k, CountAutomaton.of(a.words, cols[x:y], n[x:y]).dump()
+                yield low + k, CountAutomaton.of(a.words, cols[:, x:y], n[x:y]).dump()
 
 
 def _united(parts: DataFrame, groups: int, least: int) -> tuple[DataFrame, list[tuple]]:
@@ -168,10 +184,12 @@ def _united(parts: DataFrame, groups: int, least: int) -> tuple[DataFrame, list[
     def unite(table: pa.Table) -> pa.Table:
         lang, grp = table.column("lang")[0].as_py(), table.column("grp")[0].as_py()
         words, cols, n = union([CountAutomaton.load(x) for x in table.column("automaton").to_pylist()])
-        read, keep = int(n[cols[:, 1] < 0].sum()), n >= least
-        rows = [{"lang": lang, "shard": grp, "key": k, "n": m, "words": 0, "automaton": x} for k, m, _, x in fragments(words, cols[keep], n[keep])]
+        read, keep = int(n[cols[1] < 0].sum()), np.flatnonzero(n >= least)
+        rows = []
+        for x in np.array_split(keep, max(1, -(-len(keep) // FRAGMENT))) if len(keep) else ():
+            rows.append({"lang": lang, "shard": grp, "key": _key(words, cols[:, x[0]]), "n": len(x), "words": 0, "automaton": CountAutomaton.of(words, cols[:, x], n[x]).dump()})
         if read:  # words that are not frequent are counted all the same
-            rows = rows or [{"lang": lang, "shard": grp, "key": _key(words, cols[0]), "n": 0, "words": 0, "automaton": CountAutomaton.of([], cols[:0], n[:0]).dump()}]
+            rows = rows or [{"lang": lang, "shard": grp, "key": _key(words, cols[:, 0]), "n": 0, "words": 0, "automaton": CountAutomaton.of([], cols[:, :0], n[:0]).dump()}]
             rows[0]["words"] = read
         return pa.Table.from_pylist(rows, schema=out)
 
@@ -200,10 +218,10 @@ def _candidates(counts: DataFrame, borders: list[tuple]) -> DataFrame:
             for lang, data in zip(batch.column("lang").to_pylist(), batch.column("automaton").to_pylist()):
                 a = CountAutomaton.load(data)
                 cols, n = a.paths()
-                many = cols[:, 1] >= 0
+                many = cols[1] >= 0
                 for block in np.array_split(np.flatnonzero(many), max(1, many.sum() // 5000)):
                     rows = []
-                    for row, count in zip(cols[block].tolist(), n[block].tolist()):
+                    for row, count in zip(cols[:, block].T.tolist(), n[block].tolist()):
                         w = [a.words[i] for i in row if i >= 0]
                         rows += [(lang, b" ".join(w).decode(), count, k, side, b" ".join(p).decode(), cut.range_of(lang, p)) for k in range(1, len(w)) for side, p in enumerate((w[:k], w[k:]))]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
@@ -228,13 +246,13 @@ def _looked_up(asked: DataFrame, counts: DataFrame, borders: list[tuple]) -> Dat
         grams = sorted(tuple(p.encode().split(b" ")) for p in left.column("part").to_pylist())
         words = sorted({w for g in grams for w in g})
         number = {w: i for i, w in enumerate(words)}
-        cols = np.array([[number[w] for w in g] + [-1] * (ORDER - len(g)) for g in grams], np.int64)
+        cols = np.array([[number[w] for w in g] + [-1] * (ORDER - len(g)) for g in grams], np.int64).T
         asked_ = CountAutomaton.of(words, cols, np.ones(len(grams), np.int64))
         total = np.zeros(len(grams), np.int64)
         for data in right.column("automaton").to_pylist():
             rows, f = CountAutomaton.load(data).composed(asked_)
             total += f
-        parts = [b" ".join(asked_.words[i] for i in r if i >= 0).decode() for r in rows.tolist()]
+        parts = [b" ".join(asked_.words[i] for i in r if i >= 0).decode() for r in rows.T.tolist()]
         return pa.Table.from_pydict({"lang": [left.column("lang")[0].as_py()] * len(parts), "part": parts, "f": total}, schema=schema)
 
     ranges = counts.select("lang", "key", "automaton").mapInArrow(deal, "lang string, rng long, automaton binary")
