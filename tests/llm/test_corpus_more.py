@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cohortspark.llm import collocations, count_automaton, decontaminate, prefix_join, prefix_trie, repeats, suffix_array
+from cohortspark.llm import collocations, count_automaton, decontaminate, fertility, prefix_join, prefix_trie, repeats, ring_shards, suffix_array, toxic_segments
 
 
 def by_text(rows):
@@ -51,7 +51,7 @@ def spoken():
 
 @pytest.mark.parametrize("shard_words,rng,fan", [(1_500_000, 1 << 19, 256), (300, 64, 3)])
 def test_collocations(spark, monkeypatch, shard_words, rng, fan):
-    for name, value in (("SHARD_WORDS", shard_words), ("RANGE", rng), ("FAN", fan), ("BORDER_KEYS", 50_000 if fan > 3 else 40)):
+    for name, value in (("SHARD_WORDS", shard_words), ("RANGE", rng), ("FAN", fan), ("BORDER_KEYS", 50_000 if fan > 3 else 40), ("BLOCK", 4 << 20 if fan > 3 else 50)):
         monkeypatch.setattr(collocations, name, value)
     docs = spark.createDataFrame([(*x, 1, 2) for x in spoken()], "lang string, text string, key int, n int").repartition(5)
     assert by_text(collocations.collocations(docs).collect()) == plain_collocations(spoken())
@@ -71,10 +71,10 @@ def test_count_automata_hold_sum_and_compose():
 
     def arrays(d):
         words = sorted({w for g in d for w in g})
-        return words, np.array([[words.index(w) for w in g] + [-1] * (3 - len(g)) for g in sorted(d)], np.int64).reshape(-1, 3), np.array([d[g] for g in sorted(d)], np.int64)
+        return words, np.array([[words.index(w) for w in g] + [-1] * (3 - len(g)) for g in sorted(d)], np.int64).reshape(-1, 3).T, np.array([d[g] for g in sorted(d)], np.int64)
 
     def back(words, rows, n):
-        return {tuple(words[i] for i in row if i >= 0): x for row, x in zip(rows.tolist(), n.tolist())}
+        return {tuple(words[i] for i in row if i >= 0): x for row, x in zip(rows.T.tolist(), n.tolist())}
 
     for _ in range(100):
         dicts = [some() for _ in range(3)]
@@ -90,7 +90,7 @@ def test_count_automata_hold_sum_and_compose():
 def test_equal_continuations_share_a_state():
     words = [b"a", b"b", b"c", b"x", b"y"]
     rows = [[i, 3, 4] for i in range(3)] + [[i, 3, -1] for i in range(3)] + [[i, -1, -1] for i in range(3)]
-    a = count_automaton.CountAutomaton.of(words, *count_automaton.summed(np.array(rows), np.ones(9, np.int64), 5))
+    a = count_automaton.CountAutomaton.of(words, *count_automaton.summed(np.array(rows).T, np.ones(9, np.int64), 5))
     assert len(a.first) - 1 == 3 and len(a.label) == 5  # start, behind any first word, behind any two
 
 
@@ -241,3 +241,44 @@ def test_remove_spans_leaves_nothing(spark, parts):
     assert out.columns == docs.columns and decontaminate.decontamination_report(out, bench).filter("contaminated").count() == 0
     assert sorted(got) == [1, 3, 4, 5] and got[1].text.split() == ["keep", "this"] and got[5].text.split() == ["x", "y"] and got[5].n_chars == len(got[5].text) and got[3].text == "nothing here"
     assert {r.row_of_pass for r in got.values()} == {7}
+
+
+def test_fences_of_languages_are_drawn_towards_all(spark):
+    """Languages of many, few and one documents, and none: quartiles by plain loops."""
+    g = np.random.default_rng(4)
+    rows = [(lang, i, int(v) + shift) for lang, n, shift in (("en", 300, 0), ("fr", 12, 400), (None, 40, -200), ("xx", 1, 5000)) for i, v in enumerate(g.integers(3000, 4000, n))]
+    measured = spark.createDataFrame([(a, False, v, 7, v // 2) for a, _, v in rows] + [("en", True, 99999, 1, 1)], "lang string, base_failed boolean, chars_per_token int, byte_fallback int, entropy int")
+    got = {(r.pooled, r.lang, r.metric): (r.low, r.high) for r in fertility.fences(measured, 2.5).collect()}
+
+    def fence(values):
+        v = sorted(values)
+        at = lambda q: next(x for i, x in enumerate(v, 1) if i >= q * len(v))
+        gap = max(at(0.75) - at(0.25), 10)
+        return np.array([at(0.25) - 2.5 * gap, at(0.75) + 2.5 * gap])
+
+    every = fence([v for _, _, v in rows])
+    assert np.allclose(got[True, None, "chars_per_token"], every)
+    for lang in ("en", "fr", None, "xx"):
+        own = [v for a, _, v in rows if a == lang]
+        want = (len(own) * fence(own) + fertility.WEIGHT * every) / (len(own) + fertility.WEIGHT)
+        assert np.allclose(got[False, lang, "chars_per_token"], want)
+
+
+def test_equal_rows_without_id_spread_over_the_ring(spark):
+    docs = spark.createDataFrame([(None, "")] * 800 + [(i, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    out = ring_shards.ring_shards(docs, shards=8)
+    count = {r.shard: r["count"] for r in out.filter("doc_id IS NULL").groupBy("shard").count().collect()}
+    assert sum(count.values()) == 800 and min(count.values()) > 50
+
+
+def test_toxicity_trains_on_one_text_of_an_id(spark):
+    """A third of all rows repeats one labelled id; the fit is that of one row."""
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    bad = [f"bad{i}" for i in range(10)]
+    text = lambda toxic: " ".join(r.choice(bad if toxic and r.random() < 0.3 else words) for _ in range(60))
+    labels = [(i, int(i % 4 == 0)) for i in range(300)]
+    rows = [(i, text(t)) for i, t in labels]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, many = (toxic_segments.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(3), lab) for x in (rows, rows + [rows[4]] * 150))
+    assert one[0] == many[0] and one[1].curve == many[1].curve
