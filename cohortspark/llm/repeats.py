@@ -3,7 +3,7 @@
 Strings meet in shards by their content. Of the grams in a string the one with the smallest hash (the leftmost, if it is there twice) is its anchor, so equal
 strings have equal anchors at equal places. Strings with one anchor that begin side by side form a segment of text. Anchors that occur once
 need nothing more; the segments of the others meet by anchor, and equal segments become one with a count. What is left of an anchor are
-segments that differ; a shard of those gets a suffix array by induced sorting, and its permuted common prefixes of ``length`` or more tell the strings that
+segments that differ; of those a shard takes the parts that differ around the same text and gets a suffix array by induced sorting, and its permuted common prefixes of ``length`` or more tell the strings that
 occur twice. An anchor with more than MOST bytes of different segments, such as the edge of a very common passage, is dealt over more shards: by
 parts of NARROW strings that begin side by side and the hash of the text which these have in common, and then by single strings.
 
@@ -33,7 +33,7 @@ GRAM = 100
 PART = 4 << 20  # strings of a text that are looked at together
 SHARD = 1 << 20  # bytes of segments in one suffix array, or one anchor's, if it has more
 MOST = 4 << 20
-NARROW = 16
+NARROW, NEAR = 16, 32  # strings that begin side by side: of parts that are dealt over shards, and of those looked at inside of one
 _LOW, _SHIFT = np.uint64((1 << 24) - 1), np.uint64(32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,6 +116,46 @@ def repeated_strings(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [twice[b : b + max(0, n - length + 1)] for b, n in zip(begin, size)]
 
 
+def _parts(seg: bytes, n: int, anchor: int, narrow: int, length: int):
+    """(part, what its strings have in common, first string, string after the last) of a segment: parts go by the distance to the anchor, so equal strings are in equal parts, and what a part has in
+    common is in every string of it, whether that is in this segment or not."""
+    low = 0
+    while low < n:
+        part = (anchor - low) // narrow
+        begin = anchor - part * narrow
+        high = min(n, begin + 1)
+        yield part, seg[begin : begin - narrow + 1 + length], low, high
+        low = high
+
+
+def _twice(t: pa.Table, length: int) -> list[np.ndarray]:
+    """For each segment (different ones of several keys) a mask of the strings that another one of its key has too.
+
+    Only parts of NEAR strings whose common text another segment shares can hold such strings. Parts that are equal are decided by that; a suffix array is made of those that differ around the same text.
+    """
+    segs, n = t.column("seg").to_pylist(), t.column("n").to_pylist()
+    places: dict[tuple, dict[bytes, list[tuple[int, int]]]] = {}
+    for i, (g1, g2, seg, m, anchor) in enumerate(zip(t.column("g1").to_pylist(), t.column("g2").to_pylist(), segs, n, t.column("anchor").to_pylist())):
+        for part, common, low, high in _parts(seg, m, anchor, NEAR, length):
+            places.setdefault((g1, g2, part, xxhash.xxh3_128_digest(common)), {}).setdefault(seg[low : high - 1 + length], []).append((i, low))
+    out = [np.zeros(m, bool) for m in n]
+    differ: list[bytes] = []
+    where: list[list[tuple[int, int]]] = []
+    for own in places.values():
+        for sub, at in own.items():
+            if len(at) > 1:
+                for i, low in at:
+                    out[i][low : low + len(sub) - length + 1] = True
+        if len(own) > 1:
+            differ += own
+            where += own.values()
+    if differ:
+        for mask, at in zip(repeated_strings(differ, length), where):
+            for i, low in at:
+                out[i][low : low + len(mask)] |= mask
+    return out
+
+
 def _intervals(mask: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
     return [{"a": int(a), "b": int(b)} for a, b in edge.reshape(-1, 2)]
@@ -162,12 +202,12 @@ def _resolved(pieces: DataFrame, length: int, narrow: int) -> DataFrame:
     def sort_shards(batches):
         for t in _shards_of(batches):
             once = t.column("count").to_numpy() == 1  # of the others all strings are known to occur twice
-            found = [(i, x["a"], x["b"]) for i, m in enumerate(repeated_strings(t.column("seg").to_pylist(), length)) if once[i] for x in _intervals(m)]
+            found = [(i, x["a"], x["b"]) for i, m in enumerate(_twice(t, length)) if once[i] for x in _intervals(m)]
             rows = pa.array([i for i, _, _ in found], pa.int64())
             cols = [t.column(c).take(rows).combine_chunks() for c in (*_KEY, *_OWN)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([a for _, a, _ in found], pa.int32()), pa.array([b for *_, b in found], pa.int32())], schema=out)
 
-    dealt = small.select(*_KEY, *_OWN, "count", "seg").repartition(*_KEY).sortWithinPartitions(*_KEY)
+    dealt = small.select(*_KEY, *_OWN, "count", "n", "anchor", "seg").repartition(*_KEY).sortWithinPartitions(*_KEY)
     found = whole.unionByName(dealt.mapInArrow(sort_shards, "g1 long, g2 long, s1 long, s2 long, a int, b int"))
     large = known.filter(F.col("bytes") > MOST)
     if narrow and not large.isEmpty():
@@ -178,14 +218,8 @@ def _resolved(pieces: DataFrame, length: int, narrow: int) -> DataFrame:
             for batch in batches:
                 cols = [batch.column(c).to_pylist() for c in (*_KEY, *_OWN, "n", "anchor", "seg")]
                 for g1, g2, s1, s2, n, anchor, seg in zip(*cols):
-                    low = 0
-                    while low < n:  # parts by the distance to the anchor, so that equal strings are in equal parts
-                        part = (anchor - low) // narrow
-                        begin = anchor - part * narrow
-                        high = min(n, begin + 1)
-                        common = seg[begin : begin - narrow + 1 + length]  # in every string of the part, whether it is in this segment or not
+                    for part, common, low, high in _parts(seg, n, anchor, narrow, length):
                         made.add(_hash2(b"%d,%d,%d," % (g1, g2, part) + common), (g1, g2, s1, s2), low, high - low, anchor - low, seg[low : high - 1 + length])
-                        low = high
                     if made.bytes > SHARD:
                         yield made.batch(schema)
             if made.rows:
