@@ -133,7 +133,9 @@ def effect_with_fallback(df: DataFrame, t: str, y: str, confounders: Sequence[st
     """Adjusted effect; where it cannot be fitted the plain difference, said so in ``execution_mode``."""
     try:
         effect, mode = models.adjusted_effect(df, t, y, confounders), "adjusted"
-    except Exception as e:  # noqa: BLE001  the reason is recorded
+    except Exception as e:  # the reason is recorded
+        if not models.is_fit_failure(e):
+            raise
         return stats.difference_in_means(df, t, y).withColumn("execution_mode", F.lit("difference_in_means")).withColumn("warning", F.lit(type(e).__name__))
     return df.sparkSession.createDataFrame([(effect, mode, None)], "effect double, execution_mode string, warning string")
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -80,6 +81,11 @@ def balanced(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn("_w", F.when(F.col(y) == 1, total / (2.0 * max(1, n.get(1, 0)))).otherwise(total / (2.0 * max(1, n.get(0, 0)))))
 
 
+def is_fit_failure(e: Exception) -> bool:
+    """Whether a fit failed for its data or settings; anything else, such as a lost executor or a lack of memory, is no result and must be raised."""
+    return isinstance(e, (IllegalArgumentException, AnalysisException, ArithmeticException, ValueError, KeyError, ArithmeticError)) or any(x in str(e) for x in ("SingularMatrixException", "NotConvergedException", "IllegalArgumentException"))
+
+
 # ---- supervised ----------------------------------------------------------------------------------------------------------------
 def _score(model, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return model.transform(_features(df, cols)).withColumn("score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction", "_w")

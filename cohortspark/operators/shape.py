@@ -26,9 +26,9 @@ def finite_vectors(df: DataFrame, vec: str) -> DataFrame:
 
 
 def usable_columns(train: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Columns with two values or more, by one aggregation over the training rows."""
-    row = train.agg(*(F.approx_count_distinct(c).alias(c) for c in cols)).first()
-    return [c for c in cols if row[c] >= 2]
+    """Columns with two different values or more, by one aggregation over the training rows."""
+    row = train.agg(*(f(c).alias(f"{i}_{n}") for i, c in enumerate(cols) for n, f in (("least", F.min), ("most", F.max)))).first()
+    return [c for i, c in enumerate(cols) if row[f"{i}_least"] is not None and row[f"{i}_least"] != row[f"{i}_most"]]
 
 
 def identifier_column(df: DataFrame, priority: Sequence[str]) -> str | None:
@@ -207,10 +207,11 @@ def row_topk(c: str, k: int = 5) -> Column:
     return F.slice(F.sort_array(c, asc=False), 1, k)
 
 
-def drop_top_share(df: DataFrame, c: str, share: float) -> DataFrame:
-    """Without the floor(n * share) rows of the largest values."""
-    r = running_totals(df.withColumn("one", F.lit(1)), [c], ["one"], descending=True)
-    return r.filter(F.col("one_before") >= F.floor(F.col("one_total") * share)).drop("one", "one_before", "one_total")
+def drop_top_share(df: DataFrame, c: str, share: float, ties: Sequence[str] = ()) -> DataFrame:
+    """Without the floor(n * share) rows of the largest values; of equal values those with the larger ``ties`` go first."""
+    one = fresh(df, "one")
+    r = running_totals(df.withColumn(one, F.lit(1)), [c, *ties], [one], descending=True)
+    return r.filter(F.col(f"{one}_before") >= F.floor(F.col(f"{one}_total") * share)).drop(one, f"{one}_before", f"{one}_total")
 
 
 # ---- sets and reshaping ------------------------------------------------------------------------------------------------

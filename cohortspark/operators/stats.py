@@ -234,6 +234,20 @@ def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a cluster
 
 
+def size_profile(df: DataFrame, label: str, noise: object = -1) -> DataFrame:
+    """One row: rows, clusters, share of noise and of the smallest cluster (both of all rows); rows without a label are noise."""
+    n = df.groupBy(F.coalesce(F.col(label), F.lit(noise)).alias("c")).agg(F.count("*").alias("n"))
+    own = F.when(F.col("c") != noise, F.col("n"))
+    return n.agg(F.sum("n").alias("rows"), F.count(own).alias("clusters"), F.coalesce(F.try_divide(F.sum("n") - F.coalesce(F.sum(own), F.lit(0)), F.sum("n")), F.lit(0.0)).alias("noise_share"), F.coalesce(F.try_divide(F.min(own), F.sum("n")), F.lit(0.0)).alias("smallest_share"))
+
+
+def deviation_by_cluster(df: DataFrame, label: str, deviation: str) -> DataFrame:
+    """label, n, median and 90th percentile of the deviation of a cluster's rows."""
+    q = exact_quantiles(df, deviation, (0.5, 0.9), [label])
+    n = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(deviation).alias("n"))
+    return n.join(q, label, "left").select(label, "n", F.col("q")[0].alias("deviation_median"), F.col("q")[1].alias("deviation_p90"))
+
+
 def suppressed_prevalence(df: DataFrame, group: str, y: str, least: int = 50) -> DataFrame:
     g = df.groupBy(group).agg(F.count(y).alias("n"), F.avg(y).alias("_p"))
     return g.select(group, F.when(F.col("n") >= least, F.col("n")).alias("n"), F.when(F.col("n") >= least, F.col("_p")).alias("prevalence"), (F.col("n") < least).alias("suppressed"))

@@ -276,7 +276,9 @@ def cluster_grid(df: DataFrame, key: str, vec: str, methods: Sequence[str], ks:
                 index = lambda x: models.cluster_indices(x, vec, "cluster").first()[0]
                 out.append((f"{m}-{k}", k, "evaluated", None, size[0], size[1], index(d), evaluate.davies_bouldin(d, vec, "cluster").first()[0], ari(fit(df, k, other_seed)), float(np.mean(parts)) if parts else None, index(fit(null, k, seed))))
                 labels[f"{m}-{k}"] = d.select(key, "cluster")
-            except Exception as e:  # noqa: BLE001  a failed candidate is a row of the report
+            except Exception as e:  # a candidate that cannot be fitted is a row of the report
+                if not models.is_fit_failure(e):
+                    raise
                 out.append((f"{m}-{k}", k, "failed", str(e)[:200], None, None, None, None, None, None, None))
     return df.sparkSession.createDataFrame(out, schema), labels
 

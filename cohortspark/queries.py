@@ -182,6 +182,10 @@ add("a_suppressed", lambda s, d: r6(S.suppressed_prevalence(od(s, d), "cust", "y
     f"WITH {OD} SELECT cust, CASE WHEN count(y) >= 12 THEN count(y) END AS n, round(CASE WHEN count(y) >= 12 THEN avg(y) END, 6) AS prevalence, count(y) < 12 AS suppressed FROM od GROUP BY 1")
 add("a_mean_shift", lambda s, d: r6(S.mean_shift(od(s, d), "y", ["price", "score"])),
     f"WITH {OD}, l AS (SELECT y, 'price' AS feature, price v FROM od UNION ALL SELECT y, 'score', score FROM od), g AS (SELECT feature, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) x FROM l GROUP BY 1) SELECT feature, round(x, 6) AS shift, CASE WHEN x > 0 THEN 'higher' ELSE 'lower' END AS direction FROM g")
+add("a_size_profile", lambda s, d: r6(S.size_profile(table(s, d, "embeddings").withColumn("label", F.when(F.col("vec_id") % 9 == 0, -1).when(F.col("vec_id") % 31 > 0, F.col("label"))), "label")),
+    "WITH e AS (SELECT CASE WHEN vec_id % 9 = 0 THEN -1 WHEN vec_id % 31 > 0 THEN label ELSE -1 END AS l FROM embeddings), g AS (SELECT l, count(*) n FROM e GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (l <> -1) AS clusters, round(sum(n) FILTER (l = -1) / sum(n), 6) AS noise_share, round(min(n) FILTER (l <> -1) / sum(n), 6) AS smallest_share FROM g")
+add("a_cluster_deviation", lambda s, d: r6(S.deviation_by_cluster(table(s, d, "embeddings").select(F.col("label").cast("long").alias("label"), F.col("embedding")[0].cast("double").alias("dev")), "label", "dev")),
+    "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, round(quantile_cont(embedding[1]::DOUBLE, 0.5), 6) AS deviation_median, round(quantile_cont(embedding[1]::DOUBLE, 0.9), 6) AS deviation_p90 FROM embeddings GROUP BY 1")
 add("a_cluster_sizes", lambda s, d: r6(S.cluster_sizes(table(s, d, "embeddings"), "label")),
     "SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM embeddings GROUP BY 1")
 add("a_count_gate", lambda s, d: S.count_gate(od(s, d), "cust", 10).select("cust", F.col("count").alias("n"), "open"),
