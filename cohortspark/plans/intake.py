@@ -79,7 +79,10 @@ def take_in(spark: SparkSession, path: str, spec: Intake, out: str) -> tuple[Dat
     if found := _name_findings(header, spec):
         raise Refused("columns name persons", found)
     kind = lambda c: "double" if c in spec.numeric or c in spec.labels else "string"
-    d = io.permissive_csv(spark, path, [(c, kind(c)) for c in header], CORRUPT)
+    # A session of its own: what observes is kept by the session, and Spark's fitted models cannot be sent to tasks from a session that has it.
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    d = io.permissive_csv(own, path, [(c, kind(c)) for c in header], CORRUPT)
     here = [c for c in spec.features if c in header]
     texts = [c for c in header if kind(c) == "string" and c != spec.key]
     d = d.withColumns({c: clean(F.col(c)) if kind(c) == "double" else F.nullif(F.trim(c), F.lit("")) for c in header if c != spec.key})

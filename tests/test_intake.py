@@ -56,3 +56,11 @@ def test_nothing_usable_blocks(spark, tmp_path):
     rows, report = take_in(spark, upload(tmp_path, "who,age,other\n1,12,a\n2,,b\n"), SPEC, f"{tmp_path}/out")
     last = report.filter("section = 'ready'").first()
     assert rows.count() == 0 and (last.item, last.value, last.level) == ("no accepted row", 0.0, "blocking")
+
+
+def test_models_can_be_fitted_after_an_intake(spark, tmp_path):
+    from cohortspark.operators import models
+
+    take_in(spark, upload(tmp_path, "who,age,u,v,kind\n1,30,1,2,a\n"), SPEC, f"{tmp_path}/out")
+    d = spark.createDataFrame([(float(i), i % 2) for i in range(40)], "x double, y int")
+    assert models.logistic(d, d, "y", ["x"]).count() == 40
