@@ -59,6 +59,8 @@ def _converted(d: DataFrame, r: EventRules) -> DataFrame:
     value, unit, state = F.col(r.value), F.col(r.unit), F.lit("kept")
     codes = sorted({code for code, _ in r.units})
     state = F.when(F.col(r.code).isin(*codes) & F.col(r.unit).isNotNull() & F.col(r.value).isNotNull(), "unknown").otherwise(state) if codes else state
+    for code in codes:  # units that others are converted to
+        state = F.when(null_safe((F.col(r.code) == code) & F.col(r.unit).isin(*{to for (c, _), (to, *_) in r.units.items() if c == code})), "kept").otherwise(state)
     for (code, name), (to, slope, intercept) in r.units.items():
         here = null_safe((F.col(r.code) == code) & (F.col(r.unit) == name))
         value, unit = F.when(here, F.col(r.value) * slope + intercept).otherwise(value), F.when(here, to).otherwise(unit)
