@@ -282,3 +282,32 @@ def test_toxicity_trains_on_one_text_of_an_id(spark):
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     one, many = (toxic_segments.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(3), lab) for x in (rows, rows + [rows[4]] * 150))
     assert one[0] == many[0] and one[1].curve == many[1].curve
+
+
+def test_added_personal_data_is_found(spark, sf_dir):
+    """Local phones, national ids and IBANs planted with words that tell: nine of ten at least are found."""
+    from cohortspark.llm import pii
+
+    r = random.Random(5)
+
+    def iban():
+        land, body = r.choice(sorted(pii.IBAN_LANDS)), "".join(r.choice("0123456789") for _ in range(18))
+        return f"{land}{98 - int(''.join(str(int(c, 36)) for c in body + land + '00')) % 97:02d}{body}"
+
+    make = {
+        "local_phone": (lambda: f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}", ["call {}", "phone: {}", "my mobile is {}"]),
+        "national_id": (lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", ["ssn {}", "social security {}"]),
+        "iban": (iban, ["iban {}", "bank account {}", "konto {}"]),
+    }
+    rows, truth = [], set()
+    for i, x in enumerate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()):
+        words, kind = (x.text or "").split(" "), r.choice(sorted(make))
+        value, at = make[kind][0](), r.randint(0, len(words))
+        before, said = " ".join(words[:at]) + " ", r.choice(make[kind][1]).format(value)
+        begin = len(before) + said.index(value)
+        truth.add((i, kind, begin, begin + len(value)))
+        rows.append((i, before + said + " " + " ".join(words[at:])))
+    found = {(x.doc_id, k, int(a), int(b)) for x in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() for k, a, b in (s.split(":") for s in x.spans.split(",") if s)}
+    for kind in make:
+        own = {x for x in truth if x[1] == kind}
+        assert len(own & found) >= 0.9 * len(own)
