@@ -118,3 +118,13 @@ def test_calibration_line(spark):
             q = 1 / (1 + np.exp(-x @ w))
             w = w + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([0.0, 1.0]), x.T @ (y - q) - np.array([0.0, w[1]]))
         assert abs(r.slope - w[1]) < 1e-6 and low < r.slope < high and abs(r.intercept - (y.mean() - score.mean())) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["d_profile_problems", "w_cumulative", "n_normaliser"])
+def test_scores_at_halves_round_as_in_sql(spark, tmp_path, name):
+    """Prices whose scores end in a 5 that doubles can't hold, such as 0.5005."""
+    rows = [(999 - i, i % 7, "FOP"[i % 3], 300.0 * (2 * i + 1), pd.Timestamp("1996-03-04") + pd.Timedelta(days=i), "1-URGENT") for i in range(1000)]
+    pd.DataFrame(rows, columns=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]).astype({"o_orderdate": "datetime64[us]"}).to_parquet(tmp_path / "orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    assert plain(QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(con.sql(SQL[name]).df())
