@@ -128,3 +128,19 @@ def test_scores_at_halves_round_as_in_sql(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
     assert plain(QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(con.sql(SQL[name]).df())
+
+
+def test_spread_does_not_depend_on_order(spark):
+    from decimal import Decimal, getcontext
+
+    import numpy as np
+
+    from cohortspark.operators.models import fit_normaliser
+
+    v = np.random.default_rng(5).integers(0, 10**6, 60_000) + 10**9
+    getcontext().prec = 50
+    total, square, n = sum(map(int, v)), sum(int(x) ** 2 for x in v), len(v)
+    want = float(((Decimal(square) - Decimal(total) ** 2 / n) / (n - 1)).sqrt())
+    for parts in (1, 7):
+        got = fit_normaliser(spark.createDataFrame(pd.DataFrame({"v": v.astype(float)})).repartition(parts), ["v"])["v"][1]
+        assert abs(got - want) <= 4e-16 * want
