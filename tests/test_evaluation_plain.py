@@ -49,6 +49,25 @@ def test_bootstrap_by_plain_resampling(scored, kind):
     assert row.rounds == rounds and np.allclose([row.low, row.high], np.quantile(want, [0.025, 0.975]), atol=1e-9)
 
 
+@pytest.mark.parametrize("cluster", [None, "ward"])
+@pytest.mark.parametrize("fixed", [False, True])
+def test_bootstrap_in_blocks(spark, scored, monkeypatch, cluster, fixed):
+    """One range of many cells is drawn a few cells at a time, also where a block ends among the cells of one score."""
+    if fixed and not cluster:
+        pytest.skip("only clusters are drawn in a fixed number")
+    monkeypatch.setattr(batched, "MOST_DRAWN", 10**9)
+    whole = batched.resampled(scored, "y", "p", 40, 3, cluster, fixed)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for cells in (1, 4):
+            monkeypatch.setattr(batched, "MOST_DRAWN", 40 * cells)
+            own = batched.resampled(scored, "y", "p", 40, 3, cluster, fixed)
+            assert np.allclose(own.auroc, whole.auroc, atol=1e-12) and np.allclose(own.auprc, whole.auprc, atol=1e-12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def test_bootstrap_interval_is_that_of_drawing_rows(spark):
     g = np.random.default_rng(5)
     y = g.integers(0, 2, 3000)
