@@ -48,6 +48,20 @@ def test_a_second_run_reads_every_step(spark, tmp_path):
     assert changed.made == ["cohort"]
 
 
+def test_few_steps_read_the_events(spark, tmp_path):
+    """The fingerprint, the outcome dates and the visits; every section of the report read them before."""
+    d, protocol, seen = history(spark, 200), Protocol(["disease"], "death", None, (40, 80), 0.0, 2, 20), spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(x):
+        seen.add(1)
+        return True
+
+    s = steps.Steps(spark, str(tmp_path), d.filter(counted("at")))
+    steps.cohort_risk(s, d.filter(counted("at")), "who", "code", "value", "at", ["marker"], "disease", protocol, 2030, 10.0).collect()
+    assert len(s.made) == 9 and 0 < seen.value <= 3 * d.count()
+
+
 def test_a_step_depends_on_those_before(spark, tmp_path):
     s = steps.Steps(spark, str(tmp_path), spark.range(3))
     s.table("a", lambda: spark.range(4))
