@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import batched, evaluate, models
+from cohortspark.operators import batched, evaluate, models, shape
 from cohortspark.plans import jobs
 from cohortspark.sources import io
 
@@ -121,6 +121,25 @@ def test_predictive_baseline_skips_with_reason_and_learns(spark):
     assert r["y"].status == "fitted" and r["y"].auroc > 0.9 and r["y"].accuracy > r["y"].baseline_accuracy + 0.2
 
 
+def test_risk_pipeline_sorts_rows_once_a_model(spark, monkeypatch):
+    """Labels are dealt once for all models and splits; both hashes of every model and split were sorted before. The control is that of each split alone."""
+    g, n = np.random.default_rng(8), 900
+    x = g.integers(0, 5, n)
+    d = spark.createDataFrame([(i, float(v), int(g.uniform() < 0.1 + 0.2 * v), ("train", "validation", "test")[i % 3]) for i, v in enumerate(x)], "id long, x double, y int, part string")
+    fit = lambda a, b: b.withColumn("score", F.col("x") / 5)
+    ranged, sizes = shape.ranged, []
+    monkeypatch.setattr(shape, "ranged", lambda df, *more, **kw: (r := ranged(df, *more, **kw), sizes.append(r.count()))[0])
+    rows = {(r.model, r.split): r for r in jobs.risk_pipeline(d, "id", "y", "part", {"a": fit, "b": fit}).collect()}
+    assert len(rows) == 4 and sum(s for s in sizes if s >= 300) <= 3 * 600
+    for (_, part), r in rows.items():
+        own = d.filter(F.col("part") == part)
+        cal = models.calibrate(d.filter("part = 'validation'").withColumn("score", F.col("x") / 5), own.withColumn("score", F.col("x") / 5), "score", "y")
+        assert r.n == 300 and r.events == own.agg(F.sum("y")).first()[0]
+        assert abs(r.control - evaluate.shuffled_label_control(cal, "y", "calibrated", "id").first()[0]) < 1e-9
+        assert abs(r.brier - cal.agg(F.avg((F.col("calibrated") - F.col("y")) ** 2)).first()[0]) < 1e-9
+        assert abs(r.intercept - cal.agg(F.avg("y") - F.avg("calibrated")).first()[0]) < 1e-9
+
+
 def test_risk_pipeline_selects_what_works(spark):
     """A model of the signal beats one of noise; the choice is made on validation; shuffled labels give about one half."""
     g = np.random.default_rng(9)
