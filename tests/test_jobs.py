@@ -30,6 +30,26 @@ def test_cluster_grid_finds_planted_groups_and_records_failures(spark):
     assert [x.n for x in got] == [1, 1, 1]
 
 
+def test_cluster_index_in_one_pass(spark):
+    """Rows were read six times, and each as a row a coordinate."""
+    d, seen = blobs(spark), spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(x):
+        seen.add(1)
+        return True
+
+    got = models.cluster_indices(d.filter(counted("id")), "v", "c").first()[0]
+    p = d.toPandas()
+    x, c = np.stack(p.v), p.c.to_numpy()
+    within = sum(((x[c == k] - x[c == k].mean(0)) ** 2).sum() for k in set(c))
+    want = ((((x - x.mean(0)) ** 2).sum() - within) / 2) / (within / (len(x) - 3))
+    assert abs(got / want - 1) < 1e-12 and seen.value == len(x)
+    with pytest.raises(ZeroDivisionError) as e:
+        models.cluster_indices(d.filter("c = 0"), "v", "c").first()
+    assert models.is_fit_failure(e.value)
+
+
 def test_shuffled_coordinates_keep_margins(spark):
     d = blobs(spark, 20)
     got = jobs.shuffled_coordinates(d, "id", "v").toPandas().sort_values("id")
