@@ -31,7 +31,7 @@ def test_cluster_grid_finds_planted_groups_and_records_failures(spark):
 
 
 def test_cluster_index_in_one_pass(spark):
-    """Rows were read six times, and each as a row a coordinate."""
+    """Before, rows were read several times, each as a row a coordinate."""
     d, seen = blobs(spark), spark.sparkContext.accumulator(0)
 
     @F.udf("boolean")
