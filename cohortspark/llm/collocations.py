@@ -1,11 +1,11 @@
 """Collocations by weighted acyclic automata.
 
-Each task builds automata from the sorted n-grams of its texts, language by language, and cuts them into fragments of FRAGMENT n-grams. A fragment is filed under its first n-gram;
-from those keys come the borders of prefix ranges with about RANGE n-grams each. Fragments are cut at the borders, and those of one range are united and their
+Each task builds automata from the sorted n-grams of its texts, language by language, and cuts them into fragments of FRAGMENT n-grams. A fragment tells some of its n-grams, evenly spaced from a place
+of its own on, for fragments of shards that are alike begin at the same n-grams; from those keys come the borders of prefix ranges with about RANGE n-grams each. Fragments are cut at the borders, and those of one range are united and their
 weights summed. With more than FAN shards that is done in several rounds, each of which unites groups of FAN shards, so pieces stay large however many shards there are. The last round
 keeps what is frequent. Parts of candidates are looked up in the range that holds them, by composing an automaton of the parts asked for with the counts.
 
-Counts are exact: nothing is sampled but, for the borders only, at most BORDER_KEYS keys of fragments.
+Counts are exact: nothing is sampled but, for the borders only, the keys of fragments, of which BORDER_KEYS are looked at.
 
 Defined cases: a null language is ``und``; a null or empty text has no words; repeated rows count as often as they are there; a very long text is one text among others, for its words are cut into blocks
 without losing the n-grams across; extra columns are ignored; an empty table gives no phrases; ties go by score, count and phrase.
@@ -13,6 +13,7 @@ without losing the n-grams across; extra columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -30,6 +31,7 @@ BLOCK = 4 << 20
 FRAGMENT, RANGE = 1 << 16, 1 << 20
 FAN = 256
 BORDER_KEYS = 50_000
+KEYS = 256  # of the n-grams of a range
 SALTS = 64
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -64,8 +66,8 @@ class _Shard:
             self.size += len(self.ids[-1])
             at = end
 
-    def automata(self):
-        """Fragments: the first n-gram, the number of n-grams, that of words read, and the automaton."""
+    def automata(self, every: int, seed: bytes):
+        """Rows of fragments()."""
         ids = np.concatenate([EMPTY, *self.ids]) - 1
         words = [w for w, n in self.number.items() if n > 0]
         for a in range(0, len(ids), SHARD_WORDS):  # of a very long text, block by block; n-grams belong to the block in which they begin
@@ -74,7 +76,7 @@ class _Shard:
             order = sorted(own, key=words.__getitem__)
             rank = np.full(len(words) + 1, -1, np.int64)
             rank[order] = np.arange(len(order))
-            yield from fragments([words[i] for i in order], *_counted(rank[block], min(SHARD_WORDS, len(ids) - a), len(order)))
+            yield from fragments([words[i] for i in order], *_counted(rank[block], min(SHARD_WORDS, len(ids) - a), len(order)), every, b"%s,%d" % (seed, a))
 
 
 def _counted(x: np.ndarray, begins: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,22 +95,27 @@ def _counted(x: np.ndarray, begins: int, words: int) -> tuple[np.ndarray, np.nda
     return full[order], n[order]
 
 
-def fragments(words: list[bytes], code: np.ndarray, n: np.ndarray):
+def fragments(words: list[bytes], code: np.ndarray, n: np.ndarray, every: int, seed: bytes):
+    """The first n-gram, about one n-gram in ``every``, the number of n-grams, that of words read, and the automaton."""
     for a in range(0, len(n), FRAGMENT):
         own, count = decoded(code[a : a + FRAGMENT], len(words)), n[a : a + FRAGMENT]
-        yield _key(words, own[:, 0]), len(count), int(count[own[1] < 0].sum()), CountAutomaton.of(words, own, count).dump()
+        yield _key(words, own[:, 0]), _keys(words, own, every, b"%s,%d" % (seed, a)), len(count), int(count[own[1] < 0].sum()), CountAutomaton.of(words, own, count).dump()
 
 
 def _key(words: list[bytes], row: np.ndarray) -> bytes:
     return b" ".join(words[i] for i in row.tolist() if i >= 0)
 
 
-_FRAGMENT = "lang string, shard long, key binary, n long, words long, automaton binary"
+def _keys(words: list[bytes], cols: np.ndarray, every: int, seed: bytes) -> list[bytes]:
+    return [_key(words, cols[:, i]) for i in range(zlib.crc32(seed) % every, cols.shape[1], every)]
+
+
+_FRAGMENT = "lang string, shard long, key binary, keys array<binary>, n long, words long, automaton binary"
 
 
 def _shards(docs: DataFrame) -> DataFrame:
     """_FRAGMENT of the texts' own automata; a task gives one shard after another."""
-    out = pa_schema(_FRAGMENT)
+    out, every = pa_schema(_FRAGMENT), _every()
 
     def run(batches):
         part, made = TaskContext.get().partitionId() << 32, 0
@@ -116,8 +123,8 @@ def _shards(docs: DataFrame) -> DataFrame:
 
         def flush():
             for lang, s in shards.items():
-                for key, n, words, data in s.automata():
-                    yield pa.RecordBatch.from_pylist([{"lang": lang, "shard": part + made, "key": key, "n": n, "words": words, "automaton": data}], schema=out)
+                for key, keys, n, words, data in s.automata(every, f"{lang},{part + made}".encode()):
+                    yield pa.RecordBatch.from_pylist([{"lang": lang, "shard": part + made, "key": key, "keys": keys, "n": n, "words": words, "automaton": data}], schema=out)
             shards.clear()
 
         for batch in batches:
@@ -134,11 +141,15 @@ def _shards(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _FRAGMENT)
 
 
+def _every() -> int:
+    return max(1, RANGE // KEYS)
+
+
 def _borders(parts: DataFrame, ranges: int) -> list[tuple]:
-    """Keys (language, words) that cut the fragments into about ``ranges`` equal ranges."""
-    keys = parts.select("lang", "key")
+    """Keys (language, words) that cut the n-grams of all fragments into about ``ranges`` equal ranges."""
+    keys = parts.select("lang", F.explode("keys").alias("key"), "shard")
     if (count := keys.count()) > BORDER_KEYS:
-        keys = keys.filter(F.pmod(F.xxhash64("lang", "key"), F.lit(count)) < BORDER_KEYS)
+        keys = keys.filter(F.pmod(F.xxhash64("lang", "key", "shard"), F.lit(count)) < BORDER_KEYS)
     keys = sorted((r[0], *bytes(r[1]).split(b" ")) for r in keys.collect())
     step = max(1, len(keys) // max(1, ranges))
     return sorted(set(keys[step::step]))
@@ -172,7 +183,7 @@ class _Cut:
 def _united(parts: DataFrame, groups: int, least: int) -> tuple[DataFrame, list[tuple]]:
     """Fragments of the unions of shards: those of ``groups`` groups of them, without n-grams of fewer than ``least``. And the borders of the ranges."""
     total = parts.agg(F.sum("n")).first()[0] or 0
-    cut = _Cut(_borders(parts, -(-total // (RANGE * groups))))
+    cut, every = _Cut(_borders(parts, -(-total // (RANGE * groups)))), _every()
     piece, out = pa_schema("lang string, grp long, rng long, automaton binary"), pa_schema(_FRAGMENT)
 
     def deal(batches):
@@ -187,9 +198,10 @@ def _united(parts: DataFrame, groups: int, least: int) -> tuple[DataFrame, list[
         read, keep = int(n[cols[1] < 0].sum()), np.flatnonzero(n >= least)
         rows = []
         for x in np.array_split(keep, max(1, -(-len(keep) // FRAGMENT))) if len(keep) else ():
-            rows.append({"lang": lang, "shard": grp, "key": _key(words, cols[:, x[0]]), "n": len(x), "words": 0, "automaton": CountAutomaton.of(words, cols[:, x], n[x]).dump()})
+            keys = _keys(words, cols[:, x], every, b"%d,%d,%s" % (grp, x[0], _key(words, cols[:, x[0]])))
+            rows.append({"lang": lang, "shard": grp, "key": _key(words, cols[:, x[0]]), "keys": keys, "n": len(x), "words": 0, "automaton": CountAutomaton.of(words, cols[:, x], n[x]).dump()})
         if read:  # words that are not frequent are counted all the same
-            rows = rows or [{"lang": lang, "shard": grp, "key": _key(words, cols[:, 0]), "n": 0, "words": 0, "automaton": CountAutomaton.of([], cols[:, :0], n[:0]).dump()}]
+            rows = rows or [{"lang": lang, "shard": grp, "key": _key(words, cols[:, 0]), "keys": [], "n": 0, "words": 0, "automaton": CountAutomaton.of([], cols[:, :0], n[:0]).dump()}]
             rows[0]["words"] = read
         return pa.Table.from_pylist(rows, schema=out)
 

@@ -63,6 +63,20 @@ def test_collocations_first_ones_only_and_empty(spark):
     assert collocations.collocations(docs.filter("false")).collect() == []
 
 
+def test_ranges_of_shards_that_are_alike_hold_few_ngrams(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([("en", " ".join(r.choice(words) for _ in range(1000))) for _ in range(60)], "lang string, text string").repartition(60)
+    monkeypatch.setattr(collocations, "RANGE", 4096)  # a text has far less than a fragment, so all fragments begin at the first words
+    parts = collocations._shards(docs).cache()
+    total = parts.agg({"n": "sum"}).first()[0]
+    cut, held = collocations._Cut(collocations._borders(parts, -(-total // 4096))), Counter()
+    for x in parts.collect():
+        for rng, own in cut("en", bytes(x.automaton)):
+            held[rng] += len(count_automaton.CountAutomaton.load(own).paths()[1])
+    assert sum(held.values()) == total and max(held.values()) < 2 * 4096
+
+
 def test_count_automata_hold_sum_and_compose():
     r = random.Random(0)
 
