@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, pa_schema, slices
-from .count_automaton import EMPTY, ORDER, CountAutomaton, decoded, union
+from .count_automaton import EMPTY, ORDER, CountAutomaton, Loaded, decoded, union
 
 LEAST, TOP, SHARE = 10, 2000, 50
 SHARD_WORDS = 1_500_000  # the cube of one more is below 2^63
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 FRAGMENT, RANGE = 1 << 16, 1 << 20
 FAN = 256
 BORDER_KEYS = 50_000
@@ -76,29 +76,33 @@ class _Shard:
             order = sorted(own, key=words.__getitem__)
             rank = np.full(len(words) + 1, -1, np.int64)
             rank[order] = np.arange(len(order))
-            yield from fragments([words[i] for i in order], *_counted(rank[block], min(SHARD_WORDS, len(ids) - a), len(order)), every, b"%s,%d" % (seed, a))
+            yield from fragments([words[i] for i in order], _counted(rank[block], min(SHARD_WORDS, len(ids) - a), len(order)), every, b"%s,%d" % (seed, a))
 
 
-def _counted(x: np.ndarray, begins: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of ``x`` (ids, -1 between pieces) that begin at the first ``begins`` places, sorted, and their counts."""
+def _counted(x: np.ndarray, begins: int, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the n-grams of ``x`` (ids, -1 between pieces) that begin at the first ``begins`` places, sorted, and their counts; by the number of words."""
     x = np.concatenate([x, np.full(begins + ORDER - 1 - len(x), -1)])
-    found, counts, on, code = [], [], np.ones(begins, bool), np.zeros(begins, np.int64)
+    found, on, code = [], np.ones(begins, bool), np.zeros(begins, np.int64)
     for k in range(ORDER):
         on &= x[k : k + begins] >= 0
         code = code * (words + 1) + x[k : k + begins] + 1
         full = np.sort(code[on] * (words + 1) ** (ORDER - 1 - k))
         first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]])) if len(full) else EMPTY
-        found.append(full[first])
-        counts.append(np.diff(np.append(first, len(full))))
-    full, n = np.concatenate(found), np.concatenate(counts)
-    order = np.argsort(full, kind="stable")
-    return full[order], n[order]
+        found.append((full[first], np.diff(np.append(first, len(full)))))
+    return found
 
 
-def fragments(words: list[bytes], code: np.ndarray, n: np.ndarray, every: int, seed: bytes):
+def fragments(words: list[bytes], counted: list[tuple[np.ndarray, np.ndarray]], every: int, seed: bytes):
     """The first n-gram, about one n-gram in ``every``, the number of n-grams, that of words read, and the automaton."""
-    for a in range(0, len(n), FRAGMENT):
-        own, count = decoded(code[a : a + FRAGMENT], len(words)), n[a : a + FRAGMENT]
+    most = max((code for code, _ in counted), key=len)
+    cuts = most[:: max(1, FRAGMENT * len(most) // max(1, sum(len(code) for code, _ in counted)))][1:]  # merged one fragment at a time
+    edges = [np.concatenate([[0], np.searchsorted(code, cuts), [len(code)]]) for code, _ in counted]
+    for a in range(len(cuts) + 1):
+        code, count = (np.concatenate([x[i][e[a] : e[a + 1]] for x, e in zip(counted, edges)]) for i in (0, 1))
+        if not len(code):
+            continue
+        order = np.argsort(code, kind="stable")
+        own, count = decoded(code[order], len(words)), count[order]
         yield _key(words, own[:, 0]), _keys(words, own, every, b"%s,%d" % (seed, a)), len(count), int(count[own[1] < 0].sum()), CountAutomaton.of(words, own, count).dump()
 
 
@@ -194,7 +198,7 @@ def _united(parts: DataFrame, groups: int, least: int) -> tuple[DataFrame, list[
 
     def unite(table: pa.Table) -> pa.Table:
         lang, grp = table.column("lang")[0].as_py(), table.column("grp")[0].as_py()
-        words, cols, n = union([CountAutomaton.load(x) for x in table.column("automaton").to_pylist()])
+        words, cols, n = union(Loaded(table.column("automaton").to_pylist()))
         read, keep = int(n[cols[1] < 0].sum()), np.flatnonzero(n >= least)
         rows = []
         for x in np.array_split(keep, max(1, -(-len(keep) // FRAGMENT))) if len(keep) else ():

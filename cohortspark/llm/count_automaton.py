@@ -170,8 +170,21 @@ class CountAutomaton:
         return cls(data[32 : 32 + n].split(b" ") if words else [], first, label, target, weight)
 
 
+class Loaded(Sequence):
+    """Automata that are loaded when they are asked for, and not kept."""
+
+    def __init__(self, data: Sequence[bytes]):
+        self.data = data
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, i: int) -> CountAutomaton:
+        return CountAutomaton.load(self.data[i])
+
+
 def union(automata: Sequence[CountAutomaton]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, n-grams and summed counts of all."""
+    """Words, n-grams and summed counts of all; each is asked for twice."""
     words = sorted({w for a in automata for w in a.words})
     number = {w: i for i, w in enumerate(words)}
     rows, counts = [np.zeros((ORDER, 0), np.int64)], [EMPTY]
